@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["url_filter"]
+MODULES = ["url_filter", "warc"]
 
 
 def queries() -> dict:
