@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["url_filter", "warc", "substring_dedup", "quality", "simhash", "packing", "topk"]
+MODULES = ["url_filter", "warc", "substring_dedup", "quality", "simhash", "packing", "topk", "pieces"]
 
 
 def queries() -> dict:
