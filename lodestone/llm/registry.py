@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["url_filter", "warc", "substring_dedup", "quality", "simhash", "packing", "topk", "pieces", "line_dedup"]
+MODULES = ["url_filter", "warc", "substring_dedup", "quality", "simhash", "packing", "topk", "pieces", "line_dedup", "chat"]
 
 
 def queries() -> dict:
