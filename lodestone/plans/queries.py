@@ -398,3 +398,82 @@ def dice_links(spark, sf_dir):
     tf = s.select(F.concat(F.lit("tf/"), "s_suppkey").alias("id"), F.lit("a").alias("source_id"), F.lit("terraform_resource").alias("entity_type"), F.concat(F.lit("aws_"), "s_name", F.lit(".x"), F.col("s_suppkey") % 50).alias("name"), F.concat(F.lit("t"), "s_suppkey").alias("display_name"))
     k8s = s.select(F.concat(F.lit("k8s/"), "s_suppkey").alias("id"), F.lit("b").alias("source_id"), F.lit("k8s_resource").alias("entity_type"), F.concat(F.lit("Deployment/"), "s_name", F.lit("-y"), F.col("s_suppkey") % 20).alias("name"), F.concat(F.lit("k"), "s_suppkey").alias("display_name"))
     return graph.link_sources(tf.unionByName(k8s)).select("source_entity_id", "target_entity_id", F.round("score", 9).alias("score"), "strategy")
+
+
+# --- streams, in batch form ----------------------------------------------------------------------------------------------
+
+
+@query(f"""with {EVENTS}, g as (select external_id, date_diff('microsecond', lag(evt.at) over (partition by external_id order by evt.at), evt.at) as gap from evt)
+select external_id, count(*) as deliveries, count(*) filter (where gap <= 86400000000) as duplicates from g group by external_id""")
+def replay_dedup(spark, sf_dir):
+    from lodestone.streaming import changes
+
+    e = changes.mark_replays(corpus.change_events(spark, sf_dir), id="external_id", seconds=86400)
+    return e.groupBy("external_id").agg(F.count(F.lit(1)).alias("deliveries"), F.count_if("duplicate").alias("duplicates"))
+
+
+@query(f"with {EVENTS} select event_id from evt where event_id % 600 <= 300")
+def late_event_filter(spark, sf_dir):
+    from lodestone.streaming import changes
+
+    e = corpus.change_events(spark, sf_dir).withColumn("sent", F.unix_timestamp("at").cast("double"))
+    return e.where(~changes.is_late(F.col("sent"), F.col("sent") + F.col("event_id") % 600)).select("event_id")
+
+
+@query()
+def token_bucket(spark, sf_dir):
+    from lodestone.streaming import changes
+
+    e = corpus.change_events(spark, sf_dir).select(F.col("external_id").alias("key"), "at", "event_id")
+    return changes.token_bucket(e, rpm=1).groupBy("key").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("rejected"))
+
+
+@query("select event_type as action, count(*) as n from events where event_type in ('click', 'view') group by event_type")
+def dead_letter_split(spark, sf_dir):
+    from lodestone.streaming import changes
+
+    e = table(spark, sf_dir, "events").withColumn("attempt", F.when(F.col("event_type").isin("click", "view"), 4).otherwise(5))
+    return changes.split_dead_letters(e)[0].groupBy(F.col("event_type").alias("action")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- what SQL can't express: checked in the tests ------------------------------------------------------------------------
+
+
+@query()
+def keyword_search_stemmed(spark, sf_dir):
+    chunks = corpus.chunks(spark, sf_dir)
+    return fulltext.search(fulltext.postings(chunks, id="id", stem=True), "inon tiea erre", 20, stem=True)
+
+
+@query()
+def rerank(spark, sf_dir):
+    from lodestone.operators import embedding
+
+    hits = _engine(spark, sf_dir).search(search.SearchRequest(QUESTION, top_k=50)).hits
+    made = embedding.embedder(embedding.provider("hash", dimension=64), 64)
+    return fusion.rerank(hits, made, embedding.hash_embedder(64)([QUESTION])[0], 10).select("chunk_id", "score")
+
+
+@query()
+def vector_lsh(spark, sf_dir):
+    return vector.LshIndex(corpus.chunks(spark, sf_dir), id="id").nearest(UNIT, 20)
+
+
+@query()
+def parse_pages(spark, sf_dir):
+    from lodestone import parsers
+
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.concat("page_id", F.lit(".md")).alias("path"), F.lit("text/markdown").alias("content_type"), F.encode(convert.storage_to_markdown(F.col("html")), "UTF-8").alias("content"))
+    return parsers.parse_documents(pages).select("id", "title", F.size("sections").alias("sections"))
+
+
+@query()
+def schema_markdown(spark, sf_dir):
+    """The test tables' own schemas as documents."""
+    from lodestone.sources import database
+
+    names_ = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"]
+    rows = [("main", t, f.name, i, f.dataType.simpleString(), f.dataType.simpleString(), "YES", None, None, None, None, None) for t in names_ for i, f in enumerate(table(spark, sf_dir, t).schema.fields, 1)]
+    columns = spark.createDataFrame(rows, "table_schema string, table_name string, column_name string, ordinal_position int, data_type string, udt_name string, is_nullable string, column_default string, character_maximum_length int, numeric_precision int, numeric_scale int, comment string")
+    keys = spark.createDataFrame([("main", "nation", "PRIMARY KEY", "pk", "n_nationkey", None, None, None, 1), ("main", "nation", "FOREIGN KEY", "fk", "n_regionkey", "region", "r_regionkey", None, 1)], "table_schema string, table_name string, constraint_type string, constraint_name string, column_name string, foreign_table_name string, foreign_column_name string, check_clause string, ordinal int")
+    return database.schema_markdown(columns.select("table_schema", "table_name").distinct(), columns, keys)
