@@ -115,7 +115,8 @@ def _near(bits: int):
             a, b = [], []
             for group in batch.column("fps"):
                 x = np.sort(group.values.to_numpy())
-                i, j = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= bits, 1))
+                u = x.view(np.uint64)  # counting bits of a signed number would count those of its absolute value
+                i, j = np.nonzero(np.triu(np.bitwise_count(u[:, None] ^ u[None, :]) <= bits, 1))
                 a.append(x[i]), b.append(x[j])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
