@@ -98,7 +98,8 @@ class Packer:
             self.counts[longest] += 1
             chosen[longest] = chosen.get(longest, 0) + 1
             slack = self.capacity - sum(k * n for k, n in chosen.items())
-            for _ in range(min(self.counts[k] // n for k, n in chosen.items())):
+            # The same counts fill further windows; but filling up takes other pieces, so they are counted anew then.
+            for _ in range(1 if slack else min(self.counts[k] // n for k, n in chosen.items())):
                 if self.size < self.capacity:
                     break
                 pieces = [self._take(k) for k, n in chosen.items() for _ in range(n)]
