@@ -88,6 +88,8 @@ class Model:
             keys[own] = self._spans(self._prefix(self._codes([names[i] for i in own])), length)[:, 0]
         order = np.argsort(keys)
         self.keys, self.of = keys[order], np.array(list(self.ids.values()))[order]
+        self.some = np.zeros(1 << 20, bool)  # leading bits that any piece's hash has: most substrings stop here
+        self.some[keys >> np.uint64(44)] = True
         flat = [bytes([b]) if (b := {i: k for k, i in self.bytes.items()}.get(i)) is not None else " ⁇ ".encode() if i == self.unknown else b"" if i in special else p.encode() for i, p in enumerate(self.pieces)]
         self.piece_size = np.array([len(b) for b in flat])
         self.piece_at = np.cumsum(self.piece_size) - self.piece_size
@@ -124,39 +126,48 @@ class Model:
         ids = np.full((n, size, min(size, self.longest) + 1), -1, np.int32)
         for length in range(1, ids.shape[2]):
             key = self._spans(prefix, length)
+            row, start = np.nonzero(self.some[key >> np.uint64(44)])
+            key = key[row, start]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            ids[:, : size - length + 1, length] = np.where(self.keys[at] == key, self.of[at], -1)
+            ids[row, start, length] = np.where(self.keys[at] == key, self.of[at], -1)
         return ids, np.where(ids >= 0, self.scores[ids], -np.inf)
 
-    def encode_units(self, units: list[str]) -> list[list[int]]:
-        """Ids of each unit."""
-        out: list[list[int] | None] = [None] * len(units)
+    def encode_units(self, units: list[str]):
+        """(ids of all units, where each unit's begin, how many it has) as arrays."""
+        import numpy as np
+
+        flat, start, size, used = [], np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), 0
         by_length: dict[int, list[int]] = {}
         for i, u in enumerate(units):
             by_length.setdefault(len(u), []).append(i)
         for length, rows in by_length.items():
-            if length > LONG:
-                for i in rows:
-                    out[i] = self._long(units[i])
-                continue
             step = max(1, 200_000 // (length * min(length, self.longest)))
             for at in range(0, len(rows), step):
                 some = rows[at : at + step]
                 own = [units[i] for i in some]
-                ids, scores = self.table(own)
-                ends = self._viterbi(scores) if self.kind == _UNIGRAM else self._merge(scores)
-                for i, unit, row, cut in zip(some, own, ids, ends):
-                    out[i] = self._collect(unit, row, cut)
-        return out
+                if length > LONG:
+                    found = [self._long(u) for u in own]
+                    ids, sizes = np.array([x for f in found for x in f], np.int32), np.array([len(f) for f in found])
+                else:
+                    table, scores = self.table(own)
+                    ends = self._viterbi(scores) if self.kind == _UNIGRAM else self._merge(scores)
+                    ids, sizes = self._collect(own, table, ends)
+                start[some], size[some] = used + np.cumsum(sizes) - sizes, sizes
+                flat.append(ids)
+                used += len(ids)
+        return np.concatenate(flat) if flat else np.empty(0, np.int32), start, size
+
+    def _collect(self, units: list[str], table, ends):
+        """Ids of all rows in order, and how many each has; characters that are no piece become their bytes or unknown."""
+        import numpy as np
 
-    def _collect(self, unit: str, row, cut) -> list[int]:
-        found: list[int] = []
-        a, size = 0, len(unit)
-        while a < size:
-            b = int(cut[a])
-            found += [int(row[a, b - a])] if row[a, b - a] >= 0 else self._unknown(unit[a])
-            a = b
-        return found
+        row, a = np.nonzero(ends)
+        ids = table[row, a, ends[row, a] - a]
+        if (ids < 0).any():
+            lists = [[int(i)] if i >= 0 else self._unknown(units[r][c]) for r, c, i in zip(row, a, ids)]
+            row = np.repeat(row, [len(x) for x in lists])
+            ids = np.array([x for y in lists for x in y], np.int32)
+        return ids, np.bincount(row, minlength=len(units))
 
     def _unknown(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
@@ -283,12 +294,19 @@ class Codec:
             return
         split = [self.cuts.findall(u) for u in new]
         parts = list(dict.fromkeys(chain.from_iterable(split)))
-        ids = dict(zip(parts, self.model.encode_units(parts)))
-        found = [ids[s[0]] if len(s) == 1 else list(chain.from_iterable(ids[p] for p in s)) for s in split]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
+        index = dict(zip(parts, range(len(parts))))
+        flat, start, size = self.model.encode_units(parts)
+        whole = np.fromiter((index[s[0]] for s in split), np.int64, len(split))
+        starts, sizes, more, used = start[whole], size[whole], [], len(flat)
+        for i, s in enumerate(split):
+            if len(s) > 1:
+                own = np.concatenate([flat[start[j] : start[j] + size[j]] for j in map(index.__getitem__, s)])
+                starts[i], sizes[i] = used, len(own)
+                more.append(own)
+                used += len(own)
+        self.start = np.concatenate([self.start, len(self.flat) + starts])
         self.size = np.concatenate([self.size, sizes])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))])
+        self.flat = np.concatenate([self.flat, flat, *more])
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
 
     def ids_of(self, units: list[str]):
