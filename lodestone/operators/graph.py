@@ -48,7 +48,7 @@ def seeds(entities: DataFrame, term: str, limit: int = 10) -> DataFrame:
 
 def neighbours(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(id) one hop away from ``ids`` (id) in either direction, without them: two equi-joins, not one with an or."""
-    start = F.broadcast(ids.select(F.col("id").alias("__id")))
+    start = ids.select(F.col("id").alias("__id"))
     out = edges.join(start, F.col("source_entity_id") == F.col("__id")).select(F.col("target_entity_id").alias("id"))
     back = edges.join(start, F.col("target_entity_id") == F.col("__id")).select(F.col("source_entity_id").alias("id"))
     return out.unionByName(back).distinct().join(ids.select("id"), "id", "left_anti")
@@ -71,7 +71,7 @@ def structural_candidates(entities: DataFrame, edges: DataFrame, term: str, seed
     """(chunk_id, score) of chunks of seed entities and their neighbours; a chunk of both has the seed's score."""
     start = seeds(entities, term).select("id", "chunk_id")
     near = neighbours(edges, start)
-    around = entities.join(F.broadcast(near), "id").select("chunk_id", F.lit(neighbour_score).alias("score"))
+    around = entities.join(near, "id").select("chunk_id", F.lit(neighbour_score).alias("score"))
     return start.select("chunk_id", F.lit(seed_score).alias("score")).unionByName(around).where("chunk_id is not null").groupBy("chunk_id").agg(F.max("score").alias("score"))
 
 

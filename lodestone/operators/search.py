@@ -84,16 +84,18 @@ def clauses(request: SearchRequest, now: datetime) -> list[Column | None]:
     ]
 
 
-def enrich(candidates: DataFrame, chunks: DataFrame, documents: DataFrame, sources: DataFrame) -> DataFrame:
-    """Candidates (chunk_id, score), at most a few hundred, with their chunk, document and source.
+def enrich(candidates: DataFrame, chunks: DataFrame, documents: DataFrame, sources: DataFrame, *, bounded: bool = True) -> DataFrame:
+    """Candidates (chunk_id, score) with their chunk, document and source.
 
-    The list is a top-N result, so it is the side to broadcast; chunks and documents are read by key.
+    A ``bounded`` list is a top-N result of at most 1,000 rows, so it is the side to broadcast; others are joined as Spark
+    finds best (a graph's hub may have any number of neighbours).
     """
+    small = F.broadcast if bounded else lambda df: df
     c = chunks.withColumnRenamed("id", "chunk_id").select("chunk_id", "document_id", "ord", "text", "symbol", "ingestion_run_id", "embedding_model", "embedding_provider", "parser_version", "chunker_strategy", "metadata")
-    found = c.join(F.broadcast(candidates), "chunk_id")
+    found = c.join(small(candidates), "chunk_id")
     d = documents.select(F.col("id").alias("document_id"), "source_id", "uri", "title", "indexed_at", "doc_version", "tombstoned_at")
     s = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), F.col("type").alias("source_type"), *[x for x in ("workspace_id", "tenant_id") if x in sources.columns])
-    return d.join(F.broadcast(found), "document_id").join(s, "source_id")
+    return d.join(small(found), "document_id").join(s, "source_id")
 
 
 def hit_columns(default_score: float = 0.0) -> list[Column]:
@@ -151,9 +153,9 @@ class Engine:
         s = self.sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), F.col("type").alias("source_type"))
         return c.join(d, "document_id").join(s, "source_id")
 
-    def _finish(self, request: SearchRequest, candidates: DataFrame, limit: int, default: float = 0.0) -> DataFrame:
+    def _finish(self, request: SearchRequest, candidates: DataFrame, limit: int, default: float = 0.0, bounded: bool = True) -> DataFrame:
         sources = filters.workspace(self.sources, request.workspace_id)
-        rows = filters.apply(enrich(candidates, self.chunks, self.documents, sources), *clauses(request, self.now()))
+        rows = filters.apply(enrich(candidates, self.chunks, self.documents, sources, bounded=bounded), *clauses(request, self.now()))
         return rows.select(*hit_columns(default)).orderBy(F.desc("score"), "chunk_id").limit(limit)
 
     def _hybrid(self, request: SearchRequest) -> SearchResult:
@@ -175,7 +177,7 @@ class Engine:
         scored = graph.structural_candidates(self.entities, self.edges, term)
         if scored.isEmpty():
             return self._hybrid(replace(request, strategy="hybrid"))
-        return SearchResult(self._finish(request, scored, request.top_k, 0.5), stats(None, scored))
+        return SearchResult(self._finish(request, scored, request.top_k, 0.5, bounded=False), stats(None, scored))
 
     def get_document(self, document_id: str) -> tuple[DataFrame, DataFrame]:
         """A document, tombstoned or not, and its chunks in order."""
