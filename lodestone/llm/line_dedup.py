@@ -23,7 +23,8 @@ _PLACE = ["doc", "mark", "pos"]
 
 def _repeated(level: DataFrame, name: str) -> DataFrame:
     """Places whose name occurs at another place too."""
-    ends = level.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("x", "y")
+    # Stored before it is joined back: both sides are then plain shuffles, which AQE splits where a name is hot.
+    ends = stored(level.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("x", "y"), "ends")
     return stored(level.join(ends, ["x", "y"], "left_semi"), name)
 
 
@@ -40,13 +41,13 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         raise ValueError("min_lines must be at least 1")
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("mark"), F.filter(F.split("text", "\n"), lambda x: x.rlike(_LINE)).alias("lines"))
     lines = texts.select("doc", "mark", F.posexplode("lines").alias("pos", "line"))
-    level = _repeated(lines.select(*_PLACE, F.xxhash64("line").alias("x"), F.xxhash64(F.lit(1), "line").alias("y")).distinct(), "lines")
+    level = _repeated(stored(lines.select(*_PLACE, F.xxhash64("line").alias("x"), F.xxhash64(F.lit(1), "line").alias("y")).distinct(), "ids"), "lines")
     length = 1
     while length < min_lines:
         step = min(length, min_lines - length)
-        level = _repeated(_joined(level, step), "runs")
+        level = _repeated(stored(_joined(level, step), "joined"), "runs")
         length += step
-    first = level.groupBy("x", "y").agg(F.min(F.struct(*_PLACE)).alias("first"))
+    first = stored(level.groupBy("x", "y").agg(F.min(F.struct(*_PLACE)).alias("first")), "first")
     later = level.join(first, ["x", "y"]).where(F.struct(*_PLACE) != F.col("first")).select(*_PLACE).distinct()
     island = F.col("pos") - F.row_number().over(Window.partitionBy("doc", "mark").orderBy("pos"))
     runs = later.withColumn("island", island).groupBy("doc", "mark", "island").agg(F.min("pos").alias("start"), (F.max("pos") + min_lines).alias("end"))
