@@ -217,10 +217,11 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANC
     seen = keyed.where("doc is not null and row.text is not null").select("doc", "mark", F.col("row.text").alias("text"))
     paths = stored(seen.mapInArrow(_paths(window, anchor), _PATHS), "paths")
 
-    twice = paths.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    # Sums are stored before they are joined back: both sides of the join are then plain shuffles, which AQE splits where hot.
+    twice = stored(paths.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "anchors")
     repeated = stored(paths.join(twice, "anchor", "left_semi"), "repeated")
-    first = repeated.groupBy("anchor", "hash").agg(F.min("doc").alias("first"))
-    branching = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    first = stored(repeated.groupBy("anchor", "hash").agg(F.min("doc").alias("first")), "first")
+    branching = stored(first.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "branching")
     judged = stored(repeated.join(first, ["anchor", "hash"]), "judged")
     copies = judged.where("first < doc").select("doc", "mark", "start", "n")
     forks = judged.where("first = doc").join(branching, "anchor", "left_semi").select("doc", "mark", "start", "n")
