@@ -140,8 +140,13 @@ def _word_ids(path: str):
     tokenizer = Tokenizer.from_file(path)
     model = tokenizer.model
     place: dict[bytes, int] = {}
-    letters: dict[bytes, list[int]] = {}
-    simple = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+    letters: dict[str, list[int]] = {}
+    # Latin letters whose lower case is one letter and which never combine, then marks without an apostrophe.
+    simple = re.compile("([A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ž]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
+    # The model's alphabet: a printable byte is its own character, the others follow from 256 on in turn.
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    alphabet = {b: chr(b if b in own else next(rest)) for b in range(256)}
     flat, start, size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def learn(words: set[bytes]) -> None:
@@ -153,16 +158,17 @@ def _word_ids(path: str):
             flat, start, size = flat[:0], start[:0], size[:0]
             new = words
         plain, other, ids = [], [], []
-        for w in new:  # ASCII letters, then marks: two units for the model, without the rest of the machinery
-            if (m := simple(w)) is None:
+        for w in new:  # letters, then marks: two units for the model, without the rest of the machinery
+            if (m := simple(w.decode())) is None:
                 other.append(w)
                 continue
             head, tail = m.groups()
             if (found := letters.get(head)) is None:
-                found = letters[head] = [t.id for t in model.tokenize(head.decode().lower())]
+                head_bytes = head.lower().encode()
+                found = letters[head] = [t.id for t in model.tokenize(head_bytes.decode("latin-1").translate(alphabet))]
             if tail:
                 if (marks := letters.get(tail)) is None:
-                    marks = letters[tail] = [t.id for t in model.tokenize(tail.decode())]
+                    marks = letters[tail] = [t.id for t in model.tokenize(tail)]
                 found = found + marks
             plain.append(w)
             ids.append(found)
