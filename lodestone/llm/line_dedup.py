@@ -4,7 +4,8 @@ Lines become ids (128-bit hashes). Prefix doubling names the run of 2, 4, 8 ...
 level with itself at that distance; after each level only runs that occur again go on, so unique text leaves at once. Equal
 names are the intervals of the suffix array whose common prefix is at least that long. Doubling ends at ``min_lines``:
 longer repeats are unions of such runs, and consecutive ones are put together into maximal runs. Of each interval the first
-place in the corpus stays; later copies are deleted.
+place in the corpus stays; later copies are deleted. With ``min_words`` a repeat may also be a single line of so many words,
+which the first level already names.
 
 Only DataFrame operations; groups are reduced to a minimum and a count before they are joined back.
 """
@@ -14,9 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import stored
+from lodestone.llm._common import SPACE, WORD, stored
 
 MIN_LINES = 2
+#: In the pipeline a single line of so many words is a repeat too; shorter ones recur by chance.
+MIN_WORDS = 5
 _LINE = r"[^\x20\x09-\x0D]"
 _PLACE = ["doc", "mark", "pos"]
 
@@ -35,38 +38,52 @@ def _joined(level: DataFrame, distance: int) -> DataFrame:
     return both.select(*_PLACE, F.xxhash64("x", "y", "x2", "y2").alias("x"), F.xxhash64(F.lit(distance), "y2", "x2", "y", "x").alias("y"))
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc, mark, start, end) of maximal runs of counted lines that are later copies; mark is the text's hash."""
-    if min_lines < 1:
-        raise ValueError("min_lines must be at least 1")
+def _later(level: DataFrame) -> DataFrame:
+    """Places whose name occurs at an earlier place."""
+    first = stored(level.groupBy("x", "y").agg(F.min(F.struct(*_PLACE)).alias("first")), "first")
+    return level.join(first, ["x", "y"]).where(F.struct(*_PLACE) != F.col("first")).select(*_PLACE).distinct()
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
+    """(doc, mark, start, end) of maximal runs of counted lines that are later copies; mark is the text's hash.
+
+    With ``min_words`` also single later copies of that many words, which may lie within such a run.
+    """
+    if min_lines < 1 or min_words is not None and min_words < 1:
+        raise ValueError("min_lines and min_words must be at least 1")
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("mark"), F.filter(F.split("text", "\n"), lambda x: x.rlike(_LINE)).alias("lines"))
     lines = texts.select("doc", "mark", F.posexplode("lines").alias("pos", "line"))
-    level = _repeated(stored(lines.select(*_PLACE, F.xxhash64("line").alias("x"), F.xxhash64(F.lit(1), "line").alias("y")).distinct(), "ids"), "lines")
+    names = [F.xxhash64("line").alias("x"), F.xxhash64(F.lit(1), "line").alias("y")]
+    if min_words is not None:
+        names.append(F.col("line").rlike(rf"(?:{WORD}{SPACE}){{{min_words - 1}}}{_LINE}").alias("long"))
+    level = _repeated(stored(lines.select(*_PLACE, *names).distinct(), "ids"), "lines")
+    single = _later(level.where("long")).select("doc", "mark", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end")) if min_words is not None else None
     length = 1
     while length < min_lines:
         step = min(length, min_lines - length)
         level = _repeated(stored(_joined(level, step), "joined"), "runs")
         length += step
-    first = stored(level.groupBy("x", "y").agg(F.min(F.struct(*_PLACE)).alias("first")), "first")
-    later = level.join(first, ["x", "y"]).where(F.struct(*_PLACE) != F.col("first")).select(*_PLACE).distinct()
+    later = _later(level)
     island = F.col("pos") - F.row_number().over(Window.partitionBy("doc", "mark").orderBy("pos"))
     runs = later.withColumn("island", island).groupBy("doc", "mark", "island").agg(F.min("pos").alias("start"), (F.max("pos") + min_lines).alias("end"))
-    return runs.select("doc", "mark", "start", "end")
+    runs = runs.select("doc", "mark", "start", "end")
+    return runs if single is None else runs.unionByName(single)
 
 
-def dedup_lines(docs: DataFrame, *, min_lines: int = MIN_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """``docs`` (doc_id, text, any other columns) without later copies of repeated line runs, with n_lines and n_deleted.
 
     Lines part at ``\\n``; those without a word aren't counted. A counted line goes if ``min_lines`` consecutive counted lines
-    that hold it also stand earlier: in a document with a smaller doc_id, or above in the same one; copies are judged on the
-    input. Lines without words inside a deleted run go with it. A text that loses all lines is empty. Null text stays null
-    with no lines; rows with a null doc_id stay whole and delete nothing. Rows with one doc_id are ordered by their text's
-    hash, identical rows are one. Columns named n_lines or n_deleted are replaced; an empty table stays empty.
+    that hold it also stand earlier: in a document with a smaller doc_id, or above in the same one; with ``min_words`` also if
+    the line alone stands earlier and has so many words. Copies are judged on the input. Lines without words inside a deleted
+    run go with it. A text that loses all lines is empty. Null text stays null with no lines; rows with a null doc_id stay
+    whole and delete nothing. Rows with one doc_id are ordered by their text's hash, identical rows are one. Columns named
+    n_lines or n_deleted are replaced; an empty table stays empty.
     """
     docs = docs.drop("n_lines", "n_deleted")
     names = [F.col("row").getField(c).alias(c) for c in docs.columns]
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    runs = repeated_runs(docs, min_lines).groupBy("doc", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
+    runs = repeated_runs(docs, min_lines, min_words).groupBy("doc", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
     runs = runs.select(F.col("doc").alias("d"), F.col("mark").alias("m"), "runs")
     joined = keyed.join(runs.hint("shuffle_hash"), (F.col("doc") == F.col("d")) & (F.col("mark") == F.col("m")), "left")
     # Nested lambdas bind the lines, the places of counted lines and the deleted ranges once; a generator keeps them apart.
@@ -76,7 +93,7 @@ def dedup_lines(docs: DataFrame, *, min_lines: int = MIN_LINES) -> DataFrame:
           '__n', cast(size(counted) as bigint),
           '__text', case when runs is null then row.text else transform(array(transform(runs, r -> named_struct('a', counted[r.start], 'b', counted[r.end - 1]))), cut ->
             array_join(filter(lines, (x, i) -> not exists(cut, r -> i >= r.a and i <= r.b)), '\n'))[0] end,
-          '__gone', case when runs is null then 0L else aggregate(runs, named_struct('n', 0L, 'e', 0), (s, r) -> named_struct('n', s.n + r.end - greatest(r.start, s.e), 'e', r.end), s -> s.n) end
+          '__gone', case when runs is null then 0L else aggregate(runs, named_struct('n', 0L, 'e', 0), (s, r) -> named_struct('n', s.n + greatest(0, r.end - greatest(r.start, s.e)), 'e', greatest(r.end, s.e)), s -> s.n) end
         ))[0]))"""
     )
     whole = joined.withColumn("__has", F.col("row.text").isNotNull()).where("__has").select("row", edited)
