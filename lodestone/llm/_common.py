@@ -18,8 +18,11 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset (as in tests), one in the warehouse."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; on a local master (as in tests), where one
+    machine does all the work, a folder in the warehouse if it is unset. A cluster without the setting is refused."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/_shared").rstrip("/")
 
 
@@ -63,18 +66,20 @@ def reversed_host(host: Column) -> Column:
 def components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = stored, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b): (node, root) with the smallest node as root, for every node on an edge.
 
-    Large-star and small-star rounds (Kiveris et al., 2014) until nothing changes. Minima are aggregated before they are
-    joined back, so that no neighbour list is ever gathered; the joins are plain equi-joins that AQE splits at hot nodes.
+    Large-star and small-star rounds (Kiveris et al., 2014) until nothing changes. Minima are aggregated and stored before
+    they are joined back, so that no neighbour list is ever gathered and both sides of each join are plain shuffles, which
+    AQE splits at hot nodes. Nothing is broadcast.
     """
     both = F.col("a") != F.col("b")
     e = keep(edges.where(both).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     for _ in range(rounds):
         around = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = around.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(both).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = keep(around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
+        large = around.where("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(both)
+        large = keep(large.distinct(), "large")
+        least = keep(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = large.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).where(both).distinct()
         e = keep(small, "edges")
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -84,3 +89,16 @@ def components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = s
             )
         seen = state
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def with_component(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, fp) with component_id: the least doc_id of all rows whose ``fp`` has the same root in ``roots`` (node, root).
+
+    Sums are stored before they are joined back, as in ``components``: a large component or a common ``fp`` is split by AQE.
+    """
+    first = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "first")
+    known = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    known = stored(known, "known")
+    least = stored(known.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    named = stored(known.join(least.hint("merge"), "root").select("fp", "component_id"), "named")
+    return rows.select("doc_id", "fp").join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")

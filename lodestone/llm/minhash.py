@@ -1,13 +1,16 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands find candidates, the shingle sets decide.
+"""Near-duplicates by the Jaccard similarity of word shingles: blocks of minima find candidates, the shingle sets decide.
 
 Texts with equal sets count once. ``BANDS`` keys of ``ROWS`` minima each are built for a set: two sets of similarity s share
 one with probability 1 - (1 - s**ROWS)**BANDS, that is 0.9996 at 0.8. Of sets that share a key those go on of which one byte
 of the minima agrees in ``AGREE`` of 100 places at least (at 0.8, one in a million is lost); then the sets are compared.
 
-A key that at most CROWD sets hold is compared in full. Larger ones take a few leaders a round, each of which is compared
-with all holders of its key. Pairs that are already in one component are left out, and a key is done when all its holders
-outside its largest component have led. So families of near copies need few rounds and rows linear in their size, and no
-candidate pair across components stays uncompared; only many unlike texts in one key would need many rounds.
+A key that at most CROWD sets hold is compared in full. Larger ones, as families of near copies have, are thinned first by an
+exact bound: a shingle that no other set of such keys has is never common to two, so sets of sizes n and m with u and v such
+shingles have at most min(n - u, m - v) in common. Sets that by this reach no other holder of the key need not be compared.
+Of the others some lead, twice as many each round, and are compared with all holders, block by block. First each holder
+meets only the leader that looks most like it; what then lies in one component is left out, and the rest is compared. A key
+is done when all that may have a partner outside its largest component have led, so no candidate pair across components
+stays uncompared. Families of random edits need a few rounds and rows linear in their size.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import components, stored
+from lodestone.llm._common import components, stored, with_component
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -26,8 +29,10 @@ BANDS, ROWS = 20, 5
 AGREE = 60
 #: Up to so many sets of a key are compared with each other.
 CROWD = 64
-#: About so many leaders of a larger key in a round.
+#: About so many leaders of a larger key in the first round.
 LEADERS = 64
+#: Holders of a key, and leaders, that are compared at once.
+BLOCK = 512
 #: Shingles that are hashed at once.
 STRETCH = 200_000
 
@@ -86,30 +91,53 @@ def _sets(shingle: int):
     return run
 
 
-def _alike(similarity: float):
-    """Sets of one key, or members and the leaders of their key, to the pairs (a < b) that may reach ``similarity``."""
+def _alike(similarity: float, best: bool = False):
+    """Sets of one key, or members and leaders of their key, to the pairs (a < b) that may reach ``similarity``; with ``best``
+    only the likest of the leaders for each member."""
+    least = similarity / (1 + similarity)  # of both sizes together, what two sets must have in common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         def columns(group):
             sketch = np.frombuffer(b"".join(group.field("sketch").to_pylist()), np.uint8).reshape(len(group), -1)
-            return group.field("fp").to_numpy(), group.field("root").to_numpy(), group.field("size").to_numpy(), sketch
+            return *(group.field(c).to_numpy() for c in ("fp", "root", "size", "free")), sketch
 
         for batch in batches:
             low, high = [], []
             for own, others in zip(batch.column("own"), batch.column("others")):
-                (x, xr, xs, xk), (y, yr, ys, yk) = columns(own.values), columns(others.values)
-                for k in range(len(x)):
-                    fits = (yr != xr[k]) & (np.minimum(ys, xs[k]) >= similarity * np.maximum(ys, xs[k]) - 1e-9)
-                    found = y[fits][(yk[fits] == xk[k]).sum(axis=1) >= AGREE]
-                    low.append(np.minimum(found, x[k])), high.append(np.maximum(found, x[k]))
+                (x, xr, xs, xf, xk), (y, yr, ys, yf, yk) = columns(own.values), columns(others.values)
+                top, found = np.full(len(x), AGREE - 1), np.full(len(x), -1)
+                for k in range(len(y)):
+                    fits = np.flatnonzero((xr != yr[k]) & (np.minimum(xf, yf[k]) >= least * (xs + ys[k]) - 1e-9))
+                    agree = (xk[fits] == yk[k]).sum(axis=1)
+                    if best:
+                        better = agree > top[fits]
+                        top[fits[better]], found[fits[better]] = agree[better], k
+                    else:
+                        near = x[fits[agree >= AGREE]]
+                        low.append(np.minimum(near, y[k])), high.append(np.maximum(near, y[k]))
+                if best and (found >= 0).any():
+                    a, b = x[found >= 0], y[found[found >= 0]]
+                    low.append(np.minimum(a, b)), high.append(np.maximum(a, b))
             if low:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(low)), pa.array(np.concatenate(high))], ["a", "b"])
 
     return run
 
 
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, fp) for each shingle of each set."""
+    import numpy as np
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            some = batch.slice(at, 256)
+            own = [np.frombuffer(g, np.uint32) for g in some.column("grams").to_pylist()]
+            flat = np.concatenate(own).view(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(some.column("fp").to_numpy(), [len(g) for g in own]))], ["gram", "fp"])
+
+
 def _compared(similarity: float):
     """Pairs with both sets to those whose Jaccard similarity is ``similarity`` or more."""
 
@@ -129,6 +157,21 @@ def _compared(similarity: float):
     return run
 
 
+def _may_pair(many: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``many`` (key, fp, size, ...) with ``free``, the shingles that another set has too; and those (key, fp) that, by the
+    bound on what is common, may reach ``similarity`` with a holder of the key."""
+    crowd = sets.join(many.select("fp").distinct(), "fp", "left_semi").select("fp", "grams")
+    alone = crowd.mapInArrow(_grams, "gram int, fp long").groupBy("gram").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("c")).where("c = 1")
+    alone = stored(alone.groupBy("fp").agg(F.count(F.lit(1)).alias("alone")), "alone")
+    many = many.join(alone, "fp", "left").withColumn("free", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
+    many = stored(many, "many")
+    # Sizes in steps of two percent: a key has a few hundred of them at most.
+    step = F.floor(F.log("size") * 50)
+    sizes = stored(many.groupBy("key", step.alias("step")).agg(F.min("size").alias("least"), F.max("free").alias("most")).select(F.col("key").alias("k"), "least", "most"), "sizes")
+    enough = F.least("free", "most") >= F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("least")) - 1e-9
+    return many, stored(many.join(sizes.hint("merge"), (F.col("key") == F.col("k")) & enough, "left_semi").select("key", "fp"), "may")
+
+
 def link(rows: DataFrame, *, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
     """(node, root) of every set of ``rows`` (columns of _SET_SQL) that a chain of pairs of ``similarity`` or more links."""
     keys = stored(rows.select("fp", F.explode("keys").alias("key")).distinct(), "bands")
@@ -144,30 +187,47 @@ def link(rows: DataFrame, *, similarity: float = SIMILARITY, crowd: int = CROWD)
         grams = lambda end, name: sets.select(F.col("fp").alias(end), F.col("grams").alias(name))
         return stored(pairs.join(grams("a", "x"), "a").join(grams("b", "y"), "b").mapInArrow(_compared(similarity), _PAIR_SQL), "links")
 
-    entry = F.struct("fp", F.col("fp").alias("root"), "size", "sketch")
+    entry = F.struct("fp", F.col("fp").alias("root"), "size", F.col("size").alias("free"), "sketch")
     few = marked.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list(entry).alias("own"))
     links = verified(few.select("own", F.col("own").alias("others")).mapInArrow(_alike(similarity), _PAIR_SQL))
     many = marked.where(F.col("n") > crowd)
-    led, turn = None, 0
-    while not many.isEmpty():
-        roots = components(links).select(F.col("node").alias("fp"), "root")
-        now = stored(many.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "crowd")
+    if many.isEmpty():
+        return components(links)
+
+    many, waiting = _may_pair(many, sets, similarity)
+    entry = F.struct("fp", "root", "size", "free", "sketch")
+
+    def rooted(part: DataFrame) -> DataFrame:
+        roots = stored(components(links).select(F.col("node").alias("fp"), "root"), "roots")
+        return stored(part.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+
+    def compared(now: DataFrame, lead: DataFrame, best: bool) -> DataFrame:
+        """Links between holders and leaders of a key, in blocks of both."""
+        lead = now.join(lead.hint("merge"), ["key", "fp"], "left_semi")
+        part = F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(max(1, leaders // BLOCK)))
+        others = stored(lead.groupBy("key", part.alias("part")).agg(F.collect_list(entry).alias("others")), "others")
+        blocks = now.groupBy("key", F.pmod(F.xxhash64("fp", F.lit(7)), F.ceil(F.col("n") / BLOCK)).alias("block")).agg(F.collect_list(entry).alias("own"))
+        blocks = stored(blocks.select("key", "own"), "blocks")
+        return verified(blocks.join(others.select("key", "others").hint("merge"), "key").select("own", "others").mapInArrow(_alike(similarity, best), _PAIR_SQL))
+
+    leaders = LEADERS
+    now = rooted(many)
+    while True:
         sizes = now.groupBy("key", F.col("root").alias("most")).agg(F.count(F.lit(1)).alias("c"))
-        largest = sizes.groupBy("key").agg(F.max_by("most", F.struct("c", "most")).alias("most"))
-        outside = now.join(largest, "key").where("root <> most").drop("most")
-        outside = stored(outside if led is None else outside.join(led, ["key", "fp"], "left_anti"), "outside")
+        largest = stored(sizes.groupBy("key").agg(F.max_by("most", F.struct("c", "most")).alias("most")), "largest")
+        outside = now.join(waiting.hint("merge"), ["key", "fp"], "left_semi").join(largest.hint("merge"), "key").where("root <> most")
+        outside = stored(outside.select("key", "fp"), "outside")
         if outside.isEmpty():
-            break
-        left = outside.groupBy("key").agg(F.count(F.lit(1)).alias("left"))
+            return components(links)
+        left = stored(outside.groupBy("key").agg(F.count(F.lit(1)).alias("left")), "left")
         # About so many of each key, by chance: no order within a key, which would take a task for all its holders.
-        chance = F.pmod(F.xxhash64("key", "fp", F.lit(turn)), F.lit(1 << 30)) * F.col("left") < LEADERS * (1 << 30)
-        lead = stored(outside.join(left, "key").where(chance), "lead")
-        listed = stored(lead.groupBy("key").agg(F.collect_list(F.struct("fp", "root", "size", "sketch")).alias("others")), "listed")
-        met = now.select("key", F.array(F.struct("fp", "root", "size", "sketch")).alias("own")).join(listed, "key")
-        links = stored(links.unionByName(verified(met.select("own", "others").mapInArrow(_alike(similarity), _PAIR_SQL))).distinct(), "links")
-        led = stored(lead.select("key", "fp") if led is None else led.unionByName(lead.select("key", "fp")), "led")
-        turn += 1
-    return components(links)
+        chance = F.pmod(F.xxhash64("key", "fp", F.lit(leaders)), F.lit(1 << 30)) * F.col("left") < leaders * (1 << 30)
+        lead = stored(outside.join(left.hint("merge"), "key").where(chance).select("key", "fp"), "lead")
+        for best in (True, False):
+            links = stored(links.unionByName(compared(now, lead, best)).distinct(), "links")
+            now = rooted(many)
+        waiting = stored(waiting.join(lead.hint("merge"), ["key", "fp"], "left_anti"), "waiting")
+        leaders *= 2
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
@@ -178,10 +238,4 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, similarity: floa
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sets(shingle), _SET_SQL)
     rows = stored(rows, "rows")
-    roots = stored(link(rows, similarity=similarity, crowd=crowd), "roots")
-    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    known = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    known = stored(known, "known")
-    least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = known.join(least, "root").select("fp", "component_id")
-    return rows.select("doc_id", "fp").join(named, "fp")
+    return with_component(rows, stored(link(rows, similarity=similarity, crowd=crowd), "roots"))

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm._common import components, stored
+from lodestone.llm import minhash
+from lodestone.llm._common import components, stored, with_component
 
 SHINGLE = 3
 BITS = 3
@@ -149,14 +150,15 @@ def _crowd_links(crowd: DataFrame) -> DataFrame:
     """Exact connectivity of crowded fingerprints at 3 bits, as links (a, b)."""
     points = "point long, fp long"
     one = stored(crowd.mapInArrow(_visits(1), points), "points")
-    low = one.groupBy("point").agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("n"))
-    links = stored(one.join(low.where("n > 1"), "point").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct(), "links")
+    # Stored before it is joined back: both sides are then plain shuffles, which AQE splits where a point is hot.
+    low = stored(one.groupBy("point").agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("n")), "low")
+    links = stored(one.join(low.where("n > 1").hint("merge"), "point").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct(), "links")
     roots = stored(components(links), "roots")
     largest = roots.groupBy("root").count().orderBy(F.desc("count"), "root").limit(1).collect()
     most = largest[0]["root"] if largest else None
-    outside = crowd.join(roots.where(F.col("root") == F.lit(most).cast("long")).select(F.col("node").alias("fp")), "fp", "left_anti")
+    outside = crowd.join(roots.where(F.col("root") == F.lit(most).cast("long")).select(F.col("node").alias("fp")).hint("merge"), "fp", "left_anti")
     two = outside.mapInArrow(_visits(2), points)
-    far = two.join(low, "point").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+    far = two.join(low.hint("merge"), "point").select(F.col("fp").alias("a"), F.col("low").alias("b"))
     return links.unionByName(far.where("a <> b").distinct())
 
 
@@ -186,20 +188,21 @@ def link(fps: DataFrame, *, bits: int = BITS, crowd: int = CROWD, blocks: int |
     return components(links)
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """(doc_id, fp, component_id) of each row: the smallest doc_id that links of at most ``bits`` bits reach.
+def near_duplicates(docs: DataFrame, *, shingle: int | None = None, bits: int = BITS, similarity: float | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) of each row: the smallest doc_id that links reach.
 
-    Documents without words share fingerprint 0 and are linked like any other. A null doc_id is linked but names no
+    Without ``similarity`` fingerprints of at most ``bits`` differing bits link (``shingle`` words, by default 3). With it,
+    texts link whose sets of ``shingle`` words (by default 5) have that Jaccard similarity or more: at 0.8 some 10 of 64 bits
+    differ, more than blocks of a fingerprint can find, so blocks of minima take their place (see ``minhash``).
+
+    Documents without words share a fingerprint and are linked like any other. A null doc_id is linked but names no
     component (null if all in one are null). Repeated rows are kept. An empty table gives an empty one.
     """
-    rows = stored(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle=shingle, keep=["doc_id"]), "rows")
-    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = stored(link(rows, bits=bits), "roots")
-    known = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    known = stored(known, "known")
-    least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = known.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    if similarity is not None:
+        return minhash.near_duplicates(docs, shingle=shingle or minhash.SHINGLE, similarity=similarity)
+    rows = fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle=shingle or SHINGLE, keep=["doc_id"])
+    rows = stored(rows, "rows")
+    return with_component(rows, stored(link(rows, bits=bits), "roots"))
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

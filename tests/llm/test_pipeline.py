@@ -2,7 +2,9 @@
 
 import public_tokenizers
 import pyarrow.parquet as pq
-from test_dedup import WORDS, classes, cut_lines, cut_words, fingerprint
+from test_dedup import WORDS, cut_words
+from test_lines import cut
+from test_minhash import linked
 from test_models import check_pieces, stats_of
 from tokenizers import Tokenizer
 
@@ -35,13 +37,9 @@ def test_pipeline(spark, sf):
 
     assert step(0) == sorted(rows)
     assert stage.columns == docs.columns
-    rows = cut_lines(rows, 2)
+    rows = [(d, t) for d, t, _ in cut(rows, 2, 5)]
     assert step(1) == sorted(rows)
-    component = classes([fingerprint(t) for _, t in rows])
-    least = {}
-    for (d, _), c in zip(rows, component):
-        least[c] = min(least.get(c, d), d)
-    rows = [r for r, c in zip(rows, component) if least[c] == r[0]]
+    rows = [r for r, c in zip(rows, linked(rows)) if c == r[0]]
     assert step(2) == sorted(rows)
     got = step(3)
     assert [(d, WORDS.findall(t)) for d, t in got] == sorted(cut_words(rows, 50))
