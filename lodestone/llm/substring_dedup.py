@@ -1,17 +1,22 @@
 """Substring dedup by De Bruijn compaction.
 
-Every window of WINDOW words is an edge of the corpus's De Bruijn graph. Windows that follow each other and share their
-minimizer (the least hash among the ANCHOR-word sequences in a window) form a path, which travels as one row: anchor,
-content hash and source coordinates. Compaction then runs as joins:
+Every window of WINDOW words is an edge of the corpus's De Bruijn graph. Within a text, windows that follow each other and
+share their minimizer (the least hash among the ANCHOR-word sequences in a window) are one node, which travels as one row:
+anchor, content hash and source coordinates. The rest runs as joins:
 
 1. Anchors that occur once in the corpus are unique text and leave at once.
-2. Equal paths meet on (anchor, hash). A path that also lies in a document with a smaller id is a copy as a whole.
-3. What is left of a repeated anchor are the first holders of its paths. Where an anchor has several different paths, the
-   graph branches; only there are paths undone into single windows, read at their source coordinates and compared.
+2. Nodes that documents share are compacted: an edge between two nodes doesn't branch if it is passed as often as each of
+   them, that is if every holder of the one goes on to the other and every holder of the other comes from the one. Pointer
+   doubling over such edges names each node by the head of its path, so that a repeated passage becomes one span of each
+   holder, whatever its length.
+3. Spans are read at their source coordinates, and the SHA-256 of their words decides: a span goes if a document with a
+   smaller id has the same words.
+4. Where an anchor has several different nodes the graph branches; only there are the first holders' nodes undone into single
+   windows, read at their source coordinates and compared (by 64 bits of the anchor and 64 of the window).
 
 A window's minimizer depends on its words alone, so that equal windows always meet: the result equals that of comparing all
-windows. Identity is by 128 bits: 64 of the anchor and 64 of the path or window, over exact word sequences. Groups are
-reduced to minima before they are joined back, so that a hot passage costs one row for each copy, never a pair.
+windows. Groups are reduced to counts and minima, and these are stored, before they are joined back: a hot passage costs one
+row for each copy, never a pair, and AQE splits the joins at it.
 """
 
 from __future__ import annotations
@@ -133,34 +138,44 @@ def _paths(window: int, anchor: int):
     return run
 
 
-_WINDOWS = "anchor long, hash long, doc long, mark long, start int"
+_WINDOWS = "anchor long, hash long, doc long, mark long, start int, n int, words binary"
 
 
 def _windows(window: int, anchor: int):
-    """Single windows of the paths listed in ``__paths`` of each row; rows without any are passed over."""
+    """What ``__ranges`` of each row list: the single windows of forks, and spans as a whole with the SHA-256 of their words.
+    Rows without any are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import sha256
+
         import numpy as np
 
         hashes = _hasher(window, anchor)
+        names = ["anchor", "hash", "doc", "mark", "start", "n", "words"]
         for batch in batches:
-            batch = batch.filter(batch.column("__paths").is_valid())
+            batch = batch.filter(batch.column("__ranges").is_valid())
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                paths, docs, marks = (some.column(c).to_pylist() for c in ("__paths", "doc", "mark"))
-                for words, parts in _stretches(_texts(some), window):
+                ranges, docs, marks, texts = (*(some.column(c).to_pylist() for c in ("__ranges", "doc", "mark")), _texts(some))
+                spans = []
+                for own, doc, mark, text in zip(ranges, docs, marks, texts):
+                    whole = [r for r in own if r["anchor"] is not None]
+                    words = text.split() if whole else []
+                    spans += [(r["anchor"], r["hash"], doc, mark, r["start"], r["n"], sha256(b" ".join(words[r["start"] : r["start"] + r["n"] + window - 1])).digest()) for r in whole]
+                if spans:
+                    kinds = [pa.int64()] * 4 + [pa.int32(), pa.int32(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*spans), kinds)], names)
+                forks = [[r for r in own if r["anchor"] is None] for own in ranges]
+                for words, parts in _stretches([t if f else None for t, f in zip(texts, forks)], window):
                     low, content = hashes(words)
                     for row, first, place, size in parts:
-                        spans = [(max(p["start"], first), min(p["start"] + p["n"], first + size - window + 1)) for p in paths[row]]
-                        own = [np.arange(a, b) for a, b in spans if a < b]
+                        cut = [(max(p["start"], first), min(p["start"] + p["n"], first + size - window + 1)) for p in forks[row]]
+                        own = [np.arange(a, b) for a, b in cut if a < b]
                         if own:
                             start = np.unique(np.concatenate(own))
-                            i = start - first + place
-                            full = lambda x: np.full(len(i), x, np.int64)
-                            yield pa.RecordBatch.from_arrays(
-                                [low[i].view(np.int64), content(i, np.ones(len(i), np.int64)).view(np.int64), full(docs[row]), full(marks[row]), start.astype(np.int32)],
-                                ["anchor", "hash", "doc", "mark", "start"],
-                            )
+                            i, one = start - first + place, np.ones(len(start), np.int64)
+                            columns = [low[i].view(np.int64), content(i, one).view(np.int64), one * docs[row], one * marks[row], start.astype(np.int32), one.astype(np.int32)]
+                            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(i), pa.binary())], names)
 
     return run
 
@@ -200,6 +215,29 @@ def _remover(window: int, names: list[str]):
     return run
 
 
+def _compacted(shared: DataFrame) -> DataFrame:
+    """Spans (anchor, hash, doc, mark, start, n) of ``shared`` nodes (the same columns): nonbranching paths by their head."""
+    node, to = ["anchor", "hash"], ["to_anchor", "to_hash"]
+    held = stored(shared.groupBy(*node).agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n")), "nodes")
+    after = shared.select(F.col("doc").alias("d"), F.col("mark").alias("m"), F.col("start").alias("at"), *[F.col(x).alias(y) for x, y in zip(node, to)])
+    steps = shared.join(after, (F.col("doc") == F.col("d")) & (F.col("mark") == F.col("m")) & (F.col("start") + F.col("n") == F.col("at")))
+    edges = stored(steps.groupBy(*node, *to).agg(F.count(F.lit(1)).alias("c")), "steps")
+    # As often as both of its ends: in- and out-degree are one there.
+    straight = edges.join(held, [*node, "c"]).join(held.select(*[F.col(x).alias(y) for x, y in zip(node, to)], "c"), [*to, "c"])
+    back = stored(straight.select(*[F.col(y).alias(x) for x, y in zip(node, to)], F.col("anchor").alias("head_anchor"), F.col("hash").alias("head_hash"), F.col("n").cast("long").alias("before")), "links")
+    while True:
+        up = back.select(F.col("anchor").alias("head_anchor"), F.col("hash").alias("head_hash"), F.col("head_anchor").alias("up_anchor"), F.col("head_hash").alias("up_hash"), F.col("before").alias("more"))
+        moved = back.join(up, ["head_anchor", "head_hash"], "left")
+        back = stored(moved.select(*node, F.coalesce("up_anchor", "head_anchor").alias("head_anchor"), F.coalesce("up_hash", "head_hash").alias("head_hash"), (F.col("before") + F.coalesce("more", F.lit(0))).alias("before"), F.col("up_anchor").isNotNull().alias("moved")), "links")
+        if back.where("moved").isEmpty():
+            break
+        back = back.drop("moved")
+    placed = shared.join(back.drop("moved"), node, "left")
+    head = [F.coalesce("head_anchor", "anchor").alias("anchor"), F.coalesce("head_hash", "hash").alias("hash")]
+    placed = placed.select(*head, "doc", "mark", (F.col("start") - F.coalesce("before", F.lit(0))).cast("int").alias("start"), "n")
+    return placed.groupBy(*node, "doc", "mark", "start").agg(F.sum("n").cast("int").alias("n"))
+
+
 def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``docs`` (doc_id, text, any other columns) without repeated passages, with n_words, n_removed and spans.
 
@@ -220,23 +258,30 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANC
     # Sums are stored before they are joined back: both sides of the join are then plain shuffles, which AQE splits where hot.
     twice = stored(paths.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "anchors")
     repeated = stored(paths.join(twice, "anchor", "left_semi"), "repeated")
-    first = stored(repeated.groupBy("anchor", "hash").agg(F.min("doc").alias("first")), "first")
+    first = stored(repeated.groupBy("anchor", "hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "first")
     branching = stored(first.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "branching")
     judged = stored(repeated.join(first, ["anchor", "hash"]), "judged")
-    copies = judged.where("first < doc").select("doc", "mark", "start", "n")
-    forks = judged.where("first = doc").join(branching, "anchor", "left_semi").select("doc", "mark", "start", "n")
-
-    def by_row(ranges: DataFrame, name: str) -> DataFrame:
-        listed = ranges.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "n")).alias(name))
+    # Rows repeated as a whole count once, or they would look like more holders.
+    shared = stored(judged.where("first < last").select("anchor", "hash", "doc", "mark", "start", "n").distinct(), "shared")
+    whole = _compacted(shared)
+    forks = judged.where("first = doc").join(branching, "anchor", "left_semi")
+    forks = forks.select(F.lit(None).cast("long").alias("anchor"), F.lit(None).cast("long").alias("hash"), "doc", "mark", "start", "n")
+
+    def by_row(ranges: DataFrame, name: str, *columns: str) -> DataFrame:
+        listed = ranges.groupBy("doc", "mark").agg(F.collect_set(F.struct(*columns)).alias(name))
         return listed.select(F.col("doc").alias("d"), F.col("mark").alias("m"), name)
 
     same = (F.col("doc") == F.col("d")) & (F.col("mark") == F.col("m"))
-    # Left joins of the same table on the same keys: both read one shuffle of the texts.
-    there = keyed.join(by_row(forks, "__paths").hint("shuffle_hash"), same, "left").select("doc", "mark", F.col("row.text").alias("text"), "__paths")
-    windows = stored(there.mapInArrow(_windows(window, anchor), _WINDOWS), "windows")
-    least = windows.groupBy("anchor", "hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
-    later = windows.join(least, ["anchor", "hash"]).where("first < doc").select("doc", "mark", "start", F.lit(1).alias("n"))
-    found = by_row(copies.unionByName(later), "__found")
+    ranges = by_row(whole.unionByName(forks), "__ranges", "anchor", "hash", "start", "n")
+    # An inner join: texts without any range go no further.
+    there = seen.join(ranges.hint("shuffle_hash"), same).select("doc", "mark", "text", "__ranges")
+    windows = stored(there.mapInArrow(_windows(window, anchor), _WINDOWS).distinct(), "windows")
+    name = ["anchor", "hash", "n", "words"]
+    least = windows.groupBy(*name).agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    least = stored(least.select(F.col("anchor").alias("a"), F.col("hash").alias("h"), F.col("n").alias("k"), F.col("words").alias("w"), "first"), "least")
+    equal = (F.col("anchor") == F.col("a")) & (F.col("hash") == F.col("h")) & (F.col("n") == F.col("k")) & F.col("words").eqNullSafe(F.col("w"))
+    later = windows.join(least, equal).where("first < doc").select("doc", "mark", "start", "n")
+    found = by_row(later, "__found", "start", "n")
     out = keyed.join(found.hint("shuffle_hash"), same, "left").select(*[F.col("row").getField(c).alias(c) for c in names], "__found")
     span = T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType())
     schema = T.StructType(docs.schema.fields + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(span))])
