@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from lodestone.llm.chat import SCHEMAS, format_messages
 
 
@@ -63,3 +65,25 @@ def test_odd_rows(spark):
     assert {r.message for r in got if r.role is None} == {"{}"}
     assert {r.message for r in got if r.role == "tool"} == {'{"content":"{not json","role":"tool"}'}
     assert format_messages(df.limit(0)).count() == 0
+
+
+def test_answer_is_the_first_result_after_the_call(spark):
+    got = run(spark, [(1, 0, "tool", result("a")), (1, 1, "assistant", call(("a", "search", {"query": "q"}))), (1, 2, "tool", " \n" + result("a")), (1, 3, "tool", result("a")), (1, 3, "tool", result("a", "two"))])
+    assert (got[1, 0, "tool"].status, got[1, 0, "tool"].order_turn, got[1, 0, "tool"].order_step) == ("early_result", 1, 1)
+    assert [got[1, t, "tool"].status for t in (2, 3)] == ["ok", "repeated_result"]
+    order = sorted(got.values(), key=lambda r: (r.order_turn, r.order_step, r.turn, r.message))
+    assert [r.turn for r in order] == [1, 0, 2, 3]
+
+
+def test_nested_schemas(spark):
+    inner = {"type": "object", "properties": {"n": {"type": "integer", "maximum": 3}, "tag": {"enum": ["a", None]}}, "required": ["n"], "additionalProperties": False}
+    schemas = {"t": {"properties": {"list": {"type": "array", "items": inner, "minItems": 1}, "o'k": {"type": "string", "pattern": "^x", "maxLength": 3}, "deep": {"properties": {"in": inner}}}}}
+    cases = [
+        ({"list": [{"n": 1}, {"n": 3, "tag": None}], "o'k": "xyz", "deep": {"in": {"n": -1}}}, "unanswered"),
+        ({"list": []}, "out_of_bounds"), ({"list": [{"n": 4}]}, "out_of_bounds"), ({"list": [{"n": 1}, {}]}, "missing_argument"), ({"list": [{"n": "1"}]}, "wrong_type"),
+        ({"list": [{"n": 1, "x": 2}]}, "unknown_argument"), ({"list": {}}, "wrong_type"), ({"o'k": "yx"}, "no_match"), ({"o'k": "xxxx"}, "out_of_bounds"), ({"deep": {"in": {"n": 1, "tag": "b"}}}, "not_in_enum"), ({"deep": 5}, "unanswered"),
+    ]
+    got = run(spark, [(i, 0, "assistant", call(("a", "t", a))) for i, (a, _) in enumerate(cases)], schemas)
+    assert [got[i, 0, "assistant"].status for i in range(len(cases))] == [want for _, want in cases]
+    with pytest.raises(ValueError):
+        run(spark, [(1, 0, "user", "x")], {"t": {"oneOf": []}})
