@@ -134,15 +134,17 @@ def learn_rules(rows: list[tuple[bool, dict[str, float | None]]], features: list
 def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, features: dict[str, str] | None = None) -> list[Rule]:
     """Rules learned from ``labels`` (doc_id, quality: 0 is bad) that pass the base checks; none without labels of both kinds.
 
-    The sample is bounded by ``max_labelled`` and is the only thing that reaches the driver or is broadcast.
+    The sample is bounded by ``max_labelled`` and is the only thing that reaches the driver or is broadcast: a row for each
+    labelled doc_id, where rows of ``docs`` share one that with the least statistics. doc_id may be of any type.
     """
     features = features or FEATURES
     label = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__quality"))
     some = label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select(F.col("doc_id").alias("__id"), "__quality")
     known = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("__id")).where("text is not null")
-    table = with_statistics(known).select("doc_id", "base_failed", (F.col("__quality") == 0).alias("bad"), *[F.expr(f"cast({e} as double)").alias(f) for f, e in features.items()])
-    rows = sorted((r.asDict() for r in table.limit(4 * max_labelled).collect() if not r["base_failed"]), key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"], repr(r)))
-    return learn_rules([(r["bad"], r) for r in rows], list(features))
+    values = [F.expr(f"cast({e} as double)").alias(f) for f, e in features.items()]
+    table = with_statistics(known).groupBy("doc_id").agg(F.min(F.struct("base_failed", (F.col("__quality") == 0).alias("bad"), *values)).alias("x"))
+    rows = table.where("not x.base_failed").orderBy(F.xxhash64("doc_id"), "doc_id").select("x.*").collect()
+    return learn_rules([(r["bad"], r.asDict()) for r in rows], list(features))
 
 
 def verdict(rules: list[Rule], features: dict[str, str] | None = None) -> tuple[Column, Column]:
