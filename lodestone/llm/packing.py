@@ -129,8 +129,49 @@ class Packer:
             room -= size
 
 
+#: The normalizer and pre-tokenizer for which a text's ids are those of its words in turn, and words of letters and marks those
+#: of two lower-cased units; files with any others are encoded text by text.
+_BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+def by_word(path: str) -> bool:
+    """Whether ids may be looked up word by word: decided by what the tokenizer's file says."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    plain = all(not re.search(r"\s", t["content"]) and not t.get("lstrip") and not t.get("rstrip") and not t.get("single_word") for t in spec.get("added_tokens", []))
+    model = spec["model"]
+    return plain and model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and all(spec.get(k) == v for k, v in _BY_WORD.items())
+
+
+def _text_ids(path: str):
+    """A function from texts to their ids, for any tokenizer."""
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation(), tokenizer.no_padding()
+
+    def encode(texts: list[bytes | None]) -> list:
+        found = tokenizer.encode_batch_fast([(t or b"").decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in found]
+
+    return encode
+
+
 def _word_ids(path: str):
-    """A function from text to ids as bytes (little-endian unsigned 32 bits), with one lookup for each word.
+    """A function from texts to their ids, with one lookup for each word.
 
     The tokenizer drops white space and never joins what white space parts, so a text's ids are those of its words in turn.
     """
@@ -193,7 +234,33 @@ def _word_ids(path: str):
         ends = np.cumsum(n)
         return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start[at] - (ends - n), n)]
 
-    return learn, stretches, encode
+    def all_of(texts: list[bytes | None]) -> list:
+        short = [t.split() if t and len(t) <= STRETCH else [] for t in texts]
+        learn(set().union(*short))
+        ready = [encode(words) for words in short]
+        for i, text in enumerate(texts):
+            if text and len(text) > STRETCH:
+                own = []
+                for words in stretches(text):
+                    learn(set(words))
+                    own.append(encode(words))
+                ready[i] = np.concatenate(own)
+        return ready
+
+    return all_of
+
+
+def _parts(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most STRETCH bytes together, and 512 texts; a longer text is one of its own."""
+    first = held = 0
+    for i, t in enumerate(texts):
+        size = len(t or b"")
+        if i > first and (held + size > STRETCH or i - first == 512):
+            yield first, i
+            first, held = i, 0
+        held += size
+    if first < len(texts):
+        yield first, len(texts)
 
 
 def _pack(path: str, end: int, capacity: int):
@@ -205,7 +272,7 @@ def _pack(path: str, end: int, capacity: int):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         packer = Packer(capacity, TaskContext.get().partitionId() << 36)
-        learn, stretches, encode = _word_ids(path)
+        encode = _word_ids(path) if by_word(path) else _text_ids(path)
         last = np.array([end], "<u4")
 
         def drain(least: int) -> Iterator[pa.RecordBatch]:
@@ -216,18 +283,10 @@ def _pack(path: str, end: int, capacity: int):
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                docs, texts = some.column("doc_id").to_pylist(), some.column("text").cast(pa.binary()).to_pylist()
-                short = [t.split() if t and len(t) <= STRETCH else [] for t in texts]
-                learn(set().union(*short))
-                ready = [encode(words) for words in short]
-                for doc, text, ids in zip(docs, texts, ready):
-                    own = [ids]
-                    for words in stretches(text) if text and len(text) > STRETCH else ():
-                        learn(set(words))
-                        own.append(encode(words))
-                    packer.add(doc, np.concatenate([*own, last]).astype("<u4").tobytes())
+            docs, texts = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
+            for a, b in _parts(texts):
+                for doc, ids in zip(docs[a:b], encode(texts[a:b])):
+                    packer.add(doc, np.concatenate([ids, last]).astype("<u4").tobytes())
                     if packer.size > BUFFER:
                         packer.pack(REST)
                     yield from drain(1000)
@@ -240,8 +299,8 @@ def _pack(path: str, end: int, capacity: int):
 def pack_documents(docs: DataFrame, tokenizer: str, *, end: int, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text): doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
-    A document's ids are those of ``tokenizer`` (a file of the tokenizers library, on every machine; without special tokens
-    added) and then ``end``. Each id lies in exactly one piece; ``ids`` holds them as little-endian unsigned 32-bit numbers.
+    A document's ids are those of ``tokenizer`` (any file of the tokenizers library, on every machine; without special tokens
+    added) and then ``end``; where the file's rules allow it, they are looked up word by word. Each id lies in exactly one piece; ``ids`` holds them as little-endian unsigned 32-bit numbers.
     Sequences have ``capacity`` ids, but for those of a power of two at the end of each input partition; offsets in them are
     gapless from 0. Null or empty text is ``end`` alone, a null doc_id stays null, repeated rows are packed each, other
     columns are left out. An empty table gives no sequences.
