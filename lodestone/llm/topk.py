@@ -26,16 +26,23 @@ BUCKET, BLOCK, GROUP = 2048, 256, 64
 #: Local cosine above which a coordinate's interval is used instead of the length prefix.
 COSINE = 0.8
 
-_PACKED = "dim int, part int, nr int, top double, ids binary, values binary, width int, theta binary"
+_PACKED = "dim int, part int, nr int, top double, need double, ids binary, values binary, width int, theta binary"
+#: Scores of vectors of this length fit 64 bits.
+LONGEST = float(1 << 31)
 
 
 def integer_vectors(rows: DataFrame, *, id: str = "vec_id", vector: str = "embedding", scale: float = 1024.0) -> DataFrame:
-    """(vec_id, v, norm) with v = floor(scale * x) of rows whose vectors are whole: not null, no null or non-finite component."""
+    """(vec_id, v, norm) with v = floor(scale * x) of rows whose vectors are whole: not null, no null or non-finite component.
+
+    A length of 2**31 or more raises when the row is read: its scores might not fit 64 bits.
+    """
     x = F.col(vector).cast("array<double>")
     bad = F.exists(x, lambda y: y.isNull() | F.isnan(y) | (F.abs(y) == F.lit(float("inf"))))
     ints = F.transform(x, lambda y: F.floor(y * scale).cast("long"))
     out = rows.where(F.col(id).isNotNull() & x.isNotNull() & ~bad).select(F.col(id).cast("long").alias("vec_id"), ints.alias("v"))
-    return out.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double")))
+    wide = F.raise_error(F.concat(F.lit("scores of this vector may not fit 64 bits: "), F.col("vec_id"))).cast("double")
+    return out.withColumn("norm", norm).withColumn("norm", F.when(F.col("norm") < LONGEST, F.col("norm")).otherwise(wide))
 
 
 def _packer(size: int):
@@ -52,10 +59,12 @@ def _packer(size: int):
             ids, vectors, theta = (np.concatenate(x) for x in zip(*held))
             most = int(np.abs(vectors).max(initial=0))
             width = 2 if most < 1 << 15 else 4 if most < 1 << 31 else 8
-            top = float(np.sqrt((vectors.astype(float) ** 2).sum(1)).max())
-            row = [dim, part, nr, top, ids.tobytes(), vectors.astype(f"<i{width}").tobytes(), width, theta.tobytes()]
+            norms = np.sqrt((vectors.astype(float) ** 2).sum(1))
+            # Of queries: the length that a vector must have to reach any one's threshold.
+            need = np.divide(theta - 1e-6, norms * (1 + 1e-9), out=np.full(len(ids), -np.inf), where=(norms > 0) & (theta > -(2**63)))
+            row = [dim, part, nr, float(norms.max()), float(need.min()) - 1e-9 * abs(float(need.min())) if np.isfinite(need.min()) else -np.inf, ids.tobytes(), vectors.astype(f"<i{width}").tobytes(), width, theta.tobytes()]
             nr, held = nr + 1, []
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()))], [c.split()[0] for c in _PACKED.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()))], [c.split()[0] for c in _PACKED.split(", ")])
 
         for batch in batches:
             dims = batch.column("dim").to_numpy()
@@ -177,8 +186,11 @@ def _scan(k: int):
 
 
 def _search(buckets: DataFrame, blocks: DataFrame, groups: int, k: int) -> DataFrame:
-    """``buckets`` with their group, every block in all groups: a stated query set against all rows, in blocks."""
-    every = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    """``buckets`` with their group; a block goes to the groups whose longest vector can reach one of its thresholds: a stated
+    query set against all rows, in blocks."""
+    tops = buckets.groupBy("group", "dim").agg(F.max("top").alias("reach")).select("group", F.col("dim").alias("d"), "reach")
+    tops = stored(tops, "groups")  # a row for each GROUP * BUCKET vectors
+    every = blocks.join(F.broadcast(tops) if groups <= 200_000 else tops, (F.col("dim") == F.col("d")) & (F.col("reach") >= F.col("need"))).drop("d", "reach")
     rows = buckets.withColumn("kind", F.lit(0)).unionByName(every.withColumn("kind", F.lit(1)))
     dealt = rows.repartitionById(groups, F.col("group")).sortWithinPartitions("group", "kind", "dim", F.desc("top"), "part", "nr")
     return dealt.mapInArrow(_scan(k), "query_id long, vec_id long, score long")
