@@ -9,7 +9,8 @@ and length. Then
 * a BPE model merges, in all rows at once, the adjacent pair with the highest score, leftmost first: the highest sum of
   scores is not what a BPE model means, and Viterbi would not give its ids.
 
-Ids equal those of the sentencepiece library. A task remembers the ids of up to UNITS distinct units.
+Ids equal those of the sentencepiece library, in ties too: the longest last piece wins, and sums have 32 bits. Units are
+scored on their own, so that no sum grows with a text and rounds. A task remembers the ids of up to UNITS distinct units.
 """
 
 from __future__ import annotations
@@ -68,13 +69,15 @@ class Model:
         self.kind = trainer.get(3, _UNIGRAM)
         if self.kind not in (_UNIGRAM, _BPE) or normalizer.get(2) or normalizer.get(4, 1) or not normalizer.get(3, 1) or not normalizer.get(5, 1):
             raise ValueError("only BPE and unigram models with a dummy prefix and without normalisation are supported")
+        if any(k == 1 and dict(_fields(v)).get(3, 1) == 4 for k, v in top):
+            raise ValueError("user-defined pieces are not supported")
         n = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i).replace("▁", " ") for i in range(n)]
         self.unknown = sp.unk_id()
         special = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)}
         self.bytes = {int(sp.id_to_piece(i)[3:-1], 16): i for i in range(n) if sp.is_byte(i)}
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in special}
-        self.scores = np.array([sp.get_score(i) for i in range(n)])
+        self.scores = np.array([sp.get_score(i) for i in range(n)], np.float32).astype(float)
         if any(" " in p.lstrip(" ") for p in self.ids):
             raise ValueError("a piece holds a space after another character")
         self.longest = max(map(len, self.ids))
@@ -180,12 +183,14 @@ class Model:
         best = np.full((n, size + 1), -np.inf)
         best[:, 0] = 0
         back = np.zeros((n, size + 1), np.int64)
-        none = self.scores[list(self.ids.values())].min() - 10
+        none = self._none()
         for end in range(1, size + 1):
-            lengths = range(1, min(end, most - 1) + 1)
-            options = np.stack([best[:, end - k] + (np.where(np.isinf(scores[:, end - 1, 1]), none, scores[:, end - 1, 1]) if k == 1 else scores[:, end - k, k]) for k in lengths], 1)
-            k = options.argmax(1)
-            best[:, end], back[:, end] = options[np.arange(n), k], end - 1 - k
+            # The longest last piece comes first and wins ties; sums are kept in 32 bits: so does the library.
+            for k in range(min(end, most - 1), 0, -1):
+                s = scores[:, end - k, k]
+                option = best[:, end - k] + (np.where(np.isinf(s), none, s) if k == 1 else s)
+                more = option > best[:, end]
+                best[more, end], back[more, end] = option[more].astype(np.float32), end - k
         ends = np.zeros((n, size), np.int64)
         at = np.full(n, size)
         while (live := np.flatnonzero(at > 0)).size:
@@ -194,6 +199,12 @@ class Model:
             at[live] = start
         return ends
 
+    def _none(self) -> float:
+        """The score of a character that is no piece."""
+        import numpy as np
+
+        return float(np.float32(self.scores[list(self.ids.values())].min()) - np.float32(10))
+
     def _merge(self, scores):
         """Ends by start of each row's symbols when no adjacent pair is a piece any more."""
         import numpy as np
@@ -220,14 +231,16 @@ class Model:
     def _long(self, unit: str) -> list[int]:
         """One long unit: the same result in time near its length."""
         if self.kind == _UNIGRAM:
-            none = min(self.scores[i] for i in self.ids.values()) - 10
+            import numpy as np
+
+            none = self._none()
             best, back = [0.0] + [-float("inf")] * len(unit), [0] * (len(unit) + 1)
             for end in range(1, len(unit) + 1):
                 for a in range(max(0, end - self.longest), end):
                     i = self.ids.get(unit[a:end])
                     s = self.scores[i] if i is not None else none if a == end - 1 else None
                     if s is not None and best[a] + s > best[end]:
-                        best[end], back[end] = best[a] + s, a
+                        best[end], back[end] = float(np.float32(best[a] + s)), a
             cuts, at = [], len(unit)
             while at:
                 cuts.append((back[at], at))
@@ -402,6 +415,29 @@ def decode(docs: DataFrame, model: bytes, *, ids: str = "ids", text: str = "deco
     return _with(docs, model, ids, text, T.StringType(), True)
 
 
+def unigram_model(raw: bytes) -> bytes:
+    """The model with the same pieces and scores read as a unigram model: the highest sum of scores decides."""
+
+    def varint(x: int) -> bytes:
+        out = bytearray()
+        while x > 127:
+            out.append(x & 127 | 128)
+            x >>= 7
+        return bytes([*out, x])
+
+    def message(fields: list) -> bytes:
+        # Integers stay, four bytes are a float (5), all else is a string (2): what a model's file has.
+        return b"".join(varint(n << 3) + varint(v) if isinstance(v, int) else varint(n << 3 | 5) + v if floats else varint(n << 3 | 2) + varint(len(v)) + v for n, v, floats in fields)
+
+    out = []
+    for number, value in _fields(raw):
+        if number == 2:
+            out.append((2, message([(n, _UNIGRAM if n == 3 else v, False) for n, v in _fields(value) if isinstance(v, int)]), False))
+        else:
+            out.append((number, value, False))
+    return message(out)
+
+
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
