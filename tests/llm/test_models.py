@@ -188,3 +188,88 @@ def test_top_k(spark, monkeypatch, kind):
         want += [(q, n, i, -s) for n, (s, i) in enumerate(scores, 1)]
     assert got == sorted(want)
     assert topk.top_k(ints.limit(0), ints.limit(0)).count() == 0
+
+
+def test_top_k_refuses_what_does_not_fit(spark):
+    df = spark.createDataFrame([(1, [1e300, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.integer_vectors(df).collect()
+
+
+def test_viterbi_breaks_ties_as_the_library():
+    rnd = random.Random(11)
+    checked = 0
+    for _ in range(40):
+        pieces_ = {"".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 4))) for _ in range(6)} | {"a", "b"}
+        raw = unigram({"▁": -1.0} | {p: float(-rnd.randrange(1, 4) * len(p)) for p in sorted(pieces_)})
+        sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
+        texts = ["".join(rnd.choice("aabb c") for _ in range(rnd.choice([5, 20, 47, 48, 49, 60, 100]))) for _ in range(50)]
+        for t, ids in zip(texts, pieces.Codec(raw).encode(texts)):
+            assert ids.tolist() == sp.encode(t), t
+            checked += 1
+    assert checked == 2000
+
+
+def test_unigram_reading_of_the_model_has_the_highest_sums(spark, sf):
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        raw = pieces.unigram_model(f.read())
+    sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    score = lambda ids: sum(sp.get_score(int(i)) for i in ids)
+    words = sorted({w for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for w in r.text.split(" ") if w and len(w) < 40})[::3]
+    for w, ids in zip(words, pieces.Codec(raw).encode(words)):
+        assert sp.decode(ids.tolist()) == w and score(ids) >= score(sp.nbest_encode_as_ids(w, 1)[0]) - 1e-3, w
+
+
+def test_pieces_query_equals_the_library(spark, sf):
+    import hashlib
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = pieces.op5_sentencepiece(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = sp.encode(texts[r.doc_id])
+        assert (r.n_ids, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()) and r.round_trip
+
+
+def test_packing_with_any_tokenizer(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.by_word(WORD_BPE) and not packing.by_word(path)
+    tokenizer = Tokenizer.from_file(path)
+    texts = {0: "Hello  World, don't\n", 1: " x", 2: None, 3: "漢字 naïve " * 300}
+    rows = packing.pack_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), path, end=2, capacity=64).collect()
+    check_pieces(rows, {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t in texts.items()}, 64)
+
+
+def test_quality_query_equals_a_plain_decision_list(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rules = quality.fit(docs, labels)
+    # Repeated rows in any order give the same rules.
+    assert rules == quality.fit(docs.unionByName(docs).orderBy("text"), labels.unionByName(labels))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    number = {r.doc_id: r.rule for r in quality.judge(docs, rules).collect()}
+    for r in quality.op4_quality_rules(spark, sf).collect():
+        n, chars, symbols, dup, repeat = stats_of(texts[r.doc_id])
+        row = {"n_words": n, "mean_word": chars / n if n else None, "symbol_share": symbols / n if n else None, "dup_lines": dup, "repeat_share": repeat / n if n else None}
+        first = next((i for i, rule in enumerate(rules, 1) if all(row[f] is not None and (row[f] <= t if op == "<=" else row[f] > t) for f, op, t in rule.conditions)), None)
+        failed = n < 50 or 100 * repeat > 50 * n
+        assert (r.n_words, r.base_failed, r.kept, number[r.doc_id]) == (n, failed, not failed and first is None, first)
+
+
+def test_a_condition_has_the_highest_gain():
+    rnd = random.Random(12)
+    for _ in range(50):
+        rows = [(rnd.random() < 0.4, {"a": rnd.choice([None, 0.0, 1.0, 2.0, 3.0]), "b": rnd.random()}) for _ in range(30)]
+        bad, good = [x for b, x in rows if b], [x for b, x in rows if not b]
+        if not bad:
+            continue
+
+        def gain(f, op, t):
+            p, n = (sum(1 for x in side if x[f] is not None and (x[f] <= t if op == "<=" else x[f] > t)) for side in (bad, good))
+            return p * (math.log2(p / (p + n)) - math.log2(len(bad) / len(rows))) if p else 0.0
+
+        cuts = {f: sorted({x[f] for _, x in rows if x[f] is not None}) for f in "ab"}
+        best = max(gain(f, op, (u + v) / 2) for f in "ab" for u, v in zip(cuts[f], cuts[f][1:]) for op in ("<=", ">"))
+        found = quality._best_condition(bad, good, ["a", "b"])
+        assert found is None and best <= 1e-9 or gain(*found) == pytest.approx(best)
