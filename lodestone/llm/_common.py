@@ -77,7 +77,7 @@ def components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = s
         around = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = keep(around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = around.where("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(both)
-        large = keep(large.distinct(), "large")
+        large = keep(large, "large")
         least = keep(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).where(both).distinct()

@@ -197,9 +197,9 @@ def link(rows: DataFrame, *, similarity: float = SIMILARITY, crowd: int = CROWD)
     many, waiting = _may_pair(many, sets, similarity)
     entry = F.struct("fp", "root", "size", "free", "sketch")
 
-    def rooted(part: DataFrame) -> DataFrame:
-        roots = stored(components(links).select(F.col("node").alias("fp"), "root"), "roots")
-        return stored(part.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    def rooted(part: DataFrame, roots: DataFrame) -> DataFrame:
+        named = roots.select(F.col("node").alias("fp"), "root")
+        return stored(part.join(named.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
 
     def compared(now: DataFrame, lead: DataFrame, best: bool) -> DataFrame:
         """Links between holders and leaders of a key, in blocks of both."""
@@ -210,22 +210,29 @@ def link(rows: DataFrame, *, similarity: float = SIMILARITY, crowd: int = CROWD)
         blocks = stored(blocks.select("key", "own"), "blocks")
         return verified(blocks.join(others.select("key", "others").hint("merge"), "key").select("own", "others").mapInArrow(_alike(similarity, best), _PAIR_SQL))
 
-    leaders = LEADERS
-    now = rooted(many)
+    leaders, grown = LEADERS, True
     while True:
+        if grown:
+            roots = stored(components(links), "roots")
+            now = rooted(many, roots)
         sizes = now.groupBy("key", F.col("root").alias("most")).agg(F.count(F.lit(1)).alias("c"))
         largest = stored(sizes.groupBy("key").agg(F.max_by("most", F.struct("c", "most")).alias("most")), "largest")
         outside = now.join(waiting.hint("merge"), ["key", "fp"], "left_semi").join(largest.hint("merge"), "key").where("root <> most")
         outside = stored(outside.select("key", "fp"), "outside")
         if outside.isEmpty():
-            return components(links)
+            return roots
         left = stored(outside.groupBy("key").agg(F.count(F.lit(1)).alias("left")), "left")
         # About so many of each key, by chance: no order within a key, which would take a task for all its holders.
         chance = F.pmod(F.xxhash64("key", "fp", F.lit(leaders)), F.lit(1 << 30)) * F.col("left") < leaders * (1 << 30)
         lead = stored(outside.join(left.hint("merge"), "key").where(chance).select("key", "fp"), "lead")
-        for best in (True, False):
-            links = stored(links.unionByName(compared(now, lead, best)).distinct(), "links")
-            now = rooted(many)
+        near = compared(now, lead, True)
+        if not near.isEmpty():
+            links = stored(links.unionByName(near), "links")
+            roots = stored(components(links), "roots")
+            now = rooted(many, roots)
+        rest = compared(now, lead, False)
+        grown = not rest.isEmpty()
+        links = stored(links.unionByName(rest), "links")
         waiting = stored(waiting.join(lead.hint("merge"), ["key", "fp"], "left_anti"), "waiting")
         leaders *= 2
 
