@@ -4,9 +4,11 @@ Writing. Payload digests are grouped first (only digest and page_id move), then
 join on its own id, and each task writes one archive of gzip members. A task's archive counts only if its index lines are
 committed, so a retried task leaves at most a file that nothing names.
 
-Index. Lines are range-sorted by reversed-host url key and cut into gzip blocks; the directory keeps a block's first and
-last key, file, offset and length. A lookup binary-searches the directory, range-reads one or a few blocks, then
-range-reads the records. The directory is one row for each BLOCK_LINES captures, and stays a table: lookups filter it.
+Index. Lines are range-sorted by reversed-host url key and cut into gzip blocks, in one index file for each range; the
+sparse directory keeps a block's first and last key, file, offset and length. Lookups are batches of keys: a binary search
+over the ranges' bounds (a row for each index file, at most as many as partitions) sends a key to its file, where keys and
+that file's part of the directory meet; a second one finds its blocks, which are range-read, and a third its lines in them.
+Then the records are range-read.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import host_of, new_folder, partitions, path_of, reversed_host, stored
@@ -36,12 +38,27 @@ _READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa
 _READ_SQL = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+#: Spark's names of stores by Arrow's.
+_STORES = {"s3a": "s3", "s3n": "s3", "s3": "s3", "hdfs": "hdfs", "viewfs": "viewfs", "gs": "gs", "gcs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def _uri(folder: str) -> str:
+    """``folder`` as tasks open it: file: and plain paths are a mount that all machines share, others a store that Arrow knows."""
+    if folder.startswith("file:"):
+        return "/" + folder[5:].lstrip("/")
+    scheme, there, rest = folder.partition("://")
+    if not there:
+        return folder
+    if scheme not in _STORES:
+        raise ValueError(f"archives can't be written to {scheme}: only to a shared mount or {', '.join(sorted(_STORES))}")
+    return f"{_STORES[scheme]}://{rest}"
+
+
 def _open_folder(folder: str):
-    """(file system, path) of a folder in any store that Arrow knows; file: and plain paths are the shared mount."""
+    """(file system, path) of a folder."""
     from pyarrow import fs
 
-    if folder.startswith("file:"):
-        folder = "/" + folder[5:].lstrip("/")
+    folder = _uri(folder)
     return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
 
 
@@ -158,16 +175,17 @@ def write_archives(pages: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]
     such a row revisits its payload's smallest page, and is a response if there is none. Extra columns are left out.
     """
     spark = pages.sparkSession
+    _uri(folder)  # raises before anything runs
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.unhex(F.sha1("html")))
+    # SHA-1 and length: four bytes more.
+    rows = rows.withColumn("digest", F.concat(F.unhex(F.sha1("html")), F.unhex(F.lpad(F.hex(F.octet_length("html").cast("long")), 8, "0"))))
     thin = stored(rows.select("page_id", "digest"), "digests")
     first = thin.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").drop("n")
     # Only pages that revisit another one; a hot digest's pages are split by AQE, as no row here holds a payload.
     later = thin.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
     later = later.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("first").alias("refers_to"))
     tagged = rows.join(later, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    tagged = tagged.select(F.concat(reversed_host(host), F.lit(")"), path).alias("url_key"), "page_id", "url", "html", "refers_to")
+    tagged = tagged.select(_key(F.col("url")).alias("url_key"), "page_id", "url", "html", "refers_to")
     entries = stored(tagged.mapInArrow(_writer(f"{folder}/records"), _ENTRY_SQL), "captures")
     n = max(1, min(partitions(spark), -(-entries.count() // BLOCK_LINES)))
     sorted_lines = entries.repartitionByRange(n, "url_key", "file", "offset").sortWithinPartitions("url_key", "file", "offset")
@@ -175,7 +193,9 @@ def write_archives(pages: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]
     return entries, directory
 
 
-def _block_reader(folder: str, key: str | None = None):
+def _block_reader(folder: str):
+    """The index lines of blocks; of a block with ``keys`` only theirs, by binary search."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _open_folder(folder)
         for batch in batches:
@@ -183,15 +203,30 @@ def _block_reader(folder: str, key: str | None = None):
                 with files.open_input_file(f"{root}/{block['file']}") as f:
                     text = gzip.decompress(f.read_at(block["length"], block["offset"])).decode()
                 rows = [json.loads(x) for x in text.splitlines()]
-                if key is not None:
+                if "keys" in block:
                     keys = [r[0] for r in rows]
-                    rows = rows[bisect_left(keys, key) : bisect_right(keys, key)]
+                    rows = [r for k in block["keys"] for r in rows[bisect_left(keys, k) : bisect_right(keys, k)]]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ENTRY.types)], schema=_ENTRY)
 
     return read
 
 
+_FOUND = "file string, offset long, length long, keys array<string>"
+
+
+def _blocks_of(asked: pa.Table, directory: pa.Table) -> pa.Table:
+    """The blocks of one index file that may hold each asked key, with their keys."""
+    blocks = directory.sort_by("offset").to_pylist()
+    first, last = [b["first_key"] for b in blocks], [b["last_key"] for b in blocks]
+    keys: dict[int, list[str]] = {}
+    for key in sorted(asked.column("url_key").to_pylist()):
+        for i in range(bisect_left(last, key), bisect_right(first, key)):
+            keys.setdefault(i, []).append(key)
+    rows = [{"file": blocks[i]["file"], "offset": blocks[i]["offset"], "length": blocks[i]["length"], "keys": k} for i, k in keys.items()]
+    return pa.Table.from_pylist(rows, pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("keys", pa.list_(pa.string()))]))
+
+
 def _record_reader(folder: str, payload: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _open_folder(folder)
@@ -234,20 +269,51 @@ def read_archives(directory: DataFrame, folder: str, *, payload: bool = True) ->
     return spread.mapInArrow(_record_reader(f"{folder}/records", payload), _READ_SQL)
 
 
+def _key(url: Column) -> Column:
+    return F.concat(reversed_host(host_of(url)), F.lit(")"), path_of(url))
+
+
+def lookup_all(directory: DataFrame, folder: str, urls: DataFrame, *, payload: bool = True) -> DataFrame:
+    """The captures whose key is that of one of ``urls`` (url), each once: by binary searches, as described above."""
+    n = partitions(directory.sparkSession)
+    ranges = directory.groupBy("file").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last"))
+    bounds = sorted((r["first"], r["last"], r["file"]) for r in ranges.collect())  # a row for each index file
+    first, last, names = ([b[i] for b in bounds] for i in range(3))
+
+    @F.pandas_udf("array<string>")
+    def files_of(keys):
+        import pandas as pd
+
+        return pd.Series([names[bisect_left(last, k) : bisect_right(first, k)] for k in keys])
+
+    asked = urls.select(_key(F.col("url")).alias("url_key")).distinct().select("url_key", F.explode(files_of("url_key")).alias("file"))
+    blocks = asked.groupBy("file").cogroup(directory.groupBy("file")).applyInArrow(_blocks_of, _FOUND)
+    entries = blocks.repartition(n, "file", "offset").mapInArrow(_block_reader(f"{folder}/index"), _ENTRY_SQL)
+    spread = entries.repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
+    return spread.mapInArrow(_record_reader(f"{folder}/records", payload), _READ_SQL)
+
+
 def lookup(directory: DataFrame, folder: str, url: str) -> DataFrame:
-    """The captures of one url: the directory's blocks that can hold its key, then a binary search in each."""
-    spark: SparkSession = directory.sparkSession
-    one = spark.range(1).select(F.lit(url).alias("url"))
-    key = one.select(F.concat(reversed_host(host_of(F.col("url"))), F.lit(")"), path_of(F.col("url")))).first()[0]
-    blocks = directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key))
-    entries = blocks.mapInArrow(_block_reader(f"{folder}/index", key), _ENTRY_SQL)
-    return entries.sortWithinPartitions("file", "offset").mapInArrow(_record_reader(f"{folder}/records", True), _READ_SQL)
+    """The captures of one url."""
+    return lookup_all(directory, folder, directory.sparkSession.range(1).select(F.lit(url).alias("url")))
+
+
+#: Pages whose id this divides are also looked up by their url in the registered query.
+LOOKED_UP = 50
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:
+    """Every page read back; ``found_by_url`` says of the pages that are looked up whether that gave the same record."""
     folder = new_folder(spark, "warc")
-    _, directory = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    return read_archives(directory, folder, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    _, directory = write_archives(pages, folder)
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    whole = read_archives(directory, folder, payload=False).select(*columns)
+    chosen = F.col("page_id") % LOOKED_UP == 0
+    found = lookup_all(directory, folder, pages.where(chosen).select("url"), payload=False).where(chosen).select(*columns).distinct()
+    found = found.select(*[F.col(c).alias(f"f_{c}") for c in columns])
+    same = (F.col("page_id") == F.col("f_page_id")) & F.struct(*columns[1:]).eqNullSafe(F.struct(*[F.col(f"f_{c}").alias(c) for c in columns[1:]]))
+    return whole.join(found, same, "left").select(*columns, F.when(chosen, F.col("f_page_id").isNotNull()).alias("found_by_url"))
 
 
 SQL = {
@@ -258,7 +324,7 @@ f as (select h, payload_bytes, min(page_id) as first from d group by all)
 select page_id, payload_bytes,
   array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((cast('0x' || substr(h, 5 * (j // 4) + 1, 5) as integer) >> cast(15 - 5 * (j % 4) as integer)) & 31), 1) for j in range(32)], '') as payload_digest,
   case when page_id = first then 'response' else 'revisit' end as record_type,
-  case when page_id = first then null else first end as refers_to
+  case when page_id = first then null else first end as refers_to, case when page_id % 50 = 0 then true end as found_by_url
 from d join f using (h, payload_bytes)
 """
 }

@@ -76,3 +76,21 @@ def test_archives_blocks_and_empty(spark, tmp_path, monkeypatch):
     assert warc.read_archives(directory, str(tmp_path / "a")).count() == 40
     entries, none = warc.write_archives(pages.limit(0), str(tmp_path / "b"))
     assert entries.count() == 0 and warc.read_archives(none, str(tmp_path / "b")).count() == 0
+
+
+def test_lookups_of_many_urls(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 3)
+    rnd = random.Random(5)
+    urls = [f"http://h{rnd.randrange(6)}.com/{rnd.randrange(4)}" for _ in range(60)] + ["http://hot.com/"] * 40 + [None, "no url"]
+    pages = spark.createDataFrame([(i, u, f"t{i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    _, directory = warc.write_archives(pages, str(tmp_path / "a"))
+    asked = ["http://h1.com/1", "http://hot.com/", "http://HOT.com/?q", None, "http://zz/", "http://h5.com/3", "http://h5.com/3"]
+    got = warc.lookup_all(directory, str(tmp_path / "a"), spark.createDataFrame([(u,) for u in asked], "url string")).collect()
+    assert sorted(r.page_id for r in got) == sorted(i for i, u in enumerate(urls) if u in asked or u in (None, "no url"))
+    assert all(bytes(r.payload) == f"t{r.page_id}".encode() for r in got)
+
+
+def test_stores():
+    assert warc._uri("s3a://b/x") == "s3://b/x" and warc._uri("file:/a/b") == "/a/b" == warc._uri("/a/b")
+    with pytest.raises(ValueError):
+        warc._uri("wasbs://c@a/x")
