@@ -99,6 +99,26 @@ def test_code():
     assert [s["symbol"] for s in code.parse("export class A {\n}\nexport async function b() {}\n", "m.ts")["sections"]] == ["m.A", "m.b"]
 
 
+def test_members_of_other_languages():
+    symbols = lambda text, path: [(s["symbol"], s["line_start"], s["line_end"]) for s in code.parse(text, path)["sections"]]
+    ts = "export class A<T> {\n  x = '}';\n  async run(a: string): Promise<void> {\n    if (a) { b(); }\n  }\n  // }\n  get y() { return 1 }\n}\ninterface I { a: string }\ntype U = A | I;\nfunction f(\n  a,\n) {\n}\n"
+    assert symbols(ts, "m.ts") == [("m.A", 1, 8), ("m.A.run", 3, 5), ("m.A.y", 7, 7), ("m.I", 9, 9), ("m.U", 10, 10), ("m.f", 11, 14)]
+    java = "package p;\n@Deprecated\npublic class A extends B {\n  private int x = f(1);\n  @Override\n  public List<String> go(int a)\n      throws E {\n    for (;;) { }\n  }\n  static class In {\n    In() { super(); }\n  }\n}\n"
+    assert symbols(java, "A.java") == [("A.A", 3, 13), ("A.A.go", 6, 9), ("A.A.In", 10, 12), ("A.A.In.In", 11, 11)]
+    rust = "pub struct S { a: u8 }\nimpl<T> Tr for S {\n    pub fn go(&self) -> u8 {\n        '{' as u8\n    }\n}\nfn top() {}\n"
+    assert symbols(rust, "l.rs") == [("l.S", 1, 1), ("l.S", 2, 6), ("l.S.go", 3, 5), ("l.top", 7, 7)]
+    go = "package p\n\ntype T struct {\n\ta int\n}\n\nfunc (t *T) Go() {\n\tx()\n}\n\nfunc top() {}\n"
+    assert symbols(go, "g.go") == [("g.T", 3, 5), ("g.T.Go", 7, 9), ("g.top", 11, 11)]
+
+
+def test_terraform_scanner():
+    src = 'resource "a_b" "c" {\n  x = "${data.aws_ami.ubuntu.id} ${var.nn} }"\n  y = module.net.id\n  z = <<EOT\n} ${local.qq}\nEOT\n  # } a_b.comment\n  w = "a_b.text"\n  depends_on = [a_b.dd, "a_b.ee"]\n  v = aws_vpc.main[0].id\n}\n  resource "in" "dented" {}\nprovider "p" {}\n'
+    d = infra.terraform(src)
+    assert [s["symbol"] for s in d["sections"]] == ["resource.a_b.c", "provider.p"]
+    assert d["sections"][0]["metadata"]["refs"] == ["a_b.dd", "aws_ami.ubuntu", "aws_vpc.main", "local.qq", "net.id", "var.nn"]
+    assert d["sections"][0]["metadata"]["depends_on"] == ["a_b.dd", "a_b.ee"]
+
+
 def test_dispatch_and_spark(spark):
     assert [parsers.choose("", p) for p in ("a.tf", "a.tf.json", "a.yml", "a.md", "a.py", "a.txt")] == ["terraform", "terraform", "kubernetes", "markdown", "code", "plaintext"]
     rows = [("1", "m.md", "text/markdown", b"# T\nx"), ("2", "mod.py", "", PY.encode()), ("3", "k.yaml", "", K8S.encode()), ("4", "n", None, None), ("5", "b.txt", "", b"\xff ok")]
