@@ -1,8 +1,9 @@
 """Full text: tokens, postings, boolean match and cover-density rank.
 
-The index is a postings table (chunk_id, lexeme, positions), meant to be written bucketed or partitioned by lexeme: a query
-reads its lexemes' rows only. Stop words are dropped but count as positions. With ``stem`` tokens are reduced by the
-published Porter algorithm, over distinct tokens of an Arrow batch.
+The index is a postings table (chunk_id, lexeme, positions). Written, it is partitioned by buckets of lexemes and sorted by
+lexeme: a query reads the buckets and row groups of its lexemes only. Without an index a query scans the texts: chunks that
+lack one of its words go before they are tokenised, and nothing is shuffled. Stop words are dropped but count as positions.
+With ``stem`` tokens are reduced by the published Porter algorithm, over distinct tokens of an Arrow batch.
 """
 
 from __future__ import annotations
@@ -118,9 +119,55 @@ def query_lexemes(query: str, *, stem: bool = False) -> list[str]:
     return list(dict.fromkeys(porter(t) if stem else t for t in found))
 
 
-def match(index: DataFrame, lexemes: list[str]) -> DataFrame:
+BUCKETS = 64
+
+
+def write_index(postings: DataFrame, path: str, *, buckets: int = BUCKETS) -> None:
+    """Writes ``postings`` by bucket of lexemes; a frequent lexeme's rows are spread over several tasks and files."""
+    rows = postings.withColumn("bucket", F.pmod(F.xxhash64("lexeme"), F.lit(buckets)).cast("int"))
+    dealt = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("chunk_id"), F.lit(4)))
+    dealt.sortWithinPartitions("bucket", "lexeme").write.partitionBy("bucket").mode("overwrite").parquet(path)
+    postings.sparkSession.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").json(f"{path}/_about")
+
+
+class WrittenIndex:
+    """Postings that :func:`write_index` wrote."""
+
+    def __init__(self, spark, path: str):
+        self.buckets = spark.read.schema("buckets int").json(f"{path}/_about").first()[0]
+        self.rows = spark.read.parquet(path)
+
+    def of(self, lexemes: list[str]) -> DataFrame:
+        """The postings of ``lexemes``, by partitions and row groups that can hold them."""
+        from xxhash import xxh64_intdigest
+
+        signed = [h - (1 << 64) if (h := xxh64_intdigest(x.encode(), 42)) >> 63 else h for x in lexemes]
+        return self.rows.where(F.col("bucket").isin(*sorted({h % self.buckets for h in signed})) & F.col("lexeme").isin(*lexemes)).drop("bucket") if lexemes else self.rows.where(F.lit(False)).drop("bucket")
+
+
+class Texts:
+    """Chunks that are searched without an index."""
+
+    def __init__(self, chunks: DataFrame, *, id: str = "chunk_id", text: str = "text"):
+        self.chunks = chunks.select(F.col(id).alias("chunk_id"), F.col(text).alias("text"))
+
+    def matching(self, lexemes: list[str], *, stem: bool = False) -> DataFrame:
+        """(chunk_id, hits) as :func:`match` gives them."""
+        rows = self.chunks
+        for x in lexemes if not stem else ():
+            rows = rows.where(F.contains(F.lower("text"), F.lit(x)))
+        spread = F.transform(tokens(F.col("text"), stem=stem), lambda t, i: F.struct((i + 1).alias("p"), t.alias("l")))
+        hits = F.filter(spread, lambda h: h["l"].isin(*lexemes)) if lexemes else F.slice(spread, 1, 0)
+        # A generator between them: the condition on the hits would else tokenise once more.
+        found = rows.select("chunk_id", F.explode(F.array(hits)).alias("hits"))
+        return found.where((F.size(F.array_distinct("hits.l")) == len(lexemes)) & F.lit(bool(lexemes)))
+
+
+def match(index: DataFrame | WrittenIndex | Texts, lexemes: list[str], *, stem: bool = False) -> DataFrame:
     """(chunk_id, hits) of chunks that hold all ``lexemes``; hits are (position, lexeme) in order. No lexemes match nothing."""
-    found = index.where(F.col("lexeme").isin(*lexemes) if lexemes else F.lit(False))
+    if isinstance(index, Texts):
+        return index.matching(lexemes, stem=stem)
+    found = index.of(lexemes) if isinstance(index, WrittenIndex) else index.where(F.col("lexeme").isin(*lexemes) if lexemes else F.lit(False))
     spread = F.transform("positions", lambda p: F.struct(p.alias("p"), F.col("lexeme").alias("l")))
     per_chunk = found.groupBy("chunk_id").agg(F.count_distinct("lexeme").alias("n"), F.sort_array(F.flatten(F.collect_list(spread))).alias("hits"))
     return per_chunk.where(F.col("n") == len(lexemes)).drop("n")
@@ -159,8 +206,8 @@ def cover_density(hits: Column, n_lexemes: int) -> Column:
     return rank(hits)
 
 
-def search(index: DataFrame, query: str, limit: int, *, stem: bool = False) -> DataFrame:
+def search(index: DataFrame | WrittenIndex | Texts, query: str, limit: int, *, stem: bool = False) -> DataFrame:
     """(chunk_id, score): the ``limit`` best matches of all the query's lexemes, ties by chunk_id."""
     lexemes = query_lexemes(query, stem=stem)
-    scored = match(index, lexemes).select("chunk_id", cover_density(F.col("hits"), max(1, len(lexemes))).alias("score"))
+    scored = match(index, lexemes, stem=stem).select("chunk_id", cover_density(F.col("hits"), max(1, len(lexemes))).alias("score"))
     return scored.orderBy(F.desc("score"), "chunk_id").limit(limit)

@@ -79,26 +79,48 @@ def _is_service(side: str) -> Column:
     return F.col(f"{side}.entity_type").isin(*KUBERNETES) & ((F.col(f"{side}.entity_type") == "service") | F.lower(F.col(f"{side}.name")).contains("service"))
 
 
+def _prefixes(fuzzy: DataFrame) -> DataFrame:
+    """``fuzzy`` (id, tokens, ...) with a row per (token, mine, other): tokens by which a partner of ``other`` tokens is found.
+
+    For a score of THRESHOLD two names of ``mine`` and ``other`` tokens share ``need`` of them at least, so that their first
+    ``mine - need + 1`` and ``other - need + 1`` tokens, in one common order, have one in common. Common tokens come last in
+    it: those with more than a thousandth of all tokens, of which there are a thousand at most.
+    """
+    listed = fuzzy.select(F.explode("tokens").alias("token"))
+    total = listed.count()
+    common = listed.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") * 1000 > total)
+    common = {r["token"]: r["df"] for r in common.collect()}  # at most a thousand
+    weights = F.create_map(*[F.lit(x) for k, v in common.items() for x in (k, v)]) if common else F.create_map().cast("map<string,bigint>")
+    order = F.sort_array(F.transform("tokens", lambda t: F.struct(F.coalesce(F.try_element_at(weights, t), F.lit(0)).cast("long").alias("df"), t.alias("t"))))
+    mine = F.size("tokens")
+    ratio = THRESHOLD / (2 - THRESHOLD)
+    sizes = F.sequence(F.greatest(F.lit(1), F.ceil(mine * ratio - 1e-9).cast("int")), F.greatest(F.lit(1), F.floor(mine / ratio + 1e-9).cast("int")))
+    each = fuzzy.where(mine > 0).withColumn("mine", mine).withColumn("o", order).withColumn("other", F.explode(sizes))
+    need = F.ceil(THRESHOLD / 2 * (F.col("mine") + F.col("other")) - 1e-9).cast("int")
+    return each.withColumn("x", F.explode(F.slice("o", F.lit(1), F.greatest(F.lit(0), F.col("mine") - need + 1)))).withColumn("token", F.col("x.t")).drop("o", "x")
+
+
 def link_sources(entities: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """New cross-source edges (source_entity_id, target_entity_id, edge_type, score, strategy, linked_source_id).
 
-    Equal names meet in equi-joins on the canonical form, similar ones on a shared token: a Dice score of 0.5 needs one, so
-    no pair is lost and none is compared that shares nothing. A pair is linked once, from the smaller source id, by its
-    first strategy; pairs that ``existing`` edges link either way stay out. Names without a canonical form match nothing.
+    Equal names meet in equi-joins on the canonical form, similar ones on the rarer of their tokens (see ``_prefixes``), so
+    no pair is lost, and a word in every name brings none together that doesn't link. A pair is linked once, from the
+    smaller source id, by its first strategy; pairs that ``existing`` edges link either way stay out. Names without a
+    canonical form match nothing.
     """
     e = entities.select("id", "source_id", "entity_type", "name", "display_name", normalize_name(F.col("name")).alias("n"), normalize_name(F.col("display_name")).alias("d"))
     fuzzy = e.where(F.col("entity_type").isin(*TERRAFORM, *KUBERNETES, *DASHBOARDS)).withColumn("tokens", name_tokens(F.col("n")))
     apart = F.col("a.source_id") < F.col("b.source_id")
+    prefixes = _prefixes(fuzzy)
 
     def pairs(on: Column, score: Column, order: int, strategy: str, left: DataFrame, right: DataFrame) -> DataFrame:
         j = left.alias("a").join(right.alias("b"), on & apart)
         return j.select(F.col("a.id").alias("source_entity_id"), F.col("b.id").alias("target_entity_id"), F.col("b.source_id").alias("linked_source_id"), score.alias("score"), F.lit(order).alias("o"), F.lit(strategy).alias("strategy"))
 
     def like(side_a: Column, side_b: Column, order: int, strategy: str) -> DataFrame:
-        t = fuzzy.withColumn("token", F.explode("tokens"))
-        keys = t.alias("a").join(t.alias("b"), (F.col("a.token") == F.col("b.token")) & apart & side_a & side_b).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
-        both = keys.join(fuzzy.alias("a"), F.col("x") == F.col("a.id")).join(fuzzy.alias("b"), F.col("y") == F.col("b.id"))
+        met = (F.col("a.token") == F.col("b.token")) & (F.col("a.mine") == F.col("b.other")) & (F.col("a.other") == F.col("b.mine"))
         score = F.when(F.col("a.n") == F.col("b.n"), F.lit(1.0)).otherwise(dice(F.col("a.tokens"), F.col("b.tokens")))
+        both = prefixes.alias("a").join(prefixes.alias("b"), met & apart & side_a & side_b)
         rows = both.select(F.col("a.id").alias("source_entity_id"), F.col("b.id").alias("target_entity_id"), F.col("b.source_id").alias("linked_source_id"), score.alias("score"), F.lit(order).alias("o"), F.lit(strategy).alias("strategy"))
         return rows.where(F.col("score") >= THRESHOLD)
 

@@ -113,10 +113,12 @@ def hit_columns(default_score: float = 0.0) -> list[Column]:
 
 
 class Engine:
-    """Search and lookups over the logical tables. ``index`` is a postings table, ``embed`` gives a query's vector."""
+    """Search and lookups over the logical tables. ``embed`` gives a query's vector; ``index`` is a postings table or a written
+    index, ``cells`` a written vector index; without them the chunks are scanned."""
 
-    def __init__(self, *, sources: DataFrame, documents: DataFrame, chunks: DataFrame, index: DataFrame, embed: Callable[[str], Sequence[float]], entities: DataFrame | None = None, edges: DataFrame | None = None, reranker: Callable[[Column], Column] | None = None, now: Callable[[], datetime] = lambda: datetime.now(UTC), stem: bool = False):
-        self.sources, self.documents, self.chunks, self.index = sources, documents, chunks, index
+    def __init__(self, *, sources: DataFrame, documents: DataFrame, chunks: DataFrame, embed: Callable[[str], Sequence[float]], entities: DataFrame | None = None, edges: DataFrame | None = None, reranker: Callable[[Column], Column] | None = None, now: Callable[[], datetime] = lambda: datetime.now(UTC), stem: bool = False, index: DataFrame | fulltext.WrittenIndex | None = None, cells: vector.CellIndex | None = None):
+        self.sources, self.documents, self.chunks, self.cells = sources, documents, chunks, cells
+        self.index = fulltext.Texts(chunks, id="id") if index is None else index
         self.embed, self.entities, self.edges, self.reranker, self.now, self.stem = embed, entities, edges, reranker, now, stem
 
     def select_strategy(self, request: SearchRequest) -> str:
@@ -143,8 +145,8 @@ class Engine:
     def _narrowed(self, request: SearchRequest) -> Engine:
         kept = filters.apply(self._joined(), *clauses(request, self.now())).select("chunk_id")
         out = Engine(**{k: getattr(self, k) for k in ("sources", "documents", "chunks", "index", "embed", "entities", "edges", "reranker", "now", "stem")})
-        out.chunks = self.chunks.join(kept, self.chunks["id"] == kept["chunk_id"], "left_semi")
-        out.index = self.index.join(kept, "chunk_id", "left_semi")
+        out.chunks, out.cells = self.chunks.join(kept, self.chunks["id"] == kept["chunk_id"], "left_semi"), None
+        out.index = self.index.join(kept, "chunk_id", "left_semi") if isinstance(self.index, DataFrame) else fulltext.Texts(out.chunks, id="id")
         return out
 
     def _joined(self) -> DataFrame:
@@ -161,7 +163,7 @@ class Engine:
     def _hybrid(self, request: SearchRequest) -> SearchResult:
         pool = 50 if self.reranker else request.top_k
         q = self.embed(request.query)
-        by_vector = vector.nearest(self.chunks.withColumnRenamed("id", "chunk_id"), q, 2 * pool)
+        by_vector = self.cells.nearest(q, 2 * pool) if self.cells else vector.nearest(self.chunks.withColumnRenamed("id", "chunk_id"), q, 2 * pool)
         by_text = fulltext.search(self.index, request.query, 2 * pool, stem=self.stem)
         hits = self._finish(request, fusion.reciprocal_rank_fusion([by_vector, by_text]), pool)
         if self.reranker:

@@ -44,6 +44,12 @@ def documents(spark: SparkSession, sf_dir: str, *, hashed: bool = False) -> Data
     return out
 
 
+def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text) of the same chunks."""
+    c = fixed_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return c.select(F.concat("doc_id", F.lit(":"), "ord").alias("id"), F.col("chunk_text").alias("text"))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed windows of 512 words; the first of a document has the embedding of the same number."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
@@ -58,7 +64,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions, nations, customers, suppliers and parts, each table a source; customers and suppliers have chunks."""
+    """Regions, nations, customers and suppliers, each table a source; customers and suppliers have chunks."""
 
     def rows(name: str, key: str, label: str, kind: str, chunk: bool) -> DataFrame:
         t = table(spark, sf_dir, name)

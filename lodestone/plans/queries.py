@@ -134,13 +134,13 @@ def thread_assembly(spark, sf_dir):
 # --- search --------------------------------------------------------------------------------------------------------------
 
 
-def _index(spark, sf_dir) -> DataFrame:
-    return fulltext.postings(corpus.chunks(spark, sf_dir).select("id", "text"), id="id")
+def _texts(spark, sf_dir) -> fulltext.Texts:
+    return fulltext.Texts(corpus.chunk_texts(spark, sf_dir), id="id")
 
 
 def _engine(spark, sf_dir) -> search.Engine:
     chunks = corpus.chunks(spark, sf_dir)
-    return search.Engine(sources=corpus.sources(spark, sf_dir), documents=corpus.documents(spark, sf_dir), chunks=chunks, index=fulltext.postings(chunks, id="id"), embed=lambda q: UNIT, entities=corpus.entities(spark, sf_dir), edges=corpus.edges(spark, sf_dir), now=lambda: NOW)
+    return search.Engine(sources=corpus.sources(spark, sf_dir), documents=corpus.documents(spark, sf_dir), chunks=chunks, index=_texts(spark, sf_dir), embed=lambda q: UNIT, entities=corpus.entities(spark, sf_dir), edges=corpus.edges(spark, sf_dir), now=lambda: NOW)
 
 
 def _flat(hits: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def vector_topk(spark, sf_dir):
 
 @query(f"with {CHUNKS}, {TOKENS}, {MATCH}, {VEC}, {RRF} select chunk_id, round(score, 9) as score from rrf")
 def rrf_fusion(spark, sf_dir):
-    lists = [vector.nearest(corpus.chunks(spark, sf_dir).withColumnRenamed("id", "chunk_id"), UNIT, 40), fulltext.search(_index(spark, sf_dir), QUESTION, 40)]
+    lists = [vector.nearest(corpus.chunks(spark, sf_dir).withColumnRenamed("id", "chunk_id"), UNIT, 40), fulltext.search(_texts(spark, sf_dir), QUESTION, 40)]
     return fusion.reciprocal_rank_fusion(lists).select("chunk_id", F.round("score", 9).alias("score"))
 
 
@@ -250,11 +250,12 @@ def filter_workspace(spark, sf_dir):
     return filters.workspace(corpus.sources(spark, sf_dir), "tenant1").select("name")
 
 
-@query(f"with {CHUNKS}, {DOCS}, {SOURCES} select {_FLAT.replace('round(x.score, 9)', '1.0::double')} from (select id as chunk_id from chk order by id limit 30) x {_ENRICH}")
+@query(f"with {CHUNKS}, {DOCS}, {SOURCES} select {_FLAT.replace('round(x.score, 9)', '1.0::double')} from (select id as chunk_id from chk) x {_ENRICH}")
 def enrich_hits(spark, sf_dir):
+    """Every chunk is a candidate."""
     chunks = corpus.chunks(spark, sf_dir)
-    picked = chunks.select(F.col("id").alias("chunk_id"), F.lit(1.0).alias("score")).orderBy("chunk_id").limit(30)
-    return _flat(search.enrich(picked, chunks, corpus.documents(spark, sf_dir), corpus.sources(spark, sf_dir)).select(*search.hit_columns()))
+    picked = chunks.select(F.col("id").alias("chunk_id"), F.lit(1.0).alias("score"))
+    return _flat(search.enrich(picked, chunks, corpus.documents(spark, sf_dir), corpus.sources(spark, sf_dir), bounded=False).select(*search.hit_columns()))
 
 
 @query(f"with {CHUNKS} select id, 'v' || (doc_id % 2) as parser_version, 'run' || (doc_id % 5) as ingestion_run_id from chk where doc_id % 2 = 1 and doc_id % 5 = 2")
@@ -441,8 +442,7 @@ def dead_letter_split(spark, sf_dir):
 
 @query()
 def keyword_search_stemmed(spark, sf_dir):
-    chunks = corpus.chunks(spark, sf_dir)
-    return fulltext.search(fulltext.postings(chunks, id="id", stem=True), "inon tiea erre", 20, stem=True)
+    return fulltext.search(_texts(spark, sf_dir), "inon tiea erre", 20, stem=True)
 
 
 @query()

@@ -1,3 +1,4 @@
+import re
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -54,6 +55,55 @@ def test_vector_and_lsh(spark):
     assert len(set(near) & set(exact)) >= 4
 
 
+def test_written_indexes(spark, sf, tmp_path):
+    from lodestone.plans import corpus, queries
+
+    chunks = corpus.chunks(spark, sf).select("id", "text", "embedding").persist()
+    made = fulltext.postings(chunks, id="id")
+    fulltext.write_index(made, str(tmp_path / "text"), buckets=8)
+    written = fulltext.WrittenIndex(spark, str(tmp_path / "text"))
+    for question in (queries.QUESTION, "inon tiea erre", "the", "nowhere inon"):
+        want = [tuple(r) for r in fulltext.search(made, question, 30).collect()]
+        assert [tuple(r) for r in fulltext.search(written, question, 30).collect()] == want
+        assert [tuple(r) for r in fulltext.search(fulltext.Texts(chunks, id="id"), question, 30).collect()] == want
+    plan = written.of(["inon"])._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*bucket", plan) and "EqualTo(lexeme,inon)" in plan
+    stemmed = fulltext.postings(chunks, id="id", stem=True)
+    assert [tuple(r) for r in fulltext.search(stemmed, "inon tiea", 9, stem=True).collect()] == [tuple(r) for r in fulltext.search(fulltext.Texts(chunks, id="id"), "inon tiea", 9, stem=True).collect()]
+
+
+@pytest.mark.parametrize("kind", ["cells", "projections"])
+def test_recall_of_approximate_indexes(spark, tmp_path, kind):
+    """The registered parameters against the exact search, for queries among the vectors and one of its own."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").persist()
+    if kind == "cells":
+        vector.write_cells(rows, str(tmp_path / "cells"), id="vec_id")
+        index = vector.CellIndex(spark, str(tmp_path / "cells"))
+        assert index.rows.count() == rows.where("embedding is not null").count()
+    else:
+        index = vector.LshIndex(rows, id="vec_id")
+    asked = [list(r.embedding) for r in rows.where("vec_id % 97 = 0 and embedding is not null").limit(10).collect()] + [[1.0] + [0.0] * 63]
+    hit = total = 0
+    for q in asked:
+        want = {r.chunk_id for r in vector.nearest(rows, q, 20, id="vec_id").collect()}
+        hit += len(want & {r.chunk_id for r in index.nearest(q, 20).collect()})
+        total += len(want)
+    assert hit / total >= 0.9, hit / total
+
+
+def test_a_word_in_every_name_brings_no_pairs_together(spark):
+    def candidates(n):
+        names = [(f"t{i}", "tf", "terraform_resource", f"prod_api_{i}a") for i in range(n)] + [(f"k{i}", "k8s", "k8s_resource", f"prod_web_{i}b") for i in range(n)]
+        e = spark.createDataFrame([(*x, x[0]) for x in names], "id string, source_id string, entity_type string, name string, display_name string")
+        assert graph.link_sources(e).count() == 0
+        from lodestone.functions.entities import name_tokens, normalize_name
+
+        p = graph._prefixes(e.withColumn("tokens", name_tokens(normalize_name(e.name)))).persist()
+        return p.alias("a").join(p.alias("b"), "token").where("a.source_id < b.source_id and a.mine = b.other and a.other = b.mine").count(), p.count()
+
+    assert [c for c, _ in map(candidates, (30, 60))] == [0, 0] and candidates(60)[1] == 2 * candidates(30)[1]
+
+
 def test_filters(spark):
     df = spark.createDataFrame([(1, NOW - timedelta(seconds=60), None, {"k": "v"}, '{"a": {"b": 1}, "t": [1, 2]}'), (2, NOW - timedelta(seconds=61), NOW, None, None)], "id int, indexed_at timestamp, tombstoned_at timestamp, metadata map<string,string>, raw string")
     ids = lambda *c: [r.id for r in filters.apply(df, *c).orderBy("id").collect()]
