@@ -34,8 +34,13 @@ def _contains(value: Column, want: Any) -> Column:
         tests = [_contains(F.try_variant_get(value, f"$['{k}']", "variant"), v) for k, v in want.items()]
         return reduce(lambda a, b: a & b, tests, F.schema_of_variant(value).startswith("OBJECT"))
     if isinstance(want, list):
-        have = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.to_json(x))
-        return F.size(F.array_except(F.array(*[F.lit(json.dumps(x, separators=(",", ":"), ensure_ascii=False)) for x in want]).cast("array<string>"), have)) == 0
+        have = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+        def member(w: Any) -> Column:
+            return F.exists(have, lambda x: F.coalesce(_contains(x, w), F.lit(False)))
+
+        tests = [member(w) for w in want]
+        return reduce(lambda a, b: a & b, tests, F.schema_of_variant(value).startswith("ARRAY"))
     return F.to_json(value) == F.lit(json.dumps(want, ensure_ascii=False))
 
 
@@ -77,6 +82,40 @@ def has_scopes(granted: Column, required: Sequence[str]) -> Column:
     return F.size(F.array_except(F.array(*map(F.lit, required)).cast("array<string>"), every)) == 0
 
 
+#: What an access token starts with, and how much of it is stored in the clear to find its row.
+TOKEN_PREFIX, SHOWN = "lds_", 12
+
+
+def token_hash(token: Column) -> Column:
+    return F.sha2(token, 256)
+
+
+def issue_token(name: str, scopes: Sequence[str], *, workspace_id: str | None = None, expires_at: datetime | None = None) -> tuple[str, dict[str, Any]]:
+    """(the token, its row): only the start and the hash are stored."""
+    import hashlib
+    import secrets
+    import uuid
+
+    token = TOKEN_PREFIX + secrets.token_urlsafe(32)
+    row = {"id": str(uuid.uuid4()), "name": name, "prefix": token[:SHOWN], "hash": hashlib.sha256(token.encode()).hexdigest(), "scopes": list(scopes), "workspace_id": workspace_id, "expires_at": expires_at, "is_active": True}
+    return token, row
+
+
+def revoke_tokens(tokens: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Soft deletion: the rows stay, inactive."""
+    return tokens.withColumn("is_active", F.col("is_active") & ~F.col("id").isin(*ids)) if ids else tokens
+
+
+def authenticate(presented: DataFrame, tokens: DataFrame, now: datetime, required: Sequence[str] = ()) -> DataFrame:
+    """``presented`` (token, ...) with token_id and status: ok, forbidden (a scope is missing) or unauthorized. Rows meet on
+    the stored start, then the hash decides."""
+    known = valid_tokens(tokens, now).select(F.col("id").alias("token_id"), F.col("prefix").alias("__prefix"), F.col("hash").alias("__hash"), "scopes")
+    found = presented.join(known, (F.substring("token", 1, SHOWN) == F.col("__prefix")) & (token_hash(F.col("token")) == F.col("__hash")), "left")
+    enough = has_scopes(F.col("scopes"), required) if required else F.lit(True)
+    status = F.when(F.col("token_id").isNull(), "unauthorized").when(enough, "ok").otherwise("forbidden")
+    return found.select(*presented.columns, "token_id", status.alias("status"))
+
+
 def valid_tokens(tokens: DataFrame, now: datetime) -> DataFrame:
     return tokens.where(F.col("is_active") & (F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now))))
 

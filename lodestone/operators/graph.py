@@ -28,12 +28,13 @@ def resolve_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:
     return joined.where(F.col("source_entity_id") != F.col("entity_id")).select("source_entity_id", F.col("entity_id").alias("target_entity_id"), "edge_type")
 
 
-def replace_graph(old_entities: DataFrame, old_edges: DataFrame, entities: DataFrame, edges: DataFrame, *, scope: str = "document_id") -> tuple[DataFrame, DataFrame]:
+def replace_graph(old_entities: DataFrame, old_edges: DataFrame, entities: DataFrame, edges: DataFrame, *, scope: str = "document_id", touched: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Entities and edges after new ones replaced those of the same ``scope`` (a document, or ``source_id``).
 
-    Edges that touch a replaced entity go with it, as foreign keys cascade.
+    Edges that touch a replaced entity go with it, as foreign keys cascade. ``touched`` lists the scopes (default: those that
+    have new entities), so that one without any entity left loses its old ones.
     """
-    touched = entities.select(scope).distinct()
+    touched = (entities if touched is None else touched).select(scope).distinct()
     gone = old_entities.join(touched, scope, "left_semi").select("id")
     kept_edges = old_edges.join(gone, old_edges["source_entity_id"] == gone["id"], "left_anti").join(gone, F.col("target_entity_id") == gone["id"], "left_anti")
     kept = old_entities.join(touched, scope, "left_anti")

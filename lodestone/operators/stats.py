@@ -53,16 +53,37 @@ def list_runs(runs: DataFrame, *, source_id: str | None = None, status: str | No
     return out.orderBy(F.desc("started_at"), "id").limit(min(200, max(1, limit)))
 
 
+def run_errors(results: DataFrame) -> DataFrame:
+    """(run_id, source_id, external_id, error): the last error of each document of a run, one row each."""
+    return results.where("error is not null").groupBy("run_id", "source_id", "external_id").agg(F.max_by("error", "at").alias("error"))
+
+
+#: Errors that a run's own row lists; all of them are rows of :func:`run_errors`.
+LISTED_ERRORS = 100
+
+
 def track_runs(results: DataFrame) -> DataFrame:
-    """Runs from process results (run_id, source_id, external_id, action, error, at): counters, errors by document (the last
-    of each counts) and status: partial with any error, else ok."""
-    last = results.where("error is not null").groupBy("run_id", "external_id").agg(F.max_by("error", "at").alias("error"))
-    errors = last.groupBy("run_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("external_id", "error")))).alias("errors"))
+    """Runs from process results (run_id, source_id, external_id, action, error, at): counters, documents with errors, and
+    status: partial with any error of that source, else ok. ``errors`` maps the first LISTED_ERRORS such documents to theirs."""
+    last = run_errors(results)
+    # The least ids of each task, then of these: no list grows with the errors.
+    salted = last.groupBy("run_id", "source_id", F.pmod(F.xxhash64("external_id"), F.lit(64)).alias("salt")).agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_list(F.struct("external_id", "error"))), 1, LISTED_ERRORS).alias("some"))
+    errors = salted.groupBy("run_id", "source_id").agg(F.sum("n").alias("docs_failed"), F.map_from_entries(F.slice(F.sort_array(F.flatten(F.collect_list("some"))), 1, LISTED_ERRORS)).alias("errors"))
     counts = results.groupBy("run_id", "source_id").agg(
         F.min("at").alias("started_at"), F.max("at").alias("finished_at"),
         F.count_if(F.col("action") == "created").alias("docs_new"), F.count_if(F.col("action") == "updated").alias("docs_updated"), F.count_if(F.col("action") == "deleted").alias("docs_removed"),
     )
-    return counts.join(errors, "run_id", "left").withColumn("status", F.when(F.col("errors").isNull(), "ok").otherwise("partial"))
+    joined = counts.join(errors, ["run_id", "source_id"], "left")
+    return joined.withColumn("docs_failed", F.coalesce("docs_failed", F.lit(0).cast("long"))).withColumn("status", F.when(F.col("errors").isNull(), "ok").otherwise("partial"))
+
+
+def source_stats(sources: DataFrame, documents: DataFrame, chunks: DataFrame, runs: DataFrame, now: datetime) -> DataFrame:
+    """Everything about each source in a row: documents, chunks, freshness and its last run."""
+    d, c = document_counts(documents), chunk_counts(chunks, documents)
+    r = latest_run(runs).select("source_id", F.col("id").alias("last_run_id"), F.col("status").alias("last_run_status"))
+    s = sources.select(F.col("id").alias("source_id"), "name", "type", is_stale(F.col("freshness_sla_seconds"), F.col("last_sync_at"), now).alias("is_stale"))
+    out = s.join(d, "source_id", "left").join(c, "source_id", "left").join(r, "source_id", "left")
+    return out.na.fill(0, ["total_documents", "active_documents", "total_chunks", "active_chunks"])
 
 
 def histogram(rows: DataFrame, value: str, by: list[str], buckets: list[float] | None = None) -> DataFrame:

@@ -79,16 +79,51 @@ def patch(table: DataFrame, id: str, values: dict) -> DataFrame:
     return table.withColumns({k: F.when(F.col("id") == id, F.lit(v)).otherwise(F.col(k)).cast(table.schema[k].dataType) for k, v in values.items()})
 
 
+def _pointers(spark, path: str):
+    """(file system, folder of pointers) of a table."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_pointer")
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def _versions(fs, folder) -> list[str]:
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().startswith("n")) if fs.exists(folder) else []
+
+
 def swap(df: DataFrame, path: str) -> str:
-    """Writes ``df`` as the next version below ``path`` and points ``_current`` at it; readers use :func:`current`."""
+    """Writes ``df`` as the next version below ``path`` and points readers at it (:func:`current`).
+
+    A pointer is a file whose name holds its number and the version; it is made by one rename, and the highest number counts.
+    So readers always find a whole version, and a writer that dies leaves the one before.
+    """
     import uuid
 
     spark = df.sparkSession
-    version = f"{path}/v-{uuid.uuid4().hex}"
-    df.write.parquet(version)
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/_pointer")
-    return version
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    fs, folder = _pointers(spark, path)
+    fs.mkdirs(folder)
+    have = _versions(fs, folder)
+    number = int(have[-1][1:20]) + 1 if have else 0
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    draft = make(f"{path}/_pointer/draft-{version}")
+    fs.create(draft, True).close()
+    if not fs.rename(draft, make(f"{path}/_pointer/n{number:019d}-{version}")):
+        raise OSError(f"no pointer could be made in {path}")
+    return f"{path}/{version}"
 
 
 def current(spark, path: str) -> DataFrame:
-    return spark.read.parquet(spark.read.schema("version string").json(f"{path}/_pointer").first()[0])
+    have = _versions(*_pointers(spark, path))
+    if not have:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/{have[-1][21:]}")
+
+
+def insert(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """``table`` with ``rows`` whose id it doesn't have; columns that they lack are null."""
+    return table.unionByName(rows.join(table.select("id"), "id", "left_anti"), allowMissingColumns=True)
+
+
+def delete(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """``table`` without the rows of ``ids`` (id); children follow by :func:`cascade` or :func:`set_null`."""
+    return table.join(ids.select("id"), "id", "left_anti")

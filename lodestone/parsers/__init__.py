@@ -81,3 +81,25 @@ def extract_graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     entities = rows.where("row = 'entity'").selectExpr("sha1(concat_ws(':', document_id, name)) as id", "document_id", "kind as entity_type", "name", "display_name")
     edges = rows.where("row = 'edge'").selectExpr("sha1(concat_ws(':', document_id, name)) as source_entity_id", "document_id", "kind as edge_type", "target_name")
     return entities, edges
+
+
+RICH_TEXT = {"notion_blocks": markup.notion_blocks, "notion_property": lambda v: json.dumps(markup.notion_property(v), ensure_ascii=False), "adf": markup.adf}
+
+
+def rich_text(column, kind: str):
+    """JSON of a kind of RICH_TEXT as Markdown (a Notion property as JSON); null, or what isn't JSON, is null."""
+    from pyspark.sql import functions as F
+
+    render = RICH_TEXT[kind]
+
+    @F.pandas_udf("string")
+    def run(rows: pd.Series) -> pd.Series:
+        def one(raw):
+            try:
+                return None if raw is None else render(json.loads(raw))
+            except ValueError:
+                return None
+
+        return pd.Series([one(r) for r in rows])
+
+    return run(column)

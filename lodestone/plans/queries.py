@@ -309,7 +309,7 @@ coalesce(any_value(failed), 0) as failed, case when any_value(failed) is null th
 def run_counters(spark, sf_dir):
     e = corpus.change_events(spark, sf_dir).withColumn("error", F.when(F.col("action") == "error", F.col("value").cast("string")))
     r = stats.track_runs(e.withColumn("source_id", F.col("source_type")).withColumn("run_id", F.concat("run_id", F.lit("/"), "source_type")))
-    return r.select(F.split_part("run_id", F.lit("/"), F.lit(1)).alias("run_id"), "source_id", "docs_new", "docs_updated", "docs_removed", F.coalesce(F.size(F.map_keys("errors")), F.lit(0)).cast("long").alias("failed"), "status")
+    return r.select(F.split_part("run_id", F.lit("/"), F.lit(1)).alias("run_id"), "source_id", "docs_new", "docs_updated", "docs_removed", F.col("docs_failed").alias("failed"), "status")
 
 
 _LE = " union all ".join(f"select source_type, '{b}' as le, count(*) filter (where value <= {b}) as n from evt group by source_type" for b in stats.STAGE_BUCKETS)
@@ -472,8 +472,11 @@ def schema_markdown(spark, sf_dir):
     """The test tables' own schemas as documents."""
     from lodestone.sources import database
 
-    names_ = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"]
+    names_ = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
     rows = [("main", t, f.name, i, f.dataType.simpleString(), f.dataType.simpleString(), "YES", None, None, None, None, None) for t in names_ for i, f in enumerate(table(spark, sf_dir, t).schema.fields, 1)]
     columns = spark.createDataFrame(rows, "table_schema string, table_name string, column_name string, ordinal_position int, data_type string, udt_name string, is_nullable string, column_default string, character_maximum_length int, numeric_precision int, numeric_scale int, comment string")
     keys = spark.createDataFrame([("main", "nation", "PRIMARY KEY", "pk", "n_nationkey", None, None, None, 1), ("main", "nation", "FOREIGN KEY", "fk", "n_regionkey", "region", "r_regionkey", None, 1)], "table_schema string, table_name string, constraint_type string, constraint_name string, column_name string, foreign_table_name string, foreign_column_name string, check_clause string, ordinal int")
     return database.schema_markdown(columns.select("table_schema", "table_name").distinct(), columns, keys)
+
+
+from lodestone.plans import derived  # noqa: E402, F401  (registers its queries)

@@ -18,7 +18,8 @@ RUNS = _schema(("id", _S), ("source_id", _S), ("status", _S), ("started_at", _TS
 TOKENS = _schema(("id", _S), ("name", _S), ("prefix", _S), ("hash", _S), ("scopes", T.ArrayType(_S)), ("workspace_id", _S), ("expires_at", _TS), ("is_active", _B))
 ENTITIES = _schema(("id", _S), ("source_id", _S), ("entity_type", _S), ("name", _S), ("display_name", _S), ("chunk_id", _S), ("metadata", _MAP))
 EDGES = _schema(("id", _S), ("source_entity_id", _S), ("target_entity_id", _S), ("edge_type", _S), ("metadata", _MAP))
-CHANGE_EVENTS = _schema(("source_id", _S), ("source_type", _S), ("external_id", _S), ("uri", _S), ("action", _S))
+#: ``seq`` orders the events of a document, ``attempt`` counts deliveries.
+CHANGE_EVENTS = _schema(("source_id", _S), ("source_type", _S), ("external_id", _S), ("uri", _S), ("action", _S), ("seq", _L), ("attempt", _L))
 SECTION = _schema(("heading_path", T.ArrayType(_S)), ("text", _S), ("line_start", _I), ("line_end", _I), ("symbol", _S), ("metadata", _MAP))
 
 #: Fixed values.

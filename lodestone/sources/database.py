@@ -13,6 +13,15 @@ from lodestone.operators.filters import allow_then_deny
 Reader = Callable[[str], DataFrame]
 
 
+#: Columns with their comments as PostgreSQL keeps them; other databases are given a query of their own.
+COLUMNS_WITH_COMMENTS = (
+    "select c.*, d.description as comment from information_schema.columns c"
+    " left join pg_catalog.pg_namespace n on n.nspname = c.table_schema left join pg_catalog.pg_class t on t.relname = c.table_name and t.relnamespace = n.oid"
+    " left join pg_catalog.pg_description d on d.objoid = t.oid and d.objsubid = c.ordinal_position"
+)
+COLUMNS = "select c.*, cast(null as varchar) as comment from information_schema.columns c"
+
+
 def jdbc_reader(spark: SparkSession, url: str, **options: str) -> Reader:
     return lambda query: spark.read.format("jdbc").option("url", url).option("query", query).options(**options).load()
 
@@ -67,7 +76,8 @@ def schema_markdown(tables: DataFrame, columns: DataFrame, constraints: DataFram
 class DatabaseConnector:
     """``read`` runs a query on the database (for example :func:`jdbc_reader`)."""
 
-    def __init__(self, read: Reader, schemas: Sequence[str] = ("public",), include: Sequence[str] = (), exclude: Sequence[str] = (), include_views: bool = True):
+    def __init__(self, read: Reader, schemas: Sequence[str] = ("public",), include: Sequence[str] = (), exclude: Sequence[str] = (), include_views: bool = True, columns_query: str = COLUMNS_WITH_COMMENTS):
+        self.columns_query = columns_query
         self.read, self.schemas, self.include, self.exclude, self.views = read, schemas, include, exclude, include_views
 
     def validate(self, spark: SparkSession) -> None:
@@ -83,7 +93,7 @@ class DatabaseConnector:
         return self._tables().select(F.sha1(name).alias("external_id"), F.concat(F.lit("db://"), "table_schema", F.lit("/"), "table_name").alias("uri"), F.lit(None).cast("timestamp").alias("updated_at"), F.create_map(F.lit("schema"), F.col("table_schema"), F.lit("table"), F.col("table_name"), F.lit("table_type"), F.col("table_type")).alias("metadata"))
 
     def fetch(self, spark: SparkSession, refs: DataFrame | None = None) -> DataFrame:
-        columns = self.read("select c.*, cast(null as varchar) as comment from information_schema.columns c")
+        columns = self.read(self.columns_query)
         constraints = self.read(
             "select t.table_schema, t.table_name, t.constraint_type, t.constraint_name, k.column_name, u.table_name as foreign_table_name, u.column_name as foreign_column_name, c.check_clause, k.ordinal_position as ordinal"
             " from information_schema.table_constraints t left join information_schema.key_column_usage k on t.constraint_schema = k.constraint_schema and t.constraint_name = k.constraint_name and t.table_name = k.table_name"

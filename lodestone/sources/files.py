@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.sources.registry import guess_type
+from lodestone.sources.registry import content_type
 
 MAX_BYTES = 1_000_000
 
@@ -53,7 +53,7 @@ class FileConnector:
         raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.root)
         bare = self.root.split(":", 1)[-1].lstrip("/") if ":" in self.root else self.root.lstrip("/")
         path = F.element_at(F.split("path", re.escape(bare) + "/", 2), -1)
-        kind = F.udf(guess_type)(F.col("external_id"))
+        kind = content_type(F.col("external_id"))
         out = raw.select(path.alias("external_id"), F.col("path").alias("uri"), F.col("modificationTime").alias("updated_at"), F.col("length").alias("size"), *(["content"] if content else []))
         hidden = F.col("external_id").rlike(r"(^|/)\.")
         kept = out.where(~hidden & (F.col("size") <= self.most) & ~F.col("external_id").contains("..") & matches(F.col("external_id"), self.include) & ~matches(F.col("external_id"), self.exclude))

@@ -25,6 +25,8 @@ CLUSTER_SCOPED = ["ClusterRole", "ClusterRoleBinding", "PersistentVolume", "Name
 PLURALS = {"Ingress": "ingresses", "NetworkPolicy": "networkpolicies"}
 ALWAYS_EXCLUDED = ["Secret", "Event"]
 MAX_ITERATIONS = 3
+#: Resources that one answer lists.
+PAGE = 500
 
 LanguageModel = Callable[[str], str]
 
@@ -86,14 +88,49 @@ class KubernetesConnector:
         skip = discover_with(self.model, f"Which of these kinds hold no documentation? Answer with a JSON list: {every}", parse_kinds, list)
         return select_kinds(every, self.config.get("exclude_kinds") or (), skip)
 
+    def _items(self, path: str):
+        """The resources of a list, page by page."""
+        token = None
+        while True:
+            page = self.get(self.config["base_url"] + path, {"limit": PAGE, "continue": token} if token else {"limit": PAGE}, self.headers)
+            yield from page.get("items") or []
+            token = (page.get("metadata") or {}).get("continue")
+            if not token:
+                return
+
     def discover(self, spark: SparkSession) -> DataFrame:
         rows = []
         for kind in self.kinds():
             for space in self.config.get("namespaces") or [None]:
-                for item in self.get(self.config["base_url"] + api_path(kind, space), {}, self.headers).get("items") or []:
+                for item in self._items(api_path(kind, space)):
                     m = item.get("metadata") or {}
                     name = f"{kind}/{m.get('namespace') or 'cluster'}/{m.get('name')}"
                     rows.append(Ref(name, f"k8s://{name}", None, {"version": m.get("resourceVersion"), "kind": kind}).row())
                 if kind in CLUSTER_SCOPED:
                     break
         return spark.createDataFrame(rows, REF)
+
+    def fetch(self, spark: SparkSession, refs: DataFrame) -> DataFrame:
+        """Each resource as YAML, read by tasks; managed fields and the last applied configuration are left out. One that is
+        gone in the meantime has no row."""
+        base, get, headers = self.config["base_url"], self.get, self.headers
+
+        def run(batches):
+            import pandas as pd
+            import yaml
+
+            for batch in batches:
+                rows = []
+                for r in batch.itertuples():
+                    kind, space, name = r.external_id.split("/", 2)
+                    item = get(f"{base}{api_path(kind, None if space == 'cluster' else space)}/{name}", {}, headers)
+                    if not item or not item.get("metadata"):
+                        continue
+                    meta = item["metadata"]
+                    meta.pop("managedFields", None)
+                    (meta.get("annotations") or {}).pop("kubectl.kubernetes.io/last-applied-configuration", None)
+                    item.setdefault("kind", kind)
+                    rows.append((r.external_id, r.uri, "application/x-kubernetes", yaml.safe_dump(item, sort_keys=True).encode()))
+                yield pd.DataFrame(rows, columns=["external_id", "uri", "content_type", "content"])
+
+        return refs.select("external_id", "uri").mapInPandas(run, "external_id string, uri string, content_type string, content binary")

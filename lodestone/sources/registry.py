@@ -46,5 +46,17 @@ class Registry:
         return sorted(self._known)
 
 
+def content_type(path):
+    """The MIME type of a path column, by its extension, in the JVM; ``text/plain`` where it isn't known."""
+    from pyspark.sql import functions as F
+
+    mimetypes.init()
+    known = {k: v for k, v in sorted(mimetypes.types_map.items()) if k.isascii()}
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    extension = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    hidden = F.regexp_extract(path, r"([^/]*)$", 1).rlike(r"^\.[^.]*$")
+    return F.when(hidden, F.lit("text/plain")).otherwise(F.coalesce(F.try_element_at(table, extension), F.lit("text/plain")))
+
+
 def guess_type(path: str) -> str:
     return mimetypes.guess_type(path)[0] or "text/plain"

@@ -35,8 +35,30 @@ def delivery_id(headers: Column) -> Column:
 
 
 def drop_replays(stream: DataFrame, id: str = "delivery_id", at: str = "at", seconds: int = REPLAY_SECONDS) -> DataFrame:
-    """First deliveries within the window, by event time; state older than the watermark is dropped."""
-    return stream.withWatermark(at, f"{seconds} seconds").dropDuplicatesWithinWatermark([id])
+    """First deliveries of a stream: one that repeats a delivery seen at most ``seconds`` before goes, and counts as seen then.
+
+    The last time of each id is state, which is dropped when the watermark has passed the window. Rows without an id stay.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def run(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(at)
+        (last,) = state.get if state.exists else (None,)
+        kept = []
+        for t in rows[at]:
+            now = t.timestamp()
+            kept.append(last is None or not 0 <= now - last <= seconds)
+            last = now if last is None else max(last, now)
+        state.update((last,))
+        state.setTimeoutTimestamp(max(int(last * 1000) + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield rows[kept]
+
+    marked = stream.withWatermark(at, f"{seconds} seconds")
+    held = marked.where(F.col(id).isNotNull()).groupBy(id).applyInPandasWithState(run, stream.schema, "last double", "append", GroupStateTimeout.EventTimeTimeout)
+    return held.unionByName(stream.where(F.col(id).isNull()))
 
 
 def mark_replays(rows: DataFrame, id: str = "delivery_id", at: str = "at", seconds: int = REPLAY_SECONDS) -> DataFrame:
@@ -167,13 +189,53 @@ def push_refs(pushes: DataFrame, body: str = "body") -> DataFrame:
     return refs.unionByName(bare).drop("__id")
 
 
-def run_pipeline(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
-    """Latest event of each document per micro-batch, then ``apply`` (upserts and tombstones are idempotent, so at least once
-    is enough)."""
+def webhook_status(requests: DataFrame, secrets: dict[str, str], now: datetime) -> DataFrame:
+    """``requests`` (source_type, headers, body, signature, stamp, at) with delivery_id and status, the first that holds:
+    unauthorized, late, replayed or accepted. Only rows that are authorized and in time count as deliveries."""
+    r = requests.withColumn("delivery_id", delivery_id(F.col("headers")))
+    ok = verified(F.col("source_type"), F.col("body"), F.col("signature"), F.col("stamp"), secrets, now) if secrets else F.lit(True)
+    late = is_late(payload_time(F.col("body")), F.unix_micros("at") / 1e6)
+    r = r.withColumn("__state", F.when(~ok, "unauthorized").when(late, "late").otherwise("accepted"))
+    key = F.when((F.col("__state") == "accepted") & F.col("delivery_id").isNotNull(), F.col("delivery_id")).otherwise(F.concat(F.lit("\0"), F.uuid()))
+    marked = mark_replays(r.withColumn("__key", key), id="__key")
+    status = F.when((F.col("__state") == "accepted") & F.col("duplicate"), "replayed").otherwise(F.col("__state"))
+    return marked.withColumn("status", status).drop("__state", "__key", "duplicate")
+
+
+def webhook_events(requests: DataFrame, secrets: dict[str, str], now: datetime) -> DataFrame:
+    """Change events of the accepted requests: files of push payloads, ordered by their time."""
+    taken = webhook_status(requests, secrets, now).where("status = 'accepted'")
+    refs = push_refs(taken.select("source_id", "source_type", F.unix_micros("at").alias("seq"), "body"))
+    return refs.select("source_id", "source_type", "external_id", F.col("path").alias("uri"), "action", "seq", F.lit(1).cast("long").alias("attempt"))
+
+
+def run_pipeline(stream: DataFrame, apply: Callable[[DataFrame, int], DataFrame | None], checkpoint: str, *, retry: str | None = None, dead_letters: str | None = None, max_deliver: int = MAX_DELIVER):
+    """Latest event of each document per micro-batch, by ``seq``, then ``apply`` (upserts and tombstones are idempotent, so at
+    least once is enough).
+
+    ``apply`` may return the events that failed (source_id, external_id, error): they are delivered again by JSON files in
+    ``retry`` (the folder that the stream reads), with ``attempt`` one higher, and in their ``max_deliver``-th attempt go to
+    ``dead_letters`` instead.
+    """
+    from lodestone.operators.ingest import latest
+
+    if "seq" not in stream.columns:
+        raise ValueError("change events need the column seq, which orders them")
 
     def each(batch: DataFrame, epoch: int) -> None:
-        order = "seq" if "seq" in batch.columns else "action"
-        latest = batch.groupBy("source_id", "external_id").agg(F.max_by(F.struct(*[c for c in batch.columns if c not in ("source_id", "external_id")]), order).alias("e"))
-        apply(latest.select("source_id", "external_id", "e.*"), epoch)
+        todo = latest(batch)
+        failed = apply(todo, epoch)
+        if failed is None or not retry and not dead_letters:
+            return
+        again = todo.join(failed.select("source_id", "external_id", "error"), ["source_id", "external_id"])
+        again = again.withColumn("attempt", F.coalesce("attempt", F.lit(1)).cast("long"))
+        dead = F.col("attempt") >= max_deliver
+        # A batch that is run again writes over its own files.
+        if dead_letters:
+            again.where(dead).withColumn("reason", F.lit("max_deliver")).write.mode("overwrite").json(f"{dead_letters}/batch={epoch}")
+        if retry:
+            next_try = again.where(~dead).withColumn("attempt", F.col("attempt") + 1).drop("error")
+            if not next_try.isEmpty():
+                next_try.coalesce(1).write.mode("append").json(retry)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True)

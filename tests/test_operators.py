@@ -111,6 +111,9 @@ def test_filters(spark):
     assert ids(filters.fresh("indexed_at", 60, NOW)) == [1] and ids(filters.live()) == [1] and ids(filters.live(include_tombstoned=True)) == [1, 2]
     assert ids(filters.metadata_contains("metadata", {"k": "v"})) == [1] and ids(filters.metadata_contains("metadata", {"k": "w"})) == []
     assert ids(filters.metadata_contains("raw", {"a": {"b": 1}, "t": [2]}, nested=True)) == [1] and ids(filters.metadata_contains("raw", {"t": [3]}, nested=True)) == []
+    deep = spark.createDataFrame([(1, '{"t": [{"b": 2, "a": [1, 3]}, 5]}'), (2, '{"t": {"a": 1}}')], "id int, raw string")
+    found = lambda want: [r.id for r in deep.where(filters.metadata_contains("raw", want, nested=True)).collect()]
+    assert found({"t": [{"a": [3]}]}) == [1] and found({"t": [{"a": [3], "b": 2}, 5]}) == [1] and found({"t": [{"a": [2]}]}) == [] and found({"t": []}) == [1]
     tenants = spark.createDataFrame([("a", "w1"), ("b", None), ("c", "w2")], "id string, workspace_id string")
     assert {r.id for r in filters.workspace(tenants, "w1").collect()} == {"a", "b"}
     assert filters.workspace(tenants, None).count() == 3
@@ -120,6 +123,16 @@ def test_filters(spark):
     assert [r[0] for r in scopes.select(filters.has_scopes(F.col("s"), ["search", "sources:write"])).collect()] == [True, False]
 
 
+def test_tokens(spark):
+    token, row = filters.issue_token("t", ["search"])
+    schema = "id string, name string, prefix string, hash string, scopes array<string>, workspace_id string, expires_at timestamp, is_active boolean"
+    tokens = spark.createDataFrame([tuple(row.values())], schema)
+    asked = spark.createDataFrame([(token,), (token + "x",), (None,)], "token string")
+    status = lambda t, *scopes: [r.status for r in filters.authenticate(asked, t, NOW, scopes).collect()]
+    assert sorted(status(tokens, "search")) == ["ok", "unauthorized", "unauthorized"] and "forbidden" in status(tokens, "admin")
+    assert set(status(filters.revoke_tokens(tokens, [row["id"]]))) == {"unauthorized"} and token not in row.values()
+
+
 def test_request_bounds():
     with pytest.raises(InvalidRequest):
         search.SearchRequest("q", top_k=0)

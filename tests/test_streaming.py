@@ -49,14 +49,62 @@ def test_push_refs(spark):
 
 
 def test_stream_end_to_end(spark, tmp_path):
-    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
-    rows = [("s", "git", "a", "u", "created"), ("s", "git", "a", "u", "updated"), (None, "git", "b", "u", "created")]
-    spark.createDataFrame(rows, CHANGE_EVENTS).write.json(src)
+    src, out, cp, dead = (str(tmp_path / x) for x in ("src", "out", "cp", "dead"))
+    # The deletion comes last by seq, though its name sorts first and its row stands first.
+    rows = [("s", "git", "a", "u", "deleted", 3, 1), ("s", "git", "a", "u", "created", 1, 1), ("s", "git", "a", "u", "updated", 2, 1), (None, "git", "b", "u", "created", 1, 1), ("s", "git", "c", "u", "updated", 1, 1)]
+    spark.createDataFrame(rows, CHANGE_EVENTS).coalesce(1).write.json(src)
     changes.publish(changes.read_events(spark, src), out, cp + "1").start().awaitTermination()
-    assert spark.read.json(out).count() == 2
+    assert spark.read.json(out).count() == 4
     seen = []
-    changes.run_pipeline(changes.read_events(spark, src), lambda df, epoch: seen.append(df.count()), cp + "2").start().awaitTermination()
-    assert sum(seen) >= 2
+
+    def apply(batch, epoch):
+        seen.extend((r.external_id, r.action, r.attempt) for r in batch.collect())
+        return batch.where("external_id = 'c'").selectExpr("source_id", "external_id", "'no' as error")
+
+    for _ in range(4):  # what failed is delivered again by the next run, and given up at the third attempt
+        changes.run_pipeline(changes.read_events(spark, src), apply, cp + "2", retry=src, dead_letters=dead, max_deliver=3).start().awaitTermination()
+    assert ("a", "deleted", 1) in seen and not [x for x in seen if x[0] == "a" and x[1] != "deleted"]
+    assert sorted(x[2] for x in seen if x[0] == "c") == [1, 2, 3]
+    given_up = spark.read.json(dead).collect()
+    assert [(r.external_id, r.attempt, r.reason, r.error) for r in given_up] == [("c", 3, "max_deliver", "no")]
+
+
+def test_webhooks(spark):
+    body = json.dumps({"timestamp": 1000.0, "commits": [{"id": "c", "added": ["x"]}]})
+    good = changes.sign("s", body.encode())
+    at_ = lambda n: datetime.fromtimestamp(n, UTC)
+    rows = [("1", "github", {"x-github-delivery": "d"}, body, good, None, at_(1001)), ("2", "github", {"x-github-delivery": "d"}, body, good, None, at_(1100)), ("3", "github", {"x-github-delivery": "e"}, body, "bad", None, at_(1001)), ("4", "github", {"x-github-delivery": "e"}, body, good, None, at_(1900)), ("5", "github", {}, body, good, None, at_(1002)), ("6", "github", {}, body, good, None, at_(1003))]
+    df = spark.createDataFrame(rows, "source_id string, source_type string, headers map<string,string>, body string, signature string, stamp string, at timestamp")
+    got = {r.source_id: r.status for r in changes.webhook_status(df, {"github": "s"}, T0).collect()}
+    assert got == {"1": "accepted", "2": "replayed", "3": "unauthorized", "4": "late", "5": "accepted", "6": "accepted"}
+    assert sorted(r.source_id for r in changes.webhook_events(df, {"github": "s"}, T0).collect()) == ["1", "5", "6"]
+
+
+def test_ingested_code_replaces_its_graph(spark):
+    from lodestone.operators import embedding, ingest
+
+    schema = "source_id string, external_id string, path string, content_type string, content binary"
+    none = ingest.Tables(
+        spark.createDataFrame([], "id string, source_id string, external_id string, content_hash string, doc_version long, indexed_at timestamp, tombstoned_at timestamp"), spark.createDataFrame([], "id string, document_id string, ord int, text string, embedding array<float>"),
+        spark.createDataFrame([], "chunk_id string, lexeme string, positions array<int>"), spark.createDataFrame([], "id string, document_id string, entity_type string, name string, display_name string"), spark.createDataFrame([], "source_entity_id string, target_entity_id string, edge_type string"),
+    )
+    made = embedding.embedder(embedding.provider("hash", dimension=8), 8)
+    keep = lambda df: df.persist()
+
+    def run(tables, text, seq):
+        events = spark.createDataFrame([("s", "a", "updated", seq), ("s", "lost", "updated", seq)], "source_id string, external_id string, action string, seq long")
+        content = spark.createDataFrame([("s", "a", "a.py", "", text.encode())], schema)
+        return ingest.ingest(tables, events, lambda keys: content.join(keys, ["source_id", "external_id"], "left_semi"), T0, run_id=f"r{seq}", embed=made, keep=keep)
+
+    one = run(none, "def f():\n    return g()\n\ndef g():\n    return 1\n", 1)
+    assert {(r.entity_type, r.name) for r in one.tables.entities.collect()} == {("module", "a"), ("function", "a.f"), ("function", "a.g")}
+    assert sorted(r.edge_type for r in one.tables.edges.collect()) == ["calls", "defines", "defines"]
+    assert one.tables.chunks.count() == 2 and {len(r.embedding) for r in one.tables.chunks.collect()} == {8}
+    run1 = one.runs.first()
+    assert (run1.docs_new, run1.docs_failed, run1.status, list(run1.errors)) == (1, 1, "partial", ["lost"])
+    two = run(one.tables, "def h():\n    return 2\n", 2)
+    assert {r.name for r in two.tables.entities.collect()} == {"a", "a.h"} and [r.edge_type for r in two.tables.edges.collect()] == ["defines"]
+    assert two.tables.chunks.count() == 1 and two.tables.postings.where("lexeme = 'g'").count() == 0 and two.tables.documents.first().doc_version == 2
 
 
 def test_stateful_streams(spark, tmp_path):
