@@ -39,7 +39,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts the lineage, survives lost executors and gives the planner a true size."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes what :func:`stored` wrote for ``tables``: call it once everything that was read from them is stored itself."""
+    for t in tables:
+        if path := getattr(t, "_stored_at", None):
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def words(text: Column) -> Column:
@@ -81,7 +91,8 @@ def components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = s
         least = keep(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).where(both).distinct()
-        e = keep(small, "edges")
+        old, e = e, keep(small, "edges")
+        free(old, low, large, least)
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             return e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(
@@ -101,4 +112,5 @@ def with_component(rows: DataFrame, roots: DataFrame) -> DataFrame:
     known = stored(known, "known")
     least = stored(known.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     named = stored(known.join(least.hint("merge"), "root").select("fp", "component_id"), "named")
+    free(first, known, least)
     return rows.select("doc_id", "fp").join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import SPACE, WORD, stored
+from lodestone.llm._common import SPACE, WORD, free, stored
 
 MIN_LINES = 2
 #: A single line of so many words is a repeat too in the registered query and the pipeline; shorter ones recur by chance.
@@ -33,7 +33,9 @@ def _ranked(level: DataFrame, names: list[str], kept: list[str]) -> DataFrame:
     """
     again = level.groupBy(*names).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*_PLACE)).alias("first")).where("c > 1").drop("c")
     ranks = stored(again.repartitionByRange(*names).sortWithinPartitions(*names).withColumn("order", F.monotonically_increasing_id()), "ranks")
-    return stored(level.join(ranks, names).select(*_PLACE, *kept, F.col("order").alias("rank"), (F.struct(*_PLACE) != F.col("first")).alias("later")), "level")
+    out = stored(level.join(ranks, names).select(*_PLACE, *kept, F.col("order").alias("rank"), (F.struct(*_PLACE) != F.col("first")).alias("later")), "level")
+    free(level, ranks)
+    return out
 
 
 def _doubled(level: DataFrame, distance: int) -> DataFrame:

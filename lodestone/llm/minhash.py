@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import components, stored, with_component
+from lodestone.llm._common import components, free, stored, with_component
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -181,6 +181,7 @@ def link(rows: DataFrame, *, similarity: float = SIMILARITY, crowd: int = CROWD)
     sets = rows.select("fp", "size", "sketch", "grams").dropDuplicates(["fp"])
     sets = stored(sets.join(members.select("fp").distinct(), "fp", "left_semi"), "sets")
     marked = stored(members.join(sets.select("fp", "size", "sketch"), "fp"), "marked")
+    free(keys, held, members)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs.distinct(), "pairs")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm._common import SPACE, stored
+from lodestone.llm._common import SPACE, free, stored
 
 WINDOW = 50
 ANCHOR = 8
@@ -215,8 +215,9 @@ def _remover(window: int, names: list[str]):
     return run
 
 
-def _compacted(shared: DataFrame) -> DataFrame:
-    """Spans (anchor, hash, doc, mark, start, n) of ``shared`` nodes (the same columns): nonbranching paths by their head."""
+def _compacted(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spans (anchor, hash, doc, mark, start, n) of ``shared`` nodes (the same columns): nonbranching paths by their head; and the
+    table of heads, which they are read from."""
     node, to = ["anchor", "hash"], ["to_anchor", "to_hash"]
     held = stored(shared.groupBy(*node).agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n")), "nodes")
     after = shared.select(F.col("doc").alias("d"), F.col("mark").alias("m"), F.col("start").alias("at"), *[F.col(x).alias(y) for x, y in zip(node, to)])
@@ -227,15 +228,16 @@ def _compacted(shared: DataFrame) -> DataFrame:
     back = stored(straight.select(*[F.col(y).alias(x) for x, y in zip(node, to)], F.col("anchor").alias("head_anchor"), F.col("hash").alias("head_hash"), F.col("n").cast("long").alias("before")), "links")
     while True:
         up = back.select(F.col("anchor").alias("head_anchor"), F.col("hash").alias("head_hash"), F.col("head_anchor").alias("up_anchor"), F.col("head_hash").alias("up_hash"), F.col("before").alias("more"))
-        moved = back.join(up, ["head_anchor", "head_hash"], "left")
-        back = stored(moved.select(*node, F.coalesce("up_anchor", "head_anchor").alias("head_anchor"), F.coalesce("up_hash", "head_hash").alias("head_hash"), (F.col("before") + F.coalesce("more", F.lit(0))).alias("before"), F.col("up_anchor").isNotNull().alias("moved")), "links")
+        moved = back.drop("moved").join(up, ["head_anchor", "head_hash"], "left")
+        older, back = back, stored(moved.select(*node, F.coalesce("up_anchor", "head_anchor").alias("head_anchor"), F.coalesce("up_hash", "head_hash").alias("head_hash"), (F.col("before") + F.coalesce("more", F.lit(0))).alias("before"), F.col("up_anchor").isNotNull().alias("moved")), "links")
+        free(older)
         if back.where("moved").isEmpty():
             break
-        back = back.drop("moved")
+    free(held, edges)
     placed = shared.join(back.drop("moved"), node, "left")
     head = [F.coalesce("head_anchor", "anchor").alias("anchor"), F.coalesce("head_hash", "hash").alias("hash")]
     placed = placed.select(*head, "doc", "mark", (F.col("start") - F.coalesce("before", F.lit(0))).cast("int").alias("start"), "n")
-    return placed.groupBy(*node, "doc", "mark", "start").agg(F.sum("n").cast("int").alias("n"))
+    return placed.groupBy(*node, "doc", "mark", "start").agg(F.sum("n").cast("int").alias("n")), back
 
 
 def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -258,12 +260,14 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANC
     # Sums are stored before they are joined back: both sides of the join are then plain shuffles, which AQE splits where hot.
     twice = stored(paths.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "anchors")
     repeated = stored(paths.join(twice, "anchor", "left_semi"), "repeated")
+    free(paths, twice)
     first = stored(repeated.groupBy("anchor", "hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "first")
     branching = stored(first.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "branching")
     judged = stored(repeated.join(first, ["anchor", "hash"]), "judged")
+    free(repeated, first)
     # Rows repeated as a whole count once, or they would look like more holders.
     shared = stored(judged.where("first < last").select("anchor", "hash", "doc", "mark", "start", "n").distinct(), "shared")
-    whole = _compacted(shared)
+    whole, heads = _compacted(shared)
     forks = judged.where("first = doc").join(branching, "anchor", "left_semi")
     forks = forks.select(F.lit(None).cast("long").alias("anchor"), F.lit(None).cast("long").alias("hash"), "doc", "mark", "start", "n")
 
@@ -275,7 +279,8 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANC
     ranges = by_row(whole.unionByName(forks), "__ranges", "anchor", "hash", "start", "n")
     # An inner join: texts without any range go no further.
     there = seen.join(ranges.hint("shuffle_hash"), same).select("doc", "mark", "text", "__ranges")
-    windows = stored(there.mapInArrow(_windows(window, anchor), _WINDOWS).distinct(), "windows")
+    windows = stored(there.mapInArrow(_windows(window, anchor), _WINDOWS), "windows")
+    free(judged, branching, shared, heads)
     name = ["anchor", "hash", "n", "words"]
     least = windows.groupBy(*name).agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     least = stored(least.select(F.col("anchor").alias("a"), F.col("hash").alias("h"), F.col("n").alias("k"), F.col("words").alias("w"), "first"), "least")
