@@ -2,12 +2,16 @@
 
 from importlib import import_module
 
-MODULES = ["url_filter", "warc", "substring_dedup", "quality", "simhash", "packing", "topk", "pieces", "line_dedup", "chat"]
+NAMES = ["url_filter", "warc", "substring_dedup", "quality", "simhash", "packing", "topk", "pieces", "line_dedup", "chat"]
+
+
+#: Imported with this module, so that one that can't be is known at once.
+MODULES = [import_module(f"lodestone.llm.{m}") for m in NAMES]
 
 
 def queries() -> dict:
-    return {name: f for m in MODULES for name, f in vars(import_module(f"lodestone.llm.{m}")).items() if name.startswith("op") and callable(f) and name[2].isdigit()}
+    return {name: f for m in MODULES for name, f in vars(m).items() if name.startswith("op") and callable(f) and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in MODULES for k, v in getattr(import_module(f"lodestone.llm.{m}"), "SQL", {}).items()}
+    return {k: v for m in MODULES for k, v in getattr(m, "SQL", {}).items()}
