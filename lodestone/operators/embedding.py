@@ -51,8 +51,49 @@ def hash_embedder(dimension: int) -> Embed:
     return embed
 
 
-#: Provider name to a factory of (model, options); services register theirs.
-PROVIDERS: dict[str, Callable[..., Embed]] = {"hash": lambda model, dimension=256, **_: hash_embedder(dimension)}
+Post = Callable[[str, dict, dict[str, str]], dict]
+
+
+def http_post(url: str, body: dict, headers: dict[str, str]) -> dict:
+    import json
+    import urllib.request
+
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
+    with urllib.request.urlopen(request, timeout=30) as answer:
+        return json.load(answer)
+
+
+def service(path: str, ask: Callable[[str, list[str]], dict], read: Callable[[dict], list[list[float]]], *, url: str, needs_key: bool = True) -> Callable[..., Embed]:
+    """A factory of providers that ask an HTTP service: ``ask`` makes the request's body, ``read`` takes the vectors out."""
+
+    def make(model: str, *, base_url: str = url, api_key: str | None = None, post: Post = http_post, **_) -> Embed:
+        if needs_key and not api_key:
+            raise ConfigError("this embedding provider needs an api_key")
+        headers = {"Authorization": f"Bearer {api_key}"} if api_key else {}
+
+        def embed(texts: list[str]) -> list[list[float]]:
+            found = read(post(base_url.rstrip("/") + path, ask(model, texts), headers))
+            if len(found) != len(texts):
+                raise ValueError(f"{len(found)} vectors for {len(texts)} texts")
+            return found
+
+        return embed
+
+    return make
+
+
+def _by_index(answer: dict) -> list[list[float]]:
+    return [d["embedding"] for d in sorted(answer["data"], key=lambda d: d.get("index", 0))]
+
+
+#: Provider name to a factory of (model, options). Addresses and paths are those of the services' public APIs.
+PROVIDERS: dict[str, Callable[..., Embed]] = {
+    "hash": lambda model, dimension=256, **_: hash_embedder(dimension),
+    "ollama": service("/api/embed", lambda m, t: {"model": m, "input": t}, lambda a: a["embeddings"], url="http://localhost:11434", needs_key=False),
+    "openai": service("/embeddings", lambda m, t: {"model": m, "input": t}, _by_index, url="https://api.openai.com/v1"),
+    "voyage": service("/embeddings", lambda m, t: {"model": m, "input": t}, _by_index, url="https://api.voyageai.com/v1"),
+    "cohere": service("/embed", lambda m, t: {"model": m, "texts": t, "input_type": "search_document", "embedding_types": ["float"]}, lambda a: a["embeddings"]["float"], url="https://api.cohere.com/v2"),
+}
 
 
 def provider(name: str, model: str = "", **options) -> Embed:

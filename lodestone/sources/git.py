@@ -18,6 +18,25 @@ def _git(repo: str, *args: str) -> bytes:
     return subprocess.run(["git", "-c", "safe.directory=*", "-C", repo, *args], check=True, capture_output=True).stdout
 
 
+def _blobs(repo: str, hashes: list[str]) -> Iterator[bytes | None]:
+    """The contents of blobs by one process; None for one that isn't there."""
+    if not hashes:
+        return
+    names = "".join(h + "\n" for h in hashes).encode()
+    raw = subprocess.run(["git", "-c", "safe.directory=*", "-C", repo, "cat-file", "--batch"], input=names, check=True, capture_output=True).stdout
+    at = 0
+    for _ in hashes:
+        end = raw.index(b"\n", at)
+        head = raw[at:end].split()
+        at = end + 1
+        if head[-1] == b"missing":
+            yield None
+        else:
+            size = int(head[2])
+            yield raw[at : at + size]
+            at += size + 1
+
+
 class GitConnector:
     def __init__(self, repo: str, ref: str = "HEAD", include: Sequence[str] = ("*",), exclude: Sequence[str] = (), max_file_size_bytes: int = MAX_BYTES):
         if ref.startswith("-"):
@@ -45,13 +64,8 @@ class GitConnector:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = []
-                for r in batch.to_pylist():
-                    meta = dict(r["metadata"])
-                    if int(meta.get("size", 0)) <= most:
-                        content = _git(repo, "cat-file", "blob", meta["blob"])
-                        if b"\0" not in content[:8192]:
-                            rows.append((r["external_id"], r["uri"], meta["content_type"], content))
+                asked = [(r, m) for r in batch.to_pylist() if int((m := dict(r["metadata"])).get("size", 0)) <= most]
+                rows = [(r["external_id"], r["uri"], m["content_type"], c) for (r, m), c in zip(asked, _blobs(repo, [m["blob"] for _, m in asked])) if c is not None and b"\0" not in c[:8192]]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["external_id", "uri", "content_type", "content"])
 

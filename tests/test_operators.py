@@ -215,3 +215,22 @@ def test_embedder_and_rerank(spark):
     with pytest.raises(Exception, match="unknown embedding provider"):
         embedding.provider("nope")
     assert list(embedding.batched([1, 2, 3], 2)) == [[1, 2], [3]]
+
+
+def test_embedding_services():
+    asked = []
+
+    def post(url, body, headers):
+        asked.append((url, body, headers))
+        if "cohere" in url:
+            return {"embeddings": {"float": [[1.0]] * len(body["texts"])}}
+        return {"embeddings": [[1.0]] * len(body["input"])} if "11434" in url else {"data": [{"index": i, "embedding": [float(i)]} for i in reversed(range(len(body["input"])))]}
+
+    assert embedding.provider("ollama", "nomic-embed-text", post=post)(["a", "b"]) == [[1.0], [1.0]]
+    assert embedding.provider("openai", "m", api_key="k", post=post)(["a", "b"]) == [[0.0], [1.0]] == embedding.provider("voyage", "m", api_key="k", base_url="http://v/", post=post)(["a", "b"])
+    assert embedding.provider("cohere", "m", api_key="k", post=post)(["a"]) == [[1.0]]
+    assert asked[0][0] == "http://localhost:11434/api/embed" and asked[1][2] == {"Authorization": "Bearer k"} and asked[2][0] == "http://v/embeddings"
+    with pytest.raises(Exception, match="api_key"):
+        embedding.provider("openai", "m")
+    with pytest.raises(ValueError):
+        embedding.provider("ollama", "m", post=lambda *a: {"embeddings": []})(["a"])
