@@ -447,3 +447,14 @@ def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
     done = decode(encode(docs, raw), raw)
     joined = F.array_join("ids", " ")
     return done.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+def sentencepiece_unigram(spark, sf_dir: str) -> DataFrame:
+    """The same pieces by Viterbi, over whole documents: the ids with the highest sums of scores, which differ from op5's."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        raw = unigram_model(f.read())
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    done = decode(encode(docs, raw), raw)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))

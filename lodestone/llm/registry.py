@@ -9,8 +9,12 @@ NAMES = ["url_filter", "warc", "substring_dedup", "quality", "simhash", "packing
 MODULES = [import_module(f"lodestone.llm.{m}") for m in NAMES]
 
 
+#: Besides one query for each operator: op5's Viterbi, which its own query's model doesn't use.
+MORE = {"sentencepiece_unigram": import_module("lodestone.llm.pieces").sentencepiece_unigram}
+
+
 def queries() -> dict:
-    return {name: f for m in MODULES for name, f in vars(m).items() if name.startswith("op") and callable(f) and name[2].isdigit()}
+    return MORE | {name: f for m in MODULES for name, f in vars(m).items() if name.startswith("op") and callable(f) and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:

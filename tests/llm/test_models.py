@@ -218,6 +218,8 @@ def test_unigram_reading_of_the_model_has_the_highest_sums(spark, sf):
     words = sorted({w for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for w in r.text.split(" ") if w and len(w) < 40})[::3]
     for w, ids in zip(words, pieces.Codec(raw).encode(words)):
         assert sp.decode(ids.tolist()) == w and score(ids) >= score(sp.nbest_encode_as_ids(w, 1)[0]) - 1e-3, w
+    rows = pieces.sentencepiece_unigram(spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count() and all(r.round_trip for r in rows)
 
 
 def test_pieces_query_equals_the_library(spark, sf):
