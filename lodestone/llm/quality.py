@@ -23,13 +23,13 @@ MIN_PRECISION = 0.9
 MAX_CONDITIONS = 4
 MAX_RULES = 16
 
-#: What rules may test, as SQL over the statistics.
+#: What rules may test, as SQL over the statistics; null for texts without words, which no condition holds for.
 FEATURES = {
     "n_words": "n_words",
-    "mean_word": "word_chars / n_words",
-    "symbol_share": "n_symbols / n_words",
+    "mean_word": "try_divide(word_chars, n_words)",
+    "symbol_share": "try_divide(n_symbols, n_words)",
     "dup_lines": "n_dup_lines",
-    "repeat_share": "n_repeat_words / n_words",
+    "repeat_share": "try_divide(n_repeat_words, n_words)",
 }
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
