@@ -3,7 +3,7 @@
 The index is a postings table (chunk_id, lexeme, positions). Written, it is partitioned by buckets of lexemes and sorted by
 lexeme: a query reads the buckets and row groups of its lexemes only. Without an index a query scans the texts: chunks that
 lack one of its words go before they are tokenised, and nothing is shuffled. Stop words are dropped but count as positions.
-With ``stem`` tokens are reduced by the published Porter algorithm, over distinct tokens of an Arrow batch.
+With ``stem`` tokens are reduced by the published English (Porter2) algorithm, over distinct tokens of an Arrow batch.
 """
 
 from __future__ import annotations
@@ -24,64 +24,83 @@ there when where why how all any both each few more most other some such no nor
 will just don should now""".split()
 
 
-def _measure(word: str) -> int:
-    """Vowel-consonant sequences of a stem."""
-    kinds = []
-    for i, c in enumerate(word):
-        vowel = c in "aeiou" or (c == "y" and i > 0 and not kinds[-1])
-        kinds.append(vowel)
-    return sum(1 for a, b in zip(kinds, kinds[1:]) if a and not b)
+_VOWELS = "aeiouy"
+#: Fixed values of the published English (Porter2) algorithm: endings with what replaces them by step, longest first; words
+#: with stems of their own; words that step 1a completes; beginnings that R1 follows; letters before a removable ``li``.
+_STEP2 = [
+    ("ization", "ize"), ("ational", "ate"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("tional", "tion"), ("biliti", "ble"), ("lessli", "less"), ("entli", "ent"), ("ation", "ate"), ("alism", "al"), ("aliti", "al"),
+    ("ousli", "ous"), ("iviti", "ive"), ("fulli", "ful"), ("enci", "ence"), ("anci", "ance"), ("abli", "able"), ("izer", "ize"), ("ator", "ate"), ("alli", "al"), ("bli", "ble"), ("ogi", "og"), ("li", ""),
+]
+_STEP3 = [("ational", "ate"), ("tional", "tion"), ("alize", "al"), ("icate", "ic"), ("iciti", "ic"), ("ative", ""), ("ical", "ic"), ("ness", ""), ("ful", "")]
+_STEP4 = ["ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion", "al", "er", "ic"]
+_OWN = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl", **{w: w for w in "sky news howe atlas cosmos bias andes".split()}}
+_DONE = set("inning outing canning herring earring proceed exceed succeed".split())
+_HEADS = ("gener", "commun", "arsen")
+_BEFORE_LI = "cdeghkmnrt"
 
 
-def _has_vowel(word: str) -> bool:
-    return any(c in "aeiou" or (c == "y" and i > 0) for i, c in enumerate(word))
+def _region(word: str, start: int) -> int:
+    """Where the part begins that follows the first non-vowel after a vowel, from ``start`` on."""
+    for i in range(start + 1, len(word)):
+        if word[i] not in _VOWELS and word[i - 1] in _VOWELS:
+            return i + 1
+    return len(word)
 
 
-def _ends_cvc(w: str) -> bool:
-    return len(w) > 2 and w[-1] not in "aeiouwxy" and w[-2] in "aeiouy" and w[-3] not in "aeiou"
+def _short_end(word: str) -> bool:
+    """Whether the word ends with a short syllable."""
+    if len(word) == 2:
+        return word[0] in _VOWELS and word[1] not in _VOWELS
+    return len(word) > 2 and word[-1] not in _VOWELS + "wxY" and word[-2] in _VOWELS and word[-3] not in _VOWELS
 
 
-#: Suffixes by step, longest first where they overlap (fixed values of the algorithm).
-_STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
-_STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
-_STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
-
-
-def porter(word: str) -> str:
-    """The stem of a lower-case word."""
+def english_stem(word: str) -> str:
+    """The stem of a lower-case word by the Porter2 algorithm."""
     if len(word) < 3 or not word.isascii():
         return word
-    w = word
-    if w.endswith("sses") or w.endswith("ies"):
+    if word in _OWN:
+        return _OWN[word]
+    w = word.removeprefix("'")
+    # A y that is no vowel is written Y until the end.
+    w = "".join("Y" if c == "y" and (i == 0 or w[i - 1] in "aeiouy" and not (w[i - 1] == "y" and i > 1 and w[i - 2] in "aeiou")) else c for i, c in enumerate(w))
+    head = next((h for h in _HEADS if w.startswith(h)), None)
+    r1 = len(head) if head else _region(w, 0)
+    r2 = _region(w, r1)
+    w = w.removesuffix("'").removesuffix("'s")
+    if w.endswith("sses"):
         w = w[:-2]
-    elif w.endswith("s") and not w.endswith("ss"):
+    elif w.endswith(("ied", "ies")):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif w.endswith("s") and not w.endswith(("us", "ss")) and any(c in _VOWELS for c in w[:-2]):
         w = w[:-1]
-    if w.endswith("eed"):
-        w = w[:-1] if _measure(w[:-3]) > 0 else w
-    else:
-        cut = next((s for s in ("ed", "ing") if w.endswith(s) and _has_vowel(w[: -len(s)])), None)
-        if cut:
-            w = w[: -len(cut)]
-            if w.endswith(("at", "bl", "iz")):
-                w += "e"
-            elif len(w) > 1 and w[-1] == w[-2] and w[-1] not in "aeioulsz":
-                w = w[:-1]
-            elif _measure(w) == 1 and _ends_cvc(w):
-                w += "e"
-    if w.endswith("y") and _has_vowel(w[:-1]):
+    if w in _DONE:
+        return w
+    if cut := next((x for x in ("eedly", "eed") if w.endswith(x)), None):
+        w = w[: -len(cut)] + "ee" if len(w) - len(cut) >= r1 else w
+    elif (cut := next((x for x in ("ingly", "edly", "ing", "ed") if w.endswith(x)), None)) and any(c in _VOWELS for c in w[: -len(cut)]):
+        w = w[: -len(cut)]
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif w.endswith(("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")):
+            w = w[:-1]
+        elif r1 >= len(w) and _short_end(w):
+            w += "e"
+    if len(w) > 2 and w[-1] in "yY" and w[-2] not in _VOWELS:
         w = w[:-1] + "i"
-    for table in (_STEP2, _STEP3):
-        hit = max((s for s in table if w.endswith(s)), key=len, default=None)
-        if hit and _measure(w[: -len(hit)]) > 0:
-            w = w[: -len(hit)] + table[hit]
-    hit = max((s for s in _STEP4 if w.endswith(s)), key=len, default=None)
-    if hit and _measure(w[: -len(hit)]) > 1 and (hit != "ion" or w[: -len(hit)].endswith(("s", "t"))):
-        w = w[: -len(hit)]
-    if w.endswith("e") and (_measure(w[:-1]) > 1 or (_measure(w[:-1]) == 1 and not _ends_cvc(w[:-1]))):
-        w = w[:-1]
-    if w.endswith("ll") and _measure(w) > 1:
+    if (found := next(((x, to) for x, to in _STEP2 if w.endswith(x)), None)) and len(w) - len(found[0]) >= r1:
+        rest = w[: -len(found[0])]
+        if (found[0] != "ogi" or rest.endswith("l")) and (found[0] != "li" or rest[-1:] and rest[-1] in _BEFORE_LI):
+            w = rest + found[1]
+    if (found := next(((x, to) for x, to in _STEP3 if w.endswith(x)), None)) and len(w) - len(found[0]) >= (r2 if found[0] == "ative" else r1):
+        w = w[: -len(found[0])] + found[1]
+    if (cut := next((x for x in _STEP4 if w.endswith(x)), None)) and len(w) - len(cut) >= r2 and (cut != "ion" or w[: -len(cut)].endswith(("s", "t"))):
+        w = w[: -len(cut)]
+    if w.endswith("e"):
+        if len(w) - 1 >= r2 or len(w) - 1 >= r1 and not _short_end(w[:-1]):
+            w = w[:-1]
+    elif w.endswith("ll") and len(w) - 1 >= r2:
         w = w[:-1]
-    return w
+    return w.replace("Y", "y")
 
 
 def _stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -93,8 +112,8 @@ def _stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
                 if t not in known:
                     if len(known) > 200_000:
                         known.clear()
-                    known[t] = porter(t)
-            out.append(None if tokens is None else [known.get(t) or porter(t) for t in tokens])
+                    known[t] = english_stem(t)
+            out.append(None if tokens is None else [known.get(t) or english_stem(t) for t in tokens])
         yield pd.Series(out)
 
 
@@ -107,7 +126,7 @@ def tokens(text: Column, *, stem: bool = False) -> Column:
 def postings(chunks: DataFrame, *, id: str = "chunk_id", text: str = "text", stem: bool = False) -> DataFrame:
     """(chunk_id, lexeme, positions from 1). A text's tokens stay in its task until they are counted per lexeme."""
     listed = chunks.select(F.col(id).alias("chunk_id"), F.posexplode(tokens(F.col(text), stem=stem)).alias("p", "lexeme"))
-    kept = listed.where(~F.col("lexeme").isin(*(STOP_WORDS if not stem else sorted({*STOP_WORDS, *map(porter, STOP_WORDS)}))))
+    kept = listed.where(~F.col("lexeme").isin(*(STOP_WORDS if not stem else sorted({*STOP_WORDS, *map(english_stem, STOP_WORDS)}))))
     return kept.groupBy("chunk_id", "lexeme").agg(F.sort_array(F.collect_list(F.col("p") + 1)).alias("positions"))
 
 
@@ -116,7 +135,7 @@ def query_lexemes(query: str, *, stem: bool = False) -> list[str]:
     import regex
 
     found = [t for t in regex.findall(TOKEN, query.lower()) if t not in STOP_WORDS]
-    return list(dict.fromkeys(porter(t) if stem else t for t in found))
+    return list(dict.fromkeys(english_stem(t) if stem else t for t in found))
 
 
 BUCKETS = 64
