@@ -114,9 +114,10 @@ def hit_columns(default_score: float = 0.0) -> list[Column]:
 
 class Engine:
     """Search and lookups over the logical tables. ``embed`` gives a query's vector; ``index`` is a postings table or a written
-    index, ``cells`` a written vector index; without them the chunks are scanned."""
+    index, ``cells`` a written vector index; without them the chunks are scanned. Words are
+    reduced to English stems unless ``stem`` is false; an index has to be made alike."""
 
-    def __init__(self, *, sources: DataFrame, documents: DataFrame, chunks: DataFrame, embed: Callable[[str], Sequence[float]], entities: DataFrame | None = None, edges: DataFrame | None = None, reranker: Callable[[Column], Column] | None = None, now: Callable[[], datetime] = lambda: datetime.now(UTC), stem: bool = False, index: DataFrame | fulltext.WrittenIndex | None = None, cells: vector.CellIndex | None = None):
+    def __init__(self, *, sources: DataFrame, documents: DataFrame, chunks: DataFrame, embed: Callable[[str], Sequence[float]], entities: DataFrame | None = None, edges: DataFrame | None = None, reranker: Callable[[Column], Column] | None = None, now: Callable[[], datetime] = lambda: datetime.now(UTC), stem: bool = True, index: DataFrame | fulltext.WrittenIndex | None = None, cells: vector.CellIndex | None = None):
         self.sources, self.documents, self.chunks, self.cells = sources, documents, chunks, cells
         self.index = fulltext.Texts(chunks, id="id") if index is None else index
         self.embed, self.entities, self.edges, self.reranker, self.now, self.stem = embed, entities, edges, reranker, now, stem

@@ -140,7 +140,7 @@ def _texts(spark, sf_dir) -> fulltext.Texts:
 
 def _engine(spark, sf_dir) -> search.Engine:
     chunks = corpus.chunks(spark, sf_dir)
-    return search.Engine(sources=corpus.sources(spark, sf_dir), documents=corpus.documents(spark, sf_dir), chunks=chunks, index=_texts(spark, sf_dir), embed=lambda q: UNIT, entities=corpus.entities(spark, sf_dir), edges=corpus.edges(spark, sf_dir), now=lambda: NOW)
+    return search.Engine(sources=corpus.sources(spark, sf_dir), documents=corpus.documents(spark, sf_dir), chunks=chunks, index=_texts(spark, sf_dir), embed=lambda q: UNIT, entities=corpus.entities(spark, sf_dir), edges=corpus.edges(spark, sf_dir), now=lambda: NOW, stem=False)
 
 
 def _flat(hits: DataFrame) -> DataFrame:
