@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import base64
 import json
+import urllib.parse
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime, timedelta
 from typing import Any
@@ -14,7 +15,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.errors import Unauthorized
+from lodestone.errors import ConfigError, Unauthorized
 from lodestone.parsers.markup import adf, notion_blocks, notion_property
 from lodestone.sources.registry import REF, Ref
 
@@ -60,13 +61,29 @@ def basic_or_pat(secrets: dict[str, str]) -> dict[str, str]:
     return {"Authorization": "Basic " + base64.b64encode(f"{secrets['email']}:{secrets['api_token']}".encode()).decode()}
 
 
+def checked(config: dict[str, Any] | None, fields: dict[str, type]) -> dict[str, Any]:
+    """``config`` if its values have the types of ``fields``: lists are of strings, numbers at least 1, addresses HTTP ones."""
+    config = dict(config or {})
+    for name, kind in fields.items():
+        value = config.get(name)
+        if value is None:
+            continue
+        fits = isinstance(value, list | tuple) and all(isinstance(x, str) and x for x in value) if kind is list else isinstance(value, kind) and not isinstance(value, bool)
+        if not fits or kind is int and value < 1 or name == "base_url" and urllib.parse.urlsplit(value).scheme not in ("http", "https"):
+            raise ConfigError(f"{name} is no valid {'list of texts' if kind is list else kind.__name__}", field=name)
+    return config
+
+
 class RestConnector:
     """Subclasses list refs and render one document."""
 
     probe = ""
+    #: The configuration's fields and their types.
+    fields: dict[str, type] = {"base_url": str}
 
     def __init__(self, config: dict[str, Any] | None = None, secrets: dict[str, str] | None = None, get: Get = http_get, now: Callable[[], datetime] = lambda: datetime.now(UTC)):
-        self.config, self.base, self.get, self.now = config or {}, (config or {}).get("base_url", "").rstrip("/"), get, now
+        self.config = checked(config, {"base_url": str, **self.fields})
+        self.base, self.get, self.now = (self.config.get("base_url") or "").rstrip("/"), get, now
         self.headers = self.credentials(secrets or {})
 
     def credentials(self, secrets: dict[str, str]) -> dict[str, str]:
@@ -103,6 +120,7 @@ class Confluence(RestConnector):
     """Pages and blog posts by space and label; bodies stay storage format, which convert.storage_to_markdown rewrites."""
 
     probe = "/rest/api/space"
+    fields = {"content_types": list, "space_keys": list, "include_labels": list, "exclude_labels": list}
 
     def cql(self) -> str:
         def any_of(field: str, values: list[str]) -> str:
@@ -133,6 +151,7 @@ class Confluence(RestConnector):
 
 class Notion(RestConnector):
     probe = "/v1/users/me"
+    fields = {"database_ids": list, "page_ids": list}
 
     def credentials(self, secrets: dict[str, str]) -> dict[str, str]:
         return bearer(secrets, "api_key") | {"Notion-Version": "2022-06-28"}
@@ -174,6 +193,7 @@ class Slack(RestConnector):
     """Threads of channels, newer than ``max_age_days``."""
 
     probe = "/api/auth.test"
+    fields = {"channels": list, "max_age_days": int}
 
     def credentials(self, secrets: dict[str, str]) -> dict[str, str]:
         return bearer(secrets, "bot_token")
@@ -214,6 +234,7 @@ def field_text(value: Any) -> str:
 
 class Jira(RestConnector):
     probe = "/rest/api/3/myself"
+    fields = {"project_keys": list, "issue_types": list, "jql": str}
 
     def jql(self) -> str:
         parts = [f"project in ({', '.join(self.config['project_keys'])})"] if self.config.get("project_keys") else []

@@ -118,3 +118,24 @@ def test_kubernetes(spark):
     assert kubernetes.discover_with(lambda p: next(tries), "p", kubernetes.parse_kinds, list) == ["x"]
     c = kubernetes.KubernetesConnector({"base_url": "b", "kinds": ["Pod"], "namespaces": ["n"]}, {"token": "t"}, fake(lambda u, p: {"items": [{"metadata": {"name": "a", "namespace": "n"}}]}))
     assert c.discover(spark).first().external_id == "Pod/n/a"
+
+
+def test_kubernetes_pages_and_fetch(spark):
+    def api(u, p):
+        if u.endswith("/pods"):
+            return {"items": [{"metadata": {"name": "a", "namespace": "n"}}], "metadata": {"continue": "t"}} if "continue" not in p else {"items": [{"metadata": {"name": "b", "namespace": "n"}}]}
+        return {} if u.endswith("/b") else {"metadata": {"name": "a", "namespace": "n", "managedFields": [1], "annotations": {"kubectl.kubernetes.io/last-applied-configuration": "{}"}}, "spec": {"x": 1}}
+
+    c = kubernetes.KubernetesConnector({"base_url": "b", "kinds": ["Pod"], "namespaces": ["n"]}, {"token": "t"}, fake(api))
+    refs = c.discover(spark)
+    assert sorted(r.external_id for r in refs.collect()) == ["Pod/n/a", "Pod/n/b"]
+    got = c.fetch(spark, refs).collect()
+    assert [(r.external_id, bytes(r.content).decode()) for r in got] == [("Pod/n/a", "kind: Pod\nmetadata:\n  annotations: {}\n  name: a\n  namespace: n\nspec:\n  x: 1\n")]
+
+
+@pytest.mark.parametrize("config", [{"base_url": "ftp://x"}, {"channels": "C"}, {"channels": [1]}, {"max_age_days": 0}, {"max_age_days": "9"}])
+def test_configurations_are_checked(config):
+    from lodestone.errors import ConfigError
+
+    with pytest.raises(ConfigError):
+        rest.Slack(config, {"bot_token": "t"}, fake(lambda u, p: {}))
