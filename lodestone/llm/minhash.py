@@ -8,7 +8,7 @@ A key that at most CROWD sets hold is compared in full. Larger ones, as families
 exact bound: a shingle that no other set of such keys has is never common to two, so sets of sizes n and m with u and v such
 shingles have at most min(n - u, m - v) in common. Sets that by this reach no other holder of the key need not be compared.
 Of the others some lead, twice as many each round, and are compared with all holders, block by block. First each holder
-meets only the leader that looks most like it; what then lies in one component is left out, and the rest is compared. A key
+meets only the leader of one of its keys that looks most like it; what then lies in one component is left out, and the rest is compared. A key
 is done when all that may have a partner outside its largest component have led, so no candidate pair across components
 stays uncompared. Families of random edits need a few rounds and rows linear in their size.
 """
@@ -30,7 +30,7 @@ AGREE = 60
 #: Up to so many sets of a key are compared with each other.
 CROWD = 64
 #: About so many leaders of a larger key in the first round.
-LEADERS = 64
+LEADERS = 256
 #: Holders of a key, and leaders, that are compared at once.
 BLOCK = 512
 #: Shingles that are hashed at once.
@@ -157,9 +157,34 @@ def _compared(similarity: float):
     return run
 
 
-def _may_pair(many: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """``many`` (key, fp, size, ...) with ``free``, the shingles that another set has too; and those (key, fp) that, by the
-    bound on what is common, may reach ``similarity`` with a holder of the key."""
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a partition as stars around the least set of each component that they form."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root.setdefault(up, up)
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    rows = [(x, r) for x in root if (r := find(x)) != x]
+    for at in range(0, len(rows), 50_000):
+        a, b = zip(*rows[at : at + 50_000])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _linked(links: DataFrame) -> DataFrame:
+    """(node, root) of ``links``: each partition's are contracted first, which leaves fewer rounds and rows."""
+    return components(links.mapInArrow(_stars, _PAIR_SQL))
+
+
+def _may_pair(many: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of ``many`` (key, fp, size, ...) the rows that, by the bound on what is common, may reach ``similarity`` with a holder
+    of their key; with ``free``, the shingles that another set has too, and ``first``: whether the key is the set's least."""
     crowd = sets.join(many.select("fp").distinct(), "fp", "left_semi").select("fp", "grams")
     alone = crowd.mapInArrow(_grams, "gram int, fp long").groupBy("gram").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("c")).where("c = 1")
     alone = stored(alone.groupBy("fp").agg(F.count(F.lit(1)).alias("alone")), "alone")
@@ -169,7 +194,11 @@ def _may_pair(many: DataFrame, sets: DataFrame, similarity: float) -> tuple[Data
     step = F.floor(F.log("size") * 50)
     sizes = stored(many.groupBy("key", step.alias("step")).agg(F.min("size").alias("least"), F.max("free").alias("most")).select(F.col("key").alias("k"), "least", "most"), "sizes")
     enough = F.least("free", "most") >= F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("least")) - 1e-9
-    return many, stored(many.join(sizes.hint("merge"), (F.col("key") == F.col("k")) & enough, "left_semi").select("key", "fp"), "may")
+    may = stored(many.join(sizes.hint("merge"), (F.col("key") == F.col("k")) & enough, "left_semi"), "may")
+    least = stored(may.groupBy("fp").agg(F.min("key").alias("__least")), "least")
+    out = stored(may.join(least, "fp").withColumn("first", F.col("key") == F.col("__least")).drop("__least"), "may")
+    free(alone, many, sizes, may, least)
+    return out
 
 
 def link(rows: DataFrame, *, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
@@ -193,9 +222,10 @@ def link(rows: DataFrame, *, similarity: float = SIMILARITY, crowd: int = CROWD)
     links = verified(few.select("own", F.col("own").alias("others")).mapInArrow(_alike(similarity), _PAIR_SQL))
     many = marked.where(F.col("n") > crowd)
     if many.isEmpty():
-        return components(links)
+        return _linked(links)
 
-    many, waiting = _may_pair(many, sets, similarity)
+    many = _may_pair(many, sets, similarity)
+    waiting = many.select("key", "fp")
     entry = F.struct("fp", "root", "size", "free", "sketch")
 
     def rooted(part: DataFrame, roots: DataFrame) -> DataFrame:
@@ -203,18 +233,18 @@ def link(rows: DataFrame, *, similarity: float = SIMILARITY, crowd: int = CROWD)
         return stored(part.join(named.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
 
     def compared(now: DataFrame, lead: DataFrame, best: bool) -> DataFrame:
-        """Links between holders and leaders of a key, in blocks of both."""
+        """Links between holders and leaders of a key, in blocks of both; the best ones by each holder's first key only."""
         lead = now.join(lead.hint("merge"), ["key", "fp"], "left_semi")
         part = F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(max(1, leaders // BLOCK)))
         others = stored(lead.groupBy("key", part.alias("part")).agg(F.collect_list(entry).alias("others")), "others")
-        blocks = now.groupBy("key", F.pmod(F.xxhash64("fp", F.lit(7)), F.ceil(F.col("n") / BLOCK)).alias("block")).agg(F.collect_list(entry).alias("own"))
+        blocks = (now.where("first") if best else now).groupBy("key", F.pmod(F.xxhash64("fp", F.lit(7)), F.ceil(F.col("n") / BLOCK)).alias("block")).agg(F.collect_list(entry).alias("own"))
         blocks = stored(blocks.select("key", "own"), "blocks")
         return verified(blocks.join(others.select("key", "others").hint("merge"), "key").select("own", "others").mapInArrow(_alike(similarity, best), _PAIR_SQL))
 
     leaders, grown = LEADERS, True
     while True:
         if grown:
-            roots = stored(components(links), "roots")
+            roots = stored(_linked(links), "roots")
             now = rooted(many, roots)
         sizes = now.groupBy("key", F.col("root").alias("most")).agg(F.count(F.lit(1)).alias("c"))
         largest = stored(sizes.groupBy("key").agg(F.max_by("most", F.struct("c", "most")).alias("most")), "largest")
@@ -229,7 +259,7 @@ def link(rows: DataFrame, *, similarity: float = SIMILARITY, crowd: int = CROWD)
         near = compared(now, lead, True)
         if not near.isEmpty():
             links = stored(links.unionByName(near), "links")
-            roots = stored(components(links), "roots")
+            roots = stored(_linked(links), "roots")
             now = rooted(many, roots)
         rest = compared(now, lead, False)
         grown = not rest.isEmpty()
