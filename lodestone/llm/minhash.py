@@ -28,7 +28,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
 AGREE = 60
 #: Up to so many sets of a key are compared with each other.
-CROWD = 64
+CROWD = 8
 #: About so many leaders of a larger key in the first round.
 LEADERS = 256
 #: Holders of a key, and leaders, that are compared at once.
