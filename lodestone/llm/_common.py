@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,15 +74,55 @@ def reversed_host(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit("."))
 
 
-def components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = stored, rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges`` (a, b): (node, root) with the smallest node as root, for every node on an edge.
+#: Links that one task may contract to the end: a bound, whatever the input is; more of them go on in rounds.
+ONE_TASK = 500_000
+#: Nodes that a partition's contraction holds at once.
+HELD = 1_000_000
 
-    Large-star and small-star rounds (Kiveris et al., 2014) until nothing changes. Minima are aggregated and stored before
-    they are joined back, so that no neighbour list is ever gathered and both sides of each join are plain shuffles, which
-    AQE splits at hot nodes. Nothing is broadcast.
+
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links (a, b) of a partition as stars around the least node of each component that they form: union-find with
+    at most about HELD nodes at once; what is held is put out when there are more, and the rest starts anew."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root.setdefault(up, up)
+        return x
+
+    def out() -> Iterator[pa.RecordBatch]:
+        rows = [(x, r) for x in list(root) if (r := find(x)) != x]
+        for at in range(0, len(rows), 50_000):
+            a, b = zip(*rows[at : at + 50_000])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        root.clear()
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+        if len(root) > HELD:
+            yield from out()
+    yield from out()
+
+
+def components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = stored, rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
+    """Connected components of ``edges`` (a, b; long): (node, root) with the smallest node as root, for every node on an edge.
+
+    Each partition's links are contracted to stars first. If at most ``one_task`` are left, one task contracts those (it holds
+    two nodes a link at most, so ``one_task`` stays below half of HELD); else large-star and small-star rounds (Kiveris et al., 2014) follow until nothing changes.
+    Minima are aggregated and stored before they are joined back, so that no neighbour list is ever gathered and both sides of
+    each join are plain shuffles, which AQE splits at hot nodes. Nothing is broadcast. A link of
+    a node to itself says nothing.
     """
     both = F.col("a") != F.col("b")
-    e = keep(edges.where(both).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    pair = "a long, b long"
+    own = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    e = keep(own.where(both).mapInArrow(stars, pair), "edges")
+    if e.count() <= one_task:
+        e = keep(e.coalesce(1).mapInArrow(stars, pair), "edges")
+        return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
     seen = None
     for _ in range(rounds):
         around = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -103,7 +144,7 @@ def components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = s
 
 
 def with_component(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, fp) with component_id: the least doc_id of all rows whose ``fp`` has the same root in ``roots`` (node, root).
+    """``rows`` (doc_id, fp, ...) with component_id: the least doc_id of all rows whose ``fp`` has the same root in ``roots`` (node, root).
 
     Sums are stored before they are joined back, as in ``components``: a large component or a common ``fp`` is split by AQE.
     """
@@ -113,4 +154,4 @@ def with_component(rows: DataFrame, roots: DataFrame) -> DataFrame:
     least = stored(known.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     named = stored(known.join(least.hint("merge"), "root").select("fp", "component_id"), "named")
     free(first, known, least)
-    return rows.select("doc_id", "fp").join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named.hint("merge"), "fp").select(*rows.columns, "component_id")

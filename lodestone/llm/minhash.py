@@ -1,125 +1,197 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: blocks of minima find candidates, the shingle sets decide.
-
-Texts with equal sets count once. ``BANDS`` keys of ``ROWS`` minima each are built for a set: two sets of similarity s share
-one with probability 1 - (1 - s**ROWS)**BANDS, that is 0.9996 at 0.8. Of sets that share a key those go on of which one byte
-of the minima agrees in ``AGREE`` of 100 places at least (at 0.8, one in a million is lost); then the sets are compared.
-
-A key that at most CROWD sets hold is compared in full. Larger ones, as families of near copies have, are thinned first by an
-exact bound: a shingle that no other set of such keys has is never common to two, so sets of sizes n and m with u and v such
-shingles have at most min(n - u, m - v) in common. Sets that by this reach no other holder of the key need not be compared.
-Of the others some lead, twice as many each round, and are compared with all holders, block by block. First each holder
-meets only the leader of one of its keys that looks most like it; what then lies in one component is left out, and the rest is compared. A key
-is done when all that may have a partner outside its largest component have led, so no candidate pair across components
-stays uncompared. Families of random edits need a few rounds and rows linear in their size.
+"""Near-duplicates by the Jaccard similarity of word shingles: circulant MinHash finds candidates, the full sets decide.
+
+Circulant MinHash (Li and Li, 2021) takes two permutations of the universe, here of 32-bit hashes: the first, sigma, breaks up
+what structure the elements have; the second, pi, shifted circularly by k, gives coordinate k of every signature as the
+minimum of pi(sigma(x) + k). So a signature of any length needs two permutations, not one for each coordinate. Both are
+invertible mixings of 32-bit numbers, so they are permutations indeed and minima tie for equal elements only.
+
+Bands of ROWS coordinates are keys; their number follows from the similarity, so that a pair of exactly this similarity
+shares none with a probability of MISS at most. Sets that share a key go on if one byte of their coordinates agrees in as many
+places as five standard deviations below the expected number, and are then compared as full sets of 64-bit hashes, with whole
+numbers. Texts with equal sets count once.
+
+A key that at most CROWD sets hold is compared in full. Larger ones, as families of near copies have, go another way:
+
+1. An exact bound thins them. A shingle that no other set of such keys has is never common to two, so sets of sizes n and m
+   with u and v such shingles have at most min(n - u, m - v) in common. Sets that by this reach no other holder of the key
+   need not be compared.
+2. The set with the least share of such shingles leads its key, and all holders are compared with it: for copies of one text
+   this links nearly all that link at all. Then a set outside the key's largest component leads once more.
+3. What is still outside the largest component of a key is compared with all its holders, block by block, a product of two
+   incidence matrices each. A block gives a link for each component that a set of it reaches, never all pairs.
+
+So no pair across components stays uncompared, families take rows linear in their size, and a key of n unlike texts that may
+all have a partner by the bound takes n * n comparisons (no rows), spread over its blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import components, free, stored, with_component
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 20, 5
-AGREE = 60
-#: Up to so many sets of a key are compared with each other.
+ROWS = 5
+#: A pair at the threshold has no key in common with this probability at most.
+MISS = 1e-5
+#: Up to so many sets of a key are compared with each other as pairs.
 CROWD = 8
-#: About so many leaders of a larger key in the first round.
-LEADERS = 256
-#: Holders of a key, and leaders, that are compared at once.
-BLOCK = 512
-#: Shingles that are hashed at once.
-STRETCH = 200_000
-
-_SET_SQL = "doc_id long, fp long, size long, keys array<long>, sketch binary, grams binary"
+#: How often a set leads a larger key before blocks are compared.
+LEADS = 2
+#: Sets of a block, and bytes of their shingles, about.
+BLOCK, BLOCK_BYTES = 256, 1 << 21
+#: Shingles that are hashed at once, words whose hashes a task keeps, and columns of an incidence matrix.
+STRETCH, KNOWN, COLUMNS = 200_000, 1_000_000, 4096
+
+_SET_SQL = "doc_id long, mark long, fp long, size long, keys array<long>, sketch binary"
 _PAIR_SQL = "a long, b long"
 
 
-def _sets(shingle: int):
-    """doc_id and text to the set of shingles: its id, size, band keys, a byte of each minimum, and 32 bits of each shingle."""
-    upper = bytes(range(256)).lower()
+def bands(similarity: float) -> int:
+    """Keys of ROWS coordinates that a pair of ``similarity`` needs for a miss of MISS at most."""
+    return 1 if similarity >= 1 else math.ceil(math.log(MISS) / math.log(1 - similarity**ROWS))
+
+
+def _agree(similarity: float) -> int:
+    """Places of the sketch in which a pair of ``similarity`` agrees at least, but for five standard deviations."""
+    n = bands(similarity) * ROWS
+    return math.floor(n * similarity - 5 * math.sqrt(n * similarity * (1 - similarity)))
+
+
+def _mixed(x, first: int, second: int, by: int):
+    """A permutation of 32-bit numbers: each step can be undone."""
+    import numpy as np
+
+    x = x * np.uint32(first)
+    x ^= x >> np.uint32(by)
+    x *= np.uint32(second)
+    x ^= x >> np.uint32(15)
+    return x
+
+
+def signature(shingles, starts, length: int):
+    """Circulant signatures (a row for each of ``starts``) of 64-bit shingle hashes, ``length`` coordinates each."""
+    import numpy as np
+
+    sigma = _mixed((shingles >> np.uint64(32)).astype(np.uint32), 0x85EBCA6B, 0xC2B2AE35, 13)
+    out = np.empty((len(starts), length), np.uint32)
+    for k in range(length):
+        out[:, k] = np.minimum.reduceat(_mixed(sigma + np.uint32(k), 0x9E3779B1, 0x7FEB352D, 16), starts)
+    return out
+
+
+class _Words(dict):
+    """64-bit hashes of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        self[word] = h = xxh64_intdigest(word, 42)
+        return h
+
+
+_LOWER = bytes(range(256)).lower()
+
+
+def _shingles(text: bytes | None, shingle: int, known: _Words):
+    """Sorted distinct 64-bit hashes of a text's shingles; of fewer words than that, one of the whole sequence."""
+    import numpy as np
+
+    if len(known) > KNOWN:
+        known.clear()
+    words = (text or b"").translate(_LOWER).split()
+    if not words:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    width = min(shingle, len(words))
+    own = h[: len(h) - width + 1].copy()
+    for k in range(1, width):
+        own *= np.uint64(0x9E3779B97F4A7C15)
+        own += h[k : len(h) - width + 1 + k]
+    own ^= own >> np.uint64(29)
+    own *= np.uint64(0xBF58476D1CE4E5B9 + 2 * width)
+    own ^= own >> np.uint64(32)
+    return np.unique(own)
+
+
+def _sets(shingle: int, similarity: float):
+    """doc_id, mark and text to the set of shingles: its id, size, band keys and a byte of each coordinate."""
+    count = bands(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         from xxhash import xxh64_intdigest
 
-        rnd = np.random.Generator(np.random.PCG64(42))
-        times, plus = rnd.integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
-        times |= np.uint64(1)
+        known = _Words()
 
-        def flush(ids: list, sets: list) -> pa.RecordBatch:
+        def flush(ids: list, marks: list, sets: list) -> pa.RecordBatch:
             held = [k for k, s in enumerate(sets) if len(s)]
             keys, sketch = [[] for _ in sets], [b""] * len(sets)
             if held:
-                flat, at = np.concatenate([sets[k] for k in held]), np.cumsum([0, *(len(sets[k]) for k in held[:-1])])
-                least = np.stack([np.minimum.reduceat(flat * t + p, at) for t, p in zip(times, plus)], axis=1)
-                key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(held), 1))
+                least = signature(np.concatenate([sets[k] for k in held]), np.cumsum([0, *(len(sets[k]) for k in held[:-1])]), count * ROWS)
+                key = np.tile(np.arange(1, count + 1, dtype=np.uint64), (len(held), 1))
                 for r in range(ROWS):
                     key = (key ^ least[:, r::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
                     key ^= key >> np.uint64(29)
-                for k, own, low in zip(held, key.view(np.int64), (least & np.uint64(255)).astype(np.uint8)):
+                for k, own, low in zip(held, key.view(np.int64), (least & np.uint32(255)).astype(np.uint8)):
                     keys[k], sketch[k] = own, low.tobytes()
             fps = np.array([xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
-            grams = [(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets]
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), pa.array(grams, pa.binary())],
-                ["doc_id", "fp", "size", "keys", "sketch", "grams"],
+                [pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                ["doc_id", "mark", "fp", "size", "keys", "sketch"],
             )
 
         for batch in batches:
-            ids, sets, n = [], [], 0
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                words = (text or b"").translate(upper).split()
-                if 0 < len(words) < shingle:
-                    own = [xxh64_intdigest(b" ".join(words), 42)]
-                else:
-                    own = [xxh64_intdigest(b" ".join(s), 42) for s in zip(*(words[k:] for k in range(shingle)))]
-                ids.append(doc)
-                sets.append(np.unique(np.array(own, np.uint64)))
-                n += len(own)
+            ids, marks, sets, n = [], [], [], 0
+            for doc, mark, text in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+                ids.append(doc), marks.append(mark), sets.append(_shingles(text, shingle, known))
+                n += len(sets[-1])
                 if n > STRETCH:
-                    yield flush(ids, sets)
-                    ids, sets, n = [], [], 0
+                    yield flush(ids, marks, sets)
+                    ids, marks, sets, n = [], [], [], 0
             if ids:
-                yield flush(ids, sets)
+                yield flush(ids, marks, sets)
 
     return run
 
 
-def _alike(similarity: float, best: bool = False):
-    """Sets of one key, or members and leaders of their key, to the pairs (a < b) that may reach ``similarity``; with ``best``
-    only the likest of the leaders for each member."""
-    least = similarity / (1 + similarity)  # of both sizes together, what two sets must have in common
+def _full_sets(shingle: int):
+    """(fp, grams) of (fp, text): the set as bytes of sorted 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+        known = _Words()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                grams = [_shingles(t, shingle, known).tobytes() for t in some.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column("fp"), pa.array(grams, pa.binary())], ["fp", "grams"])
 
-        def columns(group):
-            sketch = np.frombuffer(b"".join(group.field("sketch").to_pylist()), np.uint8).reshape(len(group), -1)
-            return *(group.field(c).to_numpy() for c in ("fp", "root", "size", "free")), sketch
+    return run
+
+
+def _alike(similarity: float):
+    """The sets of one key (at most CROWD) to pairs (a < b) whose sketches agree enough."""
+    enough, least = _agree(similarity), Fraction(str(similarity))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
         for batch in batches:
             low, high = [], []
-            for own, others in zip(batch.column("own"), batch.column("others")):
-                (x, xr, xs, xf, xk), (y, yr, ys, yf, yk) = columns(own.values), columns(others.values)
-                top, found = np.full(len(x), AGREE - 1), np.full(len(x), -1)
-                for k in range(len(y)):
-                    fits = np.flatnonzero((xr != yr[k]) & (np.minimum(xf, yf[k]) >= least * (xs + ys[k]) - 1e-9))
-                    agree = (xk[fits] == yk[k]).sum(axis=1)
-                    if best:
-                        better = agree > top[fits]
-                        top[fits[better]], found[fits[better]] = agree[better], k
-                    else:
-                        near = x[fits[agree >= AGREE]]
-                        low.append(np.minimum(near, y[k])), high.append(np.maximum(near, y[k]))
-                if best and (found >= 0).any():
-                    a, b = x[found >= 0], y[found[found >= 0]]
-                    low.append(np.minimum(a, b)), high.append(np.maximum(a, b))
+            for own in batch.column("own"):
+                group = own.values
+                fp, size = group.field("fp").to_numpy(), group.field("size").to_numpy()
+                sketch = np.frombuffer(b"".join(group.field("sketch").to_pylist()), np.uint8).reshape(len(group), -1)
+                i, j = np.triu_indices(len(fp), 1)
+                fits = (np.minimum(size[i], size[j]) * least.denominator >= np.maximum(size[i], size[j]) * least.numerator) & ((sketch[i] == sketch[j]).sum(axis=1) >= enough)
+                low.append(np.minimum(fp[i], fp[j])[fits]), high.append(np.maximum(fp[i], fp[j])[fits])
             if low:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(low)), pa.array(np.concatenate(high))], ["a", "b"])
 
@@ -133,13 +205,13 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             some = batch.slice(at, 256)
-            own = [np.frombuffer(g, np.uint32) for g in some.column("grams").to_pylist()]
-            flat = np.concatenate(own).view(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(some.column("fp").to_numpy(), [len(g) for g in own]))], ["gram", "fp"])
+            own = [np.frombuffer(g, np.int64) for g in some.column("grams").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.repeat(some.column("fp").to_numpy(), [len(g) for g in own]))], ["gram", "fp"])
 
 
 def _compared(similarity: float):
-    """Pairs with both sets to those whose Jaccard similarity is ``similarity`` or more."""
+    """Pairs with both full sets to those whose Jaccard similarity is ``similarity`` or more, in whole numbers."""
+    least = Fraction(str(similarity))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -147,133 +219,188 @@ def _compared(similarity: float):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
-                both = np.concatenate([x, y])
+                both = np.concatenate([np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                keep.append(common >= similarity * (len(both) - common) - 1e-9)
+                keep.append(common * least.denominator >= least.numerator * (len(both) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links of a partition as stars around the least set of each component that they form."""
-    root: dict[int, int] = {}
+def _met(similarity: float):
+    """Two blocks of a key's sets to links (a, b) of ``similarity`` or more: for each set of the first and each component of
+    the second that it isn't in, one link at most."""
+    least = Fraction(str(similarity))
 
-    def find(x: int) -> int:
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = x = root.setdefault(up, up)
-        return x
+    def common(own: list, others: list):
+        """How many shingles each two have in common: products of incidence matrices, some columns at a time."""
+        import numpy as np
 
-    for batch in batches:
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-            a, b = find(a), find(b)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    rows = [(x, r) for x in root if (r := find(x)) != x]
-    for at in range(0, len(rows), 50_000):
-        a, b = zip(*rows[at : at + 50_000])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        flat = [np.concatenate(s) for s in (own, others)]
+        row = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (own, others)]
+        shared = np.intersect1d(*flat)
+        out = np.zeros((len(own), len(others)), np.int64)
+        place = [np.searchsorted(shared, f) for f in flat]
+        there = [(p < len(shared)) & (shared[np.minimum(p, len(shared) - 1)] == f) if len(shared) else np.zeros(len(f), bool) for p, f in zip(place, flat)]
+        row, place = [r[t] for r, t in zip(row, there)], [p[t] for p, t in zip(place, there)]
+        for at in range(0, len(shared), COLUMNS):
+            m = []
+            for s, r, p in zip((own, others), row, place):
+                some = (p >= at) & (p < at + COLUMNS)
+                m.append(np.zeros((len(s), min(COLUMNS, len(shared) - at)), np.float32))
+                m[-1][r[some], p[some] - at] = 1
+            out += (m[0] @ m[1].T).astype(np.int64)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
+        for batch in batches:
+            for own, others in zip(batch.column("own"), batch.column("others")):
+                (x, xr, xs), (y, yr, ys) = ((g.field("fp").to_numpy(), g.field("root").to_numpy(), [np.frombuffer(b, np.uint64) for b in g.field("grams").to_pylist()]) for g in (own.values, others.values))
+                both = common(xs, ys)
+                union = np.array([len(s) for s in xs])[:, None] + np.array([len(s) for s in ys])[None, :] - both
+                i, j = np.nonzero((both * least.denominator >= least.numerator * union) & (xr[:, None] != yr[None, :]))
+                _, one = np.unique(np.stack([i, yr[j]]), axis=1, return_index=True)
+                if len(one):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i[one]]), pa.array(y[j[one]])], ["a", "b"])
 
-def _linked(links: DataFrame) -> DataFrame:
-    """(node, root) of ``links``: each partition's are contracted first, which leaves fewer rounds and rows."""
-    return components(links.mapInArrow(_stars, _PAIR_SQL))
+    return run
 
 
 def _may_pair(many: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of ``many`` (key, fp, size, ...) the rows that, by the bound on what is common, may reach ``similarity`` with a holder
-    of their key; with ``free``, the shingles that another set has too, and ``first``: whether the key is the set's least."""
+    """Of ``many`` (key, fp, size) the rows that, by the bound on what is common, may reach ``similarity`` with a holder of
+    their key; with ``free``, the number of shingles that another set has too."""
     crowd = sets.join(many.select("fp").distinct(), "fp", "left_semi").select("fp", "grams")
-    alone = crowd.mapInArrow(_grams, "gram int, fp long").groupBy("gram").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("c")).where("c = 1")
+    alone = crowd.mapInArrow(_grams, "gram long, fp long").groupBy("gram").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("c")).where("c = 1")
     alone = stored(alone.groupBy("fp").agg(F.count(F.lit(1)).alias("alone")), "alone")
-    many = many.join(alone, "fp", "left").withColumn("free", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
-    many = stored(many, "many")
+    marked = stored(many.join(alone, "fp", "left").withColumn("free", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone"), "many")
     # Sizes in steps of two percent: a key has a few hundred of them at most.
-    step = F.floor(F.log("size") * 50)
-    sizes = stored(many.groupBy("key", step.alias("step")).agg(F.min("size").alias("least"), F.max("free").alias("most")).select(F.col("key").alias("k"), "least", "most"), "sizes")
+    sizes = marked.groupBy("key", F.floor(F.log("size") * 50).alias("step")).agg(F.min("size").alias("least"), F.max("free").alias("most"))
+    sizes = stored(sizes.select(F.col("key").alias("k"), "least", "most"), "sizes")
     enough = F.least("free", "most") >= F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("least")) - 1e-9
-    may = stored(many.join(sizes.hint("merge"), (F.col("key") == F.col("k")) & enough, "left_semi"), "may")
-    least = stored(may.groupBy("fp").agg(F.min("key").alias("__least")), "least")
-    out = stored(may.join(least, "fp").withColumn("first", F.col("key") == F.col("__least")).drop("__least"), "may")
-    free(alone, many, sizes, may, least)
+    out = stored(marked.join(sizes.hint("merge"), (F.col("key") == F.col("k")) & enough, "left_semi"), "may")
+    free(alone, marked, sizes)
     return out
 
 
-def link(rows: DataFrame, *, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
-    """(node, root) of every set of ``rows`` (columns of _SET_SQL) that a chain of pairs of ``similarity`` or more links."""
-    keys = stored(rows.select("fp", F.explode("keys").alias("key")).distinct(), "bands")
-    held = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
+def _block(count: Column, total: Column) -> Column:
+    """Of how many blocks a key's sets make: by their number and by their bytes."""
+    return F.greatest(F.ceil(count / BLOCK), F.ceil(total * 8 / BLOCK_BYTES)).cast("int")
+
+
+def _blocks_met(now: DataFrame, outside: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links of ``outside`` (key, fp) to any holder in ``now`` (key, fp, root, size) of their key, by blocks of both."""
+    apart = outside.groupBy("key").agg(F.count(F.lit(1)).alias("own_n"))
+    keys = now.join(apart.hint("merge"), "key").groupBy("key").agg(F.first("own_n").alias("own_n"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+    keys = keys.select("key", _block(F.col("n"), F.col("total")).alias("blocks"), F.ceil(F.col("own_n") / F.col("n") * _block(F.col("n"), F.col("total"))).cast("int").alias("own_blocks"))
+    keys = stored(keys, "keys")
+    rows = stored(now.join(keys.hint("merge"), "key").join(sets.hint("merge"), "fp"), "rows")
+    entry = F.struct("fp", "root", "grams")
+    others = rows.groupBy("key", F.pmod(F.xxhash64("fp", F.lit(7)), "blocks").cast("int").alias("block")).agg(F.collect_list(entry).alias("others"))
+    own = rows.join(outside.hint("merge"), ["key", "fp"], "left_semi").groupBy("key", F.pmod(F.xxhash64("fp", F.lit(5)), "own_blocks").alias("part")).agg(F.first("blocks").alias("blocks"), F.collect_list(entry).alias("own"))
+    others, own = stored(others, "others"), stored(own, "own")
+    # A block of sets outside meets each block of the key: in a task of its own, wherever the key is.
+    met = own.select("key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(others.hint("merge"), ["key", "block"])
+    links = stored(met.select("own", "others").mapInArrow(_met(similarity), _PAIR_SQL), "links")
+    free(keys, rows, others, own)
+    return links
+
+
+def link(once: DataFrame, texts: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+    """(node, root) of every set that a chain of pairs of ``similarity`` or more links.
+
+    ``once`` has a row for each set (fp, size, keys, sketch, doc_id, mark); ``texts`` (doc_id, mark, text) has their texts:
+    only those whose set shares a key with another one are shingled again.
+    """
+    keys = once.select("fp", F.explode("keys").alias("key"))
+    held = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "held")
     members = stored(keys.join(held, "key"), "members")
-    # Only sets that share a key with another one move from here on.
-    sets = rows.select("fp", "size", "sketch", "grams").dropDuplicates(["fp"])
-    sets = stored(sets.join(members.select("fp").distinct(), "fp", "left_semi"), "sets")
-    marked = stored(members.join(sets.select("fp", "size", "sketch"), "fp"), "marked")
-    free(keys, held, members)
+    wanted = stored(once.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "size", "sketch", F.col("doc_id").alias("d"), F.col("mark").alias("m")), "wanted")
+    full = texts.join(wanted.select("fp", "d", "m"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))).select("fp", "text").mapInArrow(_full_sets(shingle), "fp long, grams binary")
+    sets = stored(full.groupBy("fp").agg(F.first("grams").alias("grams")), "sets")  # repeated rows have one set
+    marked = stored(members.join(wanted.select("fp", "size", "sketch"), "fp"), "marked")
+    free(held, members, wanted)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs.distinct(), "pairs")
         grams = lambda end, name: sets.select(F.col("fp").alias(end), F.col("grams").alias(name))
-        return stored(pairs.join(grams("a", "x"), "a").join(grams("b", "y"), "b").mapInArrow(_compared(similarity), _PAIR_SQL), "links")
+        found = stored(pairs.join(grams("a", "x"), "a").join(grams("b", "y"), "b").mapInArrow(_compared(similarity), _PAIR_SQL), "links")
+        free(pairs)
+        return found
 
-    entry = F.struct("fp", F.col("fp").alias("root"), "size", F.col("size").alias("free"), "sketch")
-    few = marked.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list(entry).alias("own"))
-    links = verified(few.select("own", F.col("own").alias("others")).mapInArrow(_alike(similarity), _PAIR_SQL))
-    many = marked.where(F.col("n") > crowd)
-    if many.isEmpty():
-        return _linked(links)
-
-    many = _may_pair(many, sets, similarity)
-    waiting = many.select("key", "fp")
-    entry = F.struct("fp", "root", "size", "free", "sketch")
-
-    def rooted(part: DataFrame, roots: DataFrame) -> DataFrame:
+    def rooted(part: DataFrame, links: DataFrame) -> DataFrame:
+        roots = stored(components(links), "roots")
         named = roots.select(F.col("node").alias("fp"), "root")
-        return stored(part.join(named.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
-
-    def compared(now: DataFrame, lead: DataFrame, best: bool) -> DataFrame:
-        """Links between holders and leaders of a key, in blocks of both; the best ones by each holder's first key only."""
-        lead = now.join(lead.hint("merge"), ["key", "fp"], "left_semi")
-        part = F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(max(1, leaders // BLOCK)))
-        others = stored(lead.groupBy("key", part.alias("part")).agg(F.collect_list(entry).alias("others")), "others")
-        blocks = (now.where("first") if best else now).groupBy("key", F.pmod(F.xxhash64("fp", F.lit(7)), F.ceil(F.col("n") / BLOCK)).alias("block")).agg(F.collect_list(entry).alias("own"))
-        blocks = stored(blocks.select("key", "own"), "blocks")
-        return verified(blocks.join(others.select("key", "others").hint("merge"), "key").select("own", "others").mapInArrow(_alike(similarity, best), _PAIR_SQL))
-
-    leaders, grown = LEADERS, True
-    while True:
-        if grown:
-            roots = stored(_linked(links), "roots")
-            now = rooted(many, roots)
-        sizes = now.groupBy("key", F.col("root").alias("most")).agg(F.count(F.lit(1)).alias("c"))
-        largest = stored(sizes.groupBy("key").agg(F.max_by("most", F.struct("c", "most")).alias("most")), "largest")
-        outside = now.join(waiting.hint("merge"), ["key", "fp"], "left_semi").join(largest.hint("merge"), "key").where("root <> most")
-        outside = stored(outside.select("key", "fp"), "outside")
-        if outside.isEmpty():
-            return roots
-        left = stored(outside.groupBy("key").agg(F.count(F.lit(1)).alias("left")), "left")
-        # About so many of each key, by chance: no order within a key, which would take a task for all its holders.
-        chance = F.pmod(F.xxhash64("key", "fp", F.lit(leaders)), F.lit(1 << 30)) * F.col("left") < leaders * (1 << 30)
-        lead = stored(outside.join(left.hint("merge"), "key").where(chance).select("key", "fp"), "lead")
-        near = compared(now, lead, True)
-        if not near.isEmpty():
-            links = stored(links.unionByName(near), "links")
-            roots = stored(_linked(links), "roots")
-            now = rooted(many, roots)
-        rest = compared(now, lead, False)
-        grown = not rest.isEmpty()
-        links = stored(links.unionByName(rest), "links")
-        waiting = stored(waiting.join(lead.hint("merge"), ["key", "fp"], "left_anti"), "waiting")
-        leaders *= 2
+        out = stored(part.drop("root").join(named.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+        free(roots)
+        return out
+
+    few = marked.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list(F.struct("fp", "size", "sketch")).alias("own"))
+    links = verified(few.select("own").mapInArrow(_alike(similarity), _PAIR_SQL))
+    many = marked.where(F.col("n") > crowd).select("key", "fp", "size")
+    if not many.isEmpty():
+        now, outside = _may_pair(many, sets, similarity), None
+        for _ in range(LEADS):
+            lead = (now if outside is None else outside).groupBy("key").agg(F.max_by("fp", F.struct(F.col("free") / F.col("size"), "fp")).alias("lead"))
+            pairs = now.join(lead.hint("merge"), "key").where("fp <> lead").select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b"))
+            old, links = links, stored(links.unionByName(verified(pairs)), "links")
+            last, now = now, rooted(now, links)
+            free(old, last, *([] if outside is None else [outside]))
+            sizes = now.groupBy("key", F.col("root").alias("most")).agg(F.count(F.lit(1)).alias("c"))
+            largest = stored(sizes.groupBy("key").agg(F.max_by("most", F.struct("c", "most")).alias("most")), "largest")
+            outside = stored(now.join(largest.hint("merge"), "key").where("root <> most").select("key", "fp", "size", "free"), "outside")
+            free(largest)
+            if outside.isEmpty():
+                break
+        else:
+            links = links.unionByName(_blocks_met(now.select("key", "fp", "root", "size"), outside.select("key", "fp"), sets, similarity))
+    roots = stored(components(links), "roots")
+    free(marked, sets)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, fp, component_id) of each row: the smallest doc_id that links of ``similarity`` or more reach.
+    """(doc_id, n_shingles, component_id) of each row: the size of its set, and the smallest doc_id that links reach.
 
-    Shingles are of lower-cased (A-Z) words; a text of fewer words is one shingle. ``fp`` names the shingle set; texts without
-    words share the empty one. A null doc_id is linked but names no component. Repeated rows are kept.
+    Sets are of distinct shingles of ``shingle`` lower-cased (A-Z) words of the whole text; fewer words are one shingle. Sets
+    link whose intersection is ``similarity`` of their union or more, equal ones always. A text without words, or null, has an
+    empty set and links with nothing: its row names itself. A null doc_id is linked but names no component (null if all in
+    one are null). Repeated rows are kept, and rows of one doc_id with unlike texts may be in two components. Columns other
+    than doc_id and text don't matter; an empty table gives an empty one.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sets(shingle), _SET_SQL)
-    rows = stored(rows, "rows")
-    return with_component(rows, stored(link(rows, similarity=similarity, crowd=crowd), "roots"))
+    if not 0 < similarity <= 1 or shingle < 1:
+        raise ValueError("similarity must be above 0 and at most 1, shingle at least 1")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    rows = stored(texts.mapInArrow(_sets(shingle, similarity), _SET_SQL), "rows")
+    some = rows.where("size > 0")
+    # One row for each set, with the document that it is taken from: partial sums go before the shuffle, so copies do too.
+    once = stored(some.groupBy("fp").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "mark")).alias("at")).select("fp", "size", "keys", "sketch", "at.doc_id", "at.mark"), "once")
+    roots = link(once, texts, shingle=shingle, similarity=similarity, crowd=crowd)
+    thin = stored(rows.select("doc_id", "fp", "size"), "thin")
+    free(rows, once)
+    linked = with_component(thin.where("size > 0"), roots)
+    out = linked.select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+    return out.unionByName(thin.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def op11_minhash(spark, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return near_duplicates(docs, similarity=0.85).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+SQL = {
+    "op11_minhash": r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+s as (select doc_id, case when len(words) = 0 then []::varchar[] when len(words) < 5 then [array_to_string(words, ' ')]
+  else list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) end as sh from w),
+grams as (select doc_id, unnest(sh) as g from s),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as (select a, b from common join s x on x.doc_id = a join s y on y.doc_id = b where 100 * c >= 85 * (len(x.sh) + len(y.sh) - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (select doc_id as a, doc_id as b from s union select r.a, l.b from reach r join both_ways l on l.a = r.b),
+least as (select a, min(b) as component_id from reach group by a)
+select doc_id, cast(len(sh) as bigint) as n_shingles, component_id, doc_id = component_id as kept from s join least on a = doc_id
+"""
+}

@@ -189,14 +189,15 @@ def link(fps: DataFrame, *, bits: int = BITS, crowd: int = CROWD, blocks: int |
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int | None = None, bits: int = BITS, similarity: float | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) of each row: the smallest doc_id that links reach.
+    """(doc_id, fp, component_id) of each row: the smallest doc_id that links reach; with ``similarity`` n_shingles, not fp.
 
     Without ``similarity`` fingerprints of at most ``bits`` differing bits link (``shingle`` words, by default 3). With it,
     texts link whose sets of ``shingle`` words (by default 5) have that Jaccard similarity or more: at 0.8 some 10 of 64 bits
     differ, more than blocks of a fingerprint can find, so blocks of minima take their place (see ``minhash``).
 
-    Documents without words share a fingerprint and are linked like any other. A null doc_id is linked but names no
-    component (null if all in one are null). Repeated rows are kept. An empty table gives an empty one.
+    Documents without words share a fingerprint and are linked like any other; with ``similarity`` they link with nothing. A
+    null doc_id is linked but names no component (null if all in one are null). Repeated rows are kept. An empty table gives
+    an empty one.
     """
     if similarity is not None:
         return minhash.near_duplicates(docs, shingle=shingle or minhash.SHINGLE, similarity=similarity)
