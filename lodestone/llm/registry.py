@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ["url_filter", "warc", "substring_dedup", "quality", "simhash", "packing", "topk", "pieces", "line_dedup", "chat", "minhash", "merkle"]
+NAMES = ["url_filter", "warc", "substring_dedup", "quality", "simhash", "packing", "topk", "pieces", "line_dedup", "chat", "minhash", "divergence", "merkle"]
 
 
 #: Imported with this module, so that one that can't be is known at once.

@@ -30,4 +30,4 @@ def test_query_equals_its_sql(spark, sf, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted({q[2:].split("_")[0] for q in registry.queries() if q not in registry.MORE}, key=int) == [str(i) for i in range(1, 11)]
+    assert sorted({q[2:].split("_")[0] for q in registry.queries() if q not in registry.MORE}, key=int) == [str(i) for i in range(1, 14)]
