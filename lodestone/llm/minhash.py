@@ -20,6 +20,8 @@ A key that at most CROWD sets hold is compared in full. Larger ones, as families
 3. What is still outside the largest component of a key is compared with all its holders, block by block, a product of two
    incidence matrices each. A block gives a link for each component that a set of it reaches, never all pairs.
 
+Sides of joins grow with the corpus, so none is broadcast, however small it is.
+
 So no pair across components stays uncompared, families take rows linear in their size, and a key of n unlike texts that may
 all have a partner by the bound takes n * n comparisons (no rows), spread over its blocks.
 """
@@ -316,17 +318,17 @@ def link(once: DataFrame, texts: DataFrame, *, shingle: int = SHINGLE, similarit
     """
     keys = once.select("fp", F.explode("keys").alias("key"))
     held = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "held")
-    members = stored(keys.join(held, "key"), "members")
-    wanted = stored(once.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "size", "sketch", F.col("doc_id").alias("d"), F.col("mark").alias("m")), "wanted")
-    full = texts.join(wanted.select("fp", "d", "m"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))).select("fp", "text").mapInArrow(_full_sets(shingle), "fp long, grams binary")
+    members = stored(keys.join(held.hint("merge"), "key"), "members")
+    wanted = stored(once.join(members.select("fp").distinct().hint("merge"), "fp", "left_semi").select("fp", "size", "sketch", F.col("doc_id").alias("d"), F.col("mark").alias("m")), "wanted")
+    full = texts.join(wanted.select("fp", "d", "m").hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))).select("fp", "text").mapInArrow(_full_sets(shingle), "fp long, grams binary")
     sets = stored(full.groupBy("fp").agg(F.first("grams").alias("grams")), "sets")  # repeated rows have one set
-    marked = stored(members.join(wanted.select("fp", "size", "sketch"), "fp"), "marked")
+    marked = stored(members.join(wanted.select("fp", "size", "sketch").hint("merge"), "fp"), "marked")
     free(held, members, wanted)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs.distinct(), "pairs")
         grams = lambda end, name: sets.select(F.col("fp").alias(end), F.col("grams").alias(name))
-        found = stored(pairs.join(grams("a", "x"), "a").join(grams("b", "y"), "b").mapInArrow(_compared(similarity), _PAIR_SQL), "links")
+        found = stored(pairs.join(grams("a", "x").hint("merge"), "a").join(grams("b", "y").hint("merge"), "b").mapInArrow(_compared(similarity), _PAIR_SQL), "links")
         free(pairs)
         return found
 
