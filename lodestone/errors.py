@@ -46,3 +46,7 @@ class RateLimited(EngineError):
 
 class ConfigError(EngineError):
     code = "config_error"
+
+
+class Conflict(EngineError):
+    code = "conflict"

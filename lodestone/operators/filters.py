@@ -31,7 +31,8 @@ def live(column: str = "tombstoned_at", include_tombstoned: bool = False) -> Col
 def _contains(value: Column, want: Any) -> Column:
     """Containment in a variant: objects by member, arrays as sets, scalars by value."""
     if isinstance(want, Mapping):
-        tests = [_contains(F.try_variant_get(value, f"$['{k}']", "variant"), v) for k, v in want.items()]
+        members = F.coalesce(F.try_variant_get(value, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+        tests = [_contains(F.try_element_at(members, F.lit(k)), v) for k, v in want.items()]  # not by a path: keys may hold quotes
         return reduce(lambda a, b: a & b, tests, F.schema_of_variant(value).startswith("OBJECT"))
     if isinstance(want, list):
         have = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.errors import ConfigError
+
 TOKEN = r"[\p{L}\p{N}]+"
 #: English stop words (fixed values).
 STOP_WORDS = """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers
@@ -141,19 +143,30 @@ def query_lexemes(query: str, *, stem: bool = False) -> list[str]:
 BUCKETS = 64
 
 
-def write_index(postings: DataFrame, path: str, *, buckets: int = BUCKETS) -> None:
-    """Writes ``postings`` by bucket of lexemes; a frequent lexeme's rows are spread over several tasks and files."""
+def write_index(postings: DataFrame, path: str, *, buckets: int = BUCKETS, stem: bool = False) -> None:
+    """Writes ``postings`` by bucket of lexemes; a frequent lexeme's rows are spread over several tasks and files. ``stem``
+    says whether they have stems."""
     rows = postings.withColumn("bucket", F.pmod(F.xxhash64("lexeme"), F.lit(buckets)).cast("int"))
     dealt = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("chunk_id"), F.lit(4)))
     dealt.sortWithinPartitions("bucket", "lexeme").write.partitionBy("bucket").mode("overwrite").parquet(path)
-    postings.sparkSession.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").json(f"{path}/_about")
+    postings.sparkSession.createDataFrame([(buckets, stem)], "buckets int, stem boolean").coalesce(1).write.mode("overwrite").json(f"{path}/_about")
+
+
+class Postings:
+    """Postings in a table, with whether they have stems."""
+
+    def __init__(self, rows: DataFrame, stem: bool = False):
+        self.rows, self.stem = rows, stem
+
+    def of(self, lexemes: list[str]) -> DataFrame:
+        return self.rows.where(F.col("lexeme").isin(*lexemes) if lexemes else F.lit(False))
 
 
 class WrittenIndex:
     """Postings that :func:`write_index` wrote."""
 
     def __init__(self, spark, path: str):
-        self.buckets = spark.read.schema("buckets int").json(f"{path}/_about").first()[0]
+        self.buckets, self.stem = spark.read.schema("buckets int, stem boolean").json(f"{path}/_about").first()
         self.rows = spark.read.parquet(path)
 
     def of(self, lexemes: list[str]) -> DataFrame:
@@ -182,11 +195,14 @@ class Texts:
         return found.where((F.size(F.array_distinct("hits.l")) == len(lexemes)) & F.lit(bool(lexemes)))
 
 
-def match(index: DataFrame | WrittenIndex | Texts, lexemes: list[str], *, stem: bool = False) -> DataFrame:
+Index = DataFrame | Postings | WrittenIndex | Texts
+
+
+def match(index: Index, lexemes: list[str], *, stem: bool = False) -> DataFrame:
     """(chunk_id, hits) of chunks that hold all ``lexemes``; hits are (position, lexeme) in order. No lexemes match nothing."""
     if isinstance(index, Texts):
         return index.matching(lexemes, stem=stem)
-    found = index.of(lexemes) if isinstance(index, WrittenIndex) else index.where(F.col("lexeme").isin(*lexemes) if lexemes else F.lit(False))
+    found = (Postings(index) if isinstance(index, DataFrame) else index).of(lexemes)
     spread = F.transform("positions", lambda p: F.struct(p.alias("p"), F.col("lexeme").alias("l")))
     per_chunk = found.groupBy("chunk_id").agg(F.count_distinct("lexeme").alias("n"), F.sort_array(F.flatten(F.collect_list(spread))).alias("hits"))
     return per_chunk.where(F.col("n") == len(lexemes)).drop("n")
@@ -195,7 +211,8 @@ def match(index: DataFrame | WrittenIndex | Texts, lexemes: list[str], *, stem:
 def cover_density(hits: Column, n_lexemes: int) -> Column:
     """Sum over minimal covers of 0.1 / (1 + words in between that are no hits).
 
-    With one or two lexemes each cover is a hit, or two neighbours with different lexemes, and stays in the JVM.
+    With one or two lexemes each cover is a hit, or two neighbours with different lexemes; with more, hits are folded one by
+    one over the last hit of each lexeme. All of it stays in the JVM.
     """
     if n_lexemes == 1:
         return F.size(hits) * 0.1
@@ -203,30 +220,33 @@ def cover_density(hits: Column, n_lexemes: int) -> Column:
         pairs = F.transform(hits, lambda h, i: F.when(h["l"] != F.get(hits, i - 1)["l"], F.lit(0.1) / (h["p"] - F.get(hits, i - 1)["p"])).otherwise(F.lit(0.0)))
         return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
 
-    @F.pandas_udf("double")
-    def rank(batch: pd.Series) -> pd.Series:
-        def one(hits) -> float:
-            places = [(h["p"], h["l"]) for h in hits]
-            total, start, have = 0.0, 0, {}
-            for end, (p, lexeme) in enumerate(places):
-                have[lexeme] = have.get(lexeme, 0) + 1
-                if len(have) < n_lexemes:
-                    continue
-                while have[places[start][1]] > 1:  # the latest start that still covers all
-                    have[places[start][1]] -= 1
-                    start += 1
-                total += 0.1 / (1 + max(0, p - places[start][0] - (end - start)))
-                del have[places[start][1]]
-                start += 1
-            return total
-
-        return pd.Series([one(h) for h in batch])
-
-    return rank(hits)
-
-
-def search(index: DataFrame | WrittenIndex | Texts, query: str, limit: int, *, stem: bool = False) -> DataFrame:
-    """(chunk_id, score): the ``limit`` best matches of all the query's lexemes, ties by chunk_id."""
+    # A cover ends at a hit and starts at the earliest of the other lexemes' last hits since the cover before it started.
+    def step(s: Column, h: Column) -> Column:
+        seen = F.concat(F.filter(s["seen"], lambda x: x["l"] != h["l"]), F.array(F.struct(h["p"].alias("p"), h["l"].alias("l"), s["n"].alias("i"))))
+        start = F.get(seen, F.lit(0))  # the lexeme whose last hit is farthest back
+        full = F.size(seen) == n_lexemes
+        between = F.greatest(F.lit(0), h["p"] - start["p"] - (s["n"] - start["i"]))
+        return F.struct(
+            (s["total"] + F.when(full, F.lit(0.1) / (1 + between)).otherwise(0.0)).alias("total"), (s["n"] + 1).alias("n"),
+            F.when(full, F.slice(seen, 2, max(1, n_lexemes - 1))).otherwise(seen).alias("seen"),
+        )
+
+    none = F.array().cast("array<struct<p:int,l:string,i:int>>")
+    return F.aggregate(hits, F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"), none.alias("seen")), step, lambda s: s["total"])
+
+
+def stemmed(index: Index, stem: bool | None, default: bool = False) -> bool:
+    """Whether queries of ``index`` are stemmed: as it was made, if it knows, else as asked for."""
+    known = getattr(index, "stem", None) if isinstance(index, Postings | WrittenIndex) else None
+    if known is not None and stem is not None and known != stem:
+        raise ConfigError("queries must be stemmed exactly if the index is", index=known, query=stem)
+    return known if known is not None else default if stem is None else stem
+
+
+def search(index: Index, query: str, limit: int, *, stem: bool | None = None) -> DataFrame:
+    """(chunk_id, score): the ``limit`` best matches of all the query's lexemes, ties by chunk_id. An index that knows whether
+    it has stems decides that, and refuses to be asked otherwise."""
+    stem = stemmed(index, stem)
     lexemes = query_lexemes(query, stem=stem)
     scored = match(index, lexemes, stem=stem).select("chunk_id", cover_density(F.col("hits"), max(1, len(lexemes))).alias("score"))
     return scored.orderBy(F.desc("score"), "chunk_id").limit(limit)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,17 +18,63 @@ THRESHOLD = 0.5
 CROSS_REF = "cross_ref"
 
 
-def name_map(entities: DataFrame, order: str = "ord") -> DataFrame:
-    """(target_name, entity_id): the last entity of a full name, else the first of a display name."""
-    full = entities.groupBy(F.col("name").alias("target_name")).agg(F.max_by("id", order).alias("by_name"))
-    short = entities.groupBy(F.col("display_name").alias("target_name")).agg(F.min_by("id", order).alias("by_display"))
+def name_map(entities: DataFrame, order: str = "ord", wanted: DataFrame | None = None) -> DataFrame:
+    """(target_name, entity_id): the last entity of a full name, else the first of a display name; equals of ``order`` by id.
+
+    ``wanted`` (target_name, distinct) limits it to these names. So it depends on the entities alone, not on how they came.
+    """
+    at = F.struct(order, "id")
+
+    def carriers(column: str) -> DataFrame:
+        named = entities.select(F.col(column).alias("target_name"), "id", order)
+        return named if wanted is None else named.join(wanted, "target_name", "left_semi")
+
+    full = carriers("name").groupBy("target_name").agg(F.max_by("id", at).alias("by_name"))
+    short = carriers("display_name").groupBy("target_name").agg(F.min_by("id", at).alias("by_display"))
     return full.join(short, "target_name", "full").select("target_name", F.coalesce("by_name", "by_display").alias("entity_id"))
 
 
-def resolve_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:
-    """Edges (source_entity_id, target_name, edge_type) with target ids; unresolved ones and self-loops go."""
-    joined = edges.join(name_map(entities), "target_name")
-    return joined.where(F.col("source_entity_id") != F.col("entity_id")).select("source_entity_id", F.col("entity_id").alias("target_entity_id"), "edge_type")
+def resolve_edges(edges: DataFrame, entities: DataFrame, *, carry: list[str] | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """Edges (source_entity_id, target_name, edge_type) with target ids and the columns ``carry``; unresolved ones and self-loops go."""
+    joined = edges.join(name_map(entities, wanted=wanted), "target_name")
+    return joined.where(F.col("source_entity_id") != F.col("entity_id")).select("source_entity_id", F.col("entity_id").alias("target_entity_id"), "edge_type", *(carry or []))
+
+
+@dataclass(frozen=True)
+class Graph:
+    """A graph with what it takes to keep it right as documents change: ``entities`` (id, name, display_name, ord, the scope),
+    every ``raw`` edge by its target's name (source_entity_id, target_name, edge_type, the scope), resolved or not, and the
+    resolved ``edges`` (source_entity_id, target_entity_id, edge_type, target_name, the scope)."""
+
+    entities: DataFrame
+    raw: DataFrame
+    edges: DataFrame
+
+    def dangling(self) -> DataFrame:
+        """Raw edges whose target's name nobody has, or only their own source."""
+        return self.raw.join(self.edges, ["source_entity_id", "target_name", "edge_type"], "left_anti")
+
+
+def apply_delta(graph: Graph, entities: DataFrame, raw: DataFrame, *, scope: str = "document_id", touched: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Graph:
+    """The graph after ``entities`` and ``raw`` edges replaced those of their scopes (of ``touched``, by default all that have
+    new entities): the same, however a set of documents is cut into deltas.
+
+    Names that an entity of the delta has or had may mean another one now. Edges to other names stay as they are; edges of the
+    delta, and edges of untouched documents to these names, are resolved against all entities that carry them. So an edge is
+    found that waited for its target, goes back to waiting when its target goes, and moves when the name passes to another.
+    ``keep`` stores what is used more than once; with many deltas in one session it is needed, as each builds on the last.
+    """
+    scopes = (entities if touched is None else touched).select(scope).distinct()
+    gone = graph.entities.join(scopes, scope, "left_semi")
+    named = gone.select("name", "display_name").unionByName(entities.select("name", "display_name"))
+    affected = keep(named.select(F.explode(F.array("name", "display_name")).alias("target_name")).where("target_name is not null").distinct())
+    new_entities = keep(graph.entities.join(scopes, scope, "left_anti").unionByName(entities, allowMissingColumns=True))
+    others = graph.raw.join(scopes, scope, "left_anti")
+    columns = ["source_entity_id", "target_name", "edge_type", scope]
+    todo = keep(raw.select(*columns).unionByName(others.select(*columns).join(affected, "target_name", "left_semi")))
+    found = resolve_edges(todo, new_entities, carry=["target_name", scope], wanted=todo.select("target_name").distinct())
+    same = graph.edges.join(scopes, scope, "left_anti").join(affected, "target_name", "left_anti")
+    return Graph(new_entities, keep(others.unionByName(raw.select(*columns), allowMissingColumns=True)), keep(same.unionByName(found.select(*same.columns))))
 
 
 def replace_graph(old_entities: DataFrame, old_edges: DataFrame, entities: DataFrame, edges: DataFrame, *, scope: str = "document_id", touched: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -76,68 +125,80 @@ def structural_candidates(entities: DataFrame, edges: DataFrame, term: str, seed
     return start.select("chunk_id", F.lit(seed_score).alias("score")).unionByName(around).where("chunk_id is not null").groupBy("chunk_id").agg(F.max("score").alias("score"))
 
 
-def _is_service(side: str) -> Column:
-    return F.col(f"{side}.entity_type").isin(*KUBERNETES) & ((F.col(f"{side}.entity_type") == "service") | F.lower(F.col(f"{side}.name")).contains("service"))
+def common_tokens(entities: DataFrame) -> dict[str, int]:
+    """Tokens with more than a thousandth of all tokens of linkable names, by how often they occur: a thousand at most."""
+    listed = _linkable(entities).where("fuzzy").select(F.explode("tokens").alias("token"))
+    total = listed.count()
+    return {r["token"]: r["df"] for r in listed.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") * 1000 > total).collect()}
+
+
+def _linkable(entities: DataFrame) -> DataFrame:
+    kind = F.col("entity_type")
+    n = normalize_name(F.col("name"))
+    service = kind.isin(*KUBERNETES) & ((kind == "service") | F.lower(F.col("name")).contains("service"))
+    return entities.select("id", "source_id", "entity_type", n.alias("n"), normalize_name(F.col("display_name")).alias("d"), service.alias("service"), kind.isin(*TERRAFORM, *KUBERNETES, *DASHBOARDS).alias("fuzzy"), name_tokens(n).alias("tokens"))
 
 
-def _prefixes(fuzzy: DataFrame) -> DataFrame:
-    """``fuzzy`` (id, tokens, ...) with a row per (token, mine, other): tokens by which a partner of ``other`` tokens is found.
+def signatures(entities: DataFrame, common: Mapping[str, int]) -> DataFrame:
+    """A row for each ``sig`` of an entity, with what deciding a link takes: two entities that link share one at least.
 
-    For a score of THRESHOLD two names of ``mine`` and ``other`` tokens share ``need`` of them at least, so that their first
-    ``mine - need + 1`` and ``other - need + 1`` tokens, in one common order, have one in common. Common tokens come last in
-    it: those with more than a thousandth of all tokens, of which there are a thousand at most.
+    Equal names share the hash of the name. For a score of THRESHOLD two names of ``mine`` and ``other`` tokens share ``need``
+    of them at least, so that their first ``mine - need + 1`` and ``other - need + 1`` tokens, in one common order, have one in
+    common: that token and both sizes are a signature. ``common`` tokens come last in the order. Links don't depend on them,
+    so those of an older state of the entities will do; the order has to be one for all rows that meet.
     """
-    listed = fuzzy.select(F.explode("tokens").alias("token"))
-    total = listed.count()
-    common = listed.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") * 1000 > total)
-    common = {r["token"]: r["df"] for r in common.collect()}  # at most a thousand
+    e = _linkable(entities)
     weights = F.create_map(*[F.lit(x) for k, v in common.items() for x in (k, v)]) if common else F.create_map().cast("map<string,bigint>")
     order = F.sort_array(F.transform("tokens", lambda t: F.struct(F.coalesce(F.try_element_at(weights, t), F.lit(0)).cast("long").alias("df"), t.alias("t"))))
-    mine = F.size("tokens")
-    ratio = THRESHOLD / (2 - THRESHOLD)
+    mine, ratio = F.size("tokens"), THRESHOLD / (2 - THRESHOLD)
     sizes = F.sequence(F.greatest(F.lit(1), F.ceil(mine * ratio - 1e-9).cast("int")), F.greatest(F.lit(1), F.floor(mine / ratio + 1e-9).cast("int")))
-    each = fuzzy.where(mine > 0).withColumn("mine", mine).withColumn("o", order).withColumn("other", F.explode(sizes))
-    need = F.ceil(THRESHOLD / 2 * (F.col("mine") + F.col("other")) - 1e-9).cast("int")
-    return each.withColumn("x", F.explode(F.slice("o", F.lit(1), F.greatest(F.lit(0), F.col("mine") - need + 1)))).withColumn("token", F.col("x.t")).drop("o", "x")
+    prefix = lambda other: F.transform(F.slice("o", F.lit(1), F.greatest(F.lit(0), mine - F.ceil(THRESHOLD / 2 * (mine + other) - 1e-9).cast("int") + 1)), lambda x: F.xxhash64(x["t"], F.least(mine, other), F.greatest(mine, other)))
+    names = F.array_compact(F.array(F.when(F.col("n") != "", F.xxhash64(F.lit("n"), "n")), F.when(F.col("d") != "", F.xxhash64(F.lit("d"), "d"))))
+    tokens = F.when(F.col("fuzzy") & (mine > 0), F.flatten(F.transform(sizes, prefix))).otherwise(F.array().cast("array<bigint>"))
+    return e.withColumn("o", order).withColumn("sig", F.explode(F.array_distinct(F.concat(names, tokens)))).drop("o", "fuzzy")
+
+
+_LINK = ["id", "source_id", "entity_type", "n", "d", "service", "tokens"]
+
+
+def _met(left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
+    """Links between two sets of signatures, each pair once, from the smaller source id and by its first strategy."""
+    j = left.alias("a").join(right.alias("b"), (F.col("a.sig") == F.col("b.sig")) & apart)
+    low = F.col("a.source_id") < F.col("b.source_id")
+    both = [F.struct(*[F.col(f"{x}.{c}").alias(c) for c in _LINK]) for x in "ab"]
+    pair = j.select(F.when(low, both[0]).otherwise(both[1]).alias("x"), F.when(low, both[1]).otherwise(both[0]).alias("y")).dropDuplicates(["x", "y"])
+    kind = lambda side, kinds: F.col(f"{side}.entity_type").isin(*kinds)
+    score = F.when(F.col("x.n") == F.col("y.n"), F.lit(1.0)).otherwise(dice(F.col("x.tokens"), F.col("y.tokens")))
+    resource = (kind("x", TERRAFORM) & kind("y", KUBERNETES)) | (kind("x", KUBERNETES) & kind("y", TERRAFORM))
+    service = (F.col("x.service") & kind("y", DASHBOARDS)) | (kind("x", DASHBOARDS) & F.col("y.service"))
+    near = (F.size("x.tokens") > 0) & (F.size("y.tokens") > 0) & (F.col("score") >= THRESHOLD)
+    strategy = F.when((F.col("x.n") == F.col("y.n")) & (F.col("x.n") != ""), "exact_name").when((F.col("x.d") == F.col("y.d")) & (F.col("x.d") != ""), "exact_display_name").when(resource & near, "resource_name").when(service & near, "service_name")
+    found = pair.withColumn("score", score).withColumn("strategy", strategy).where("strategy is not null")
+    score = F.when(F.col("strategy").startswith("exact"), F.lit(1.0)).otherwise(F.col("score"))
+    return found.select(F.col("x.id").alias("source_entity_id"), F.col("y.id").alias("target_entity_id"), F.lit(CROSS_REF).alias("edge_type"), score.alias("score"), "strategy", F.col("y.source_id").alias("linked_source_id"))
 
 
 def link_sources(entities: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """New cross-source edges (source_entity_id, target_entity_id, edge_type, score, strategy, linked_source_id).
 
-    Equal names meet in equi-joins on the canonical form, similar ones on the rarer of their tokens (see ``_prefixes``), so
-    no pair is lost, and a word in every name brings none together that doesn't link. A pair is linked once, from the
-    smaller source id, by its first strategy; pairs that ``existing`` edges link either way stay out. Names without a
-    canonical form match nothing.
+    Entities meet where they share a signature (see :func:`signatures`), so no pair is lost, and a word in every name brings
+    none together that doesn't link. A pair is linked once, from the smaller source id, by its first strategy; pairs that
+    ``existing`` edges link either way stay out. Names without a canonical form match nothing.
     """
-    e = entities.select("id", "source_id", "entity_type", "name", "display_name", normalize_name(F.col("name")).alias("n"), normalize_name(F.col("display_name")).alias("d"))
-    fuzzy = e.where(F.col("entity_type").isin(*TERRAFORM, *KUBERNETES, *DASHBOARDS)).withColumn("tokens", name_tokens(F.col("n")))
-    apart = F.col("a.source_id") < F.col("b.source_id")
-    prefixes = _prefixes(fuzzy)
-
-    def pairs(on: Column, score: Column, order: int, strategy: str, left: DataFrame, right: DataFrame) -> DataFrame:
-        j = left.alias("a").join(right.alias("b"), on & apart)
-        return j.select(F.col("a.id").alias("source_entity_id"), F.col("b.id").alias("target_entity_id"), F.col("b.source_id").alias("linked_source_id"), score.alias("score"), F.lit(order).alias("o"), F.lit(strategy).alias("strategy"))
-
-    def like(side_a: Column, side_b: Column, order: int, strategy: str) -> DataFrame:
-        met = (F.col("a.token") == F.col("b.token")) & (F.col("a.mine") == F.col("b.other")) & (F.col("a.other") == F.col("b.mine"))
-        score = F.when(F.col("a.n") == F.col("b.n"), F.lit(1.0)).otherwise(dice(F.col("a.tokens"), F.col("b.tokens")))
-        both = prefixes.alias("a").join(prefixes.alias("b"), met & apart & side_a & side_b)
-        rows = both.select(F.col("a.id").alias("source_entity_id"), F.col("b.id").alias("target_entity_id"), F.col("b.source_id").alias("linked_source_id"), score.alias("score"), F.lit(order).alias("o"), F.lit(strategy).alias("strategy"))
-        return rows.where(F.col("score") >= THRESHOLD)
-
-    def kind(side: str, kinds: list[str]) -> Column:
-        return F.col(f"{side}.entity_type").isin(*kinds)
-
-    one = F.lit(1.0)
-    found = pairs((F.col("a.n") == F.col("b.n")) & (F.col("a.n") != ""), one, 1, "exact_name", e, e)
-    found = found.unionByName(pairs((F.col("a.d") == F.col("b.d")) & (F.col("a.d") != ""), one, 2, "exact_display_name", e, e))
-    for a, b in ((TERRAFORM, KUBERNETES), (KUBERNETES, TERRAFORM)):
-        found = found.unionByName(like(kind("a", a), kind("b", b), 3, "resource_name"))
-    found = found.unionByName(like(_is_service("a"), kind("b", DASHBOARDS), 4, "service_name")).unionByName(like(kind("a", DASHBOARDS), _is_service("b"), 4, "service_name"))
-    first = found.groupBy("source_entity_id", "target_entity_id", "linked_source_id").agg(F.min(F.struct("o", "strategy", "score")).alias("m"))
-    links = first.select("source_entity_id", "target_entity_id", F.lit(CROSS_REF).alias("edge_type"), "m.score", "m.strategy", "linked_source_id")
-    if existing is None:
-        return links
+    rows = signatures(entities, common_tokens(entities))
+    links = _met(rows, rows, F.col("a.source_id") < F.col("b.source_id"))
+    return links if existing is None else _unknown(links, existing)
+
+
+def link_delta(index: DataFrame, new: DataFrame) -> DataFrame:
+    """Links that entities with the signatures ``new`` have with those of ``index`` and with each other: what a full comparison
+    would find besides the links within ``index``. Both sides' signatures are made with the same common tokens."""
+    rows = index.select(*new.columns).unionByName(new)
+    return _met(new, rows, F.col("a.source_id") != F.col("b.source_id"))
+
+
+def _unknown(links: DataFrame, existing: DataFrame) -> DataFrame:
+    """Links of pairs that no cross-source edge of ``existing`` has, either way."""
     known = existing.where(F.col("edge_type") == CROSS_REF).select(F.least("source_entity_id", "target_entity_id").alias("x"), F.greatest("source_entity_id", "target_entity_id").alias("y"))
     return links.withColumn("x", F.least("source_entity_id", "target_entity_id")).withColumn("y", F.greatest("source_entity_id", "target_entity_id")).join(known, ["x", "y"], "left_anti").drop("x", "y")
 

@@ -1,17 +1,18 @@
 """Ingestion: change events to the next state of all tables, as joins over whole batches.
 
 Of a document's events the latest counts. Deletions become tombstones; for the rest contents are fetched, decoded and hashed,
-and only changed documents are parsed, chunked, embedded, indexed and put into the graph. Cost follows the change, not the
-corpus, but for the anti joins that keep what didn't change.
+and only changed documents are parsed, chunked, embedded, indexed, put into the graph and linked with other sources. Cost
+follows the change, not the corpus, but for the anti joins that keep what didn't change. The state is the same, however a set
+of documents is cut into batches: edges that wait for their targets are kept, and links are found from either side.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import parsers
@@ -25,13 +26,43 @@ MAX_WORDS, OVERLAP = 512, 128
 
 @dataclass(frozen=True)
 class Tables:
-    """The state. Any table may be empty, none may be left out."""
+    """The state. Any table may be empty, none may be left out (:func:`empty` makes them)."""
 
     documents: DataFrame
     chunks: DataFrame
     postings: DataFrame
     entities: DataFrame
+    #: Every edge by its target's name, resolved or not; the resolved ones; those across sources.
+    raw_edges: DataFrame
     edges: DataFrame
+    links: DataFrame
+    #: What entities meet by (see graph.signatures).
+    signatures: DataFrame
+    #: Whether postings have stems: part of the state, as searches have to ask alike.
+    stem: bool = True
+    #: Frequent tokens of names, which come last in the signatures; they must stay what they are as long as these.
+    common: Mapping[str, int] = field(default_factory=dict)
+
+    def index(self) -> fulltext.Postings:
+        """The postings as an index of a search engine."""
+        return fulltext.Postings(self.postings, self.stem)
+
+    def graph(self) -> graph.Graph:
+        return graph.Graph(self.entities, self.raw_edges, self.edges)
+
+
+def empty(spark: SparkSession, *, stem: bool = True, common: Mapping[str, int] | None = None) -> Tables:
+    """The state before anything was ingested."""
+    new = lambda schema: spark.createDataFrame([], schema)
+    entities = new("id string, document_id string, source_id string, entity_type string, name string, display_name string, ord string")
+    return Tables(
+        documents=new("id string, source_id string, external_id string, content_hash string, doc_version long, indexed_at timestamp, tombstoned_at timestamp"),
+        chunks=new("id string, document_id string, ord int, text string"), postings=new("chunk_id string, lexeme string, positions array<int>"),
+        entities=entities, raw_edges=new("source_entity_id string, target_name string, edge_type string, document_id string"),
+        edges=new("source_entity_id string, target_entity_id string, edge_type string, target_name string, document_id string"),
+        links=new("source_entity_id string, target_entity_id string, edge_type string, score double, strategy string, linked_source_id string"),
+        signatures=graph.signatures(entities, common or {}), stem=stem, common=common or {},
+    )
 
 
 @dataclass(frozen=True)
@@ -67,20 +98,19 @@ def ingest(tables: Tables, events: DataFrame, fetch: Callable[[DataFrame], DataF
     """The tables after ``events`` (source_id, external_id, action, seq, ...).
 
     ``fetch`` gives (source_id, external_id, path, content_type, content) of the keys it gets; a key it leaves out has failed.
-    ``keep`` may store what is used more than once (a checkpoint, a written table).
+    ``keep`` may store what is used more than once (a checkpoint, a written table). With several batches in one session it has
+    to cut the lineage, as each state is made from the one before.
     """
     last = keep(latest(events))
     gone = last.where("action = 'deleted'").select(*KEY)
     wanted = last.where("action <> 'deleted'").select(*KEY)
     content = keep(fetch(wanted).select(*KEY, "path", "content_type", "content"))
     incoming = content.withColumn("text", text.decode_utf8(F.col("content")))
-    judged = keep(writer.actions(tables.documents, incoming.select(*KEY, "text")).select(*KEY, "action"))
+    judged = keep(writer.actions(tables.documents, incoming.select(*KEY, "text")).select("id", *KEY, "action"))
     documents = writer.upsert_documents(tables.documents, incoming.select(*KEY, "text"), now)
     documents, found = writer.tombstone(documents, gone, now)
 
-    changed = content.join(judged.where("action <> 'unchanged'").select(*KEY), KEY, "left_semi").withColumn("id", F.sha1(F.concat_ws(":", *KEY)))
-    known = tables.documents.select(*KEY, F.col("id").alias("known"))
-    changed = keep(changed.join(known, KEY, "left").withColumn("id", F.coalesce("known", "id")).drop("known"))
+    changed = keep(content.join(judged.where("action <> 'unchanged'").select("id", *KEY), KEY))
     parsed = keep(parsers.parse_documents(changed.select("id", "path", "content_type", "content")))
     made = chunked(parsed).withColumn("id", F.concat_ws(":", "document_id", "ord")).withColumn("ingestion_run_id", F.lit(run_id))
     made = keep(made.withColumn("embedding", embed(F.col("text"))) if embed else made)
@@ -88,15 +118,22 @@ def ingest(tables: Tables, events: DataFrame, fetch: Callable[[DataFrame], DataF
     # Documents that have no chunk any more lose theirs too.
     chunks = writer.replace_chunks(tables.chunks.join(touched, "document_id", "left_anti"), made)
     old = tables.chunks.join(touched, "document_id", "left_semi").select(F.col("id").alias("chunk_id"))
-    new = fulltext.postings(made.select("id", "text"), id="id")
+    new = fulltext.postings(made.select("id", "text"), id="id", stem=tables.stem)
     postings = tables.postings.join(old, "chunk_id", "left_anti").unionByName(new)
+
     entities, raw_edges = parsers.extract_graph(changed.select("id", "path", "content_type", "content"))
-    entities = keep(entities.dropDuplicates(["id"]).withColumn("ord", F.col("name")))
-    kept_entities, edges = graph.replace_graph(tables.entities, tables.edges, entities, raw_edges, touched=touched)
+    sources = changed.select(F.col("id").alias("document_id"), "source_id")
+    entities = keep(entities.dropDuplicates(["id"]).join(sources, "document_id").withColumn("ord", F.col("name")))
+    left = tables.entities.join(touched, "document_id", "left_semi").select("id")
+    after = graph.apply_delta(tables.graph(), entities, keep(raw_edges), touched=touched, keep=keep)
+    others = tables.signatures.join(left, "id", "left_anti")
+    signed = keep(graph.signatures(entities, tables.common))
+    links = writer.cascade(writer.cascade(tables.links, left, "source_entity_id"), left, "target_entity_id")
+    links = links.unionByName(graph.link_delta(others, signed))
 
     done = judged.select(*KEY, "action", F.lit(None).cast("string").alias("error"))
     lost = wanted.join(content.select(*KEY), KEY, "left_anti").select(*KEY, F.lit("error").alias("action"), F.lit("content could not be fetched").alias("error"))
     removed = found.select(*KEY, F.when(F.col("found"), "deleted").otherwise("unchanged").alias("action"), F.lit(None).cast("string").alias("error"))
     results = done.unionByName(lost).unionByName(removed).select(F.lit(run_id).alias("run_id"), *KEY, "action", "error", F.lit(now).alias("at"))
-    state = replace(tables, documents=documents, chunks=chunks, postings=postings, entities=kept_entities, edges=edges)
+    state = replace(tables, documents=keep(documents), chunks=keep(chunks), postings=keep(postings), entities=after.entities, raw_edges=after.raw, edges=after.edges, links=keep(links), signatures=keep(others.unionByName(signed)))
     return Ingested(state, results, stats.track_runs(results))

@@ -114,13 +114,13 @@ def hit_columns(default_score: float = 0.0) -> list[Column]:
 
 class Engine:
     """Search and lookups over the logical tables. ``embed`` gives a query's vector; ``index`` is a postings table or a written
-    index, ``cells`` a written vector index; without them the chunks are scanned. Words are
-    reduced to English stems unless ``stem`` is false; an index has to be made alike."""
+    index, ``cells`` a written vector index; without them the chunks are scanned. Words are reduced to English stems as the
+    index's are, if it knows (another ``stem`` is refused), else unless ``stem`` is false."""
 
-    def __init__(self, *, sources: DataFrame, documents: DataFrame, chunks: DataFrame, embed: Callable[[str], Sequence[float]], entities: DataFrame | None = None, edges: DataFrame | None = None, reranker: Callable[[Column], Column] | None = None, now: Callable[[], datetime] = lambda: datetime.now(UTC), stem: bool = True, index: DataFrame | fulltext.WrittenIndex | None = None, cells: vector.CellIndex | None = None):
+    def __init__(self, *, sources: DataFrame, documents: DataFrame, chunks: DataFrame, embed: Callable[[str], Sequence[float]], entities: DataFrame | None = None, edges: DataFrame | None = None, reranker: Callable[[Column], Column] | None = None, now: Callable[[], datetime] = lambda: datetime.now(UTC), stem: bool | None = None, index: fulltext.Index | None = None, cells: vector.CellIndex | None = None):
         self.sources, self.documents, self.chunks, self.cells = sources, documents, chunks, cells
         self.index = fulltext.Texts(chunks, id="id") if index is None else index
-        self.embed, self.entities, self.edges, self.reranker, self.now, self.stem = embed, entities, edges, reranker, now, stem
+        self.embed, self.entities, self.edges, self.reranker, self.now, self.stem = embed, entities, edges, reranker, now, fulltext.stemmed(self.index, stem, default=True)
 
     def select_strategy(self, request: SearchRequest) -> str:
         """``auto`` by the classifier's rules; an unknown name is hybrid."""
@@ -147,7 +147,8 @@ class Engine:
         kept = filters.apply(self._joined(), *clauses(request, self.now())).select("chunk_id")
         out = Engine(**{k: getattr(self, k) for k in ("sources", "documents", "chunks", "index", "embed", "entities", "edges", "reranker", "now", "stem")})
         out.chunks, out.cells = self.chunks.join(kept, self.chunks["id"] == kept["chunk_id"], "left_semi"), None
-        out.index = self.index.join(kept, "chunk_id", "left_semi") if isinstance(self.index, DataFrame) else fulltext.Texts(out.chunks, id="id")
+        rows = self.index if isinstance(self.index, DataFrame) else self.index.rows if isinstance(self.index, fulltext.Postings) else None
+        out.index = fulltext.Texts(out.chunks, id="id") if rows is None else fulltext.Postings(rows.join(kept, "chunk_id", "left_semi"), self.stem)
         return out
 
     def _joined(self) -> DataFrame:

@@ -10,29 +10,36 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.errors import Conflict
 from lodestone.functions.text import content_hash
 
 KEY = ["source_id", "external_id"]
 
 
+def document_id() -> Column:
+    """The id of a document that isn't stored yet."""
+    return F.sha1(F.concat_ws(":", *KEY))
+
+
 def actions(current: DataFrame, incoming: DataFrame, *, revive: bool = True) -> DataFrame:
-    """(source_id, external_id, content_hash, action, doc_version) for each incoming document.
+    """(id, source_id, external_id, content_hash, action, doc_version) for each incoming document.
 
-    New: created, version 1. Same hash: unchanged, unless it is tombstoned and ``revive`` is set. Else updated, version + 1.
+    A document keeps its id for life; a new one's is made from its key. New: created, version 1. Same hash: unchanged, unless it is tombstoned and ``revive`` is set. Else updated, version + 1.
     Compared before anything expensive is done with the text.
     """
-    c = current.select(*KEY, F.col("content_hash").alias("old"), F.col("doc_version").alias("v"), F.col("tombstoned_at").isNotNull().alias("dead"))
+    c = current.select(*KEY, F.col("id").alias("known"), F.col("content_hash").alias("old"), F.col("doc_version").alias("v"), F.col("tombstoned_at").isNotNull().alias("dead"))
     j = incoming.withColumn("content_hash", content_hash(F.col("text"))).join(c, KEY, "left")
     same = (F.col("content_hash") == F.col("old")) & (~F.col("dead") if revive else F.lit(True))
     action = F.when(F.col("old").isNull(), "created").when(same, "unchanged").otherwise("updated")
     version = F.when(F.col("old").isNull(), F.lit(1)).when(same, F.col("v")).otherwise(F.col("v") + 1).cast("long")
-    return j.select(*incoming.columns, "content_hash", action.alias("action"), version.alias("doc_version"))
+    id = F.coalesce("known", document_id())
+    return j.select(id.alias("id"), *[x for x in incoming.columns if x != "id"], "content_hash", action.alias("action"), version.alias("doc_version"))
 
 
 def upsert_documents(current: DataFrame, incoming: DataFrame, now: datetime, *, revive: bool = True) -> DataFrame:
     """The documents table after an upsert: unchanged rows stay untouched, written ones lose their tombstone."""
     new = actions(current, incoming, revive=revive).where("action <> 'unchanged'")
-    rows = new.select(F.sha1(F.concat_ws(":", *KEY)).alias("id"), *KEY, "content_hash", "doc_version", F.lit(now).alias("indexed_at"), F.lit(None).cast("timestamp").alias("tombstoned_at"), *[c for c in incoming.columns if c in current.columns and c not in (*KEY, "id", "content_hash", "doc_version", "indexed_at", "tombstoned_at")])
+    rows = new.select("id", *KEY, "content_hash", "doc_version", F.lit(now).alias("indexed_at"), F.lit(None).cast("timestamp").alias("tombstoned_at"), *[c for c in incoming.columns if c in current.columns and c not in (*KEY, "id", "content_hash", "doc_version", "indexed_at", "tombstoned_at")])
     return current.join(new.select(*KEY), KEY, "left_anti").unionByName(rows, allowMissingColumns=True)
 
 
@@ -89,34 +96,56 @@ def _versions(fs, folder) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().startswith("n")) if fs.exists(folder) else []
 
 
-def swap(df: DataFrame, path: str) -> str:
+def version(spark, path: str) -> int:
+    """The number of a table's latest version; -1 if it has none."""
+    have = _versions(*_pointers(spark, path))
+    return int(have[-1][1:]) if have else -1
+
+
+def swap(df: DataFrame, path: str, *, after: int | None = None) -> str:
     """Writes ``df`` as the next version below ``path`` and points readers at it (:func:`current`).
 
-    A pointer is a file whose name holds its number and the version; it is made by one rename, and the highest number counts.
-    So readers always find a whole version, and a writer that dies leaves the one before.
+    A pointer is a file named by its number alone, which holds the version's folder. It is only ever created, never written
+    over, so that of two writers who want one number the second fails with :class:`Conflict` and has to start from what the
+    first has made. ``after`` is the :func:`version` that ``df`` was made from: if there is a later one, ``df`` lacks it, and
+    that is a conflict too. The highest number counts, so readers always find a whole version, and a writer that dies leaves
+    the one before.
     """
     import uuid
 
+    from py4j.protocol import Py4JJavaError
+
     spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{version}")
+    folder_name = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{folder_name}")
     fs, folder = _pointers(spark, path)
     fs.mkdirs(folder)
-    have = _versions(fs, folder)
-    number = int(have[-1][1:20]) + 1 if have else 0
-    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    draft = make(f"{path}/_pointer/draft-{version}")
-    fs.create(draft, True).close()
-    if not fs.rename(draft, make(f"{path}/_pointer/n{number:019d}-{version}")):
-        raise OSError(f"no pointer could be made in {path}")
-    return f"{path}/{version}"
+    last = version(spark, path)
+    if after is not None and last != after:
+        raise Conflict(f"{path} has version {last}, not {after}", version=last)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_pointer/n{last + 1:019d}")
+    try:
+        out = fs.create(at, False)
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+            raise Conflict(f"another writer has made version {last + 1} of {path}", version=last + 1) from e
+        raise
+    out.write(bytearray(folder_name.encode()))
+    out.close()
+    return f"{path}/{folder_name}"
 
 
 def current(spark, path: str) -> DataFrame:
-    have = _versions(*_pointers(spark, path))
-    if not have:
-        raise FileNotFoundError(path)
-    return spark.read.parquet(f"{path}/{have[-1][21:]}")
+    """A table's latest version. A pointer that its writer didn't finish is passed over."""
+    fs, folder = _pointers(spark, path)
+    jvm = spark.sparkContext._jvm
+    for name in reversed(_versions(fs, folder)):
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(folder, name))
+        held = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        if held:
+            return spark.read.parquet(f"{path}/{held}")
+    raise FileNotFoundError(path)
 
 
 def insert(table: DataFrame, rows: DataFrame) -> DataFrame:

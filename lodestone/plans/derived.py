@@ -3,7 +3,9 @@ change events, tokens and requests. Their SQL states what must come out of each
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import timedelta
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import parsers
@@ -11,7 +13,9 @@ from lodestone.functions import convert, text
 from lodestone.operators import filters, fusion, graph, ingest, stats, vector, writer
 from lodestone.plans import corpus
 from lodestone.plans.corpus import NOW, table
-from lodestone.plans.queries import _RUNS, CHUNKS, DOCS, ENTITIES, EVENTS, SOURCES, SQL, UNIT, VEC, _top, query
+from lodestone.plans.queries import _NN, _RUNS, _TK, CHUNKS, DOCS, ENTITIES, EVENTS, SOURCES, SQL, TOKENS, UNIT, VEC, _top, query
+from lodestone.plans.recorded import Recorded
+from lodestone.session import written
 
 # --- parsers and graphs --------------------------------------------------------------------------------------------------
 
@@ -357,13 +361,15 @@ def _requests(spark, sf_dir) -> DataFrame:
 # --- ingestion -----------------------------------------------------------------------------------------------------------
 
 
-@query(f"""with {CHUNKS}, n as (select doc_id, count(*) as chunks from chk group by doc_id),
+@query(f"""with {CHUNKS}, {TOKENS}, n as (select doc_id, count(*) as chunks from chk group by doc_id),
+x as (select split_part(id, ':', 1) as d, count(distinct id || ' ' || l) as lexemes from tok group by 1),
 s as (select doc_id, doc_id % 10 = 0 as gone, doc_id % 2 = 0 as known, doc_id % 7 = 0 as edited from documents)
-select cast(doc_id as varchar) as external_id, case when gone then 1 when known and edited then 2 else 1 end as doc_version, gone as tombstoned, coalesce(chunks, 0) as chunks
-from s left join n using (doc_id) where not gone or known""")
+select sha1('s:' || doc_id) as id, cast(doc_id as varchar) as external_id, case when gone then 1 when known and edited then 2 else 1 end as doc_version, gone as tombstoned, coalesce(chunks, 0) as chunks,
+  case when chunks > 0 then sha1('s:' || doc_id) || ':' || (chunks - 1) end as last_chunk, coalesce(lexemes, 0) as lexemes
+from s left join n using (doc_id) left join x on x.d = cast(doc_id as varchar) where not gone or known""")
 def ingest_state(spark, sf_dir):
     """Even documents are stored. Then all are reported as updated, and every tenth as deleted after that; of the texts every
-    seventh is another one (a mark is put at its end). The state after it, with the number of each document's chunks."""
+    seventh is another one (a mark is put at its end). The state after it: ids, and the chunks and lexemes that they lead to."""
     d = table(spark, sf_dir, "documents").select(F.lit("s").alias("source_id"), F.col("doc_id").cast("string").alias("external_id"), "doc_id", "text")
     body = F.coalesce("text", F.lit(""))
 
@@ -375,14 +381,111 @@ def ingest_state(spark, sf_dir):
     def events(rows: DataFrame, action: str, seq: int) -> DataFrame:
         return rows.select("source_id", "external_id", F.lit(action).alias("action"), F.lit(seq).cast("long").alias("seq"))
 
-    none = ingest.Tables(
-        documents=spark.createDataFrame([], "id string, source_id string, external_id string, content_hash string, doc_version long, indexed_at timestamp, tombstoned_at timestamp"),
-        chunks=spark.createDataFrame([], "id string, document_id string, ord int, text string"), postings=spark.createDataFrame([], "chunk_id string, lexeme string, positions array<int>"),
-        entities=spark.createDataFrame([], "id string, document_id string, entity_type string, name string, display_name string"), edges=spark.createDataFrame([], "source_entity_id string, target_entity_id string, edge_type string"),
-    )
-    first = ingest.ingest(none, events(d.where("doc_id % 2 = 0"), "created", 1), fetch(False), NOW, run_id="r1").tables
+    first = ingest.ingest(ingest.empty(spark, stem=False), events(d.where("doc_id % 2 = 0"), "created", 1), fetch(False), NOW, run_id="r1").tables
     both = events(d, "updated", 2).unionByName(events(d.where("doc_id % 10 = 0"), "deleted", 3))
     after = ingest.ingest(first, both, fetch(True), NOW, run_id="r2").tables
-    counts = after.chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"))
-    rows = after.documents.join(counts, after.documents["id"] == counts["document_id"], "left")
-    return rows.select("external_id", "doc_version", F.col("tombstoned_at").isNotNull().alias("tombstoned"), F.coalesce("chunks", F.lit(0).cast("long")).alias("chunks"))
+    lexemes = after.postings.groupBy("chunk_id").agg(F.count_distinct("lexeme").alias("n"))
+    own = after.chunks.join(lexemes, after.chunks["id"] == lexemes["chunk_id"], "left")
+    own = own.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.max_by("id", "ord").alias("last_chunk"), F.sum("n").alias("lexemes"))
+    rows = after.documents.join(own, after.documents["id"] == own["document_id"], "left")
+    return rows.select("id", "external_id", "doc_version", F.col("tombstoned_at").isNotNull().alias("tombstoned"), F.coalesce("chunks", F.lit(0).cast("long")).alias("chunks"), "last_chunk", F.coalesce("lexemes", F.lit(0).cast("long")).alias("lexemes"))
+
+
+def _in_batches(entities: DataFrame, raw: DataFrame, batches: list[str], gone: str) -> graph.Graph:
+    """A graph built delta by delta: a condition on ``part`` for each, then the documents of ``gone`` without anything."""
+    spark = entities.sparkSession
+    state = graph.Graph(entities.drop("part").limit(0), raw.drop("part").limit(0), spark.createDataFrame([], "source_entity_id string, target_entity_id string, edge_type string, target_name string, document_id string"))
+    for where in batches:
+        state = graph.apply_delta(state, entities.where(where).drop("part"), raw.where(where).drop("part"), keep=written)
+    empty = entities.where(gone).select("document_id")
+    return graph.apply_delta(state, entities.drop("part").limit(0), raw.drop("part").limit(0), touched=empty, keep=written)
+
+
+@query("""with n as (select n_nationkey as k, n_name as name, upper(split_part(n_name, ' ', 1)) as short from nation where n_nationkey % 5 <> 0),
+e as (select 'customer/' || c_custkey as a, n_name as name, 'in' as kind from customer join nation on n_nationkey = c_nationkey
+  union all select 'supplier/' || s_suppkey, upper(split_part(n_name, ' ', 1)), 'near' from supplier join nation on n_nationkey = s_nationkey)
+select e.a as source_entity_id, 'nation/' || coalesce(f.k, d.k) as target_entity_id, e.kind as edge_type
+from e left join (select name, max('nation/' || k) as i, arg_max(k, 'nation/' || k) as k from n group by name) f on f.name = e.name
+left join (select short, arg_min(k, name || '/' || k) as k from n group by short) d on d.short = e.name where coalesce(f.k, d.k) is not null""")
+def graph_in_deltas(spark, sf_dir):
+    """Customers name their nation, suppliers the first word of its name in capitals, which its display name is. Customers and
+    suppliers come before, with and after their nations; then every fifth nation goes. The same edges as all at once."""
+    nation = table(spark, sf_dir, "nation")
+    short = F.upper(F.split_part("n_name", F.lit(" "), F.lit(1)))
+
+    def entities(rows: DataFrame, kind: str, key: str, name, display) -> DataFrame:
+        id = F.concat(F.lit(f"{kind}/"), key)
+        return rows.select(id.alias("id"), id.alias("document_id"), name.alias("name"), display.alias("display_name"), name.alias("ord"), F.col(key).cast("long").alias("part"))
+
+    c = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    s = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    raw = lambda rows, kind, key, target, edge: rows.select(F.concat(F.lit(f"{kind}/"), key).alias("source_entity_id"), target.alias("target_name"), F.lit(edge).alias("edge_type"), F.concat(F.lit(f"{kind}/"), key).alias("document_id"), F.col(key).cast("long").alias("part"))
+    none = F.lit(None).cast("string")
+    ents = entities(nation, "nation", "n_nationkey", F.col("n_name"), short).unionByName(entities(c, "customer", "c_custkey", F.concat(F.lit("customer:"), "c_name"), none)).unionByName(entities(s, "supplier", "s_suppkey", F.concat(F.lit("supplier:"), "s_name"), none))
+    edges = raw(c, "customer", "c_custkey", F.col("n_name"), "in").unionByName(raw(s, "supplier", "s_suppkey", short, "near"))
+    made = _in_batches(ents, edges, ["part % 3 = 0", "part % 3 = 1", "part % 3 = 2"], "document_id like 'nation/%' and part % 5 = 0")
+    return made.edges.select("source_entity_id", "target_entity_id", "edge_type")
+
+
+@query(f"""with e as (select 'tf/' || s_suppkey as id, 'a' as src, {_NN.format(c="'aws_' || s_name || '.x' || (s_suppkey % 50)")} as n, s_suppkey as k from supplier
+union all select 'k8s/' || s_suppkey, 'b', {_NN.format(c="'Deployment/' || s_name || '-y' || (s_suppkey % 20)")}, s_suppkey from supplier),
+t as (select *, {_TK.format(c='n')} as tk from e where not (src = 'b' and k % 4 = 0))
+select a.id as source_entity_id, b.id as target_entity_id, round(case when a.n = b.n then 1.0::double else 2.0::double * len(list_intersect(a.tk, b.tk)) / (len(a.tk) + len(b.tk)) end, 9) as score,
+case when a.n = b.n then 'exact_name' else 'resource_name' end as strategy
+from t a join t b on a.src = 'a' and b.src = 'b' and (a.n = b.n or (len(a.tk) + len(b.tk) > 0 and 2.0::double * len(list_intersect(a.tk, b.tk)) / (len(a.tk) + len(b.tk)) >= 0.5))""")
+def links_in_deltas(spark, sf_dir):
+    """The links of dice_links found in three deltas, each against the signatures of those before; then a quarter of one
+    source's entities go, and their links with them."""
+    s = table(spark, sf_dir, "supplier")
+    tf = s.select(F.concat(F.lit("tf/"), "s_suppkey").alias("id"), F.lit("a").alias("source_id"), F.lit("terraform_resource").alias("entity_type"), F.concat(F.lit("aws_"), "s_name", F.lit(".x"), F.col("s_suppkey") % 50).alias("name"), F.concat(F.lit("t"), "s_suppkey").alias("display_name"), "s_suppkey")
+    k8s = s.select(F.concat(F.lit("k8s/"), "s_suppkey").alias("id"), F.lit("b").alias("source_id"), F.lit("k8s_resource").alias("entity_type"), F.concat(F.lit("Deployment/"), "s_name", F.lit("-y"), F.col("s_suppkey") % 20).alias("name"), F.concat(F.lit("k"), "s_suppkey").alias("display_name"), "s_suppkey")
+    every = tf.unionByName(k8s)
+    common = graph.common_tokens(every.where("s_suppkey % 3 = 0"))  # what was frequent when the index was begun
+    index, links = graph.signatures(every.limit(0), common), None
+    for part in range(3):
+        new = graph.signatures(every.where(F.col("s_suppkey") % 3 == part), common)
+        found = graph.link_delta(index, new)
+        links, index = found if links is None else links.unionByName(found), index.unionByName(new)
+    left = k8s.where("s_suppkey % 4 = 0").select("id")
+    links = writer.cascade(writer.cascade(links, left, "source_entity_id"), left, "target_entity_id")
+    return links.select("source_entity_id", "target_entity_id", F.round("score", 9).alias("score"), "strategy")
+
+
+# --- scans of connectors -------------------------------------------------------------------------------------------------
+
+_AT = "timestamp '2024-01-01' + to_minutes(doc_id)"
+
+
+def _scanned(connector) -> DataFrame:
+    from lodestone.sources import scan
+
+    return scan.read(SparkSession.active(), connector).withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+
+
+@query(f"select cast(doc_id as varchar) as external_id, source as slice, {_AT} as updated_at, cast(n_chars as varchar) as version from documents where source in ('src1', 'src3') and {_AT} >= timestamp '2024-01-01 01:30:30'")
+def scan_confluence(spark, sf_dir):
+    """Two spaces, from a time on: the filters choose the partitions and go into the requests."""
+    from lodestone.sources import rest, scan
+
+    refs = scan.read(spark, rest.Confluence({"base_url": "https://wiki"}, {"pat": "x"}, Recorded(sf_dir)))
+    some = refs.where("slice in ('src1', 'src3') and updated_at >= timestamp '2024-01-01 01:30:30'")
+    return some.select("external_id", "slice", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"), F.col("metadata")["version"].alias("version"))
+
+
+@query(f"select source || '-' || doc_id as external_id, 'https://tracker/browse/' || source || '-' || doc_id as uri, source as slice, {_AT} as updated_at, n_chars || ' characters' as title from documents")
+def scan_jira(spark, sf_dir):
+    """All projects that the service lists."""
+    from lodestone.sources import rest
+
+    refs = _scanned(rest.Jira({"base_url": "https://tracker"}, {"pat": "x"}, Recorded(sf_dir)))
+    return refs.select("external_id", "uri", "slice", "updated_at", F.col("metadata")["title"].alias("title"))
+
+
+@query(f"select source || ':' || (epoch_us({_AT}) // 1000000) || '.000000' as external_id, cast(doc_id % 3 as varchar) as replies from documents where source in ('src2', 'src4') and {_AT} <= timestamp '2024-01-08' and {_AT} >= timestamp '2024-01-01'")
+def scan_slack(spark, sf_dir):
+    """Two channels, each in stretches of two days that are listed apart."""
+    from lodestone.sources import rest
+
+    c = rest.Slack({"base_url": "https://chat", "channels": ["src2", "src4"], "max_age_days": 8, "slice_days": 2}, {"bot_token": "t"}, Recorded(sf_dir), lambda: NOW + timedelta(days=1))
+    refs = _scanned(c).where("updated_at <= timestamp '2024-01-08'")
+    return refs.select("external_id", F.col("metadata")["replies"].alias("replies"))

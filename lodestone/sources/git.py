@@ -5,11 +5,13 @@ from __future__ import annotations
 import fnmatch
 import subprocess
 from collections.abc import Iterator, Sequence
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.sources.registry import REF, guess_type
+from lodestone.sources import scan
+from lodestone.sources.registry import Ref, guess_type
 
 MAX_BYTES = 1_000_000
 
@@ -46,17 +48,30 @@ class GitConnector:
     def validate(self, spark: SparkSession) -> None:
         _git(self.repo, "rev-parse", "--verify", self.ref)
 
-    def discover(self, spark: SparkSession) -> DataFrame:
-        """The path is the id, the blob's hash the version."""
-        rows = []
-        for line in _git(self.repo, "ls-tree", "-r", "-z", "-l", self.ref).decode(errors="replace").split("\0"):
+    def now(self) -> datetime:
+        return datetime.now(UTC)
+
+    def slices(self) -> list[str]:
+        """What the ref has at its top: directories, as ``name/``, and all single files together, as ''."""
+        entries = [x.partition("\t") for x in _git(self.repo, "ls-tree", "-z", self.ref).decode(errors="replace").split("\0") if x]
+        trees = [path + "/" for head, _, path in entries if head.split()[1] == "tree"]
+        return trees + [""] * any(head.split()[1] == "blob" for head, _, _ in entries)
+
+    def listed(self, slice: str, since: datetime | None = None, until: datetime | None = None) -> Iterator[Ref]:
+        """Blobs below a directory (or at the top): the path is the id, the blob's hash the version. A tree knows no times of
+        change, so ``since`` and ``until`` are the scan's to refuse."""
+        tree = ("-r", "-z", "-l", "--full-tree", self.ref, "--", slice) if slice else ("-z", "-l", self.ref)
+        for line in _git(self.repo, "ls-tree", *tree).decode(errors="replace").split("\0"):
             head, _, path = line.partition("\t")
             if not path or head.split()[1] != "blob":
                 continue
             sha, size = head.split()[2:4]
             if any(fnmatch.fnmatch(path, p) for p in self.include) and not any(fnmatch.fnmatch(path, p) for p in self.exclude):
-                rows.append((path, f"git+{self.repo}#{self.ref}:{path}", None, {"blob": sha, "size": size, "content_type": guess_type(path)}))
-        return spark.createDataFrame(rows, REF)
+                yield Ref(path, f"git+{self.repo}#{self.ref}:{path}", None, {"blob": sha, "size": size, "content_type": guess_type(path)})
+
+    def discover(self, spark: SparkSession) -> DataFrame:
+        """All refs (REF), each directory at the top listed by a task."""
+        return scan.read(spark, self).drop("slice")
 
     def fetch(self, spark: SparkSession, refs: DataFrame) -> DataFrame:
         """Blobs that aren't larger than the limit, nor binary (a NUL in the first 8192 bytes)."""

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from datetime import UTC, datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.sources.registry import REF, Ref
-from lodestone.sources.rest import Get, bearer, http_get
+from lodestone.sources import scan
+from lodestone.sources.registry import Ref
+from lodestone.sources.rest import Get, bearer, checked, http_get
 
 #: API groups by kind (fixed values); other kinds are in the core group.
 GROUPS = {
@@ -78,7 +80,8 @@ def ollama(url: str, name: str, get: Callable[[str, dict], dict]) -> LanguageMod
 
 class KubernetesConnector:
     def __init__(self, config: dict[str, Any], secrets: dict[str, str], get: Get = http_get, model: LanguageModel | None = None):
-        self.config, self.get, self.model, self.headers = config, get, model, bearer(secrets, "token")
+        self.config = checked(config, {"base_url": str, "kinds": list, "exclude_kinds": list, "namespaces": list})
+        self.get, self.model, self.headers = get, model, bearer(secrets, "token")
 
     def validate(self, spark: SparkSession) -> None:
         self.get(self.config["base_url"] + "/version", {}, self.headers)
@@ -98,17 +101,25 @@ class KubernetesConnector:
             if not token:
                 return
 
+    def now(self) -> datetime:
+        return datetime.now(UTC)
+
+    def slices(self) -> list[str]:
+        """Each kind in each namespace, ``kind/namespace``; without namespaces, or for cluster-wide kinds, ``kind/``."""
+        spaces = self.config.get("namespaces") or [""]
+        return [f"{kind}/{space}" for kind in self.kinds() for space in ([""] if kind in CLUSTER_SCOPED else spaces)]
+
+    def listed(self, slice: str, since: datetime | None = None, until: datetime | None = None) -> Iterator[Ref]:
+        """Resources of a kind; lists have no times of change, so ``since`` and ``until`` are the scan's to refuse."""
+        kind, _, space = slice.partition("/")
+        for item in self._items(api_path(kind, space or None)):
+            m = item.get("metadata") or {}
+            name = f"{kind}/{m.get('namespace') or 'cluster'}/{m.get('name')}"
+            yield Ref(name, f"k8s://{name}", None, {"version": m.get("resourceVersion"), "kind": kind})
+
     def discover(self, spark: SparkSession) -> DataFrame:
-        rows = []
-        for kind in self.kinds():
-            for space in self.config.get("namespaces") or [None]:
-                for item in self._items(api_path(kind, space)):
-                    m = item.get("metadata") or {}
-                    name = f"{kind}/{m.get('namespace') or 'cluster'}/{m.get('name')}"
-                    rows.append(Ref(name, f"k8s://{name}", None, {"version": m.get("resourceVersion"), "kind": kind}).row())
-                if kind in CLUSTER_SCOPED:
-                    break
-        return spark.createDataFrame(rows, REF)
+        """All refs (REF), each kind of a namespace listed by a task."""
+        return scan.read(spark, self).drop("slice")
 
     def fetch(self, spark: SparkSession, refs: DataFrame) -> DataFrame:
         """Each resource as YAML, read by tasks; managed fields and the last applied configuration are left out. One that is

@@ -1,6 +1,7 @@
 """Paged REST sources. A connector takes ``get(url, params, headers) -> dict``; the default uses the standard library.
 
-Listing pages depend on each other and run on the driver; fetching is spread over refs on the executors.
+Pages of one listing depend on each other, so a source is listed slice by slice: a space, a database, a channel (or some days
+of it), a project. Slices are the partitions of a scan (see ``scan``); fetching is spread over refs.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.errors import ConfigError, Unauthorized
 from lodestone.parsers.markup import adf, notion_blocks, notion_property
-from lodestone.sources.registry import REF, Ref
+from lodestone.sources import scan
+from lodestone.sources.registry import Ref
 
 Get = Callable[[str, dict[str, Any], dict[str, str]], dict]
 PAGE = 50
@@ -47,6 +49,12 @@ def parse_time(value: str | None) -> datetime | None:
         return None
 
 
+def minute(t: datetime, up: bool) -> str:
+    """``t`` as query languages take it, to the minute: the one before, or with ``up`` the one after."""
+    t = scan.aware(t)
+    return (t + timedelta(seconds=59, microseconds=999_999) if up else t).strftime("%Y-%m-%d %H:%M")
+
+
 def bearer(secrets: dict[str, str], name: str) -> dict[str, str]:
     if not secrets.get(name):
         raise ValueError(f"secret {name!r} is missing")
@@ -96,14 +104,20 @@ class RestConnector:
         """The cheapest call that needs credentials."""
         self.call(self.probe)
 
-    def refs(self) -> Iterator[Ref]:
+    def slices(self) -> list[str]:
+        """Parts that are listed apart; '' is all there is."""
+        return [""]
+
+    def listed(self, slice: str, since: datetime | None = None, until: datetime | None = None) -> Iterator[Ref]:
+        """Refs of a slice, page by page: at least those that changed from ``since`` to ``until``."""
         raise NotImplementedError
 
     def render(self, external_id: str, metadata: dict[str, str]) -> str:
         raise NotImplementedError
 
     def discover(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([r.row() for r in self.refs()], REF)
+        """All refs (REF), listed by the executors."""
+        return scan.read(spark, self).drop("slice")
 
     def fetch(self, spark: SparkSession, refs: DataFrame) -> DataFrame:
         me = self
@@ -122,18 +136,31 @@ class Confluence(RestConnector):
     probe = "/rest/api/space"
     fields = {"content_types": list, "space_keys": list, "include_labels": list, "exclude_labels": list}
 
-    def cql(self) -> str:
+    def slices(self) -> list[str]:
+        """The configured spaces, else all that the service lists."""
+        if self.config.get("space_keys"):
+            return list(self.config["space_keys"])
+        keys: list[str] = []
+        while True:
+            found = self.call("/rest/api/space", start=len(keys), limit=PAGE).get("results") or []
+            keys += [str(s["key"]) for s in found]
+            if len(found) < PAGE:
+                return keys or [""]
+
+    def cql(self, space: str = "", since: datetime | None = None, until: datetime | None = None) -> str:
         def any_of(field: str, values: list[str]) -> str:
             return "(" + " OR ".join(f'{field} = "{v}"' for v in values) + ")"
 
         parts = [any_of("type", self.config.get("content_types") or ["page"])]
-        parts += [any_of(field, self.config[key]) for field, key in (("space", "space_keys"), ("label", "include_labels")) if self.config.get(key)]
+        parts += [any_of("space", [space])] if space else []
+        parts += [any_of("label", self.config["include_labels"])] if self.config.get("include_labels") else []
+        parts += [f'lastmodified {op} "{minute(t, up)}"' for op, t, up in ((">=", since, False), ("<=", until, True)) if t]
         return " AND ".join(parts)
 
-    def refs(self) -> Iterator[Ref]:
-        start, hidden = 0, set(self.config.get("exclude_labels") or ())
+    def listed(self, slice: str, since: datetime | None = None, until: datetime | None = None) -> Iterator[Ref]:
+        start, hidden, cql = 0, set(self.config.get("exclude_labels") or ()), self.cql(slice, since, until)
         while True:
-            page = self.call("/rest/api/content/search", cql=self.cql(), start=start, limit=PAGE, expand="version,space,metadata.labels")
+            page = self.call("/rest/api/content/search", cql=cql, start=start, limit=PAGE, expand="version,space,metadata.labels")
             found = page.get("results") or []
             for c in found:
                 labels = {x.get("name") for x in ((c.get("metadata") or {}).get("labels") or {}).get("results") or []}
@@ -165,15 +192,17 @@ class Notion(RestConnector):
             if not page.get("has_more") or not cursor:
                 return
 
-    def refs(self) -> Iterator[Ref]:
-        """Pages of databases, single pages, or else all that search gives."""
-        found: Iterator[dict]
-        if self.config.get("database_ids"):
-            found = (p for d in self.config["database_ids"] for p in self._pages(f"/v1/databases/{d}/query"))
-        elif self.config.get("page_ids"):
-            found = (self.call(f"/v1/pages/{p}") for p in self.config["page_ids"])
+    def slices(self) -> list[str]:
+        """Databases, single pages, or else all that search gives."""
+        return [f"database:{d}" for d in self.config.get("database_ids") or ()] or [f"page:{p}" for p in self.config.get("page_ids") or ()] or [""]
+
+    def listed(self, slice: str, since: datetime | None = None, until: datetime | None = None) -> Iterator[Ref]:
+        kind, _, name = slice.partition(":")
+        edited = [{"timestamp": "last_edited_time", "last_edited_time": {op: t.isoformat()}} for op, t in (("on_or_after", since), ("on_or_before", until)) if t]
+        if kind == "database":
+            found = self._pages(f"/v1/databases/{name}/query", **({"filter": json.dumps({"and": edited})} if edited else {}))
         else:
-            found = (p for p in self._pages("/v1/search", filter="page"))
+            found = iter([self.call(f"/v1/pages/{name}")]) if kind == "page" else self._pages("/v1/search", filter="page")
         for p in found:
             typed = {k: v for k, raw in (p.get("properties") or {}).items() if (v := notion_property(raw)) not in (None, "")}
             yield Ref(p["id"], p.get("url", ""), parse_time(p.get("last_edited_time")), {"version": p.get("last_edited_time"), **{f"property.{k}": ",".join(map(str, v)) if isinstance(v, list) else v for k, v in typed.items()}})
@@ -193,7 +222,7 @@ class Slack(RestConnector):
     """Threads of channels, newer than ``max_age_days``."""
 
     probe = "/api/auth.test"
-    fields = {"channels": list, "max_age_days": int}
+    fields = {"channels": list, "max_age_days": int, "slice_days": int}
 
     def credentials(self, secrets: dict[str, str]) -> dict[str, str]:
         return bearer(secrets, "bot_token")
@@ -207,10 +236,22 @@ class Slack(RestConnector):
             if not cursor:
                 return
 
-    def refs(self) -> Iterator[Ref]:
-        oldest = (self.now() - timedelta(days=self.config.get("max_age_days", 90))).timestamp()
-        for channel in self.config.get("channels") or ():
-            for m in self._messages("/api/conversations.history", channel=channel, oldest=f"{oldest:.6f}"):
+    def slices(self) -> list[str]:
+        """Channels, cut into stretches of ``slice_days`` if that is set: ``C``, or ``C/k`` for the k-th stretch."""
+        count = -(-self.config.get("max_age_days", 90) // self.config["slice_days"]) if self.config.get("slice_days") else 0
+        return [f"{c}/{k}" if count else c for c in self.config.get("channels") or () for k in range(count or 1)]
+
+    def listed(self, slice: str, since: datetime | None = None, until: datetime | None = None) -> Iterator[Ref]:
+        channel, _, k = slice.partition("/")
+        oldest, latest = self.now() - timedelta(days=self.config.get("max_age_days", 90)), until
+        if k:
+            first = oldest + timedelta(days=int(k) * self.config["slice_days"])
+            last = first + timedelta(days=self.config["slice_days"], microseconds=-1)
+            oldest, latest = first, min(last, until) if until else last
+        oldest = max(oldest, since) if since else oldest
+        if latest is None or oldest <= latest:
+            bound = {"latest": f"{latest.timestamp():.6f}"} if latest else {}
+            for m in self._messages("/api/conversations.history", channel=channel, oldest=f"{oldest.timestamp():.6f}", inclusive="true", **bound):
                 if not m.get("subtype"):
                     yield Ref(f"{channel}:{m['ts']}", f"slack://{channel}/{m['ts']}", datetime.fromtimestamp(float(m["ts"]), UTC), {"channel": channel, "ts": m["ts"], "replies": m.get("reply_count", 0)})
 
@@ -236,16 +277,30 @@ class Jira(RestConnector):
     probe = "/rest/api/3/myself"
     fields = {"project_keys": list, "issue_types": list, "jql": str}
 
-    def jql(self) -> str:
-        parts = [f"project in ({', '.join(self.config['project_keys'])})"] if self.config.get("project_keys") else []
+    def slices(self) -> list[str]:
+        """The configured projects, else all that the service lists."""
+        if self.config.get("project_keys"):
+            return list(self.config["project_keys"])
+        keys: list[str] = []
+        while True:
+            page = self.call("/rest/api/3/project/search", startAt=len(keys), maxResults=PAGE)
+            found = page.get("values") or []
+            keys += [p["key"] for p in found]
+            if not found or page.get("isLast", True):
+                return keys or [""]
+
+    def jql(self, project: str = "", since: datetime | None = None, until: datetime | None = None) -> str:
+        projects = [project] if project else self.config.get("project_keys")
+        parts = [f"project in ({', '.join(projects)})"] if projects else []
         parts += [f"issuetype in ({', '.join(json.dumps(t) for t in self.config['issue_types'])})"] if self.config.get("issue_types") else []
         parts += [f"({self.config['jql']})"] if self.config.get("jql") else []
+        parts += [f'updated {op} "{minute(t, up)}"' for op, t, up in ((">=", since, False), ("<=", until, True)) if t]
         return (" AND ".join(parts) + " " if parts else "") + "ORDER BY updated DESC"
 
-    def refs(self) -> Iterator[Ref]:
-        start = 0
+    def listed(self, slice: str, since: datetime | None = None, until: datetime | None = None) -> Iterator[Ref]:
+        start, jql = 0, self.jql(slice, since, until)
         while True:
-            page = self.call("/rest/api/3/search", jql=self.jql(), startAt=start, maxResults=PAGE, fields="summary,updated,status,assignee,labels")
+            page = self.call("/rest/api/3/search", jql=jql, startAt=start, maxResults=PAGE, fields="summary,updated,status,assignee,labels")
             found = page.get("issues") or []
             for i in found:
                 f = i.get("fields") or {}

@@ -209,6 +209,36 @@ def webhook_events(requests: DataFrame, secrets: dict[str, str], now: datetime)
     return refs.select("source_id", "source_type", "external_id", F.col("path").alias("uri"), "action", "seq", F.lit(1).cast("long").alias("attempt"))
 
 
+def replace_files(rows: DataFrame, folder: str, name: str) -> None:
+    """``rows`` as JSON files ``name-0.json`` ... in ``folder``, instead of those that it has of this name. A stream that reads
+    the folder sees whole files only, and one that comes back under a name it knows not at all."""
+    jvm = rows.sparkSession.sparkContext._jvm
+    make = jvm.org.apache.hadoop.fs.Path
+    draft = make(f"{folder}/_{name}")
+    fs = draft.getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    rows.write.mode("overwrite").json(draft.toString())
+    for old in fs.globStatus(make(f"{folder}/{name}-*.json")) or ():
+        fs.delete(old.getPath(), False)
+    parts = sorted(s.getPath().toString() for s in fs.listStatus(draft) if s.getPath().getName().startswith("part-") and s.getLen())
+    for k, part in enumerate(parts):
+        fs.rename(make(part), make(f"{folder}/{name}-{k}.json"))
+    fs.delete(draft, True)
+
+
+def retire(spark: SparkSession, folder: str, older_than_seconds: int, now: datetime) -> int:
+    """Deletes event files of ``folder`` that were last changed so long before ``now``; returns how many. Streams that are that
+    far behind miss them, as a stream's retention has it."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = make(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, gone, limit = fs.listFiles(make(folder), True), 0, (now.timestamp() - older_than_seconds) * 1000
+    while files.hasNext():
+        at = files.next()
+        inner = at.getPath().toString()[len(make(folder).toString()) :]
+        if at.getModificationTime() < limit and not any(x.startswith(("_", ".")) for x in inner.split("/")):
+            gone += bool(fs.delete(at.getPath(), False))
+    return gone
+
+
 def run_pipeline(stream: DataFrame, apply: Callable[[DataFrame, int], DataFrame | None], checkpoint: str, *, retry: str | None = None, dead_letters: str | None = None, max_deliver: int = MAX_DELIVER):
     """Latest event of each document per micro-batch, by ``seq``, then ``apply`` (upserts and tombstones are idempotent, so at
     least once is enough).
@@ -230,12 +260,10 @@ def run_pipeline(stream: DataFrame, apply: Callable[[DataFrame, int], DataFrame
         again = todo.join(failed.select("source_id", "external_id", "error"), ["source_id", "external_id"])
         again = again.withColumn("attempt", F.coalesce("attempt", F.lit(1)).cast("long"))
         dead = F.col("attempt") >= max_deliver
-        # A batch that is run again writes over its own files.
+        # A batch that is run again writes over its own files, which the stream has not read yet or knows by name.
         if dead_letters:
             again.where(dead).withColumn("reason", F.lit("max_deliver")).write.mode("overwrite").json(f"{dead_letters}/batch={epoch}")
         if retry:
-            next_try = again.where(~dead).withColumn("attempt", F.col("attempt") + 1).drop("error")
-            if not next_try.isEmpty():
-                next_try.coalesce(1).write.mode("append").json(retry)
+            replace_files(again.where(~dead).withColumn("attempt", F.col("attempt") + 1).drop("error"), retry, f"retry-{hashlib.sha1(checkpoint.encode()).hexdigest()[:12]}-{epoch}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True)

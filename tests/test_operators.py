@@ -3,7 +3,7 @@ from datetime import UTC, datetime, timedelta
 
 import pytest
 
-from lodestone.errors import InvalidRequest
+from lodestone.errors import ConfigError, Conflict, InvalidRequest
 from lodestone.operators import embedding, filters, fulltext, fusion, graph, search, stats, vector, writer
 
 NOW = datetime(2024, 1, 8, tzinfo=UTC)
@@ -164,8 +164,22 @@ def test_upsert(spark):
 
 def test_swap(spark, tmp_path):
     writer.swap(spark.range(3), f"{tmp_path}/t")
-    writer.swap(spark.range(5), f"{tmp_path}/t")
+    seen = writer.version(spark, f"{tmp_path}/t")
+    writer.swap(spark.range(5), f"{tmp_path}/t", after=seen)
     assert writer.current(spark, f"{tmp_path}/t").count() == 5
+    with pytest.raises(Conflict):  # made from a version that isn't the latest any more
+        writer.swap(spark.range(9), f"{tmp_path}/t", after=seen)
+    real = writer.version
+    writer.version = lambda *a: real(*a) - 1  # a writer that looked before the other one was done
+    try:
+        with pytest.raises(Conflict):
+            writer.swap(spark.range(9), f"{tmp_path}/t")
+    finally:
+        writer.version = real
+    (tmp_path / "t/_pointer" / f"n{2:019d}").touch()  # a writer that died
+    assert writer.current(spark, f"{tmp_path}/t").count() == 5
+    writer.swap(spark.range(7), f"{tmp_path}/t")
+    assert writer.current(spark, f"{tmp_path}/t").count() == 7
 
 
 def test_graph(spark):
@@ -234,3 +248,51 @@ def test_embedding_services():
         embedding.provider("openai", "m")
     with pytest.raises(ValueError):
         embedding.provider("ollama", "m", post=lambda *a: {"embeddings": []})(["a"])
+
+
+def test_cover_density_of_any_number_of_lexemes(spark):
+    import random
+
+    def plain(hits, n):
+        total, start, have = 0.0, 0, {}
+        for end, (p, lexeme) in enumerate(hits):
+            have[lexeme] = have.get(lexeme, 0) + 1
+            if len(have) < n:
+                continue
+            while have[hits[start][1]] > 1:
+                have[hits[start][1]] -= 1
+                start += 1
+            total += 0.1 / (1 + max(0, p - hits[start][0] - (end - start)))
+            del have[hits[start][1]]
+            start += 1
+        return total
+
+    rnd = random.Random(1)
+    for n in (1, 2, 3, 5):
+        rows = []
+        for k in range(60):
+            places = sorted(rnd.sample(range(1, 200), rnd.randrange(n, 40)))
+            hits = [(p, "abcde"[rnd.randrange(n)]) for p in places]
+            if len({x for _, x in hits}) == n:
+                rows.append((k, hits))
+        df = spark.createDataFrame(rows, "k int, hits array<struct<p:int,l:string>>")
+        got = {r.k: r.s for r in df.select("k", fulltext.cover_density(df.hits, n).alias("s")).collect()}
+        assert got == pytest.approx({k: plain(h, n) for k, h in rows})
+
+
+def test_metadata_keys_with_quotes_and_arrays(spark):
+    df = spark.createDataFrame([(1, '{"it\'s": {"a\\"b": [1, {"x": 2}, "y"]}}'), (2, '{"it\'s": 1}'), (3, "[1]"), (4, None), (5, "{")], "id int, m string")
+    find = lambda want: sorted(r.id for r in df.where(filters.metadata_contains("m", want, nested=True)).collect())
+    assert find({"it's": {'a"b': [{"x": 2}]}}) == find({"it's": {'a"b': ["y", 1]}}) == [1]
+    assert find({"it's": 1}) == [2] and find({"it's": {'a"b': [2]}}) == find({"its": 1}) == []
+
+
+def test_an_index_and_its_queries_agree_on_stems(spark, tmp_path):
+    chunks = spark.createDataFrame([("a", "running queries quickly"), ("b", "a run")], "id string, text string")
+    made = fulltext.postings(chunks, id="id", stem=True)
+    fulltext.write_index(made, str(tmp_path / "i"), stem=True)
+    for index in (fulltext.Postings(made, True), fulltext.WrittenIndex(spark, str(tmp_path / "i"))):
+        assert {r.chunk_id for r in fulltext.search(index, "runs", 5).collect()} == {"a", "b"}
+        with pytest.raises(ConfigError):
+            fulltext.search(index, "runs", 5, stem=False)
+        assert search.Engine(sources=None, documents=None, chunks=chunks, embed=None, index=index).stem

@@ -116,7 +116,7 @@ def test_kubernetes(spark):
     assert kubernetes.api_path("Deployment", "n") == "/apis/apps/v1/namespaces/n/deployments" and kubernetes.api_path("Namespace", "n") == "/api/v1/namespaces"
     tries = iter(["bad", '["x"]'])
     assert kubernetes.discover_with(lambda p: next(tries), "p", kubernetes.parse_kinds, list) == ["x"]
-    c = kubernetes.KubernetesConnector({"base_url": "b", "kinds": ["Pod"], "namespaces": ["n"]}, {"token": "t"}, fake(lambda u, p: {"items": [{"metadata": {"name": "a", "namespace": "n"}}]}))
+    c = kubernetes.KubernetesConnector({"base_url": "https://b", "kinds": ["Pod"], "namespaces": ["n"]}, {"token": "t"}, fake(lambda u, p: {"items": [{"metadata": {"name": "a", "namespace": "n"}}]}))
     assert c.discover(spark).first().external_id == "Pod/n/a"
 
 
@@ -126,7 +126,7 @@ def test_kubernetes_pages_and_fetch(spark):
             return {"items": [{"metadata": {"name": "a", "namespace": "n"}}], "metadata": {"continue": "t"}} if "continue" not in p else {"items": [{"metadata": {"name": "b", "namespace": "n"}}]}
         return {} if u.endswith("/b") else {"metadata": {"name": "a", "namespace": "n", "managedFields": [1], "annotations": {"kubectl.kubernetes.io/last-applied-configuration": "{}"}}, "spec": {"x": 1}}
 
-    c = kubernetes.KubernetesConnector({"base_url": "b", "kinds": ["Pod"], "namespaces": ["n"]}, {"token": "t"}, fake(api))
+    c = kubernetes.KubernetesConnector({"base_url": "https://b", "kinds": ["Pod"], "namespaces": ["n"]}, {"token": "t"}, fake(api))
     refs = c.discover(spark)
     assert sorted(r.external_id for r in refs.collect()) == ["Pod/n/a", "Pod/n/b"]
     got = c.fetch(spark, refs).collect()

@@ -84,10 +84,7 @@ def test_ingested_code_replaces_its_graph(spark):
     from lodestone.operators import embedding, ingest
 
     schema = "source_id string, external_id string, path string, content_type string, content binary"
-    none = ingest.Tables(
-        spark.createDataFrame([], "id string, source_id string, external_id string, content_hash string, doc_version long, indexed_at timestamp, tombstoned_at timestamp"), spark.createDataFrame([], "id string, document_id string, ord int, text string, embedding array<float>"),
-        spark.createDataFrame([], "chunk_id string, lexeme string, positions array<int>"), spark.createDataFrame([], "id string, document_id string, entity_type string, name string, display_name string"), spark.createDataFrame([], "source_entity_id string, target_entity_id string, edge_type string"),
-    )
+    none = ingest.empty(spark)
     made = embedding.embedder(embedding.provider("hash", dimension=8), 8)
     keep = lambda df: df.persist()
 
@@ -119,3 +116,43 @@ def test_stateful_streams(spark, tmp_path):
         q.stop()
     assert spark.table("fresh").count() == 2
     assert sorted(r.allowed for r in spark.table("bucket").collect()) == [False, True, True]
+
+
+def test_retries_of_a_batch_that_runs_again(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    rows = [("s", "git", f"d{k}", "u", "updated", 1, 1) for k in range(40)]
+    events = spark.createDataFrame(rows, CHANGE_EVENTS)
+    for _ in range(2):
+        changes.replace_files(events.repartition(3), folder, "retry-x-7")
+    changes.replace_files(events.limit(2).coalesce(1), folder, "retry-x-8")
+    assert spark.read.schema(CHANGE_EVENTS).json(folder).count() == 42
+    changes.replace_files(events.limit(0), folder, "retry-x-7")
+    assert spark.read.schema(CHANGE_EVENTS).json(folder).count() == 2 and not [f for f in (tmp_path / "in").iterdir() if f.name.startswith("_")]
+    assert changes.retire(spark, folder, 3600, datetime.now(UTC)) == 0 and changes.retire(spark, folder, -60, datetime.now(UTC)) == 1
+
+
+def test_ingestion_within_the_pipeline(spark, tmp_path):
+    """Events stream into ingestion; what can't be fetched at first is delivered again and then gets in, or ends as a dead letter."""
+    from lodestone.operators import ingest
+    from lodestone.session import written
+
+    src, cp, dead = (str(tmp_path / x) for x in ("src", "cp", "dead"))
+    rows = [("s", "git", name, "u", "updated", 1, 1) for name in ("a", "late", "never")]
+    spark.createDataFrame(rows, CHANGE_EVENTS).coalesce(1).write.json(src)
+    state, tries = [ingest.empty(spark)], []
+
+    def fetch(keys):
+        there = ["a", "late"] if len(tries) > 1 else ["a"]
+        content = spark.createDataFrame([("s", n, f"{n}.txt", "text/plain", f"text of {n}".encode()) for n in there], "source_id string, external_id string, path string, content_type string, content binary")
+        return content.join(keys, ["source_id", "external_id"], "left_semi")
+
+    def apply(batch, epoch):
+        tries.append(epoch)
+        got = ingest.ingest(state[0], batch, fetch, T0, run_id=f"r{epoch}", keep=written)
+        state[0] = got.tables
+        return got.results.where("action = 'error'").select("source_id", "external_id", "error")
+
+    for _ in range(4):
+        changes.run_pipeline(changes.read_events(spark, src), apply, cp, retry=src, dead_letters=dead, max_deliver=3).start().awaitTermination()
+    assert {r.external_id for r in state[0].documents.collect()} == {"a", "late"} and state[0].chunks.count() == 2
+    assert [(r.external_id, r.attempt) for r in spark.read.json(dead).collect()] == [("never", 3)]
