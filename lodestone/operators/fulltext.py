@@ -122,7 +122,11 @@ def _stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def tokens(text: Column, *, stem: bool = False) -> Column:
     """All tokens of a text in order, stop words included."""
     raw = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    return F.pandas_udf(_stems, "array<string>")(raw) if stem else raw
+    return stemmed_tokens(raw) if stem else raw
+
+
+def stemmed_tokens(raw: Column) -> Column:
+    return F.pandas_udf(_stems, "array<string>")(raw)
 
 
 def postings(chunks: DataFrame, *, id: str = "chunk_id", text: str = "text", stem: bool = False) -> DataFrame:
@@ -208,17 +212,19 @@ def match(index: Index, lexemes: list[str], *, stem: bool = False) -> DataFrame:
     return per_chunk.where(F.col("n") == len(lexemes)).drop("n")
 
 
-def cover_density(hits: Column, n_lexemes: int) -> Column:
+def cover_density(hits: Column, n_lexemes: int | Column) -> Column:
     """Sum over minimal covers of 0.1 / (1 + words in between that are no hits).
 
-    With one or two lexemes each cover is a hit, or two neighbours with different lexemes; with more, hits are folded one by
-    one over the last hit of each lexeme. All of it stays in the JVM.
+    With one or two lexemes each cover is a hit, or two neighbours with different lexemes; with more, or a number that differs
+    by row, hits are folded one by one over the last hit of each lexeme. All of it stays in the JVM.
     """
-    if n_lexemes == 1:
-        return F.size(hits) * 0.1
-    if n_lexemes == 2:
-        pairs = F.transform(hits, lambda h, i: F.when(h["l"] != F.get(hits, i - 1)["l"], F.lit(0.1) / (h["p"] - F.get(hits, i - 1)["p"])).otherwise(F.lit(0.0)))
-        return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
+    if not isinstance(n_lexemes, Column):
+        if n_lexemes == 1:
+            return F.size(hits) * 0.1
+        if n_lexemes == 2:
+            pairs = F.transform(hits, lambda h, i: F.when(h["l"] != F.get(hits, i - 1)["l"], F.lit(0.1) / (h["p"] - F.get(hits, i - 1)["p"])).otherwise(F.lit(0.0)))
+            return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
+        n_lexemes = F.lit(n_lexemes)
 
     # A cover ends at a hit and starts at the earliest of the other lexemes' last hits since the cover before it started.
     def step(s: Column, h: Column) -> Column:
@@ -228,7 +234,7 @@ def cover_density(hits: Column, n_lexemes: int) -> Column:
         between = F.greatest(F.lit(0), h["p"] - start["p"] - (s["n"] - start["i"]))
         return F.struct(
             (s["total"] + F.when(full, F.lit(0.1) / (1 + between)).otherwise(0.0)).alias("total"), (s["n"] + 1).alias("n"),
-            F.when(full, F.slice(seen, 2, max(1, n_lexemes - 1))).otherwise(seen).alias("seen"),
+            F.when(full, F.slice(seen, F.lit(2), F.greatest(F.lit(1), n_lexemes - 1))).otherwise(seen).alias("seen"),
         )
 
     none = F.array().cast("array<struct<p:int,l:string,i:int>>")

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from lodestone import parsers
 from lodestone.functions import convert, text
-from lodestone.operators import filters, fusion, graph, ingest, stats, vector, writer
+from lodestone.operators import batch, filters, fulltext, fusion, graph, ingest, search, stats, vector, writer
 from lodestone.plans import corpus
 from lodestone.plans.corpus import NOW, table
-from lodestone.plans.queries import _NN, _RUNS, _TK, CHUNKS, DOCS, ENTITIES, EVENTS, SOURCES, SQL, TOKENS, UNIT, VEC, _top, query
+from lodestone.plans.queries import _NN, _RUNS, _STOP, _TK, CHUNKS, DOCS, ENTITIES, EVENTS, SOURCES, SQL, TOKENS, UNIT, VEC, _top, query
 from lodestone.plans.recorded import Recorded
 from lodestone.session import written
 
@@ -489,3 +489,46 @@ def scan_slack(spark, sf_dir):
     c = rest.Slack({"base_url": "https://chat", "channels": ["src2", "src4"], "max_age_days": 8, "slice_days": 2}, {"bot_token": "t"}, Recorded(sf_dir), lambda: NOW + timedelta(days=1))
     refs = _scanned(c).where("updated_at <= timestamp '2024-01-08'")
     return refs.select("external_id", F.col("metadata")["replies"].alias("replies"))
+
+
+# --- many searches in one plan -------------------------------------------------------------------------------------------
+
+_MANY = rf"""rq as (select item_id * 2 as request_id, text as q, item_id from benchmark union all select item_id * 2 + 1, array_to_string(string_split(text, ' ')[1:3], ' '), item_id from benchmark),
+lx as (select distinct request_id, l from (select request_id, unnest(regexp_extract_all(lower(q), '[\p{{L}}\p{{N}}]+')) as l from rq) where l not in ({_STOP})),
+ht as (select request_id, id, p, l, row_number() over (partition by request_id, id order by p) as i from lx join tok using (l)),
+ok as (select request_id, id from (select request_id, id, count(distinct l) as c from ht group by all) join (select request_id, count(*) as n from lx group by 1) using (request_id) where c = n),
+ps as (select h.request_id, h.id, h.i, max(case when h.l = x.l then h.i end) over (partition by h.request_id, h.id, x.l order by h.i) as last from ht h semi join ok on ok.request_id = h.request_id and ok.id = h.id join lx x on x.request_id = h.request_id),
+cv as (select request_id, id, s, min(i) as e from (select request_id, id, i, min(last) as s from ps group by all having count(last) = count(*)) group by all),
+sc as (select cv.request_id, cv.id as chunk_id, list_sum(list(0.1::double / (1 + greatest(0, b.p - a.p - (cv.e - cv.s))) order by cv.e)) as score
+  from cv join ht a on a.request_id = cv.request_id and a.id = cv.id and a.i = s join ht b on b.request_id = cv.request_id and b.id = cv.id and b.i = e group by all)"""
+
+
+def _requests(spark, sf_dir) -> DataFrame:
+    """Two requests for each text of the benchmark: all of it, and its first three words; with the vector of its number."""
+    b = table(spark, sf_dir, "benchmark").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), "item_id", "left")
+    both = F.array(F.struct((F.col("item_id") * 2).alias("request_id"), F.col("text").alias("query")), F.struct((F.col("item_id") * 2 + 1).alias("request_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("query")))
+    return b.select(F.inline(both), "vector")
+
+
+@query(f"with {CHUNKS}, {TOKENS}, {_MANY} select request_id, chunk_id, round(score, 9) as score from sc qualify row_number() over (partition by request_id order by score desc, chunk_id) <= 20")
+def keyword_search_many(spark, sf_dir):
+    """The best 20 chunks for each text of the benchmark and for its beginning, by any number of words."""
+    rows = fulltext.postings(corpus.chunk_texts(spark, sf_dir), id="id")
+    return batch.by_text(written(rows), _requests(spark, sf_dir), 20).select("request_id", "chunk_id", F.round("score", 9).alias("score"))
+
+
+@query(f"""with {CHUNKS}, {DOCS}, {SOURCES}, {TOKENS}, {_MANY},
+tt as (select request_id, chunk_id, row_number() over (partition by request_id order by score desc, chunk_id) as r from sc qualify r <= 20),
+vs as (select request_id, e.vec_id || ':0' as chunk_id, round(list_cosine_similarity(cast(e.embedding as double[]), cast(v.embedding as double[])), 12) as score
+  from rq join embeddings v on v.vec_id = item_id join embeddings e on true join documents on e.vec_id = doc_id where length(trim(text)) > 0),
+tv as (select request_id, chunk_id, row_number() over (partition by request_id order by score desc, chunk_id) as r from vs qualify r <= 20),
+fu as (select request_id, chunk_id, sum(1.0::double / (60 + r)) as score from (select * from tt union all select * from tv) group by all),
+x as (select fu.*, s.name as source_name, row_number() over (partition by request_id order by score desc, chunk_id) as rank from fu join chk c on c.id = chunk_id join doc d on d.doc_id = c.doc_id join src s on s.id = d.source_id where d.tombstoned_at is null and s.type in ('git', 'fs'))
+select request_id, cast(rank as int) as rank, chunk_id, round(score, 9) as score, source_name from x where rank <= 10""")
+def hybrid_search_many(spark, sf_dir):
+    """The same requests by words and vectors, fused and filtered, in one plan."""
+    chunks = corpus.chunks(spark, sf_dir)
+    postings = fulltext.Postings(written(fulltext.postings(corpus.chunk_texts(spark, sf_dir), id="id")), False)
+    engine = search.Engine(sources=corpus.sources(spark, sf_dir), documents=corpus.documents(spark, sf_dir), chunks=chunks, index=postings, embed=lambda q: UNIT, now=lambda: NOW)
+    hits = batch.search_many(engine, _requests(spark, sf_dir), search.SearchRequest("", top_k=10, types=["git", "fs"]))
+    return hits.select("request_id", "rank", "chunk_id", F.round("score", 9).alias("score"), F.col("source.name").alias("source_name"))
