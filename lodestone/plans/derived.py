@@ -15,7 +15,7 @@ from lodestone.plans import corpus
 from lodestone.plans.corpus import NOW, table
 from lodestone.plans.queries import _NN, _RUNS, _STOP, _TK, CHUNKS, DOCS, ENTITIES, EVENTS, SOURCES, SQL, TOKENS, UNIT, VEC, _top, query
 from lodestone.plans.recorded import Recorded
-from lodestone.session import written
+from lodestone.session import scratch, written
 
 # --- parsers and graphs --------------------------------------------------------------------------------------------------
 
@@ -532,3 +532,51 @@ def hybrid_search_many(spark, sf_dir):
     engine = search.Engine(sources=corpus.sources(spark, sf_dir), documents=corpus.documents(spark, sf_dir), chunks=chunks, index=postings, embed=lambda q: UNIT, now=lambda: NOW)
     hits = batch.search_many(engine, _requests(spark, sf_dir), search.SearchRequest("", top_k=10, types=["git", "fs"]))
     return hits.select("request_id", "rank", "chunk_id", F.round("score", 9).alias("score"), F.col("source.name").alias("source_name"))
+
+
+# --- streams with state --------------------------------------------------------------------------------------------------
+
+
+def _event_stream(spark, sf_dir, slices: int = 4) -> DataFrame:
+    """The change events as a stream of that many micro-batches, in order of time."""
+    e = corpus.change_events(spark, sf_dir).select("event_id", "external_id", "at", "source_type")
+    first, last = e.agg(F.min("at"), F.max("at")).first()
+    path = scratch(spark, "events")
+    for k in range(slices):  # one after the other: a stream takes files by their age
+        low, high = (first + (last - first) * x / slices for x in (k, k + 1))
+        e.where((F.col("at") >= F.lit(low)) & ((F.col("at") < F.lit(high)) | F.lit(k == slices - 1))).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(SQL["replay_dedup"])
+def replay_stream(spark, sf_dir):
+    """The replays of replay_dedup, marked by a stream in four micro-batches."""
+    from lodestone.streaming import stateful
+
+    marked = stateful.mark_replays(_event_stream(spark, sf_dir), id="external_id", seconds=86400)
+    rows = stateful.run_to_end(marked, scratch(spark, "replays"), scratch(spark, "checkpoint"))
+    return rows.groupBy("external_id").agg(F.count(F.lit(1)).alias("deliveries"), F.count_if("duplicate").alias("duplicates"))
+
+
+@query(SQL["token_bucket"])
+def token_bucket_stream(spark, sf_dir):
+    """The requests of token_bucket, judged by a stream in four micro-batches."""
+    from lodestone.streaming import stateful
+
+    judged = stateful.token_bucket(_event_stream(spark, sf_dir).withColumnRenamed("external_id", "key"), rpm=1)
+    rows = stateful.run_to_end(judged, scratch(spark, "requests"), scratch(spark, "checkpoint"))
+    return rows.groupBy("key").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("rejected"))
+
+
+@query("""with m as (select event_id, epoch_ms(ts) as t, event_id % 7 as fails, max(epoch_ms(ts)) over () as seen from events),
+d as (select *, unnest(range(1, least(fails, 4) + 2)) as attempt from m)
+select cast(event_id as varchar) as id, cast(attempt as int) as attempt, case when attempt > fails then 'delivered' when attempt = 5 then 'dead' else 'failed' end as status
+from d where attempt = 1 or t + 30000 * (2 ** (attempt - 1) - 1) <= seen""")
+def redelivery_stream(spark, sf_dir):
+    """Every event is a message that fails as often as its number says (modulo 7), so that two in seven end as dead letters after
+    five deliveries. Deliveries that are due once the last event has been seen are still to come."""
+    from lodestone.streaming import stateful
+
+    messages = _event_stream(spark, sf_dir).withColumn("payload", (F.col("event_id") % 7).cast("string"))
+    found = stateful.redeliver(messages, lambda payload, attempt: attempt > int(payload), key="external_id", id="event_id")
+    return stateful.run_to_end(found, scratch(spark, "deliveries"), scratch(spark, "checkpoint")).select("id", "attempt", "status")

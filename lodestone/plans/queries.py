@@ -421,7 +421,10 @@ def late_event_filter(spark, sf_dir):
     return e.where(~changes.is_late(F.col("sent"), F.col("sent") + F.col("event_id") % 600)).select("event_id")
 
 
-@query()
+@query("""with recursive e as (select cast(user_id as varchar) as key, epoch_us(ts) / 1000000.0::double as t, row_number() over (partition by user_id order by ts, event_id) as n from events),
+b as (select key, n, t, 0.0::double as tokens, true as allowed from e where n = 1 union all
+  select key, n, t, x - case when x >= 1 then 1 else 0 end, x >= 1 from (select e.*, least(1.0::double, b.tokens + (e.t - b.t) / 60) as x from b join e on e.key = b.key and e.n = b.n + 1))
+select key, count(*) filter (where allowed) as allowed, count(*) filter (where not allowed) as rejected from b group by key""")
 def token_bucket(spark, sf_dir):
     from lodestone.streaming import changes
 
