@@ -1,4 +1,5 @@
 import json
+import random
 import time
 from datetime import UTC, datetime, timedelta
 
@@ -156,3 +157,43 @@ def test_ingestion_within_the_pipeline(spark, tmp_path):
         changes.run_pipeline(changes.read_events(spark, src), apply, cp, retry=src, dead_letters=dead, max_deliver=3).start().awaitTermination()
     assert {r.external_id for r in state[0].documents.collect()} == {"a", "late"} and state[0].chunks.count() == 2
     assert [(r.external_id, r.attempt) for r in spark.read.json(dead).collect()] == [("never", 3)]
+
+
+def test_streams_with_state_and_a_restart(spark, tmp_path):
+    """Replay windows, buckets and redelivery in micro-batches, with a restart between, equal the batch forms; state can be read."""
+    from pyspark.sql import functions as F
+
+    from lodestone.streaming import stateful
+
+    rnd = random.Random(7)
+    rows = sorted((T0 + timedelta(seconds=rnd.randrange(3000), microseconds=k), f"k{rnd.randrange(4)}", f"d{rnd.randrange(12)}", k) for k in range(160))
+    schema = "at timestamp, key string, delivery_id string, n long"
+    src, provider = str(tmp_path / "in"), spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    fails = {k: k % 4 for k in range(160)}
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        bucket = stateful.token_bucket(stream, rpm=3)
+        replays = stateful.mark_replays(stream)
+        sent = stateful.redeliver(stream.withColumn("payload", (F.col("n") % 4).cast("string")), lambda payload, attempt: attempt > int(payload), key="key", id="n", max_deliver=3, backoff_seconds=10)
+        return [stateful.run_to_end(df, str(tmp_path / f"out{i}"), str(tmp_path / f"cp{i}")) for i, df in enumerate((bucket, replays, sent))]
+
+    try:
+        for part in (rows[:60], rows[60:100], rows[100:]):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+            if part is not rows[60:100]:
+                found = run()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+    table = spark.createDataFrame(rows, schema)
+    bucket, replays, sent = found
+    want = {r.n: (r.allowed, round(r.remaining, 6), round(r.retry_after, 6)) for r in changes.token_bucket(table, rpm=3).collect()}
+    assert {r.n: (r.allowed, round(r.remaining, 6), round(r.retry_after, 6)) for r in bucket.collect()} == want
+    assert {r.n: r.duplicate for r in replays.collect()} == {r.n: r.duplicate for r in changes.mark_replays(table).collect()}
+    end = rows[-1][0]
+    due = lambda at, attempt: at + timedelta(seconds=10 * (2 ** (attempt - 1) - 1))
+    status = lambda n, attempt: "delivered" if attempt > fails[n] else "dead" if attempt == 3 else "failed"
+    want = sorted((str(n), a, status(n, a)) for at, _, _, n in rows for a in range(1, min(fails[n], 2) + 2) if a == 1 or due(at, a) <= end)
+    assert sorted((r.id, r.attempt, r.status) for r in sent.collect()) == want
+    left = spark.read.format("statestore").option("path", str(tmp_path / "cp1")).option("stateVarName", "state").load()
+    assert 0 < left.count() <= 12  # ids seen in the last five minutes, not all that there ever were
