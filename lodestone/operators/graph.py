@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.entities import dice, name_tokens, normalize_name
+from lodestone.operators.buckets import BucketTable
+from lodestone.session import written
 
 #: Entity types that may match by name tokens (fixed values).
 TERRAFORM = ["terraform_resource", "terraform_module", "resource"]
@@ -197,6 +199,17 @@ def link_delta(index: DataFrame, new: DataFrame) -> DataFrame:
     return _met(new, rows, F.col("a.source_id") != F.col("b.source_id"))
 
 
+def link_stored(index: BucketTable, gone: DataFrame, new: DataFrame) -> DataFrame:
+    """:func:`link_delta` against signatures in buckets of ``sig`` (key: sig and id), which are brought up to date: those of
+    ``gone`` (the signatures that replaced or removed entities had) go, ``new`` ones come. Only buckets of the delta are read
+    and written. The links are stored before the index changes."""
+    keys = gone.select(*index.key)
+    left = index.near(new).join(keys, list(index.key), "left_anti")
+    links = written(link_delta(left, new))
+    index.replace(keys, new)
+    return links
+
+
 def _unknown(links: DataFrame, existing: DataFrame) -> DataFrame:
     """Links of pairs that no cross-source edge of ``existing`` has, either way."""
     known = existing.where(F.col("edge_type") == CROSS_REF).select(F.least("source_entity_id", "target_entity_id").alias("x"), F.greatest("source_entity_id", "target_entity_id").alias("y"))

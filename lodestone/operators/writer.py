@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.errors import Conflict
 from lodestone.functions.text import content_hash
+from lodestone.operators.buckets import BucketTable
 
 KEY = ["source_id", "external_id"]
 
@@ -43,6 +44,14 @@ def upsert_documents(current: DataFrame, incoming: DataFrame, now: datetime, *,
     return current.join(new.select(*KEY), KEY, "left_anti").unionByName(rows, allowMissingColumns=True)
 
 
+def upsert_in_buckets(table: BucketTable, incoming: DataFrame, now: datetime, *, revive: bool = True) -> list[int]:
+    """:func:`upsert_documents` on a table in buckets of KEY: reads the buckets of ``incoming``, writes those of what changed."""
+    current = table.near(incoming)
+    new = actions(current, incoming, revive=revive).where("action <> 'unchanged'").select(*KEY)
+    after = upsert_documents(current, incoming, now, revive=revive).join(new, KEY, "left_semi")
+    return table.replace(new, after)
+
+
 def replace_chunks(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Chunks after those of ``incoming``'s documents were replaced; an empty embedding is null."""
     new = incoming.withColumn("embedding", F.when(F.size("embedding") > 0, F.col("embedding"))) if "embedding" in incoming.columns else incoming

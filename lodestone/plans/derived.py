@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone import parsers
 from lodestone.functions import convert, text
 from lodestone.operators import batch, filters, fulltext, fusion, graph, ingest, search, stats, vector, writer
+from lodestone.operators.buckets import BucketTable
 from lodestone.plans import corpus
 from lodestone.plans.corpus import NOW, table
 from lodestone.plans.queries import _NN, _RUNS, _STOP, _TK, CHUNKS, DOCS, ENTITIES, EVENTS, SOURCES, SQL, TOKENS, UNIT, VEC, _top, query
@@ -580,3 +581,41 @@ def redelivery_stream(spark, sf_dir):
     messages = _event_stream(spark, sf_dir).withColumn("payload", (F.col("event_id") % 7).cast("string"))
     found = stateful.redeliver(messages, lambda payload, attempt: attempt > int(payload), key="external_id", id="event_id")
     return stateful.run_to_end(found, scratch(spark, "deliveries"), scratch(spark, "checkpoint")).select("id", "attempt", "status")
+
+
+# --- tables in buckets ---------------------------------------------------------------------------------------------------
+
+
+@query("""select sha1(md5(source) || ':' || doc_id) as id, cast(doc_id as varchar) as external_id, case when doc_id % 100 = 3 then 2 else 1 end as doc_version,
+case when doc_id % 100 = 3 or doc_id % 100 = 4 then timestamp '2024-01-08 01:00:00' else timestamp '2024-01-08' end as indexed_at from documents""")
+def upsert_buckets(spark, sf_dir):
+    """A table of documents in buckets; then one in fifty comes in, half of them new and half with another text, with some that
+    didn't change: only their buckets are read and written."""
+    d = table(spark, sf_dir, "documents").select(F.md5("source").alias("source_id"), F.col("doc_id").cast("string").alias("external_id"), "doc_id", "text")
+    t = BucketTable(spark, scratch(spark, "documents"), writer.KEY)
+    empty = ingest.empty(spark).documents
+    t.create(writer.upsert_documents(empty, d.where("doc_id % 100 <> 4").drop("doc_id"), NOW))
+    edited = d.where("doc_id % 100 in (3, 4, 5)").withColumn("text", F.when(F.col("doc_id") % 100 == 3, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
+    writer.upsert_in_buckets(t, edited.drop("doc_id"), NOW + timedelta(hours=1))
+    return t.all().select("id", "external_id", "doc_version", F.col("indexed_at").cast("timestamp_ntz").alias("indexed_at"))
+
+
+@query(SQL["links_in_deltas"])
+def links_in_buckets(spark, sf_dir):
+    """The links of links_in_deltas, against signatures that are stored in buckets and kept up to date there."""
+    s = table(spark, sf_dir, "supplier")
+    tf = s.select(F.concat(F.lit("tf/"), "s_suppkey").alias("id"), F.lit("a").alias("source_id"), F.lit("terraform_resource").alias("entity_type"), F.concat(F.lit("aws_"), "s_name", F.lit(".x"), F.col("s_suppkey") % 50).alias("name"), F.concat(F.lit("t"), "s_suppkey").alias("display_name"), "s_suppkey")
+    k8s = s.select(F.concat(F.lit("k8s/"), "s_suppkey").alias("id"), F.lit("b").alias("source_id"), F.lit("k8s_resource").alias("entity_type"), F.concat(F.lit("Deployment/"), "s_name", F.lit("-y"), F.col("s_suppkey") % 20).alias("name"), F.concat(F.lit("k"), "s_suppkey").alias("display_name"), "s_suppkey")
+    every = tf.unionByName(k8s)
+    common = graph.common_tokens(every.where("s_suppkey % 3 = 0"))
+    signed = lambda where: graph.signatures(every.where(where), common)
+    first = signed("s_suppkey % 3 = 0")
+    index = BucketTable(spark, scratch(spark, "signatures"), ["sig", "id"], by=["sig"], buckets=64).create(first)
+    links = graph.link_delta(first.limit(0), first)
+    left = k8s.where("s_suppkey % 4 = 0").select("id")
+    gone = signed("source_id = 'b' and s_suppkey % 4 = 0")
+    for part in (1, 2):
+        links = links.unionByName(graph.link_stored(index, first.limit(0), signed(f"s_suppkey % 3 = {part}")))
+    graph.link_stored(index, gone, first.limit(0))
+    links = writer.cascade(writer.cascade(links, left, "source_entity_id"), left, "target_entity_id")
+    return links.select("source_entity_id", "target_entity_id", F.round("score", 9).alias("score"), "strategy")
