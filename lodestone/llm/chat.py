@@ -110,7 +110,9 @@ def format_messages(messages: DataFrame, schemas: dict[str, dict] | None = None)
     # Stored before they are joined back: both sides are then plain shuffles, which AQE splits where an id is hot.
     first_call = stored(asked.groupBy("conv_id", "id").agg(F.min("turn").alias("call_turn")), "calls")
     after = F.min(F.when(F.col("turn") >= F.col("call_turn"), F.col("turn")))
-    answer = given.join(first_call, ["conv_id", "id"]).groupBy("conv_id", "id").agg(F.coalesce(after, F.min("turn")).alias("result_turn"))
+    # Stored once more before it is grouped: an aggregate by the join's own keys would keep AQE from splitting a hot id.
+    given = stored(given.join(first_call, ["conv_id", "id"]), "answers")
+    answer = given.groupBy("conv_id", "id").agg(F.coalesce(after, F.min("turn")).alias("result_turn"))
     links = stored(first_call.join(answer, ["conv_id", "id"], "left"), "links")
 
     content = F.when(F.col("raw_calls").isNotNull() | F.col("answers").isNotNull(), F.expr("coalesce(try_variant_get(v, '$.content', 'string'), nullif(to_json(variant_get(v, '$.content')), 'null'))")).otherwise(F.col("text"))

@@ -9,7 +9,9 @@ and length. Then
 * a BPE model merges, in all rows at once, the adjacent pair with the highest score, leftmost first: the highest sum of
   scores is not what a BPE model means, and Viterbi would not give its ids.
 
-Ids equal those of the sentencepiece library, in ties too: the longest last piece wins, and sums have 32 bits. Units are
+Ids of BPE models, and of unigram models with scores of their own, equal those of the sentencepiece library, in ties too: the
+longest last piece wins, and sums have 32 bits. For the unigram model that ``sentencepiece_unigram`` makes of BPE pieces the
+library's plain encoding has a lower sum for some words; the ids here have the highest one. Units are
 scored on their own, so that no sum grows with a text and rounds. A task remembers the ids of up to UNITS distinct units.
 """
 

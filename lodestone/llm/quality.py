@@ -2,8 +2,9 @@
 
 Statistics of every text are Spark expressions on its row: no shuffle, no Python. Rules are learned on the driver from the
 statistics of at most MAX_LABELLED labelled documents, by sequential covering: a rule grows by the threshold condition with
-the highest information gain, is pruned on rows held back, and joins the list only if it is precise there. The list becomes
-one ordered CASE expression.
+the highest information gain, is pruned on rows held back, and joins the list only if it is precise there. A rule has at most
+MAX_CONDITIONS conditions and a list at most MAX_RULES rules, so that it can be read. The list becomes one ordered CASE
+expression.
 """
 
 from __future__ import annotations

@@ -179,11 +179,11 @@ def write_archives(pages: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     # SHA-1 and length: four bytes more.
     rows = rows.withColumn("digest", F.concat(F.unhex(F.sha1("html")), F.unhex(F.lpad(F.hex(F.octet_length("html").cast("long")), 8, "0"))))
-    thin = stored(rows.select("page_id", "digest"), "digests")
+    thin = stored(rows.select("page_id", "digest").distinct(), "digests")
     first = thin.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").drop("n")
-    # Only pages that revisit another one; a hot digest's pages are split by AQE, as no row here holds a payload.
-    later = thin.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
-    later = later.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("first").alias("refers_to"))
+    # Only pages that revisit another one. Nothing after the join groups by the digest, so AQE can split a hot one.
+    later = thin.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
+    later = stored(later.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("first").alias("refers_to")), "later")
     tagged = rows.join(later, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
     tagged = tagged.select(_key(F.col("url")).alias("url_key"), "page_id", "url", "html", "refers_to")
     entries = stored(tagged.mapInArrow(_writer(f"{folder}/records"), _ENTRY_SQL), "captures")
