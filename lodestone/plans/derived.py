@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -335,12 +336,37 @@ def source_crud(spark, sf_dir):
   (1, 'a' || (doc_id % 9), 'created'), (1, 'b' || (doc_id % 7), 'updated'), (2, 'd' || (doc_id % 5), 'deleted')) t(c, path, action) where doc_id % 3 <> 0 and doc_id % 4 <> 0
 union all select cast(doc_id as varchar), '*', '*', 'updated' from documents where doc_id % 3 = 0 and doc_id % 4 <> 0""")
 def webhook_pushes(spark, sf_dir):
-    return _webhooks().webhook_events(_requests(spark, sf_dir), {}, NOW).select("source_id", "uri", "external_id", "action")
+    return _webhooks().webhook_events(_requests(spark, sf_dir), {}, NOW, unsigned=["git"]).select("source_id", "uri", "external_id", "action")
 
 
 @query("select doc_id, case when doc_id % 4 = 0 then 'late' else 'accepted' end as status, case when doc_id % 2 = 0 then 'g' || doc_id else 'l' || doc_id end as delivery_id from documents")
 def webhook_statuses(spark, sf_dir):
-    return _webhooks().webhook_status(_requests(spark, sf_dir), {}, NOW).select(F.col("source_id").cast("long").alias("doc_id"), "status", "delivery_id")
+    return _webhooks().webhook_status(_requests(spark, sf_dir), {}, NOW, unsigned=["git"]).select(F.col("source_id").cast("long").alias("doc_id"), "status", "delivery_id")
+
+
+_KINDS = ["github", "gitlab", "jira", "slack", "other"]
+
+
+@query(f"""with r as (select doc_id, source, row_number() over (partition by source order by doc_id) as n, (doc_id // 20) % 5 as k, (doc_id // 20) % 3 as fault from documents)
+select doc_id, case when n > 6 then 'rate_limited' when k = 4 or fault = 1 then 'unauthorized' when fault = 2 and k = 3 then 'unauthorized' when fault = 2 then 'late' else 'accepted' end as status from r""")
+def webhook_signatures(spark, sf_dir):
+    """A push for each document to its source's hook, all in one second, of which the hook takes six a minute. Signatures are
+    made with each type's secret; a third are made with another one, a third were sent long ago (for slack, which signs the
+    time, that is a bad signature), and one type has no secret."""
+    changes = _webhooks()
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), ((F.col("doc_id") / 20).cast("long") % 5 + 1).cast("int"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("source_id"), kind.alias("source_type"), ((F.col("doc_id") / 20).cast("long") % 3).alias("fault"))
+    sent = NOW.timestamp() - F.when(F.col("fault") == 2, 7200).otherwise(10)
+    d = d.withColumn("stamp", sent.cast("long").cast("string")).withColumn("body", F.format_string('{"timestamp": %s, "id": %d}', "stamp", "doc_id"))
+    secrets = {k: f"secret of {k}" for k in _KINDS[:4]}
+
+    @F.pandas_udf("string")
+    def signed(kinds: pd.Series, bodies: pd.Series, stamps: pd.Series, faults: pd.Series) -> pd.Series:
+        return pd.Series([changes.signature(k, secrets.get(k, "none") + "x" * (f == 1), b.encode(), t) for k, b, t, f in zip(kinds, bodies, stamps, faults)])
+
+    at = F.timestamp_micros(F.lit(int(NOW.timestamp() * 1_000_000)) + F.col("doc_id"))
+    rows = d.select("doc_id", "source_id", "source_type", "body", "stamp", signed("source_type", "body", "stamp", "fault").alias("signature"), at.alias("at"), F.create_map(F.lit("x-github-delivery"), F.col("doc_id").cast("string")).alias("headers"))
+    return changes.webhook_status(rows, secrets, NOW, rpm=6).select("doc_id", "status")
 
 
 def _webhooks():
@@ -504,7 +530,7 @@ sc as (select cv.request_id, cv.id as chunk_id, list_sum(list(0.1::double / (1 +
   from cv join ht a on a.request_id = cv.request_id and a.id = cv.id and a.i = s join ht b on b.request_id = cv.request_id and b.id = cv.id and b.i = e group by all)"""
 
 
-def _requests(spark, sf_dir) -> DataFrame:
+def _searches(spark, sf_dir) -> DataFrame:
     """Two requests for each text of the benchmark: all of it, and its first three words; with the vector of its number."""
     b = table(spark, sf_dir, "benchmark").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), "item_id", "left")
     both = F.array(F.struct((F.col("item_id") * 2).alias("request_id"), F.col("text").alias("query")), F.struct((F.col("item_id") * 2 + 1).alias("request_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("query")))
@@ -515,7 +541,7 @@ def _requests(spark, sf_dir) -> DataFrame:
 def keyword_search_many(spark, sf_dir):
     """The best 20 chunks for each text of the benchmark and for its beginning, by any number of words."""
     rows = fulltext.postings(corpus.chunk_texts(spark, sf_dir), id="id")
-    return batch.by_text(written(rows), _requests(spark, sf_dir), 20).select("request_id", "chunk_id", F.round("score", 9).alias("score"))
+    return batch.by_text(written(rows), _searches(spark, sf_dir), 20).select("request_id", "chunk_id", F.round("score", 9).alias("score"))
 
 
 @query(f"""with {CHUNKS}, {DOCS}, {SOURCES}, {TOKENS}, {_MANY},
@@ -531,7 +557,7 @@ def hybrid_search_many(spark, sf_dir):
     chunks = corpus.chunks(spark, sf_dir)
     postings = fulltext.Postings(written(fulltext.postings(corpus.chunk_texts(spark, sf_dir), id="id")), False)
     engine = search.Engine(sources=corpus.sources(spark, sf_dir), documents=corpus.documents(spark, sf_dir), chunks=chunks, index=postings, embed=lambda q: UNIT, now=lambda: NOW)
-    hits = batch.search_many(engine, _requests(spark, sf_dir), search.SearchRequest("", top_k=10, types=["git", "fs"]))
+    hits = batch.search_many(engine, _searches(spark, sf_dir), search.SearchRequest("", top_k=10, types=["git", "fs"]))
     return hits.select("request_id", "rank", "chunk_id", F.round("score", 9).alias("score"), F.col("source.name").alias("source_name"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from datetime import datetime
 
 import pandas as pd
@@ -144,32 +144,38 @@ def sign(secret: str, body: bytes) -> str:
     return "sha256=" + hmac.new(secret.encode(), body, hashlib.sha256).hexdigest()
 
 
-def verified(kind: Column, body: Column, signature: Column, timestamp: Column, secrets: dict[str, str], now: datetime) -> Column:
-    """Whether a webhook's signature holds, by source type: HMAC for github, confluence and jira, a token for gitlab, a
-    timestamped HMAC for slack (at most 300 s old). A type without a secret is not checked."""
+def signature(kind: str, secret: str, body: bytes, stamp: str | None = None) -> str:
+    """What a service of ``kind`` signs a request with: a token for gitlab, an HMAC of time and body for slack, of the body else."""
+    if kind == "gitlab":
+        return secret
+    if kind == "slack":
+        return "v0=" + hmac.new(secret.encode(), f"v0:{stamp}:".encode() + body, hashlib.sha256).hexdigest()
+    return sign(secret, body)
+
+
+def verified(kind: Column, body: Column, given: Column, timestamp: Column, secrets: dict[str, str], now: datetime, unsigned: Collection[str] = ()) -> Column:
+    """Whether a webhook's signature holds, by source type (see :func:`signature`); slack's are at most 300 s old. A type
+    without a secret doesn't pass, unless it is in ``unsigned``, whose requests are not checked."""
 
     @F.pandas_udf("boolean")
     def check(kinds: pd.Series, bodies: pd.Series, signatures: pd.Series, stamps: pd.Series) -> pd.Series:
         def one(k, b, s, t) -> bool:
-            secret = secrets.get(k)
-            if secret is None:
+            if k in unsigned:
                 return True
-            if s is None:
+            secret = secrets.get(k)
+            if not secret or s is None or b is None:
                 return False
-            if k == "gitlab":
-                return hmac.compare_digest(secret, s)
             if k == "slack":
                 try:
-                    fresh = abs(now.timestamp() - float(t)) <= LATE_SECONDS
+                    if abs(now.timestamp() - float(t)) > LATE_SECONDS:
+                        return False
                 except (TypeError, ValueError):
                     return False
-                made = "v0=" + hmac.new(secret.encode(), f"v0:{t}:".encode() + b.encode(), hashlib.sha256).hexdigest()
-                return fresh and hmac.compare_digest(made, s)
-            return hmac.compare_digest(sign(secret, b.encode()), s)
+            return hmac.compare_digest(signature(k, secret, b.encode(), t).encode(), s.encode())
 
         return pd.Series([one(*r) for r in zip(kinds, bodies, signatures, stamps)])
 
-    return check(kind, body, signature, timestamp)
+    return check(kind, body, given, timestamp)
 
 
 _PUSH = "struct<commits:array<struct<id:string,added:array<string>,modified:array<string>,removed:array<string>>>>"
@@ -189,22 +195,30 @@ def push_refs(pushes: DataFrame, body: str = "body") -> DataFrame:
     return refs.unionByName(bare).drop("__id")
 
 
-def webhook_status(requests: DataFrame, secrets: dict[str, str], now: datetime) -> DataFrame:
-    """``requests`` (source_type, headers, body, signature, stamp, at) with delivery_id and status, the first that holds:
-    unauthorized, late, replayed or accepted. Only rows that are authorized and in time count as deliveries."""
-    r = requests.withColumn("delivery_id", delivery_id(F.col("headers")))
-    ok = verified(F.col("source_type"), F.col("body"), F.col("signature"), F.col("stamp"), secrets, now) if secrets else F.lit(True)
+def webhook_status(requests: DataFrame, secrets: dict[str, str], now: datetime, *, unsigned: Collection[str] = (), rpm: int = WEBHOOK_RPM) -> DataFrame:
+    """``requests`` (source_id, source_type, headers, body, signature, stamp, at) with delivery_id and status, the first that
+    holds: rate_limited (over ``rpm`` a minute for the source), unauthorized, late, replayed or accepted. Only rows that are
+    authorized and in time count as deliveries."""
+    # A bucket of its source decides on each request; only what it needs goes to Python.
+    numbered = requests.withColumn("__n", F.struct("at", F.xxhash64("body", "signature", "stamp", F.map_entries("headers"))))
+    order = Window.partitionBy("source_id").orderBy("__n")
+    numbered = numbered.withColumn("__k", F.row_number().over(order)).drop("__n")
+    judged = token_bucket(numbered.select(F.coalesce("source_id", F.lit("")).alias("key"), F.col("source_id").isNull().alias("__none"), "at", "__k"), rpm=rpm)
+    judged = judged.select(F.when(~F.col("__none"), F.col("key")).alias("__s"), F.col("__k").alias("__j"), "allowed")
+    r = numbered.join(judged, F.col("source_id").eqNullSafe(F.col("__s")) & (F.col("__k") == F.col("__j"))).drop("__s", "__j", "__k")
+    r = r.withColumn("delivery_id", delivery_id(F.col("headers")))
+    ok = verified(F.col("source_type"), F.col("body"), F.col("signature"), F.col("stamp"), secrets, now, unsigned)
     late = is_late(payload_time(F.col("body")), F.unix_micros("at") / 1e6)
-    r = r.withColumn("__state", F.when(~ok, "unauthorized").when(late, "late").otherwise("accepted"))
+    r = r.withColumn("__state", F.when(~F.col("allowed"), "rate_limited").when(~ok, "unauthorized").when(late, "late").otherwise("accepted")).drop("allowed")
     key = F.when((F.col("__state") == "accepted") & F.col("delivery_id").isNotNull(), F.col("delivery_id")).otherwise(F.concat(F.lit("\0"), F.uuid()))
     marked = mark_replays(r.withColumn("__key", key), id="__key")
     status = F.when((F.col("__state") == "accepted") & F.col("duplicate"), "replayed").otherwise(F.col("__state"))
     return marked.withColumn("status", status).drop("__state", "__key", "duplicate")
 
 
-def webhook_events(requests: DataFrame, secrets: dict[str, str], now: datetime) -> DataFrame:
+def webhook_events(requests: DataFrame, secrets: dict[str, str], now: datetime, *, unsigned: Collection[str] = (), rpm: int = WEBHOOK_RPM) -> DataFrame:
     """Change events of the accepted requests: files of push payloads, ordered by their time."""
-    taken = webhook_status(requests, secrets, now).where("status = 'accepted'")
+    taken = webhook_status(requests, secrets, now, unsigned=unsigned, rpm=rpm).where("status = 'accepted'")
     refs = push_refs(taken.select("source_id", "source_type", F.unix_micros("at").alias("seq"), "body"))
     return refs.select("source_id", "source_type", "external_id", F.col("path").alias("uri"), "action", "seq", F.lit(1).cast("long").alias("attempt"))
 
