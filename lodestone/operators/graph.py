@@ -142,11 +142,12 @@ def _linkable(entities: DataFrame) -> DataFrame:
 
 
 def signatures(entities: DataFrame, common: Mapping[str, int]) -> DataFrame:
-    """A row for each ``sig`` of an entity, with what deciding a link takes: two entities that link share one at least.
+    """A row for each ``sig`` of an entity, with what deciding a link takes: of two entities that link, one ``sig`` at least is
+    one of what the other ``meets``, and the other way round.
 
     Equal names share the hash of the name. For a score of THRESHOLD two names of ``mine`` and ``other`` tokens share ``need``
     of them at least, so that their first ``mine - need + 1`` and ``other - need + 1`` tokens, in one common order, have one in
-    common: that token and both sizes are a signature. ``common`` tokens come last in the order. Links don't depend on them,
+    common: that token with ``mine`` and ``other`` is a signature, which meets the token with ``other`` and ``mine``. ``common`` tokens come last in the order. Links don't depend on them,
     so those of an older state of the entities will do; the order has to be one for all rows that meet.
     """
     e = _linkable(entities)
@@ -154,10 +155,12 @@ def signatures(entities: DataFrame, common: Mapping[str, int]) -> DataFrame:
     order = F.sort_array(F.transform("tokens", lambda t: F.struct(F.coalesce(F.try_element_at(weights, t), F.lit(0)).cast("long").alias("df"), t.alias("t"))))
     mine, ratio = F.size("tokens"), THRESHOLD / (2 - THRESHOLD)
     sizes = F.sequence(F.greatest(F.lit(1), F.ceil(mine * ratio - 1e-9).cast("int")), F.greatest(F.lit(1), F.floor(mine / ratio + 1e-9).cast("int")))
-    prefix = lambda other: F.transform(F.slice("o", F.lit(1), F.greatest(F.lit(0), mine - F.ceil(THRESHOLD / 2 * (mine + other) - 1e-9).cast("int") + 1)), lambda x: F.xxhash64(x["t"], F.least(mine, other), F.greatest(mine, other)))
-    names = F.array_compact(F.array(F.when(F.col("n") != "", F.xxhash64(F.lit("n"), "n")), F.when(F.col("d") != "", F.xxhash64(F.lit("d"), "d"))))
-    tokens = F.when(F.col("fuzzy") & (mine > 0), F.flatten(F.transform(sizes, prefix))).otherwise(F.array().cast("array<bigint>"))
-    return e.withColumn("o", order).withColumn("sig", F.explode(F.array_distinct(F.concat(names, tokens)))).drop("o", "fuzzy")
+    prefix = lambda other: F.transform(F.slice("o", F.lit(1), F.greatest(F.lit(0), mine - F.ceil(THRESHOLD / 2 * (mine + other) - 1e-9).cast("int") + 1)), lambda x: F.struct(F.xxhash64(x["t"], mine, other).alias("sig"), F.xxhash64(x["t"], other, mine).alias("meets")))
+    whole = lambda h: F.struct(h.alias("sig"), h.alias("meets"))
+    names = F.array_compact(F.array(F.when(F.col("n") != "", whole(F.xxhash64(F.lit("n"), "n"))), F.when(F.col("d") != "", whole(F.xxhash64(F.lit("d"), "d")))))
+    tokens = F.when(F.col("fuzzy") & (mine > 0), F.flatten(F.transform(sizes, prefix))).otherwise(F.array().cast("array<struct<sig:bigint,meets:bigint>>"))
+    each = e.withColumn("o", order).withColumn("s", F.explode(F.array_distinct(F.concat(names, tokens))))
+    return each.select("id", "source_id", "entity_type", "n", "d", "service", "tokens", "s.sig", "s.meets")
 
 
 _LINK = ["id", "source_id", "entity_type", "n", "d", "service", "tokens"]
@@ -165,7 +168,7 @@ _LINK = ["id", "source_id", "entity_type", "n", "d", "service", "tokens"]
 
 def _met(left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
     """Links between two sets of signatures, each pair once, from the smaller source id and by its first strategy."""
-    j = left.alias("a").join(right.alias("b"), (F.col("a.sig") == F.col("b.sig")) & apart)
+    j = left.alias("a").join(right.alias("b"), (F.col("a.sig") == F.col("b.meets")) & apart)
     low = F.col("a.source_id") < F.col("b.source_id")
     both = [F.struct(*[F.col(f"{x}.{c}").alias(c) for c in _LINK]) for x in "ab"]
     pair = j.select(F.when(low, both[0]).otherwise(both[1]).alias("x"), F.when(low, both[1]).otherwise(both[0]).alias("y")).dropDuplicates(["x", "y"])
@@ -200,11 +203,11 @@ def link_delta(index: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def link_stored(index: BucketTable, gone: DataFrame, new: DataFrame) -> DataFrame:
-    """:func:`link_delta` against signatures in buckets of ``sig`` (key: sig and id), which are brought up to date: those of
+    """:func:`link_delta` against signatures in buckets of ``meets`` (key: meets and id), which are brought up to date: those of
     ``gone`` (the signatures that replaced or removed entities had) go, ``new`` ones come. Only buckets of the delta are read
     and written. The links are stored before the index changes."""
     keys = gone.select(*index.key)
-    left = index.near(new).join(keys, list(index.key), "left_anti")
+    left = index.near(new.select(F.col("sig").alias("meets"))).join(keys, list(index.key), "left_anti")
     links = written(link_delta(left, new))
     index.replace(keys, new)
     return links

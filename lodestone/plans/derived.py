@@ -636,7 +636,7 @@ def links_in_buckets(spark, sf_dir):
     common = graph.common_tokens(every.where("s_suppkey % 3 = 0"))
     signed = lambda where: graph.signatures(every.where(where), common)
     first = signed("s_suppkey % 3 = 0")
-    index = BucketTable(spark, scratch(spark, "signatures"), ["sig", "id"], by=["sig"], buckets=64).create(first)
+    index = BucketTable(spark, scratch(spark, "signatures"), ["meets", "id"], by=["meets"], buckets=64).create(first)
     links = graph.link_delta(first.limit(0), first)
     left = k8s.where("s_suppkey % 4 = 0").select("id")
     gone = signed("source_id = 'b' and s_suppkey % 4 = 0")

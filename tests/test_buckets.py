@@ -56,7 +56,7 @@ def test_links_from_a_stored_index(spark, tmp_path):
     rows = [(f"{s}{k}", s, kinds[s == "b"], f"{n} {k % 3}", f"{n} {k % 3}") for s in "abc" for k, n in enumerate(names * 3)]
     every = spark.createDataFrame(rows, "id string, source_id string, entity_type string, name string, display_name string")
     signed = graph.signatures(every, {})
-    index = BucketTable(spark, str(tmp_path / "i"), ["sig", "id"], by=["sig"]).create(signed.where("source_id = 'a'"))
+    index = BucketTable(spark, str(tmp_path / "i"), ["meets", "id"], by=["meets"]).create(signed.where("source_id = 'a'"))
     pair = lambda df: {(r.source_entity_id, r.target_entity_id, r.strategy, round(r.score, 6)) for r in df.collect()}
     found = set()
     for source in "bc":

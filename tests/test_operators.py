@@ -96,10 +96,8 @@ def test_a_word_in_every_name_brings_no_pairs_together(spark):
         names = [(f"t{i}", "tf", "terraform_resource", f"prod_api_{i}a") for i in range(n)] + [(f"k{i}", "k8s", "k8s_resource", f"prod_web_{i}b") for i in range(n)]
         e = spark.createDataFrame([(*x, x[0]) for x in names], "id string, source_id string, entity_type string, name string, display_name string")
         assert graph.link_sources(e).count() == 0
-        from lodestone.functions.entities import name_tokens, normalize_name
-
-        p = graph._prefixes(e.withColumn("tokens", name_tokens(normalize_name(e.name)))).persist()
-        return p.alias("a").join(p.alias("b"), "token").where("a.source_id < b.source_id and a.mine = b.other and a.other = b.mine").count(), p.count()
+        p = graph.signatures(e, graph.common_tokens(e)).persist()
+        return p.alias("a").join(p.withColumn("sig", p.meets).alias("b"), "sig").where("a.source_id < b.source_id").count(), p.count()
 
     assert [c for c, _ in map(candidates, (30, 60))] == [0, 0] and candidates(60)[1] == 2 * candidates(30)[1]
 
