@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import components, free, stored, with_component
+from lodestone.llm._common import components, free, small_batches, stored, with_component
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -50,7 +50,7 @@ LEADS = 2
 #: Sets of a block, and bytes of their shingles, about.
 BLOCK, BLOCK_BYTES = 256, 1 << 21
 #: Shingles that are hashed at once, words whose hashes a task keeps, and columns of an incidence matrix.
-STRETCH, KNOWN, COLUMNS = 200_000, 1_000_000, 4096
+STRETCH, KNOWN, COLUMNS = 100_000, 200_000, 4096
 
 _SET_SQL = "doc_id long, mark long, fp long, size long, keys array<long>, sketch binary"
 _PAIR_SQL = "a long, b long"
@@ -375,13 +375,14 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, similarity: floa
     if not 0 < similarity <= 1 or shingle < 1:
         raise ValueError("similarity must be above 0 and at most 1, shingle at least 1")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    rows = stored(texts.mapInArrow(_sets(shingle, similarity), _SET_SQL), "rows")
-    some = rows.where("size > 0")
-    # One row for each set, with the document that it is taken from: partial sums go before the shuffle, so copies do too.
-    once = stored(some.groupBy("fp").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "mark")).alias("at")).select("fp", "size", "keys", "sketch", "at.doc_id", "at.mark"), "once")
-    roots = link(once, texts, shingle=shingle, similarity=similarity, crowd=crowd)
-    thin = stored(rows.select("doc_id", "fp", "size"), "thin")
-    free(rows, once)
+    with small_batches(docs.sparkSession):
+        rows = stored(texts.mapInArrow(_sets(shingle, similarity), _SET_SQL), "rows")
+        some = rows.where("size > 0")
+        # One row for each set, with the document that it is taken from: partial sums go before the shuffle, so copies do too.
+        once = stored(some.groupBy("fp").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "mark")).alias("at")).select("fp", "size", "keys", "sketch", "at.doc_id", "at.mark"), "once")
+        roots = link(once, texts, shingle=shingle, similarity=similarity, crowd=crowd)
+        thin = stored(rows.select("doc_id", "fp", "size"), "thin")
+        free(rows, once)
     linked = with_component(thin.where("size > 0"), roots)
     out = linked.select("doc_id", F.col("size").alias("n_shingles"), "component_id")
     return out.unionByName(thin.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))

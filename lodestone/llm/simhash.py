@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import minhash
-from lodestone.llm._common import components, stored, with_component
+from lodestone.llm._common import components, small_batches, stored, with_component
 
 SHINGLE = 3
 BITS = 3
 #: Up to so many fingerprints of a key are compared with each other.
 CROWD = 64
 #: Words of which shingles are hashed at once.
-STRETCH = 200_000
+STRETCH = 50_000
 
 
 def _fingerprints(shingle: int, names: list[str]):
@@ -202,8 +202,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int | None = None, bits: int =
     if similarity is not None:
         return minhash.near_duplicates(docs, shingle=shingle or minhash.SHINGLE, similarity=similarity)
     rows = fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle=shingle or SHINGLE, keep=["doc_id"])
-    rows = stored(rows, "rows")
-    return with_component(rows, stored(link(rows, bits=bits), "roots"))
+    with small_batches(docs.sparkSession):
+        rows = stored(rows, "rows")
+        roots = stored(link(rows, bits=bits), "roots")
+    return with_component(rows, roots)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
