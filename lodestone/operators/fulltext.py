@@ -199,7 +199,17 @@ class Texts:
         return found.where((F.size(F.array_distinct("hits.l")) == len(lexemes)) & F.lit(bool(lexemes)))
 
 
-Index = DataFrame | Postings | WrittenIndex | Texts
+class Ranked:
+    """An index that finds the best matches of a query by itself."""
+
+    stem: bool
+
+    def top(self, query: str, limit: int) -> DataFrame:
+        """(chunk_id, score) of the ``limit`` best matches, ties by chunk_id."""
+        raise NotImplementedError
+
+
+Index = DataFrame | Postings | WrittenIndex | Texts | Ranked
 
 
 def match(index: Index, lexemes: list[str], *, stem: bool = False) -> DataFrame:
@@ -243,7 +253,7 @@ def cover_density(hits: Column, n_lexemes: int | Column) -> Column:
 
 def stemmed(index: Index, stem: bool | None, default: bool = False) -> bool:
     """Whether queries of ``index`` are stemmed: as it was made, if it knows, else as asked for."""
-    known = getattr(index, "stem", None) if isinstance(index, Postings | WrittenIndex) else None
+    known = getattr(index, "stem", None) if isinstance(index, Postings | WrittenIndex | Ranked) else None
     if known is not None and stem is not None and known != stem:
         raise ConfigError("queries must be stemmed exactly if the index is", index=known, query=stem)
     return known if known is not None else default if stem is None else stem
@@ -253,6 +263,8 @@ def search(index: Index, query: str, limit: int, *, stem: bool | None = None) ->
     """(chunk_id, score): the ``limit`` best matches of all the query's lexemes, ties by chunk_id. An index that knows whether
     it has stems decides that, and refuses to be asked otherwise."""
     stem = stemmed(index, stem)
+    if isinstance(index, Ranked):
+        return index.top(query, limit)
     lexemes = query_lexemes(query, stem=stem)
     scored = match(index, lexemes, stem=stem).select("chunk_id", cover_density(F.col("hits"), max(1, len(lexemes))).alias("score"))
     return scored.orderBy(F.desc("score"), "chunk_id").limit(limit)

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from lodestone import parsers
 from lodestone.functions import convert, text
-from lodestone.operators import batch, filters, fulltext, fusion, graph, ingest, search, stats, vector, writer
+from lodestone.operators import batch, filters, fulltext, fusion, graph, impact, ingest, search, stats, terms, vector, writer
 from lodestone.operators.buckets import BucketTable
 from lodestone.plans import corpus
 from lodestone.plans.corpus import NOW, table
-from lodestone.plans.queries import _NN, _RUNS, _STOP, _TK, CHUNKS, DOCS, ENTITIES, EVENTS, SOURCES, SQL, TOKENS, UNIT, VEC, _top, query
+from lodestone.plans.queries import _NN, _RUNS, _STOP, _TK, CHUNKS, DOCS, ENTITIES, EVENTS, FILTERED, SOURCES, SQL, TOKENS, UNIT, VEC, _engine, _flat, _top, query
 from lodestone.plans.recorded import Recorded
 from lodestone.session import scratch, written
 
@@ -645,3 +645,61 @@ def links_in_buckets(spark, sf_dir):
     graph.link_stored(index, gone, first.limit(0))
     links = writer.cascade(writer.cascade(links, left, "source_entity_id"), left, "target_entity_id")
     return links.select("source_entity_id", "target_entity_id", F.round("score", 9).alias("score"), "strategy")
+
+
+# --- searches over written indexes ---------------------------------------------------------------------------------------
+
+_ASKED = ["inon", "inon tiea", "inon tiea erre"]
+_ASKED_SQL = f"rq as (select * from (values {', '.join(f'({i}, {q!r})' for i, q in enumerate(_ASKED, 1))}) as v(request_id, q)),\n" + _MANY.split("\n", 1)[1]
+
+
+@query(f"with {CHUNKS}, {TOKENS}, {_ASKED_SQL} select cast(request_id as int) as request_id, chunk_id, round(score, 9) as score from sc qualify row_number() over (partition by request_id order by score desc, chunk_id) <= 20")
+def keyword_search_impact(spark, sf_dir):
+    """The best 20 chunks for one, two and three words over postings by impact, in two segments: the second replaces chunks whose
+    texts were longer in the first."""
+    texts = written(corpus.chunk_texts(spark, sf_dir).withColumn("new", F.pmod(F.xxhash64("id"), F.lit(10)) == 0))
+    index = impact.ImpactIndex(spark, scratch(spark, "impact"))
+    older = texts.withColumn("text", F.when(F.col("new"), F.concat(F.lit("inon tiea erre inon "), "text")).otherwise(F.col("text")))
+    index.add(fulltext.postings(older, id="id"))
+    changed = texts.where("new")
+    index.add(fulltext.postings(changed, id="id"), gone=changed.select(F.col("id").alias("chunk_id")))
+    found = [index.top(q, 20).select(F.lit(i).alias("request_id"), "chunk_id", F.round("score", 9).alias("score")) for i, q in enumerate(_ASKED, 1)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query(SQL["hybrid_search_filtered"])
+def hybrid_search_indexed(spark, sf_dir):
+    """The filtered hybrid search, its words from postings by impact instead of the texts."""
+    engine = _engine(spark, sf_dir)
+    engine.index = impact.ImpactIndex(spark, scratch(spark, "impact"))
+    engine.index.add(fulltext.postings(corpus.chunk_texts(spark, sf_dir), id="id"))
+    return _flat(engine.search(FILTERED).hits)
+
+
+@query(f"with {ENTITIES}, term as (select distinct right(c_name, 4) as t from customer union select n_name from nation union select 'er#0_0' union select 'A') select t as term, id from term join ent on lower(name) like '%' || lower(t) || '%'")
+def seeds_many(spark, sf_dir):
+    """Entities by substrings of their names: four digits of every customer, every nation, a wildcard and a single letter."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    wanted = c.select(F.right("c_name", F.lit(4)).alias("term")).unionByName(n.select(F.col("n_name").alias("term"))).unionByName(spark.createDataFrame([("er#0_0",), ("A",)], "term string"))
+    return terms.SubstringIndex.write(corpus.entities(spark, sf_dir), scratch(spark, "trigrams")).match_many(wanted)
+
+
+_PROPS = """concat('{"k": ', user_id % 9, ', "at": {"kind": "', event_type, '", "marks": [', event_id % 5, ', ', event_id % 7, ']}, "parts": [{"a": ', event_id % 3, ', "b": "x', event_id % 4, '"}, {"a": ', event_id % 2, ', "b": "y"}]}')"""
+
+
+@query("""select 1 as question, event_id from events where user_id % 9 = 4 and event_type = 'error'
+union all select 2, event_id from events where (event_id % 5 = 3 or event_id % 7 = 3) and (event_id % 5 = 2 or event_id % 7 = 2)
+union all select 3, event_id from events where event_id % 3 = 1 and event_id % 4 = 2
+union all select 4, event_id from events where event_id % 2 = 1
+union all select 5, event_id from events where user_id % 9 = 4 and json_extract_string(props, '$.none') is not null""")
+def json_paths(spark, sf_dir):
+    """Events by what their properties contain: objects in objects, elements of arrays, objects in arrays (whose members must be
+    in one element), and a value that none has."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.expr(_PROPS).alias("props"))
+    index = terms.PathIndex.write(rows, "props", scratch(spark, "paths"))
+    wants = [{"k": 4, "at": {"kind": "error"}}, {"at": {"marks": [3, 2]}}, {"parts": [{"a": 1, "b": "x2"}]}, {"parts": [{"a": 1, "b": "y"}]}, {"k": 4, "at": {"kind": "none"}}]
+    found = [index.containing(w).select(F.lit(i).alias("question"), F.col("id").alias("event_id")) for i, w in enumerate(wants, 1)]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out

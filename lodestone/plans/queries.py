@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 #: A fixed question of the registered searches: two frequent words, and a vector with one coordinate set.
 QUESTION, UNIT = "inon tiea", [1.0] + [0.0] * 63
+FILTERED = search.SearchRequest(QUESTION, top_k=20, types=["git", "fs"], max_age_seconds=604000, filters={"lang": "en"}, include_tombstoned=True)
 
 
 def query(sql: str | None = None):
@@ -174,8 +175,7 @@ def hybrid_search(spark, sf_dir):
 
 @query(f"with {CHUNKS}, {DOCS}, {SOURCES}, {TOKENS}, {MATCH}, {VEC}, {RRF} select {_FLAT} from rrf x {_ENRICH} where s.type in ('git', 'fs') and d.indexed_at >= timestamp '2024-01-08' - to_seconds(604000) and d.lang = 'en' order by x.score desc, x.chunk_id limit 20")
 def hybrid_search_filtered(spark, sf_dir):
-    request = search.SearchRequest(QUESTION, top_k=20, types=["git", "fs"], max_age_seconds=604000, filters={"lang": "en"}, include_tombstoned=True)
-    return _flat(_engine(spark, sf_dir).search(request).hits)
+    return _flat(_engine(spark, sf_dir).search(FILTERED).hits)
 
 
 @query(f"with {CHUNKS}, {TOKENS}, {MATCH}, {VEC}, tv as {_top('vec', 40)}, tt as {_top('txt', 40)} select (select count(*) from (select chunk_id from tv union select chunk_id from tt)) as total_matches_before_filters, (select count(*) from tv) as vector_matches, (select count(*) from tt) as text_matches")
