@@ -6,7 +6,10 @@ sorted by lexeme and falling impact, so that a least impact prunes folders by th
 No chunk scores more than 0.1 * k times its least impact over the k lexemes of a query: two covers that start with the same
 lexeme share no hit, so a hit of the rarest lexeme lies in at most k covers, each of 0.1 or less (one lexeme: exactly 0.1 a hit).
 A search ranks the highest tiers that could hold enough matches; their last score gives the least impact that can matter, and a
-second read has all postings from there on. Nothing is approximated: the result is that of a full scan.
+second read has all postings from there on. Of these, queries of two words or more first combine thin columns: a posting's zones
+(a bit for every 8 positions) give the least span of a cover and so a bound of the score. Positions are joined, shuffled and
+scored only for chunks whose bound reaches the last score of the likeliest ones; they are read wherever a row group has any.
+Nothing is approximated: the result is that of a full scan.
 
 Changes are segments: an update writes its postings and the ids that they replace, and is visible once its commit is there.
 ``merge`` makes one segment of all.
@@ -22,21 +25,34 @@ from pyspark.sql import functions as F
 
 from lodestone.errors import Conflict, InvalidRequest
 from lodestone.operators import fulltext
+from lodestone.session import written
 
 BUCKETS = 16
 #: The highest tier: impacts of 2 ** TOP_TIER and more.
 TOP_TIER = 10
-_POSTINGS = "chunk_id string, lexeme string, positions array<int>, n int, segment int, tier int, bucket int"
+#: Positions of a zone; a posting's zones are bits of a long, position by position and, in longer texts, round again.
+ZONE = 8
+_ZONES = f"aggregate(positions, 0L, (s, p) -> s | shiftleft(1L, cast(p div {ZONE} % 64 as int)))"
+#: Windows that are tried reach this many zones beyond their first: each is two of the one before.
+_REACH = [0, 1, 3, 7, 15, 31]
+_POSTINGS = "chunk_id string, lexeme string, positions array<int>, n int, zones long, segment int, tier int, bucket int"
 
 
 @dataclass(frozen=True)
-class Read:
-    """What a search read: all postings of its lexemes, and those in the tiers that were read."""
+class Found:
+    """A search's ``hits`` (chunk_id, score); the chunks whose positions were joined (chunk_id, bound; None: all that were read);
+    how many postings its lexemes have, and how many lie in the tiers that were read. Retired chunks are counted."""
 
+    hits: DataFrame
+    among: DataFrame | None
     postings: int
     read: int
 
 
+def _tier_of(n: int) -> int:
+    return min(TOP_TIER, int(math.log2(n)))
+
+
 def _tier(n: Column) -> Column:
     return F.least(F.floor(F.log2(n)), F.lit(TOP_TIER)).cast("int")
 
@@ -65,7 +81,7 @@ class ImpactIndex(fulltext.Ranked):
         return [s for s, _ in found if s >= found[-1][1]] if found else []
 
     def _write(self, segment: int, postings: DataFrame, gone: DataFrame | None, first: int) -> None:
-        rows = postings.select("chunk_id", "lexeme", "positions", F.size("positions").alias("n")).where("n > 0")
+        rows = postings.select("chunk_id", "lexeme", "positions", F.size("positions").alias("n"), F.expr(_ZONES).alias("zones")).where("n > 0")
         rows = rows.withColumn("tier", _tier(F.col("n"))).withColumn("bucket", F.pmod(F.xxhash64("lexeme"), F.lit(self.buckets)).cast("int"))
         # A frequent lexeme's rows go to several tasks and files.
         dealt = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("chunk_id"), F.lit(4)))
@@ -123,7 +139,7 @@ class ImpactIndex(fulltext.Ranked):
             return self.spark.createDataFrame([], _POSTINGS)
         paths = [f"{self.path}/postings/segment={s}" for s in used]
         rows = self.spark.read.schema(_POSTINGS).option("basePath", f"{self.path}/postings").parquet(*paths)
-        rows = rows.where((F.col("tier") >= min(TOP_TIER, int(math.log2(least)))) & (F.col("n") >= least))
+        rows = rows.where((F.col("tier") >= _tier_of(least)) & (F.col("n") >= least))
         if lexemes is not None:
             rows = rows.where(self._of(lexemes))
         retired = [f"{self.path}/gone/segment={s}" for s in used if (at := self._fs(f"{self.path}/gone/segment={s}"))[1].exists(at[0])]
@@ -148,32 +164,49 @@ class ImpactIndex(fulltext.Ranked):
                 found[r["lexeme"]][r["tier"]] = r["n"]
         return found
 
-    def _ranked(self, lexemes: list[str], least: int, limit: int) -> DataFrame:
-        hits = fulltext.match(fulltext.Postings(self.live(lexemes, least), self.stem), lexemes)
+    def _ranked(self, lexemes: list[str], least: int, limit: int, among: DataFrame | None = None) -> DataFrame:
+        rows = self.live(lexemes, least)
+        rows = rows if among is None else rows.join(among.select("chunk_id"), "chunk_id", "left_semi")
+        hits = fulltext.match(fulltext.Postings(rows, self.stem), lexemes)
         scored = hits.select("chunk_id", fulltext.cover_density(F.col("hits"), len(lexemes)).alias("score"))
         return scored.orderBy(F.desc("score"), "chunk_id").limit(limit)
 
-    def least(self, query: str, limit: int) -> tuple[list[str], int, Read]:
-        """The query's lexemes, the least impact that one of its ``limit`` best matches can have, and what that reads."""
+    def _bounds(self, lexemes: list[str], least: int) -> DataFrame:
+        """(chunk_id, bound) of chunks with all ``lexemes``: no score is above its bound. Zones and impacts alone are combined."""
+        rows, k = self.live(lexemes, least).select("chunk_id", "n", F.col("zones").alias("w0")), len(lexemes)
+        for i in range(len(_REACH) - 1):  # bit z: a hit in one of the zones z .. z + reach
+            rows = rows.withColumn(f"w{i + 1}", F.col(f"w{i}").bitwiseOR(F.shiftrightunsigned(f"w{i}", 2**i)).bitwiseOR(F.shiftleft(f"w{i}", 64 - 2**i)))
+        met = rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), F.sum("n").alias("hits"), *[F.bit_and(f"w{i}").alias(f"w{i}") for i in range(len(_REACH))]).where(F.col("c") == k)
+        # No window of reach + 1 zones has all lexemes: every cover spans more than reach * ZONE.
+        span = F.greatest(F.lit(k - 1), *[F.when(F.col(f"w{i}") == 0, F.lit(r * ZONE + 1)).otherwise(F.lit(1)) for i, r in enumerate(_REACH)])
+        inside = F.lit(1) if k == 2 else F.col("hits") - 1  # hits of a cover after its first, at most
+        return met.select("chunk_id", (0.1 * k * F.col("least") / (1 + F.greatest(F.lit(0), span - inside))).alias("bound"))
+
+    def find(self, query: str, limit: int) -> Found:
+        """The best matches, with what was read for them."""
         lexemes = fulltext.query_lexemes(query, stem=self.stem)
         counts = self.counts(lexemes)
         total = sum(n for by in counts.values() for n in by.values())
         above = lambda x, t: sum(n for tier, n in counts[x].items() if tier >= t)
         if not lexemes or not all(counts.values()) or limit < 1:
-            return lexemes, 1, Read(total, 0)
+            return Found(self.spark.createDataFrame([], "chunk_id string, score double"), None, total, 0)
         first = next((t for t in range(TOP_TIER, 0, -1) if all(above(x, t) >= limit for x in lexemes)), 0)
-        need = 1
+        need, last = 1, 0.0
         if first:
             scores = [r["score"] for r in self._ranked(lexemes, 2**first, limit).collect()]
             if len(scores) == limit:
-                each = 0.1 * (len(lexemes) if len(lexemes) > 1 else 1)
-                need = max(1, math.ceil(scores[-1] / each - 1e-6))  # equal scores are read too: ids decide between them
-        tiers = min(first, min(TOP_TIER, int(math.log2(need))))
-        return lexemes, need, Read(total, sum(above(x, tiers) for x in lexemes))
+                last = scores[-1]
+                need = max(1, math.ceil(last / (0.1 * (len(lexemes) if len(lexemes) > 1 else 1)) - 1e-6))  # equal scores are read too: ids decide between them
+        read = sum(above(x, min(first, _tier_of(need))) for x in lexemes)
+        if len(lexemes) == 1:
+            return Found(self._ranked(lexemes, need, limit), None, total, read)
+        bounds = written(self._bounds(lexemes, need))
+        likely = bounds.orderBy(F.desc("bound"), "chunk_id").limit(limit)
+        scores = [r["score"] for r in self._ranked(lexemes, need, limit, likely).collect()]
+        last = max(last, scores[-1] if len(scores) == limit else 0.0)
+        among = bounds.where(F.col("bound") >= last - 1e-9)
+        return Found(self._ranked(lexemes, need, limit, among), among, total, read)
 
     def top(self, query: str, limit: int) -> DataFrame:
         """(chunk_id, score): what :func:`fulltext.search` gives over the live postings."""
-        lexemes, need, _ = self.least(query, limit)
-        if not lexemes:
-            return self.spark.createDataFrame([], "chunk_id string, score double")
-        return self._ranked(lexemes, need, limit)
+        return self.find(query, limit).hits

@@ -78,27 +78,13 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(3))))
 
 
-def _pieces(term: str) -> list[str]:
+def _pieces(term: Column) -> Column:
     """The literal stretches of a LIKE term: ``%`` and ``_`` part them, a backslash makes the next character literal."""
-    out, now, at = [], "", 0
-    while at < len(term):
-        c = term[at]
-        if c == "\\" and at + 1 < len(term):
-            at += 1
-            now += term[at]
-        elif c in "%_":
-            out, now = [*out, now], ""
-        else:
-            now += c
-        at += 1
-    return [x for x in [*out, now] if x]
+    return F.transform(F.regexp_extract_all(term, F.lit(r"((?:\\.|[^%_\\])+)"), F.lit(1)), lambda p: F.regexp_replace(p, r"\\(.)", "$1"))
 
 
-_pieces_of = F.udf(_pieces, "array<string>")  # of queries, not of rows
-
-
-def _grams(pieces: Column) -> Column:
-    return F.flatten(F.transform(pieces, trigrams))
+def _grams(term: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(_pieces(F.lower(term)), trigrams)))
 
 
 class SubstringIndex:
@@ -116,10 +102,7 @@ class SubstringIndex:
 
     def candidates(self, term: str) -> DataFrame | None:
         """(id) of what may match, or None if the term has no trigrams."""
-        spark = self.entities.sparkSession
-        if not (pieces := _pieces(term)):
-            return None
-        found = spark.range(1).select(F.explode(_grams(F.array(*[F.lower(F.lit(p)) for p in pieces]))).alias("g")).select(F.xxhash64("g")).collect()
+        found = self.entities.sparkSession.range(1).select(F.explode(_grams(F.lit(term))).alias("g")).select(F.xxhash64("g")).collect()
         return self.index.having([r[0] for r in found]) if found else None
 
     def seeds(self, term: str, limit: int = 10) -> DataFrame:
@@ -131,7 +114,7 @@ class SubstringIndex:
 
     def match_many(self, terms: DataFrame) -> DataFrame:
         """(term, id) of all matches of distinct ``terms`` (term). Those without trigrams, at most MAX_SCANNED, meet every row."""
-        terms = terms.where("term is not null").select("term").distinct().withColumn("g", _grams(_pieces_of(F.lower("term"))))
+        terms = terms.where("term is not null").select("term").distinct().withColumn("g", _grams(F.col("term")))
         terms = written(terms)
         short = [r["term"] for r in terms.where(F.size("g") == 0).select("term").limit(MAX_SCANNED + 1).collect()]
         if len(short) > MAX_SCANNED:
