@@ -167,7 +167,7 @@ def with_component(rows: DataFrame, roots: DataFrame) -> DataFrame:
     Sums are stored before they are joined back, as in ``components``: a large component or a common ``fp`` is split by AQE.
     """
     first = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "first")
-    known = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    known = first.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     known = stored(known, "known")
     least = stored(known.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     named = stored(known.join(least.hint("merge"), "root").select("fp", "component_id"), "named")

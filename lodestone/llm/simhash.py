@@ -158,7 +158,7 @@ def _crowd_links(crowd: DataFrame) -> DataFrame:
     most = largest[0]["root"] if largest else None
     outside = crowd.join(roots.where(F.col("root") == F.lit(most).cast("long")).select(F.col("node").alias("fp")).hint("merge"), "fp", "left_anti")
     two = outside.mapInArrow(_visits(2), points)
-    far = two.join(low, "point").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+    far = two.join(low.hint("merge"), "point").select(F.col("fp").alias("a"), F.col("low").alias("b"))
     return links.unionByName(far.where("a <> b").distinct())
 
 
@@ -178,13 +178,14 @@ def link(fps: DataFrame, *, bits: int = BITS, crowd: int = CROWD, blocks: int |
     keys = distinct.withColumn("k", F.explode(masks)).select("fp", F.col("k.i").alias("i"), F.col("fp").bitwiseAND(F.col("k.m")).alias("key"))
     # Counted first: only keys that two or more share go on, and no list is longer than the crowd.
     held = stored(keys.groupBy("i", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
-    few = keys.join(held.where(F.col("n") <= crowd), ["i", "key"]).groupBy("i", "key").agg(F.collect_list("fp").alias("fps"))
+    # Merged, not broadcast: what the driver would have to hold grows with the input.
+    few = keys.join(held.where(F.col("n") <= crowd).hint("merge"), ["i", "key"]).groupBy("i", "key").agg(F.collect_list("fp").alias("fps"))
     links = few.select("fps").mapInArrow(_near(bits), "a long, b long").distinct()
     many = held.where(F.col("n") > crowd)
     if not many.isEmpty():
         if bits != 3:
             raise ValueError("crowded keys are linked at 3 bits")
-        links = links.unionByName(_crowd_links(stored(keys.join(many, ["i", "key"]).select("fp").distinct(), "crowd")))
+        links = links.unionByName(_crowd_links(stored(keys.join(many.hint("merge"), ["i", "key"]).select("fp").distinct(), "crowd")))
     return components(links)
 
 

@@ -169,3 +169,15 @@ def test_crowded_keys_lose_no_link(spark):
         for f, c in zip(signed, roots):
             groups.setdefault(c, []).append(f)
         assert got == {f: min(g) for g in groups.values() if len(g) > 1 for f in g}, crowd
+
+
+def test_linking_fingerprints_broadcasts_nothing(spark):
+    """Of small tables, which Spark would broadcast, too: what the driver holds doesn't grow with the input."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    family = [(i, " ".join(f"w{j}" for j in range(400)) + f" x{i}") for i in range(100)]
+    docs = spark.createDataFrame([*family, (200, "a b c d"), (201, "a b c d"), (202, None)], "doc_id long, text string")
+    assert simhash.near_duplicates(docs).count() == 103
+    runs = store.executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(before, runs.size())]
+    assert plans and not [p for p in plans if "BroadcastExchange" in p]
