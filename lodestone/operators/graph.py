@@ -134,11 +134,16 @@ def common_tokens(entities: DataFrame) -> dict[str, int]:
     return {r["token"]: r["df"] for r in listed.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") * 1000 > total).collect()}
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """``rows`` with its columns as values: what follows, functions of array elements above all, doesn't compute them again."""
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
+
+
 def _linkable(entities: DataFrame) -> DataFrame:
-    kind = F.col("entity_type")
-    n = normalize_name(F.col("name"))
+    kind, n = F.col("entity_type"), F.col("n")
     service = kind.isin(*KUBERNETES) & ((kind == "service") | F.lower(F.col("name")).contains("service"))
-    return entities.select("id", "source_id", "entity_type", n.alias("n"), normalize_name(F.col("display_name")).alias("d"), service.alias("service"), kind.isin(*TERRAFORM, *KUBERNETES, *DASHBOARDS).alias("fuzzy"), name_tokens(n).alias("tokens"))
+    named = _once(entities.select("id", "source_id", "entity_type", "name", normalize_name(F.col("name")).alias("n"), normalize_name(F.col("display_name")).alias("d")))
+    return _once(named.select("id", "source_id", "entity_type", "n", "d", service.alias("service"), kind.isin(*TERRAFORM, *KUBERNETES, *DASHBOARDS).alias("fuzzy"), name_tokens(n).alias("tokens")))
 
 
 def signatures(entities: DataFrame, common: Mapping[str, int]) -> DataFrame:
@@ -147,31 +152,39 @@ def signatures(entities: DataFrame, common: Mapping[str, int]) -> DataFrame:
 
     Equal names share the hash of the name. For a score of THRESHOLD two names of ``mine`` and ``other`` tokens share ``need``
     of them at least, so that their first ``mine - need + 1`` and ``other - need + 1`` tokens, in one common order, have one in
-    common: that token with ``mine`` and ``other`` is a signature, which meets the token with ``other`` and ``mine``. ``common`` tokens come last in the order. Links don't depend on them,
+    common: that token with ``mine`` and ``other`` and the entity's kind is a signature, which meets the token with ``other`` and
+    ``mine`` of the kind that it may link with. ``common`` tokens come last in the order. Links don't depend on them,
     so those of an older state of the entities will do; the order has to be one for all rows that meet.
     """
-    e = _linkable(entities)
+    e, kind = _linkable(entities), F.col("entity_type")
     weights = F.create_map(*[F.lit(x) for k, v in common.items() for x in (k, v)]) if common else F.create_map().cast("map<string,bigint>")
     order = F.sort_array(F.transform("tokens", lambda t: F.struct(F.coalesce(F.try_element_at(weights, t), F.lit(0)).cast("long").alias("df"), t.alias("t"))))
-    mine, ratio = F.size("tokens"), THRESHOLD / (2 - THRESHOLD)
+    mine, ratio = F.col("mine"), THRESHOLD / (2 - THRESHOLD)
     sizes = F.sequence(F.greatest(F.lit(1), F.ceil(mine * ratio - 1e-9).cast("int")), F.greatest(F.lit(1), F.floor(mine / ratio + 1e-9).cast("int")))
-    prefix = lambda other: F.transform(F.slice("o", F.lit(1), F.greatest(F.lit(0), mine - F.ceil(THRESHOLD / 2 * (mine + other) - 1e-9).cast("int") + 1)), lambda x: F.struct(F.xxhash64(x["t"], mine, other).alias("sig"), F.xxhash64(x["t"], other, mine).alias("meets")))
+    # Tokens count between two kinds of entities only: a kind's signature meets that of the kind it may link with.
+    sides = F.array_compact(F.array(*[F.when(is_one, F.struct(F.lit(one).alias("own"), F.lit(two).alias("other"))) for is_one, one, two in (
+        (kind.isin(*TERRAFORM), "tf", "k8s"), (kind.isin(*KUBERNETES), "k8s", "tf"), (F.col("service"), "service", "dashboard"), (kind.isin(*DASHBOARDS), "dashboard", "service"))]))
+    signed = lambda x, other: F.transform("sides", lambda s: F.struct(F.xxhash64(x["t"], mine, other, s["own"]).alias("sig"), F.xxhash64(x["t"], other, mine, s["other"]).alias("meets")))
+    prefix = lambda other: F.flatten(F.transform(F.slice("o", F.lit(1), F.greatest(F.lit(0), mine - F.ceil(THRESHOLD / 2 * (mine + other) - 1e-9).cast("int") + 1)), lambda x: signed(x, other)))
     whole = lambda h: F.struct(h.alias("sig"), h.alias("meets"))
     names = F.array_compact(F.array(F.when(F.col("n") != "", whole(F.xxhash64(F.lit("n"), "n"))), F.when(F.col("d") != "", whole(F.xxhash64(F.lit("d"), "d")))))
     tokens = F.when(F.col("fuzzy") & (mine > 0), F.flatten(F.transform(sizes, prefix))).otherwise(F.array().cast("array<struct<sig:bigint,meets:bigint>>"))
-    each = e.withColumn("o", order).withColumn("s", F.explode(F.array_distinct(F.concat(names, tokens))))
+    each = _once(e.withColumn("o", order).withColumn("mine", F.size("tokens")).withColumn("sides", sides)).withColumn("s", F.explode(F.array_distinct(F.concat(names, tokens))))
     return each.select("id", "source_id", "entity_type", "n", "d", "service", "tokens", "s.sig", "s.meets")
 
 
-_LINK = ["id", "source_id", "entity_type", "n", "d", "service", "tokens"]
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Links from ``left`` to entities of ``right`` with a greater source id, by their first strategy; once for each signature
+    that brings a pair together.
 
-
-def _met(left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
-    """Links between two sets of signatures, each pair once, from the smaller source id and by its first strategy."""
-    j = left.alias("a").join(right.alias("b"), (F.col("a.sig") == F.col("b.meets")) & apart)
-    low = F.col("a.source_id") < F.col("b.source_id")
-    both = [F.struct(*[F.col(f"{x}.{c}").alias(c) for c in _LINK]) for x in "ab"]
-    pair = j.select(F.when(low, both[0]).otherwise(both[1]).alias("x"), F.when(low, both[1]).otherwise(both[0]).alias("y")).dropDuplicates(["x", "y"])
+    A signature first learns which other sources meet it: the join then follows the source too, so that what one source
+    repeats is never compared with itself.
+    """
+    partners = right.select(F.col("meets").alias("sig"), F.col("source_id").alias("other")).distinct()
+    # A small row may have many partners: spread over all partitions, whatever the rows' bytes are.
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asks = left.join(partners, "sig").where("source_id < other").repartition(n, "sig", "other")
+    pair = asks.alias("x").join(right.repartition(n, "meets", "source_id").hint("merge").alias("y"), (F.col("x.sig") == F.col("y.meets")) & (F.col("x.other") == F.col("y.source_id")))
     kind = lambda side, kinds: F.col(f"{side}.entity_type").isin(*kinds)
     score = F.when(F.col("x.n") == F.col("y.n"), F.lit(1.0)).otherwise(dice(F.col("x.tokens"), F.col("y.tokens")))
     resource = (kind("x", TERRAFORM) & kind("y", KUBERNETES)) | (kind("x", KUBERNETES) & kind("y", TERRAFORM))
@@ -191,7 +204,7 @@ def link_sources(entities: DataFrame, existing: DataFrame | None = None) -> Data
     ``existing`` edges link either way stay out. Names without a canonical form match nothing.
     """
     rows = signatures(entities, common_tokens(entities))
-    links = _met(rows, rows, F.col("a.source_id") < F.col("b.source_id"))
+    links = _met(rows, rows).distinct()
     return links if existing is None else _unknown(links, existing)
 
 
@@ -199,7 +212,7 @@ def link_delta(index: DataFrame, new: DataFrame) -> DataFrame:
     """Links that entities with the signatures ``new`` have with those of ``index`` and with each other: what a full comparison
     would find besides the links within ``index``. Both sides' signatures are made with the same common tokens."""
     rows = index.select(*new.columns).unionByName(new)
-    return _met(new, rows, F.col("a.source_id") != F.col("b.source_id"))
+    return _met(new, rows).unionByName(_met(index.select(*new.columns), new)).distinct()
 
 
 def link_stored(index: BucketTable, gone: DataFrame, new: DataFrame) -> DataFrame:

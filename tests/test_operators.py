@@ -294,3 +294,21 @@ def test_an_index_and_its_queries_agree_on_stems(spark, tmp_path):
         with pytest.raises(ConfigError):
             fulltext.search(index, "runs", 5, stem=False)
         assert search.Engine(sources=None, documents=None, chunks=chunks, embed=None, index=index).stem
+
+
+def test_what_one_source_or_kind_repeats_is_not_compared_with_itself(spark):
+    """A word and a name that all entities of a source have, and a word that kinds without links between them have in two
+    sources: the links are those of brute force, and no join has more rows than a few for each entity."""
+    from pyspark.sql import functions as F
+
+    n = 300
+    rows = [(f"t{i}", "a", "terraform_resource", f"aws_n{i}.x") for i in range(n)] + [(f"k{i}", "b", "k8s_resource", f"n{i}-zone7") for i in range(n)]
+    rows += [(f"u{i}", "a", "terraform_resource", f"m{i}.zone7") for i in range(n)] + [(f"v{i}", "c", "k8s_resource", f"m{i} zone9") for i in range(n)]
+    rows += [(f"w{i}", "d", "terraform_resource", f"o{i}_zone9") for i in range(2)] + [(f"s{i}", "e", "thing", "same") for i in range(n)]
+    ents = spark.createDataFrame([(*r, r[0]) for r in rows], "id string, source_id string, entity_type string, name string, display_name string")
+    links = {(r.source_entity_id, r.target_entity_id) for r in graph.link_sources(ents.where("id not like 'u%' and id not like 'w%'")).collect()}
+    assert links == {(f"t{i}", f"k{i}") for i in range(n)}
+    p = graph.signatures(ents, {})
+    met = p.alias("a").join(p.alias("b"), F.col("a.sig") == F.col("b.meets")).where("a.source_id < b.source_id and a.entity_type = b.entity_type")
+    assert met.count() == 0
+    assert graph.link_sources(ents).count() == n + n * n + n + 2 * n  # t-k by name; u-k and w-v by zone; u-v by name
