@@ -45,6 +45,17 @@ def parse(content: bytes, content_type: str = "", path: str = "") -> dict:
     return (code.parse(text, path) if kind == "code" else None) or markup.plaintext(text)
 
 
+#: Documents that Python holds at once with all that is made of them.
+HELD = 200
+
+
+def _some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """HELD documents of a batch at a time, so that memory doesn't grow with the rows that Spark puts in a batch."""
+    for batch in batches:
+        for at in range(0, len(batch), HELD):
+            yield batch.iloc[at : at + HELD]
+
+
 _SECTION = "struct<heading_path:array<string>,text:string,line_start:int,line_end:int,symbol:string,metadata:map<string,string>>"
 
 
@@ -52,7 +63,7 @@ def parse_documents(docs: DataFrame) -> DataFrame:
     """``docs`` (id, path, content_type, content) with title, language, doc_metadata and sections; content goes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _some(batches):
             rows = []
             for r in batch.itertuples():
                 d = parse(bytes(r.content or b""), r.content_type or "", r.path or "")
@@ -67,7 +78,7 @@ def extract_graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entities, edges) of ``docs`` (id, path, content_type, content): code symbols, and infrastructure resources."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _some(batches):
             rows = []
             for r in batch.itertuples():
                 d = parse(bytes(r.content or b""), r.content_type or "", r.path or "")
