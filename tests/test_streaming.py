@@ -197,3 +197,32 @@ def test_streams_with_state_and_a_restart(spark, tmp_path):
     assert sorted((r.id, r.attempt, r.status) for r in sent.collect()) == want
     left = spark.read.format("statestore").option("path", str(tmp_path / "cp1")).option("stateVarName", "state").load()
     assert 0 < left.count() <= 12  # ids seen in the last five minutes, not all that there ever were
+
+
+def test_keys_of_a_stream_share_the_state_of_a_shard(spark, tmp_path):
+    """However many keys there are, calls and state rows are those of the shards; keys without a value and times stay what they are."""
+    from lodestone.streaming import stateful
+
+    rnd = random.Random(11)
+    rows = sorted((T0 + timedelta(seconds=rnd.randrange(900), microseconds=k), T0 + timedelta(days=k % 90, microseconds=k % 90), None if k % 50 == 0 else f"d{rnd.randrange(80)}", k) for k in range(400))
+    schema = "at timestamp, made timestamp, delivery_id string, n long"
+    src, provider = str(tmp_path / "in"), spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    for part in (rows[:200], rows[200:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    sent = stateful.redeliver(stream.withColumn("payload", F.lit("x")), lambda payload, attempt: False, key="made", id="n", max_deliver=2, backoff_seconds=100, shards=3)
+    try:
+        dfs = stateful.mark_replays(stream, shards=3), stateful.token_bucket(stream, key="delivery_id", rpm=2, shards=3), sent
+        replays, bucket, sent = [stateful.run_to_end(df, str(tmp_path / f"out{i}"), str(tmp_path / f"cp{i}")) for i, df in enumerate(dfs)]
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+    table = spark.createDataFrame(rows, schema)
+    assert {r.n: r.duplicate for r in replays.collect()} == {r.n: r.duplicate for r in changes.mark_replays(table.where("delivery_id is not null")).collect()}
+    judged = changes.token_bucket(table.withColumn("delivery_id", F.coalesce("delivery_id", F.lit("none"))), key="delivery_id", rpm=2)
+    assert {r.n: (r.allowed, round(r.remaining, 6)) for r in bucket.collect()} == {r.n: (r.allowed, round(r.remaining, 6)) for r in judged.collect()}
+    end = rows[-1][0]
+    want = sorted((made, str(n), a, "failed" if a == 1 else "dead") for at, made, _, n in rows for a in (1, 2) if a == 1 or at + timedelta(seconds=100) <= end)
+    assert sorted((r.key.replace(tzinfo=UTC), r.id, r.attempt, r.status) for r in sent.collect()) == want
+    for i, name in enumerate(("state", "state")):
+        left = spark.read.format("statestore").option("path", str(tmp_path / f"cp{i}")).option("stateVarName", name).load()
+        assert 0 < left.count() <= 4  # three shards, and that of rows without a key
