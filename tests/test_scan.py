@@ -93,3 +93,25 @@ def test_the_general_source_checks_its_configuration(spark):
 def test_times_without_a_zone_are_utc():
     assert scan.aware(datetime(2024, 1, 1)) == datetime(2024, 1, 1, tzinfo=UTC) and scan.aware(None) is None
     assert rest.minute(datetime(2024, 1, 1, 1, 0, 1), True) == "2024-01-01 01:01" and rest.minute(datetime(2024, 1, 1, 1, 0), True) == "2024-01-01 01:00"
+
+
+def test_recorded_services_hold_a_source_as_columns(sf):
+    """A worker holds the documents of the source it lists, as two columns; pages are those of the whole table."""
+    from datetime import UTC, datetime, timedelta
+
+    import pyarrow.parquet as pq
+
+    from lodestone.plans import recorded
+
+    start = datetime(2024, 1, 1, tzinfo=UTC)
+    rows = [(r["doc_id"], r["n_chars"]) for r in pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "source", "n_chars"]).to_pylist() if r["source"] == "src1"]
+    held = recorded._source(f"{sf}/documents.parquet", "src1")
+    assert held.rows.num_rows == len(rows) and held.rows.nbytes <= 24 * len(rows)
+    low, high = start + timedelta(minutes=15), start + timedelta(minutes=170)
+    want = [(start + timedelta(minutes=d), d, n) for d, n in sorted(rows) if 15 <= d <= 170]
+    assert held.page(held.between(recorded._since(low), recorded._since(high))) == want and want
+    jql = {"jql": 'project in (src1) and updated >= "2024-01-01 00:15"', "maxResults": 2, "startAt": "1"}
+    got = recorded.Recorded(sf)("https://t/api/3/search", jql, {})
+    late = [d for d, _ in sorted(rows) if d >= 15]
+    assert got["total"] == len(late) and [i["key"] for i in got["issues"]] == [f"src1-{d}" for d in late[1:3]]
+    assert recorded.Recorded(sf)("https://t/api/3/search", jql | {"jql": "project in (none)"}, {}) == {"issues": [], "total": 0}
