@@ -145,21 +145,17 @@ def _key(path: Column, value: Column) -> Column:
 
 def json_terms(rows: DataFrame, column: str) -> DataFrame:
     """(term, id): a term for every scalar of a row's JSON with its path. Array elements have one path, whatever their place;
-    malformed and null JSON has none. A level is one generator over what the level before left open."""
+    malformed and null JSON has none. All levels are one pass: a generator opens what is open and hands scalars on."""
     spark = rows.sparkSession
     level = rows.select("id", F.lit("$").alias("path"), F.try_parse_json(F.col(column)).alias("v")).where("v is not null")
-    found = None
-    for depth in range(DEPTH + 1):
-        kind = F.schema_of_variant("v")
-        is_object, is_array = kind.startswith("OBJECT"), kind.startswith("ARRAY")
-        scalars = level.where(~is_object & ~is_array).select(_key(F.col("path"), F.to_json("v")).alias("term"), "id")
-        found = scalars if found is None else found.unionByName(scalars)
-        if depth < DEPTH:
-            inner = level.where(is_object | is_array).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "key", "value"))
-            # A length before the key: no two paths are written alike.
-            step = F.when(F.col("key").isNull(), F.lit("[]")).otherwise(F.concat(F.lit("."), F.length("key"), F.lit(":"), F.col("key")))
-            level = inner.select("id", F.concat("path", step).alias("path"), F.col("value").alias("v"))
-    return found
+    for _ in range(DEPTH):
+        inner = level.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()).toDF("pos", "key", "value"))
+        # A length before the key: no two paths are written alike. Without a position there was nothing to open.
+        step = F.when(F.col("key").isNull(), F.lit("[]")).otherwise(F.concat(F.lit("."), F.length("key"), F.lit(":"), F.col("key")))
+        closed = F.col("pos").isNull()
+        level = inner.select("id", F.when(closed, F.col("path")).otherwise(F.concat("path", step)).alias("path"), F.when(closed, F.col("v")).otherwise(F.col("value")).alias("v"))
+    kind = F.schema_of_variant("v")
+    return level.where(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY")).select(_key(F.col("path"), F.to_json("v")).alias("term"), "id")
 
 
 def _leaves(want: Any, path: str = "$", depth: int = 0) -> list[tuple[str, str]]:

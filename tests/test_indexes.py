@@ -139,3 +139,20 @@ def test_paths_equal_scan(spark, tmp_path):
         assert sorted(r["id"] for r in index.containing(w).collect()) == want, w
     assert index.candidates({"parts": [{"a": 1, "b": 4}]}).count() == 1  # met by both values, refused by the row's own test
     assert terms.PathIndex.write(df.limit(0), "props", str(tmp_path / "e")).containing({"k": 1}).count() == 0
+
+
+def test_json_terms_are_one_pass(spark):
+    """A row is parsed once, not once for each level; scalars of every level up to the eighth have a term, empty parts none."""
+    deep = 1
+    for _ in range(terms.DEPTH):
+        deep = {"k": deep}
+    rows = ['{"a": [1, null, {"b": "x"}], "c": {}, "d": [], "e": {"f": true}}', "7", "[]", "no json", None, json.dumps(deep), json.dumps({"k": deep})]
+    made = terms.json_terms(spark.createDataFrame(list(enumerate(rows)), "id int, v string"), "v")
+    assert "Union" not in made._jdf.queryExecution().optimizedPlan().toString()
+    want = {"a": [1, None, {"b": "x"}], "e": {"f": True}}
+    leaves = {0: terms._leaves(want), 1: terms._leaves(7), 5: terms._leaves(deep)}
+    hashes = {i: sorted(spark.range(1).select(*[terms._key(F.lit(p), F.lit(v)).alias(str(n)) for n, (p, v) in enumerate(x)]).first()) for i, x in leaves.items()}
+    got: dict = {}
+    for r in made.collect():
+        got.setdefault(r.id, []).append(r.term)
+    assert {i: sorted(x) for i, x in got.items()} == hashes
