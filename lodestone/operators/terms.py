@@ -59,13 +59,17 @@ class TermIndex:
             return rows.where(F.lit(False)).select("id")
         return rows.where(at(chosen)).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(chosen)).select("id")
 
-    def having_many(self, wants: DataFrame) -> DataFrame:
-        """(query, id) for the rows (query, term) of many queries at once; a query's terms are ranked by what they read."""
+    def having_many(self, wants: DataFrame, rarest: int = RAREST) -> DataFrame:
+        """(query, id) for the rows (query, term) of many queries at once; a query's terms are ranked by what they read.
+
+        With ``rarest`` 1 the postings of a query's rarest term are its candidates: nothing is intersected, so nothing is grouped."""
         asked = wants.select("query", "term").distinct().withColumn("bucket", self._bucket())
         n = F.coalesce("n", F.lit(0))
         ranked = asked.join(self.counts(), ["bucket", "term"], "left").withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(n, "term")))
-        chosen = ranked.where(F.col("r") <= RAREST).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("query")))
+        chosen = ranked.where(F.col("r") <= rarest).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("query")))
         met = self.postings().join(chosen.select("query", "bucket", "term", "k"), ["bucket", "term"])
+        if rarest == 1:
+            return met.select("query", "id")
         return met.groupBy("query", "id").agg(F.count(F.lit(1)).alias("c"), F.first("k").alias("k")).where("c = k").select("query", "id")
 
 
@@ -125,7 +129,7 @@ class SubstringIndex:
             pattern = F.concat(F.lit("%"), F.lower(term), F.lit("%"))
             return F.coalesce(F.call_function("like", F.lower("name"), pattern), F.lit(False)) | F.coalesce(F.call_function("like", F.lower("display_name"), pattern), F.lit(False))
 
-        near = self.index.having_many(terms.select(F.col("term").alias("query"), F.explode("g").alias("g")).select("query", F.xxhash64("g").alias("term")))
+        near = self.index.having_many(terms.select(F.col("term").alias("query"), F.explode("g").alias("g")).select("query", F.xxhash64("g").alias("term")), rarest=1)
         found = near.join(names, "id").where(like(F.col("query"))).select(F.col("query").alias("term"), "id")
         if short:
             every = F.filter(F.array(*map(F.lit, short)), like)

@@ -156,3 +156,10 @@ def test_json_terms_are_one_pass(spark):
     for r in made.collect():
         got.setdefault(r.id, []).append(r.term)
     assert {i: sorted(x) for i, x in got.items()} == hashes
+
+
+def test_candidates_of_one_term_are_not_grouped(spark, tmp_path):
+    index = terms.TermIndex(spark, str(tmp_path / "i"), "string").write(spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "b"), (3, "b")], "term long, id string"))
+    wants = spark.createDataFrame([("q", 1), ("q", 2), ("q", 3), ("r", 1), ("r", 2), ("s", 9), ("s", 1)], "query string, term long")
+    assert {tuple(r) for r in index.having_many(wants).collect()} == {("q", "b"), ("r", "a"), ("r", "b")}
+    assert sorted(tuple(r) for r in index.having_many(wants, rarest=1).collect()) == [("q", "b"), ("r", "a"), ("r", "b")]
