@@ -11,8 +11,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.errors import ConfigError
 
@@ -24,7 +26,8 @@ being have has had having do does did doing a an the and but if or because as un
 between into through during before after above below to from up down in out on off over under again further then once here
 there when where why how all any both each few more most other some such no nor not only own same so than too very s t can
 will just don should now""".split()
-
+#: Texts whose tokens are counted at once.
+ROWS = 256
 
 _VOWELS = "aeiouy"
 #: Fixed values of the published English (Porter2) algorithm: endings with what replaces them by step, longest first; words
@@ -129,11 +132,45 @@ def stemmed_tokens(raw: Column) -> Column:
     return F.pandas_udf(_stems, "array<string>")(raw)
 
 
+def dropped(stem: bool = False) -> list[str]:
+    """The lexemes that no posting has."""
+    return sorted({*STOP_WORDS, *map(english_stem, STOP_WORDS)} if stem else STOP_WORDS)
+
+
+def _by_lexeme(stop: list[str]):
+    """(chunk_id, tokens) to (chunk_id, lexeme, positions) of each lexeme of a row, without those of ``stop``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                ids, listed = (batch.column(c).slice(at, ROWS) for c in ("chunk_id", "tokens"))
+                sizes = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(ids)), sizes)
+                position = np.arange(1, len(row) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                words = listed.flatten().dictionary_encode()
+                code, known = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
+                kept = ~pc.is_in(known, pa.array(stop, known.type)).to_numpy(zero_copy_only=False)[code]
+                row, position, code = row[kept], position[kept], code[kept]
+                if not len(row):
+                    continue
+                key = row * len(known) + code
+                order = np.argsort(key, kind="stable")
+                starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+                first = order[starts]
+                positions = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), pa.array(position[order], pa.int32()))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[first])), known.take(pa.array(code[first])), positions], ["chunk_id", "lexeme", "positions"])
+
+    return run
+
+
 def postings(chunks: DataFrame, *, id: str = "chunk_id", text: str = "text", stem: bool = False) -> DataFrame:
-    """(chunk_id, lexeme, positions from 1). A text's tokens stay in its task until they are counted per lexeme."""
-    listed = chunks.select(F.col(id).alias("chunk_id"), F.posexplode(tokens(F.col(text), stem=stem)).alias("p", "lexeme"))
-    kept = listed.where(~F.col("lexeme").isin(*(STOP_WORDS if not stem else sorted({*STOP_WORDS, *map(english_stem, STOP_WORDS)}))))
-    return kept.groupBy("chunk_id", "lexeme").agg(F.sort_array(F.collect_list(F.col("p") + 1)).alias("positions"))
+    """(chunk_id, lexeme, positions from 1). A text's tokens are counted per lexeme in its task: nothing is shuffled, and ids are
+    taken as distinct."""
+    listed = chunks.select(F.col(id).alias("chunk_id"), tokens(F.col(text), stem=stem).alias("tokens"))
+    return listed.mapInArrow(_by_lexeme(dropped(stem)), T.StructType([listed.schema["chunk_id"]]).add("lexeme", "string").add("positions", T.ArrayType(T.IntegerType())))
 
 
 def query_lexemes(query: str, *, stem: bool = False) -> list[str]:

@@ -81,10 +81,10 @@ class ImpactIndex(fulltext.Ranked):
         return [s for s, _ in found if s >= found[-1][1]] if found else []
 
     def _write(self, segment: int, postings: DataFrame, gone: DataFrame | None, first: int) -> None:
-        rows = postings.select("chunk_id", "lexeme", "positions", F.size("positions").alias("n"), F.expr(_ZONES).alias("zones")).where("n > 0")
-        rows = rows.withColumn("tier", _tier(F.col("n"))).withColumn("bucket", F.pmod(F.xxhash64("lexeme"), F.lit(self.buckets)).cast("int"))
-        # A frequent lexeme's rows go to several tasks and files.
-        dealt = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("chunk_id"), F.lit(4)))
+        rows = postings.select("chunk_id", "lexeme", "positions", F.pmod(F.xxhash64("lexeme"), F.lit(self.buckets)).cast("int").alias("bucket"))
+        # Large buckets, a frequent lexeme's too, are split over tasks and files, small ones share them; what follows from the
+        # positions isn't shuffled.
+        dealt = rows.hint("rebalance", F.col("bucket")).withColumn("n", F.size("positions")).where("n > 0").withColumn("zones", F.expr(_ZONES)).withColumn("tier", _tier(F.col("n")))
         at = f"{self.path}/postings/segment={segment}"
         dealt.sortWithinPartitions("tier", "bucket", "lexeme", F.desc("n")).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("tier", "bucket").parquet(at)
         stored = self.spark.read.schema("lexeme string, tier int, bucket int").parquet(at)

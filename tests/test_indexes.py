@@ -163,3 +163,10 @@ def test_candidates_of_one_term_are_not_grouped(spark, tmp_path):
     wants = spark.createDataFrame([("q", 1), ("q", 2), ("q", 3), ("r", 1), ("r", 2), ("s", 9), ("s", 1)], "query string, term long")
     assert {tuple(r) for r in index.having_many(wants).collect()} == {("q", "b"), ("r", "a"), ("r", "b")}
     assert sorted(tuple(r) for r in index.having_many(wants, rarest=1).collect()) == [("q", "b"), ("r", "a"), ("r", "b")]
+
+
+def test_postings_are_counted_in_their_tasks(spark, tmp_path):
+    chunks = _frame(spark, [("a", "Red red the blue"), ("b", None), ("c", "the of"), ("d", "blue é 7 é")])
+    rows = fulltext.postings(chunks)
+    assert sorted((r.chunk_id, r.lexeme, r.positions) for r in rows.collect()) == [("a", "blue", [4]), ("a", "red", [1, 2]), ("d", "7", [3]), ("d", "blue", [1]), ("d", "é", [2, 4])]
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
