@@ -20,6 +20,9 @@ A key that at most CROWD sets hold is compared in full. Larger ones, as families
 3. What is still outside the largest component of a key is compared with all its holders, block by block, a product of two
    incidence matrices each. A block gives a link for each component that a set of it reaches, never all pairs.
 
+Groups that another method finds near, as ``simhash`` does by fingerprints, may come first: each set of a group is compared in
+full with the group's least, and two sets that this links are in one component, so keys needn't compare them again.
+
 Sides of joins grow with the corpus, so none is broadcast, however small it is.
 
 So no pair across components stays uncompared, families take rows linear in their size, and a key of n unlike texts that may
@@ -29,7 +32,7 @@ all have a partner by the bound takes n * n comparisons (no rows), spread over i
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import pyarrow as pa
@@ -52,7 +55,7 @@ BLOCK, BLOCK_BYTES = 256, 1 << 21
 #: Shingles that are hashed at once, words whose hashes a task keeps, and columns of an incidence matrix.
 STRETCH, KNOWN, COLUMNS = 100_000, 200_000, 4096
 
-_SET_SQL = "doc_id long, mark long, fp long, size long, keys array<long>, sketch binary"
+_SET_SQL = "doc_id long, mark long, bits long, fp long, size long, keys array<long>, sketch binary"
 _PAIR_SQL = "a long, b long"
 
 
@@ -124,7 +127,7 @@ def _shingles(text: bytes | None, shingle: int, known: _Words):
 
 
 def _sets(shingle: int, similarity: float):
-    """doc_id, mark and text to the set of shingles: its id, size, band keys and a byte of each coordinate."""
+    """doc_id, mark, bits and text to the set of shingles: its id, size, band keys and a byte of each coordinate."""
     count = bands(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +136,7 @@ def _sets(shingle: int, similarity: float):
 
         known = _Words()
 
-        def flush(ids: list, marks: list, sets: list) -> pa.RecordBatch:
+        def flush(ids: list, marks: list, bits: list, sets: list) -> pa.RecordBatch:
             held = [k for k, s in enumerate(sets) if len(s)]
             keys, sketch = [[] for _ in sets], [b""] * len(sets)
             if held:
@@ -146,20 +149,20 @@ def _sets(shingle: int, similarity: float):
                     keys[k], sketch[k] = own, low.tobytes()
             fps = np.array([xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                ["doc_id", "mark", "fp", "size", "keys", "sketch"],
+                [pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(bits, pa.int64()), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                ["doc_id", "mark", "bits", "fp", "size", "keys", "sketch"],
             )
 
         for batch in batches:
-            ids, marks, sets, n = [], [], [], 0
-            for doc, mark, text in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                ids.append(doc), marks.append(mark), sets.append(_shingles(text, shingle, known))
+            ids, marks, bits, sets, n = [], [], [], [], 0
+            for doc, mark, own, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "bits")), batch.column("text").cast(pa.binary()).to_pylist()):
+                ids.append(doc), marks.append(mark), bits.append(own), sets.append(_shingles(text, shingle, known))
                 n += len(sets[-1])
                 if n > STRETCH:
-                    yield flush(ids, marks, sets)
-                    ids, marks, sets, n = [], [], [], 0
+                    yield flush(ids, marks, bits, sets)
+                    ids, marks, bits, sets, n = [], [], [], [], 0
             if ids:
-                yield flush(ids, marks, sets)
+                yield flush(ids, marks, bits, sets)
 
     return run
 
@@ -179,7 +182,7 @@ def _full_sets(shingle: int):
 
 
 def _alike(similarity: float):
-    """The sets of one key (at most CROWD) to pairs (a < b) whose sketches agree enough."""
+    """The sets of one key (at most CROWD) to pairs (a < b) of different roots whose sketches agree enough."""
     enough, least = _agree(similarity), Fraction(str(similarity))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,10 +192,10 @@ def _alike(similarity: float):
             low, high = [], []
             for own in batch.column("own"):
                 group = own.values
-                fp, size = group.field("fp").to_numpy(), group.field("size").to_numpy()
+                fp, size, root = (group.field(c).to_numpy() for c in ("fp", "size", "root"))
                 sketch = np.frombuffer(b"".join(group.field("sketch").to_pylist()), np.uint8).reshape(len(group), -1)
                 i, j = np.triu_indices(len(fp), 1)
-                fits = (np.minimum(size[i], size[j]) * least.denominator >= np.maximum(size[i], size[j]) * least.numerator) & ((sketch[i] == sketch[j]).sum(axis=1) >= enough)
+                fits = (root[i] != root[j]) & (np.minimum(size[i], size[j]) * least.denominator >= np.maximum(size[i], size[j]) * least.numerator) & ((sketch[i] == sketch[j]).sum(axis=1) >= enough)
                 low.append(np.minimum(fp[i], fp[j])[fits]), high.append(np.maximum(fp[i], fp[j])[fits])
             if low:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(low)), pa.array(np.concatenate(high))], ["a", "b"])
@@ -310,19 +313,23 @@ def _blocks_met(now: DataFrame, outside: DataFrame, sets: DataFrame, similarity:
     return links
 
 
-def link(once: DataFrame, texts: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+def link(once: DataFrame, texts: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY, crowd: int = CROWD, near: DataFrame | None = None) -> DataFrame:
     """(node, root) of every set that a chain of pairs of ``similarity`` or more links.
 
     ``once`` has a row for each set (fp, size, keys, sketch, doc_id, mark); ``texts`` (doc_id, mark, text) has their texts:
-    only those whose set shares a key with another one are shingled again.
+    only those whose set shares a key with another one, or stands in ``near``, are shingled again. ``near`` (a, b; a < b) has
+    pairs that are compared first.
     """
     keys = once.select("fp", F.explode("keys").alias("key"))
     held = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "held")
     members = stored(keys.join(held.hint("merge"), "key"), "members")
-    wanted = stored(once.join(members.select("fp").distinct().hint("merge"), "fp", "left_semi").select("fp", "size", "sketch", F.col("doc_id").alias("d"), F.col("mark").alias("m")), "wanted")
+    some = members.select("fp")
+    if near is not None:
+        some = some.unionByName(near.select(F.explode(F.array("a", "b")).alias("fp")))
+    wanted = stored(once.join(some.distinct().hint("merge"), "fp", "left_semi").select("fp", "size", "sketch", F.col("doc_id").alias("d"), F.col("mark").alias("m")), "wanted")
     full = texts.join(wanted.select("fp", "d", "m").hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))).select("fp", "text").mapInArrow(_full_sets(shingle), "fp long, grams binary")
     sets = stored(full.groupBy("fp").agg(F.first("grams").alias("grams")), "sets")  # repeated rows have one set
-    marked = stored(members.join(wanted.select("fp", "size", "sketch").hint("merge"), "fp"), "marked")
+    marked = marked_at = stored(members.join(wanted.select("fp", "size", "sketch").hint("merge"), "fp"), "marked")
     free(held, members, wanted)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -339,31 +346,68 @@ def link(once: DataFrame, texts: DataFrame, *, shingle: int = SHINGLE, similarit
         free(roots)
         return out
 
-    few = marked.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list(F.struct("fp", "size", "sketch")).alias("own"))
+    def apart(part: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``part`` with its roots by ``links``, and the rows of it outside the largest component of their key."""
+        now = rooted(part, links)
+        sizes = now.groupBy("key", F.col("root").alias("most")).agg(F.count(F.lit(1)).alias("c"))
+        largest = stored(sizes.groupBy("key").agg(F.max_by("most", F.struct("c", "most")).alias("most")), "largest")
+        outside = stored(now.join(largest.hint("merge"), "key").where("root <> most").select("key", "fp", "size", "free"), "outside")
+        free(largest)
+        return now, outside
+
+    marked = marked.withColumn("root", F.col("fp"))
+    known = None
+    if near is not None:
+        known = verified(near)
+        old, marked = marked_at, rooted(marked, known)
+        free(old)
+        marked_at = marked
+    few = marked.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list(F.struct("fp", "size", "sketch", "root")).alias("own"))
     links = verified(few.select("own").mapInArrow(_alike(similarity), _PAIR_SQL))
+    if known is not None:
+        links = links.unionByName(known)
     many = marked.where(F.col("n") > crowd).select("key", "fp", "size")
     if not many.isEmpty():
         now, outside = _may_pair(many, sets, similarity), None
+        if known is not None:  # what lies in one component by fingerprints needs no leader
+            last, (now, outside) = now, apart(now, links)
+            free(last)
         for _ in range(LEADS):
+            if outside is not None and outside.isEmpty():
+                break
             lead = (now if outside is None else outside).groupBy("key").agg(F.max_by("fp", F.struct(F.col("free") / F.col("size"), "fp")).alias("lead"))
             pairs = now.join(lead.hint("merge"), "key").where("fp <> lead").select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b"))
             old, links = links, stored(links.unionByName(verified(pairs)), "links")
-            last, now = now, rooted(now, links)
-            free(old, last, *([] if outside is None else [outside]))
-            sizes = now.groupBy("key", F.col("root").alias("most")).agg(F.count(F.lit(1)).alias("c"))
-            largest = stored(sizes.groupBy("key").agg(F.max_by("most", F.struct("c", "most")).alias("most")), "largest")
-            outside = stored(now.join(largest.hint("merge"), "key").where("root <> most").select("key", "fp", "size", "free"), "outside")
-            free(largest)
-            if outside.isEmpty():
-                break
-        else:
+            last, led = now, outside
+            now, outside = apart(now, links)
+            free(old, last, *([] if led is None else [led]))
+        if not outside.isEmpty():
             links = links.unionByName(_blocks_met(now.select("key", "fp", "root", "size"), outside.select("key", "fp"), sets, similarity))
     roots = stored(components(links), "roots")
-    free(marked, sets)
+    free(marked_at, sets)
     return roots
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+def _with_least(once: DataFrame, groups: DataFrame) -> DataFrame:
+    """Each set of a group (``groups``: node, root; sets of equal bits are in one) with the group's least: (a, b), a < b."""
+    of = once.select("fp", "bits").join(groups.select(F.col("node").alias("bits"), "root").hint("merge"), "bits", "left")
+    of = stored(of.select("fp", F.coalesce("root", "bits").alias("root")), "groups")
+    # Stored before it is joined back: both sides are then plain shuffles, which AQE splits where a group is large.
+    least = stored(of.groupBy("root").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("root", "a"), "least")
+    out = stored(of.join(least.hint("merge"), "root").where("fp <> a").select("a", F.col("fp").alias("b")), "near")
+    free(of, least)
+    return out
+
+
+def near_duplicates(
+    docs: DataFrame,
+    *,
+    shingle: int = SHINGLE,
+    similarity: float = SIMILARITY,
+    crowd: int = CROWD,
+    fingerprints: Callable[[DataFrame], DataFrame] | None = None,
+    near: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: the size of its set, and the smallest doc_id that links reach.
 
     Sets are of distinct shingles of ``shingle`` lower-cased (A-Z) words of the whole text; fewer words are one shingle. Sets
@@ -371,16 +415,21 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, similarity: floa
     empty set and links with nothing: its row names itself. A null doc_id is linked but names no component (null if all in
     one are null). Repeated rows are kept, and rows of one doc_id with unlike texts may be in two components. Columns other
     than doc_id and text don't matter; an empty table gives an empty one.
+
+    ``fingerprints`` adds ``bits`` to a table (doc_id, mark, text), and ``near`` gives (node, root) of the groups of (fp) that
+    these form: both or none. What they put together is compared first; which sets link doesn't depend on them.
     """
     if not 0 < similarity <= 1 or shingle < 1:
         raise ValueError("similarity must be above 0 and at most 1, shingle at least 1")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     with small_batches(docs.sparkSession):
-        rows = stored(texts.mapInArrow(_sets(shingle, similarity), _SET_SQL), "rows")
+        read = texts.withColumn("bits", F.lit(None).cast("long")) if fingerprints is None else fingerprints(texts)
+        rows = stored(read.mapInArrow(_sets(shingle, similarity), _SET_SQL), "rows")
         some = rows.where("size > 0")
         # One row for each set, with the document that it is taken from: partial sums go before the shuffle, so copies do too.
-        once = stored(some.groupBy("fp").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "mark")).alias("at")).select("fp", "size", "keys", "sketch", "at.doc_id", "at.mark"), "once")
-        roots = link(once, texts, shingle=shingle, similarity=similarity, crowd=crowd)
+        once = stored(some.groupBy("fp").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.min("bits").alias("bits"), F.min(F.struct("doc_id", "mark")).alias("at")).select("fp", "size", "keys", "sketch", "bits", "at.doc_id", "at.mark"), "once")
+        pairs = None if near is None else _with_least(once, near(once.select(F.col("bits").alias("fp"))))
+        roots = link(once, texts, shingle=shingle, similarity=similarity, crowd=crowd, near=pairs)
         thin = stored(rows.select("doc_id", "fp", "size"), "thin")
         free(rows, once)
     linked = with_component(thin.where("size > 0"), roots)

@@ -193,15 +193,23 @@ def near_duplicates(docs: DataFrame, *, shingle: int | None = None, bits: int =
     """(doc_id, fp, component_id) of each row: the smallest doc_id that links reach; with ``similarity`` n_shingles, not fp.
 
     Without ``similarity`` fingerprints of at most ``bits`` differing bits link (``shingle`` words, by default 3). With it,
-    texts link whose sets of ``shingle`` words (by default 5) have that Jaccard similarity or more: at 0.8 some 10 of 64 bits
-    differ, more than blocks of a fingerprint can find, so blocks of minima take their place (see ``minhash``).
+    texts link whose sets of ``shingle`` words (by default 5) have that Jaccard similarity or more. Fingerprints of these
+    shingles, linked in the same way, give groups, in which full sets are compared first. At 0.8 some 10 of 64 bits differ,
+    more than blocks of a fingerprint can find: blocks of minima find what is left (see ``minhash``).
 
     Documents without words share a fingerprint and are linked like any other; with ``similarity`` they link with nothing. A
     null doc_id is linked but names no component (null if all in one are null). Repeated rows are kept. An empty table gives
     an empty one.
     """
     if similarity is not None:
-        return minhash.near_duplicates(docs, shingle=shingle or minhash.SHINGLE, similarity=similarity)
+        width = shingle or minhash.SHINGLE
+        return minhash.near_duplicates(
+            docs,
+            shingle=width,
+            similarity=similarity,
+            fingerprints=lambda texts: fingerprints(texts, shingle=width).withColumnRenamed("fp", "bits"),
+            near=lambda fps: link(fps, bits=bits),
+        )
     rows = fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle=shingle or SHINGLE, keep=["doc_id"])
     with small_batches(docs.sparkSession):
         rows = stored(rows, "rows")

@@ -8,7 +8,7 @@ import pytest
 from test_dedup import WORDS
 
 import corpus_pipeline
-from lodestone.llm import minhash
+from lodestone.llm import minhash, simhash
 
 
 def shingles(text):
@@ -101,6 +101,39 @@ def test_stage_removes_copies_of_similarity_over_80_percent(spark, sf):
     assert got == sorted((d is None, d or 0) for (d, _), c in zip(docs, linked(docs)) if d is None or d == c)
 
 
+def test_fingerprints_find_what_is_nearest_without_keys(spark, monkeypatch):
+    """Without any key of minima the near copies within three bits link, and what full sets refuse does not."""
+    docs = corpus()
+    rnd = random.Random(6)
+    docs += [(400, " ".join(f"w{rnd.randrange(5000)}" for _ in range(20)) + " a b c d e" * 300), (401, " ".join(f"w{rnd.randrange(5000)}" for _ in range(20)) + " a b c d e" * 300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    fps = [(r.doc_id, r.fp & (1 << 64) - 1, shingles(r.text)) for r in simhash.fingerprints(df, shingle=5).collect() if shingles(r.text)]
+    near = {(a, b): len(x & y) >= 0.8 * len(x | y) for a, f, x in fps for b, g, y in fps if a is not None and b is not None and a < b and (f ^ g).bit_count() <= 3}
+    assert sum(near.values()) > 3 and not near[400, 401]
+    monkeypatch.setattr(minhash, "_sets", no_keys(minhash._sets))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, similarity=0.8).collect() if r.doc_id is not None}
+    assert all((got[a] == got[b]) == alike for (a, b), alike in near.items() if b < 16 or a >= 400)
+    alone = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, similarity=0.8).collect() if r.doc_id is not None}
+    assert any(got[a] == got[b] and alone[a] != alone[b] for a, b in near)
+
+
+def no_keys(sets):
+    """``minhash._sets`` without the keys."""
+
+    def of(*args):
+        run = sets(*args)
+
+        def bare(batches):
+            import pyarrow as pa
+
+            for b in run(batches):
+                yield b.set_column(b.schema.get_field_index("keys"), "keys", pa.array([[]] * b.num_rows, pa.list_(pa.int64())))
+
+        return bare
+
+    return of
+
+
 def test_components_by_rounds_and_in_one_task_agree(spark):
     from lodestone.llm._common import components
 
