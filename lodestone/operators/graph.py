@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.entities import dice, name_tokens, normalize_name
 from lodestone.operators.buckets import BucketTable
-from lodestone.session import written
+from lodestone.session import free, written
 
 #: Entity types that may match by name tokens (fixed values).
 TERRAFORM = ["terraform_resource", "terraform_module", "resource"]
@@ -76,7 +76,9 @@ def apply_delta(graph: Graph, entities: DataFrame, raw: DataFrame, *, scope: str
     todo = keep(raw.select(*columns).unionByName(others.select(*columns).join(affected, "target_name", "left_semi")))
     found = resolve_edges(todo, new_entities, carry=["target_name", scope], wanted=todo.select("target_name").distinct())
     same = graph.edges.join(scopes, scope, "left_anti").join(affected, "target_name", "left_anti")
-    return Graph(new_entities, keep(others.unionByName(raw.select(*columns), allowMissingColumns=True)), keep(same.unionByName(found.select(*same.columns))))
+    after = Graph(new_entities, keep(others.unionByName(raw.select(*columns), allowMissingColumns=True)), keep(same.unionByName(found.select(*same.columns))))
+    free(affected, todo)
+    return after
 
 
 def replace_graph(old_entities: DataFrame, old_edges: DataFrame, entities: DataFrame, edges: DataFrame, *, scope: str = "document_id", touched: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

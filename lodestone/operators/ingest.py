@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lodestone import parsers
 from lodestone.functions import text
 from lodestone.operators import fulltext, graph, stats, writer
+from lodestone.session import free, stored_union
 
 KEY = writer.KEY
 #: What of a section's words a chunk has at most, and how far chunks overlap.
@@ -99,41 +100,48 @@ def ingest(tables: Tables, events: DataFrame, fetch: Callable[[DataFrame], DataF
 
     ``fetch`` gives (source_id, external_id, path, content_type, content) of the keys it gets; a key it leaves out has failed.
     ``keep`` may store what is used more than once (a checkpoint, a written table). With several batches in one session it has
-    to cut the lineage, as each state is made from the one before.
+    to cut the lineage, as each state is made from the one before. What ``session.written`` stored on the way is deleted when
+    it isn't read any more; ``tables`` stay, until the caller frees them.
     """
     last = keep(latest(events))
     gone = last.where("action = 'deleted'").select(*KEY)
     wanted = last.where("action <> 'deleted'").select(*KEY)
-    content = keep(fetch(wanted).select(*KEY, "path", "content_type", "content"))
-    incoming = content.withColumn("text", text.decode_utf8(F.col("content")))
-    judged = keep(writer.actions(tables.documents, incoming.select(*KEY, "text")).select("id", *KEY, "action"))
-    documents = writer.upsert_documents(tables.documents, incoming.select(*KEY, "text"), now)
-    documents, found = writer.tombstone(documents, gone, now)
+    incoming = fetch(wanted).select(*KEY, "path", "content_type", "content").withColumn("text", text.decode_utf8(F.col("content")))
+    judged = writer.actions(tables.documents, incoming).withColumn("content", F.when(F.col("action") != "unchanged", F.col("content")))
+    # Fetched once and stored once, and of contents only those that changed.
+    judged = keep(judged.select("id", *KEY, "content_hash", "action", "doc_version", "path", "content_type", "content"))
+    changed = judged.where("action <> 'unchanged'").select("id", *KEY, "path", "content_type", "content")
+    touched = changed.select(F.col("id").alias("document_id"))
+
+    documents = judged.select("id", *KEY, "content_hash", "action", "doc_version", text.decode_utf8(F.col("content")).alias("text"))
+    documents, found = writer.tombstone(writer.upsert_judged(tables.documents, documents, now), gone, now)
+    done = judged.select(*KEY, "action", F.lit(None).cast("string").alias("error"))
+    lost = wanted.join(judged.select(*KEY), KEY, "left_anti").select(*KEY, F.lit("error").alias("action"), F.lit("content could not be fetched").alias("error"))
+    removed = found.select(*KEY, F.when(F.col("found"), "deleted").otherwise("unchanged").alias("action"), F.lit(None).cast("string").alias("error"))
+    results = done.unionByName(lost).unionByName(removed).select(F.lit(run_id).alias("run_id"), *KEY, "action", "error", F.lit(now).alias("at"))
+    documents, results = keep(documents), keep(results)
 
-    changed = keep(content.join(judged.where("action <> 'unchanged'").select("id", *KEY), KEY))
+    # Documents that have no chunk any more lose theirs too. What stays and what is new are stored apart: neither is copied.
+    old = tables.chunks.join(touched, "document_id", "left_semi").select(F.col("id").alias("chunk_id"))
+    postings = keep(fulltext.without_chunks(tables.postings, old))
+    chunks = keep(tables.chunks.join(touched, "document_id", "left_anti"))
     parsed = keep(parsers.parse_documents(changed.select("id", "path", "content_type", "content")))
     made = chunked(parsed).withColumn("id", F.concat_ws(":", "document_id", "ord")).withColumn("ingestion_run_id", F.lit(run_id))
-    made = keep(made.withColumn("embedding", embed(F.col("text"))) if embed else made)
-    touched = changed.select(F.col("id").alias("document_id"))
-    # Documents that have no chunk any more lose theirs too.
-    chunks = writer.replace_chunks(tables.chunks.join(touched, "document_id", "left_anti"), made)
-    old = tables.chunks.join(touched, "document_id", "left_semi").select(F.col("id").alias("chunk_id"))
-    new = fulltext.postings(made.select("id", "text"), id="id", stem=tables.stem)
-    postings = tables.postings.join(old, "chunk_id", "left_anti").unionByName(new)
+    made = keep(writer.without_empty(made.withColumn("embedding", embed(F.col("text")))) if embed else made)
+    free(parsed)
 
     entities, raw_edges = parsers.extract_graph(changed.select("id", "path", "content_type", "content"))
     sources = changed.select(F.col("id").alias("document_id"), "source_id")
     entities = keep(entities.dropDuplicates(["id"]).join(sources, "document_id").withColumn("ord", F.col("name")))
+    raw_edges = keep(raw_edges)
     left = tables.entities.join(touched, "document_id", "left_semi").select("id")
-    after = graph.apply_delta(tables.graph(), entities, keep(raw_edges), touched=touched, keep=keep)
+    after = graph.apply_delta(tables.graph(), entities, raw_edges, touched=touched, keep=keep)
     others = tables.signatures.join(left, "id", "left_anti")
     signed = keep(graph.signatures(entities, tables.common))
     links = writer.cascade(writer.cascade(tables.links, left, "source_entity_id"), left, "target_entity_id")
-    links = links.unionByName(graph.link_delta(others, signed))
+    links, signatures = keep(links.unionByName(graph.link_delta(others, signed))), keep(others.unionByName(signed))
+    free(last, judged, entities, raw_edges, signed)
 
-    done = judged.select(*KEY, "action", F.lit(None).cast("string").alias("error"))
-    lost = wanted.join(content.select(*KEY), KEY, "left_anti").select(*KEY, F.lit("error").alias("action"), F.lit("content could not be fetched").alias("error"))
-    removed = found.select(*KEY, F.when(F.col("found"), "deleted").otherwise("unchanged").alias("action"), F.lit(None).cast("string").alias("error"))
-    results = done.unionByName(lost).unionByName(removed).select(F.lit(run_id).alias("run_id"), *KEY, "action", "error", F.lit(now).alias("at"))
-    state = replace(tables, documents=keep(documents), chunks=keep(chunks), postings=keep(postings), entities=after.entities, raw_edges=after.raw, edges=after.edges, links=keep(links), signatures=keep(others.unionByName(signed)))
+    new = keep(fulltext.postings(made.select("id", "text"), id="id", stem=tables.stem))
+    state = replace(tables, documents=documents, chunks=stored_union(chunks, made), postings=stored_union(postings, new), entities=after.entities, raw_edges=after.raw, edges=after.edges, links=links, signatures=signatures)
     return Ingested(state, results, stats.track_runs(results))

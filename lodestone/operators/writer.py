@@ -39,8 +39,14 @@ def actions(current: DataFrame, incoming: DataFrame, *, revive: bool = True) ->
 
 def upsert_documents(current: DataFrame, incoming: DataFrame, now: datetime, *, revive: bool = True) -> DataFrame:
     """The documents table after an upsert: unchanged rows stay untouched, written ones lose their tombstone."""
-    new = actions(current, incoming, revive=revive).where("action <> 'unchanged'")
-    rows = new.select("id", *KEY, "content_hash", "doc_version", F.lit(now).alias("indexed_at"), F.lit(None).cast("timestamp").alias("tombstoned_at"), *[c for c in incoming.columns if c in current.columns and c not in (*KEY, "id", "content_hash", "doc_version", "indexed_at", "tombstoned_at")])
+    return upsert_judged(current, actions(current, incoming, revive=revive), now)
+
+
+def upsert_judged(current: DataFrame, judged: DataFrame, now: datetime) -> DataFrame:
+    """:func:`upsert_documents` of what :func:`actions` gave for the incoming documents."""
+    new = judged.where("action <> 'unchanged'")
+    made = ("id", *KEY, "content_hash", "doc_version", "indexed_at", "tombstoned_at")
+    rows = new.select("id", *KEY, "content_hash", "doc_version", F.lit(now).alias("indexed_at"), F.lit(None).cast("timestamp").alias("tombstoned_at"), *[c for c in judged.columns if c in current.columns and c not in (*made, "action")])
     return current.join(new.select(*KEY), KEY, "left_anti").unionByName(rows, allowMissingColumns=True)
 
 
@@ -54,8 +60,12 @@ def upsert_in_buckets(table: BucketTable, incoming: DataFrame, now: datetime, *,
 
 def replace_chunks(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Chunks after those of ``incoming``'s documents were replaced; an empty embedding is null."""
-    new = incoming.withColumn("embedding", F.when(F.size("embedding") > 0, F.col("embedding"))) if "embedding" in incoming.columns else incoming
-    return current.join(incoming.select("document_id").distinct(), "document_id", "left_anti").unionByName(new, allowMissingColumns=True)
+    return current.join(incoming.select("document_id").distinct(), "document_id", "left_anti").unionByName(without_empty(incoming), allowMissingColumns=True)
+
+
+def without_empty(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with null for an empty embedding."""
+    return chunks.withColumn("embedding", F.when(F.size("embedding") > 0, F.col("embedding"))) if "embedding" in chunks.columns else chunks
 
 
 def tombstone(documents: DataFrame, keys: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:

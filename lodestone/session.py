@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,8 +43,42 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Shuffle files of a query go when it ends, not when the driver's garbage collector finds them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside leave no shuffle files behind."""
+    before = spark.conf.get(CLEANUP, None)
+    try:
+        spark.conf.set(CLEANUP, "true")
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: it is computed once, and lost executors don't matter to it."""
+    """``df`` written to the shared folder and read again: it is computed once, and lost executors don't matter to it. Only the
+    written rows take disk, compressed, until :func:`free` or the driver's end."""
     path = scratch(df.sparkSession, "written")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with swept(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = (path,)
+    return out
+
+
+def stored_union(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Both tables' rows by name, without a copy of either; :func:`free` deletes both."""
+    out = left.unionByName(right, allowMissingColumns=True)
+    out._stored_at = (*getattr(left, "_stored_at", ()), *getattr(right, "_stored_at", ()))
+    return out
+
+
+def free(*tables: object) -> None:
+    """Deletes what :func:`written` stored for ``tables``, once everything that is read from them is stored itself; others stay."""
+    for t in tables:
+        for path in getattr(t, "_stored_at", ()) if isinstance(t, DataFrame) else ():
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -1,9 +1,12 @@
 """Ingestion: ids for life, and a state that doesn't depend on how documents are cut into batches."""
 
+import time
 from datetime import UTC, datetime
 
-from lodestone.operators import graph, ingest, search
-from lodestone.session import written
+from pyspark.sql import functions as F
+
+from lodestone.operators import fulltext, graph, ingest, search
+from lodestone.session import free, shared_folder, written
 
 T0 = datetime(2024, 1, 1, tzinfo=UTC)
 SCHEMA = "source_id string, external_id string, path string, content_type string, content binary"
@@ -90,3 +93,62 @@ def test_the_registered_state_is_kept(spark, sf):
 
     plan = QUERIES["ingest_state"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "written-" in plan and "documents.parquet" not in plan
+
+
+def test_what_is_stored_on_the_way_goes(spark):
+    """Of a batch only the state and its results stay on disk, and of the state before nothing, once it is freed."""
+    import glob
+    import os
+    import random
+
+    held, rnd = [], random.Random(1)
+    folders = lambda: set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/written-*"))
+    size = lambda paths: sum(os.path.getsize(f) for p in paths for f in glob.glob(f"{p}/*.parquet"))
+    before = folders()
+
+    def keep(df):
+        out = written(df)
+        held.append(size(folders() - before))
+        return out
+
+    text = lambda: " ".join(f"{rnd.getrandbits(48):x}" for _ in range(400))
+    content = spark.createDataFrame([("s", f"d{k}", f"d{k}.txt", "", text().encode()) for k in range(60)], SCHEMA).repartition(2)
+    one = size(written(content)._stored_at)
+    before = folders()
+    events = lambda seq: content.selectExpr("source_id", "external_id", "'updated' as action", f"cast({seq} as long) as seq")
+    step = lambda t, seq, more: ingest.ingest(t, events(seq), lambda keys: content.withColumn("content", F.concat("content", F.encode(F.lit(more), "UTF-8"))).join(keys, ["source_id", "external_id"], "left_semi"), T0, run_id=f"r{seq}", keep=keep)
+    first = step(ingest.empty(spark), 1, "")
+    stored = [spark.read.parquet(p).columns for p in folders() - before]
+    assert not [c for c in stored if "content" in c or "sections" in c]
+    second = step(first.tables, 2, " zebra")
+    # At most two states (texts and postings), and once more the contents and what is parsed from them.
+    assert max(held) < 6 * one
+    free(first.results, *vars(first.tables).values())
+    left = folders() - before
+    assert {p.removeprefix("file:") for t in (second.results, *vars(second.tables).values()) for p in getattr(t, "_stored_at", ())} == left
+    assert second.tables.chunks.count() == 60 and second.tables.postings.where("lexeme = 'zebra'").count() == 60
+    assert second.tables.documents.where("doc_version = 2").count() == 60
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for k in range(files.size()) if (f := files.apply(k).getName()).startswith("shuffle_") and f.endswith(".data")}
+
+    before = shuffled()
+    out, until = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()), time.monotonic() + 10
+    while shuffled() - before and time.monotonic() < until:  # executors delete them in their own time
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert out.count() == 7
+
+
+def test_postings_without_chunks(spark):
+    rows = [(f"d{c // 3}:{c % 3}", x, [p, p + 2] if p % 2 else [p]) for c in range(40) for p, x in enumerate(("ab", "é", "x"[: c % 2] or "y"), 1)]
+    rows += [("odd", None, [1]), ("odd", "two words", []), ("odd", "n", None)]
+    postings = spark.createDataFrame(rows, "chunk_id string, lexeme string, positions array<int>").repartition(3)
+    gone = spark.createDataFrame([("d1:0",), ("d1:2",), ("d9:9",)], "chunk_id string")
+    got = fulltext.without_chunks(postings, gone)
+    key = lambda r: (r[0], str(r[1]), str(r[2]))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted((r for r in rows if r[0] not in ("d1:0", "d1:2")), key=key)
+    assert got.columns == ["chunk_id", "lexeme", "positions"]
