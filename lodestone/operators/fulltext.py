@@ -173,48 +173,46 @@ def postings(chunks: DataFrame, *, id: str = "chunk_id", text: str = "text", ste
     return listed.mapInArrow(_by_lexeme(dropped(stem)), T.StructType([listed.schema["chunk_id"]]).add("lexeme", "string").add("positions", T.ArrayType(T.IntegerType())))
 
 
-_PACKED = [("lexemes", T.ArrayType(T.StringType())), ("sizes", T.ArrayType(T.IntegerType())), ("positions", T.ArrayType(T.IntegerType()))]
+#: What a packed row holds of a chunk's postings.
+_PACKED = pa.schema([("lexeme", pa.string()), ("positions", pa.list_(pa.int32()))])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings with those of a chunk that follow each other as one row of flat arrays."""
+    """Postings with those of a chunk that follow each other as one compressed row."""
     import numpy as np
     import pyarrow.compute as pc
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids, lexemes, listed = (batch.column(c) for c in ("chunk_id", "lexeme", "positions"))
+        ids = batch.column("chunk_id")
         other = pc.fill_null(pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)), True).to_numpy(zero_copy_only=False)
         starts = np.append(0, np.flatnonzero(other) + 1)
-        ends = np.append(starts, len(ids))
-        sizes = pc.list_value_length(listed)
-        flat = np.append(0, np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False)))[ends]
-        lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), x) for at, x in ((ends, lexemes), (ends, sizes), (flat, listed.flatten()))]
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(starts)), *lists], ["chunk_id", *[name for name, _ in _PACKED]])
+        rows = pa.RecordBatch.from_arrays([batch.column(f.name).cast(f.type) for f in _PACKED], schema=_PACKED)
+        raw = [rows.slice(a, b - a).serialize() for a, b in zip(starts, np.append(starts[1:], len(ids)))]
+        held = pa.array([pa.compress(r, "zstd", asbytes=True) for r in raw], pa.binary())
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(starts)), pa.array([r.size for r in raw], pa.int32()), held], ["chunk_id", "size", "held"])
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The postings of :func:`_packed` again."""
     import numpy as np
-    import pyarrow.compute as pc
 
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
-            ids, lexemes, sizes, positions = (batch.column(c).slice(at, ROWS) for c in ("chunk_id", *[name for name, _ in _PACKED]))
-            row = np.repeat(np.arange(len(ids)), pc.list_value_length(lexemes).to_numpy(zero_copy_only=False))
-            size = sizes.flatten()
-            ends = np.append(0, np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False)))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(size.is_null().to_numpy(zero_copy_only=False), False)), positions.flatten())
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), lexemes.flatten(), lists], ["chunk_id", "lexeme", "positions"])
+            ids, sizes, held = (batch.column(c).slice(at, ROWS) for c in ("chunk_id", "size", "held"))
+            parts = [pa.ipc.read_record_batch(pa.decompress(h.as_buffer(), n, "zstd"), _PACKED) for h, n in zip(held, sizes.to_pylist())]
+            rows = pa.Table.from_batches(parts, _PACKED).combine_chunks().to_batches()[0]
+            of = pa.array(np.repeat(np.arange(len(ids)), [p.num_rows for p in parts]))
+            yield pa.RecordBatch.from_arrays([ids.take(of), *rows.columns], ["chunk_id", *_PACKED.names])
 
 
 def without_chunks(postings: DataFrame, gone: DataFrame) -> DataFrame:
     """``postings`` (chunk_id, lexeme, positions) without those of the chunks ``gone`` (chunk_id). A chunk's postings are
-    shuffled as a row of flat arrays, not one by one."""
+    shuffled as one compressed row, not one by one."""
     rows = postings.select("chunk_id", "lexeme", "positions")
     key = T.StructType([rows.schema["chunk_id"]])
-    kept = rows.mapInArrow(_packed, T.StructType([*key, *(T.StructField(*f) for f in _PACKED)])).join(gone, "chunk_id", "left_anti")
+    kept = rows.mapInArrow(_packed, T.StructType([*key]).add("size", T.IntegerType()).add("held", T.BinaryType())).join(gone, "chunk_id", "left_anti")
     return kept.mapInArrow(_unpacked, T.StructType([*key]).add("lexeme", "string").add("positions", T.ArrayType(T.IntegerType())))
 
 

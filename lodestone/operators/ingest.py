@@ -95,13 +95,14 @@ def chunked(parsed: DataFrame) -> DataFrame:
     return by_section.unionByName(windows).withColumnRenamed("id", "document_id")
 
 
-def ingest(tables: Tables, events: DataFrame, fetch: Callable[[DataFrame], DataFrame], now: datetime, *, run_id: str, embed: Callable[[Column], Column] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Ingested:
+def ingest(tables: Tables, events: DataFrame, fetch: Callable[[DataFrame], DataFrame], now: datetime, *, run_id: str, embed: Callable[[Column], Column] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df, spend: bool = False) -> Ingested:
     """The tables after ``events`` (source_id, external_id, action, seq, ...).
 
     ``fetch`` gives (source_id, external_id, path, content_type, content) of the keys it gets; a key it leaves out has failed.
     ``keep`` may store what is used more than once (a checkpoint, a written table). With several batches in one session it has
     to cut the lineage, as each state is made from the one before. What ``session.written`` stored on the way is deleted when
-    it isn't read any more; ``tables`` stay, until the caller frees them.
+    it isn't read any more. ``tables`` stay, until the caller frees them; with ``spend``, for which ``keep`` has to store, each of
+    them goes when what follows it is stored.
     """
     last = keep(latest(events))
     gone = last.where("action = 'deleted'").select(*KEY)
@@ -124,7 +125,11 @@ def ingest(tables: Tables, events: DataFrame, fetch: Callable[[DataFrame], DataF
     # Documents that have no chunk any more lose theirs too. What stays and what is new are stored apart: neither is copied.
     old = tables.chunks.join(touched, "document_id", "left_semi").select(F.col("id").alias("chunk_id"))
     postings = keep(fulltext.without_chunks(tables.postings, old))
+    if spend:
+        free(tables.documents, tables.postings)
     chunks = keep(tables.chunks.join(touched, "document_id", "left_anti"))
+    if spend:
+        free(tables.chunks)
     parsed = keep(parsers.parse_documents(changed.select("id", "path", "content_type", "content")))
     made = chunked(parsed).withColumn("id", F.concat_ws(":", "document_id", "ord")).withColumn("ingestion_run_id", F.lit(run_id))
     made = keep(writer.without_empty(made.withColumn("embedding", embed(F.col("text")))) if embed else made)
@@ -141,6 +146,8 @@ def ingest(tables: Tables, events: DataFrame, fetch: Callable[[DataFrame], DataF
     links = writer.cascade(writer.cascade(tables.links, left, "source_entity_id"), left, "target_entity_id")
     links, signatures = keep(links.unionByName(graph.link_delta(others, signed))), keep(others.unionByName(signed))
     free(last, judged, entities, raw_edges, signed)
+    if spend:
+        free(tables.entities, tables.raw_edges, tables.edges, tables.links, tables.signatures)
 
     new = keep(fulltext.postings(made.select("id", "text"), id="id", stem=tables.stem))
     state = replace(tables, documents=documents, chunks=stored_union(chunks, made), postings=stored_union(postings, new), entities=after.entities, raw_edges=after.raw, edges=after.edges, links=links, signatures=signatures)

@@ -96,7 +96,7 @@ def test_the_registered_state_is_kept(spark, sf):
 
 
 def test_what_is_stored_on_the_way_goes(spark):
-    """Of a batch only the state and its results stay on disk, and of the state before nothing, once it is freed."""
+    """Of a batch only the state and its results stay on disk, and of a spent state nothing."""
     import glob
     import os
     import random
@@ -116,18 +116,22 @@ def test_what_is_stored_on_the_way_goes(spark):
     one = size(written(content)._stored_at)
     before = folders()
     events = lambda seq: content.selectExpr("source_id", "external_id", "'updated' as action", f"cast({seq} as long) as seq")
-    step = lambda t, seq, more: ingest.ingest(t, events(seq), lambda keys: content.withColumn("content", F.concat("content", F.encode(F.lit(more), "UTF-8"))).join(keys, ["source_id", "external_id"], "left_semi"), T0, run_id=f"r{seq}", keep=keep)
+    step = lambda t, seq, more, **how: ingest.ingest(t, events(seq), lambda keys: content.withColumn("content", F.concat("content", F.encode(F.lit(more), "UTF-8"))).join(keys, ["source_id", "external_id"], "left_semi"), T0, run_id=f"r{seq}", keep=keep, **how)
     first = step(ingest.empty(spark), 1, "")
     stored = [spark.read.parquet(p).columns for p in folders() - before]
     assert not [c for c in stored if "content" in c or "sections" in c]
-    second = step(first.tables, 2, " zebra")
+    kept = step(first.tables, 2, " lion")
+    assert first.tables.chunks.count() == 60 and first.tables.postings.where("lexeme = 'lion'").count() == 0
     # At most two states (texts and postings), and once more the contents and what is parsed from them.
     assert max(held) < 6 * one
-    free(first.results, *vars(first.tables).values())
+    free(first.results, kept.results, *vars(first.tables).values())
+    held.clear()
+    second = step(kept.tables, 3, " zebra", spend=True)
+    assert max(held) < 4 * one, [round(h / one, 2) for h in held]
     left = folders() - before
     assert {p.removeprefix("file:") for t in (second.results, *vars(second.tables).values()) for p in getattr(t, "_stored_at", ())} == left
     assert second.tables.chunks.count() == 60 and second.tables.postings.where("lexeme = 'zebra'").count() == 60
-    assert second.tables.documents.where("doc_version = 2").count() == 60
+    assert second.tables.documents.where("doc_version = 3").count() == 60
 
 
 def test_written_tables_leave_no_shuffle_files(spark):
